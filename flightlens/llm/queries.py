@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import decontaminate, quality, url_filter
+from flightlens.llm import decontaminate, ngram_join, quality, url_filter
 from flightlens.session import table
 
 
@@ -13,6 +13,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,11 +35,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_ngram_join": op2_ngram_join,
     "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": ngram_join.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
