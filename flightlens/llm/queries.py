@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import decontaminate, ngram_join, quality, url_filter
+from flightlens.llm import decontaminate, ngram_join, quality, sentencepiece_codec, token_counts, url_filter
 from flightlens.session import table
 
 
@@ -17,6 +20,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), Path(model).read_bytes())
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), Path(tokenizer).read_text())
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,6 +47,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ngram_join": op2_ngram_join,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_token_counts": op4_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
