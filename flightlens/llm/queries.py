@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import decontaminate, ngram_join, quality, sentencepiece_codec, token_counts, url_filter
+from flightlens.llm import decontaminate, langid, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter
 from flightlens.session import table
 
 
@@ -28,6 +28,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = public_t
     return token_counts.token_counts(table(spark, sf_dir, "documents"), Path(tokenizer).read_text())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,6 +59,8 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
