@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import decontaminate, langid, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter
+from flightlens.llm import decontaminate, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 from flightlens.session import table
 
 
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -50,6 +54,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_records(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
@@ -60,13 +68,16 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_decontaminate": op8_decontaminate,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL = {
     "op2_ngram_join": ngram_join.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }

@@ -4,13 +4,16 @@ Words are tagged with classes; a clause is read by the composition of five trans
 insult and threat match patterns, target, negation and reported speech change what a
 match weighs. "You are an idiot" weighs more than a bare "idiot", "not an idiot" and
 "she said he is an idiot" less. A text's sum over its clauses becomes a probability by a
-monotone calibration. The insult words and their weights are learned from labels,
-starting from a small fixed list; so is the calibration.
+monotone calibration. The insult words, and stems for languages that inflect or compound
+them, and their weights are learned from labels, starting from a small fixed list; so is
+the calibration.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,10 +36,16 @@ REPORTS = "said says say told called calls claimed claims wrote writes quoted re
 
 #: Labelled documents that weights and calibration are learned from, at most about so many.
 LABELLED_ROWS = 20_000
-MIN_TOXIC_DOCS, MIN_LOG_ODDS, FULL_LOG_ODDS = 10, 3.0, 5.0
+MIN_TOXIC_DOCS, MIN_LOG_ODDS, FULL_LOG_ODDS = 6, 3.5, 5.0
 #: A learned word must stand behind so many different words, per toxic document with it.
 MIN_CONTEXT_SHARE = 0.3
 MAX_LEARNED = 500
+#: Words and stems of toxic documents that are held against the others, the most frequent ones.
+MAX_CANDIDATES = 100_000
+STEM_CHARS = range(4, 9)
+#: A stem is learned beside its learned extensions if it is in so many times their documents.
+WIDER = 1.5
+MIN_CONTEXTS = 4
 SEED_WEIGHT, THREAT_WEIGHT = 0.8, 1.0
 THRESHOLD = 0.3
 #: Edges of the calibration's bins of clause sums.
@@ -127,28 +136,41 @@ class Scorer:
 
     def __post_init__(self) -> None:
         self.tags = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-        self.tags |= dict.fromkeys(self.insults, INSULT)
-        self.strong = frozenset(w for w, c in self.tags.items() if c in (INSULT, THREAT))
+        self.stems = {k: frozenset(w[:-1] for w in self.insults if w[-1] == "*" and len(w) == k + 1) for k in STEM_CHARS}
+        self.stems = {k: v for k, v in self.stems.items() if v}
+        self.strong = frozenset([w for w in self.insults if w[-1] != "*"] + THREATS)
         self.machine = grammar()
 
+    def matches(self, words: list[str]) -> bool:
+        """Whether any word is an insult or a threat."""
+        return not self.strong.isdisjoint(words) or any(not known.isdisjoint({w[:k] for w in words}) for k, known in self.stems.items())
+
+    def tag(self, word: str) -> tuple[int, float]:
+        """Class and weight of a word."""
+        if word in self.insults:
+            return INSULT, self.insults[word]
+        if word in self.tags:
+            return self.tags[word], 1.0
+        return next(((INSULT, self.insults[word[:k] + "*"]) for k, known in self.stems.items() if word[:k] in known), (OTHER, 1.0))
+
     def clauses(self, text: str) -> list[tuple[str, float]]:
         """The clauses that match, with their weights."""
         found = []
         for clause in _CLAUSE.split(text.lower()):
             words = _WORD.findall(clause)
-            if self.strong.isdisjoint(words):
+            if not self.matches(words):
                 continue
             state, total = self.machine.start, 0.0
             for w in words:
-                c = self.tags.get(w, OTHER)
+                c, own = self.tag(w)
                 state, weight = self.machine.arcs[state, c]
-                total += weight * self.insults.get(w, 1.0) if weight else 0.0
+                total += weight * own
             if total:
                 found.append((clause.strip(), total))
         return found
 
     def total(self, text: str | None) -> float:
-        if not text or self.strong.isdisjoint(_WORD.findall(text.lower())):
+        if not text or not self.matches(_WORD.findall(text.lower())):
             return 0.0
         return sum(w for _, w in self.clauses(text))
 
@@ -167,32 +189,64 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return own.join(F.broadcast(drawn), F.col("own_id") == F.col("doc_id")).select("own_id", "text", "toxic")
 
 
+def features(words: list[str]) -> dict[str, str]:
+    """The words and stems of a text, each with the word before its last occurrence."""
+    found: dict[str, str] = {}
+    before = ""
+    for w in words:
+        found[w] = before
+        for k in STEM_CHARS:
+            if k < len(w):
+                found[w[:k] + "*"] = before
+        before = w
+    return found
+
+
 def learn_insults(sample: DataFrame) -> dict[str, float]:
-    """Words that stand in toxic documents far more than in others, in ever new surroundings.
+    """Words and stems that stand in toxic documents far more than in others, in ever new surroundings.
 
-    The surroundings tell an insult from the words of a text that was copied often.
+    The surroundings tell an insult from the words of a text that was copied often. A stem
+    stands for its extensions where it is in more documents than each of them.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = _WORD.findall(text.lower())
-                before = dict(zip(words, ["", *words], strict=False))
-                rows += [(w, before[w], toxic == 1) for w in before]
-            yield pd.DataFrame(rows, columns=["word", "before", "toxic"])
+            yield pd.DataFrame([row for text in batch["text"] for row in features(_WORD.findall(text.lower())).items()], columns=["word", "before"])
 
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     yes, no = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     counted = (
-        sample.select("text", "toxic")
-        .mapInPandas(run, "word string, before string, toxic boolean")
+        sample.filter("toxic = 1")
+        .select("text")
+        .mapInPandas(toxic_features, "word string, before string")
         .groupBy("word")
-        .agg(F.count_if("toxic").alias("yes"), F.count_if(~F.col("toxic")).alias("no"), F.approx_count_distinct(F.when(F.col("toxic"), F.col("before"))).alias("contexts"))
+        .agg(F.count("*").alias("yes"), F.approx_count_distinct("before").alias("contexts"))
+        .filter((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("contexts") >= F.greatest(MIN_CONTEXT_SHARE * F.col("yes"), F.lit(MIN_CONTEXTS))))
+        .orderBy(F.desc("yes"), "word")
+        .limit(MAX_CANDIDATES)
+        .collect()
     )
-    odds = F.log((F.col("yes") + 0.5) / (yes + 1.0)) - F.log((F.col("no") + 0.5) / (no + 1.0))
-    picked = counted.withColumn("odds", odds).filter((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("odds") >= MIN_LOG_ODDS) & (F.col("contexts") >= MIN_CONTEXT_SHARE * F.col("yes")))
-    return {r.word: min(1.0, r.odds / FULL_LOG_ODDS) for r in picked.orderBy(F.desc("odds"), "word").limit(MAX_LEARNED).collect()}
+    candidates = {r.word: r.yes for r in counted}
+    shared = sample.sparkSession.sparkContext.broadcast(frozenset(candidates))
+
+    def clean_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, seen = shared.value, Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                seen.update(known.intersection(features(_WORD.findall(text.lower()))))
+        yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+
+    others = sample.filter("toxic <> 1").select("text").mapInPandas(clean_features, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    clean = {r.word: r.n for r in others}
+    odds = {w: math.log((c + 0.5) / (yes + 1)) - math.log((clean.get(w, 0) + 0.5) / (no + 1)) for w, c in candidates.items()}
+    learned: dict[str, float] = {}
+    # Widest first; of equally wide ones the word itself, then the longer stem.
+    for w in sorted((w for w in odds if odds[w] >= MIN_LOG_ODDS), key=lambda w: (-candidates[w], w[-1] == "*", -len(w), w)):
+        held = any(w[:k] + "*" in learned for k in STEM_CHARS)
+        idle = w[-1] == "*" and any(x.startswith(w[:-1]) and candidates[w] <= WIDER * candidates[x] for x in learned)
+        if len(learned) < MAX_LEARNED and not held and not idle:
+            learned[w] = min(1.0, odds[w] / FULL_LOG_ODDS)
+    return learned
 
 
 def calibrate(scorer: Scorer, sample: DataFrame) -> None:
