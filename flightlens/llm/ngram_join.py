@@ -24,7 +24,6 @@ different ones fall together with a probability under 1e-10. Classes have 128 bi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -40,13 +39,13 @@ from flightlens.llm.common import materialize, mix64
 #: Largest set size for which enumeration is considered.
 SMALL_MAX = 24
 #: Shingles seen at least so often in one batch count towards the corpus frequency.
-BATCH_REPEATS = 3
+BATCH_REPEATS = 2
 #: So many frequent shingles are ranked (8 + 1 bytes each); the others keep hash order.
-RANKED_MAX = 100_000
-RANKED_MIN = 8
+RANKED_MAX = 400_000
+RANKED_MIN = 4
 HUBS = 6
 ROUNDS = 2
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -283,11 +282,32 @@ def _all_pairs(posts: DataFrame, percent: int, small: int) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can still link once their stored first shingles are compared.
+
+    Up to the lesser of the two last stored shingles both sets are known, so the overlap is
+    at most what they share there plus the rest of the set with less left.
+    """
+    one = classes.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("toks").alias("tx"))
+    two = classes.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("toks").alias("ty"))
+    both = pairs.join(one, "x").join(two, "y").withColumn("cut", F.least(F.element_at("tx", -1), F.element_at("ty", -1)))
+    left = F.least(F.col("nx") - _up_to("tx"), F.col("ny") - _up_to("ty"))
+    most = F.size(F.array_intersect("tx", "ty")) + left
+    return both.filter((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))).select("x", "y")
+
+
+def _up_to(tokens: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t <= F.col("cut")))
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, percent: int) -> DataFrame:
+    """The pairs whose whole sets link. Only the texts of these pairs are read again."""
+    wanted = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
+    texts = classes.select("rid", "sig", "head").join(wanted, "rid", "left_semi").join(docs, F.col("head") == F.col("doc_id")).select("rid", "sig", "text")
+    sets = materialize(texts.mapInArrow(to_sets, "rid long, whole array<long>"))
     one, two = sets.select(F.col("rid").alias("x"), F.col("whole").alias("wx")), sets.select(F.col("rid").alias("y"), F.col("whole").alias("wy"))
     same = F.size(F.array_intersect("wx", "wy"))
-    return pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y")
+    return pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,9 +333,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def _with_groups(posts: DataFrame, links: DataFrame) -> DataFrame:
+def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """The lists that still hold different groups; a list of two has been compared already."""
-    groups = components(links)
     posts = posts.drop("comp").join(groups, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     open_keys = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter((F.col("lo") < F.col("hi")) & (F.col("c") > 2))
     return materialize(posts.join(open_keys.select("key"), "key", "left_semi"))
@@ -353,21 +372,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     posts = materialize(entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid")))
 
-    wanted = classes.select("rid", "sig", "head").join(posts.select("rid").distinct(), "rid", "left_semi")
-    texts = wanted.join(docs, wanted["head"] == docs["doc_id"]).select("rid", "sig", "text")
-    sets = materialize(texts.mapInArrow(_whole_sets(words, ranked), "rid long, whole array<long>").dropDuplicates(["rid"]))
-
-    tested, links = [], []
+    tested, groups = [], None
     for turn in range(ROUNDS + 1):
         if turn:
-            posts = _with_groups(posts, reduce(DataFrame.union, links))
+            posts = _with_groups(posts, groups)
         last = turn == ROUNDS
         pairs = _all_pairs(posts, percent, small) if last else _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
         for done in tested:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         tested.append(materialize(pairs))
-        links.append(materialize(_linked(tested[-1], sets, percent)))
-    groups = components(reduce(DataFrame.union, links))
+        close = materialize(_close(tested[-1], classes, percent))
+        links = _linked(close, classes, docs, _whole_sets(words, ranked), percent)
+        groups = components(links if groups is None else links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y"))))
     heads = classes.select("rid", "head").join(groups, "rid")
     least = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
     joined = heads.join(least, "comp").select("rid", "component_id")
