@@ -27,17 +27,19 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEGMENT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
 SPANS = (8, 4, 2, 1)
+PROBES = "array<struct<pos:int,span:int,probe:bigint>>"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text; of null none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
 def span_hashes(words: Column, span: int) -> Column:
     """Hash of the `span` (1, 2, 4 or 8) words from each position on; cut short at the end."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    width = 1
+    if span == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
+    hashes, width = words, 1
     while width < span:
         hashes = F.zip_with(hashes, F.slice(hashes, width + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
         width *= 2
@@ -70,14 +72,13 @@ def _known(known: list[int], at: Column) -> Column:
     return at["probe"].isin(known)
 
 
-def _probes(words: Column, spans: dict[int, list[int] | None]) -> Column:
-    """Array of (pos, span, probe) whose hash is in the set of its span; None: of all positions."""
-    parts = []
-    for span, known in spans.items():
-        tag = F.lit(span).alias("span")
-        at = F.transform(span_hashes(words, span), partial(_position, tag))
-        parts.append(at if known is None else F.filter(at, partial(_known, known)))
-    return F.concat(*parts)
+def _probes(hashes: Column, span: int, known: list[int] | None) -> Column:
+    """Array of (pos, span, probe) of the hashes in the set; without a set, of all."""
+    at = F.transform(hashes, partial(_position, F.lit(span).alias("span")))
+    if known is None:
+        return at
+    # Most documents have none, so positions are made only behind a first look.
+    return F.when(F.exists(hashes, lambda h: h.isin(known)), F.filter(at, partial(_known, known))).otherwise(F.array().cast(PROBES))
 
 
 def find_hits(
@@ -106,8 +107,9 @@ def find_hits(
         spans[r.span] = [x.probe for x in wins.filter(F.col("span") == r.span).select("probe").distinct().collect()] if held else None
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     scanned = base.select("doc_id", F.xxhash64("t").alias("text_hash"), words_of(F.col("t")).alias("words"))
-    nothing = F.array().cast("array<struct<pos:int,span:int,probe:bigint>>")
-    scanned = scanned.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", (_probes(F.col("words"), spans) if spans else nothing).alias("at"))
+    scanned = scanned.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", *[span_hashes(F.col("words"), s).alias(f"h{s}") for s in spans])
+    at = [_probes(F.col(f"h{s}"), s, known) for s, known in spans.items()]
+    scanned = scanned.select("doc_id", "text_hash", "n_words", "words", (F.concat(*at) if at else F.array().cast(PROBES)).alias("at"))
     if held:
         # The words of documents without probes are not carried further.
         scanned = scanned.withColumn("words", F.when(F.size("at") > 0, F.col("words")))
