@@ -25,7 +25,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Texts are encoded in slices of about so many characters, to bound a worker's memory.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 @dataclass
@@ -106,7 +106,7 @@ def build(spec: ModelSpec) -> Tokenizer:
     unknown = next(i for i, (_, _, kind) in enumerate(spec.pieces) if kind == UNKNOWN)
     if spec.model_type == BPE:
         model = models.BPE(
-            {p: i for i, p in enumerate(names)}, _merges(spec), unk_token=names[unknown], fuse_unk=True, byte_fallback=spec.byte_fallback, cache_capacity=100_000
+            {p: i for i, p in enumerate(names)}, _merges(spec), unk_token=names[unknown], fuse_unk=True, byte_fallback=spec.byte_fallback
         )
     else:
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=unknown, byte_fallback=spec.byte_fallback)
@@ -140,7 +140,7 @@ class Coder:
     """
 
     #: Parts of up to so many characters are remembered, so many of them.
-    PART_CHARS, PARTS = 64, 800_000
+    PART_CHARS, PARTS = 48, 500_000
 
     def __init__(self, data: bytes) -> None:
         self.spec = parse_model(data)
