@@ -41,7 +41,7 @@ class PrefixCounter:
     """Prefix counts under one tokenizer file; keeps the counts of the pre-tokens it has met."""
 
     #: Pre-tokens of up to so many characters are remembered, so many of them; so many pairs.
-    WORD_CHARS, WORDS, PAIRS = 48, 400_000, 1_000_000
+    WORD_CHARS, WORDS, PAIRS = 48, 1_200_000, 600_000
 
     def __init__(self, data: str) -> None:
         spec = json.loads(data)
@@ -61,8 +61,7 @@ class PrefixCounter:
         self.settled = regex.compile(f"[^{_SETTLED}]")
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.begun: dict[bytes, tuple[int, list[bytes], list[int]]] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The encoding of a short byte string by merging the best-ranked pair until none is left."""
@@ -90,14 +89,12 @@ class PrefixCounter:
         self.pairs[key] = found
         return found
 
-    def _program(self, word: str) -> np.ndarray:
+    def _program(self, word: str) -> list[int]:
         data = word.encode("utf-8", "surrogatepass")
         size = len(data)
-        # Words that differ in their ends share the work on what they begin with.
-        start, last, count = self.begun.get(data[: size - 2], (0, [b""], [0])) if size > 2 else (0, [b""], [0])
-        last, count = last[: start + 1], count[: start + 1]
+        last, count = [b""], [0]
         tokens, pairs = self.tokens, self.pairs
-        for i in range(start + 1, size + 1):
+        for i in range(1, size + 1):
             for j in range(max(0, i - self.longest), i):
                 token = data[j:i]
                 if token in tokens:
@@ -107,26 +104,23 @@ class PrefixCounter:
                         last.append(token)
                         count.append(count[j] + 1)
                         break
-        if size <= self.WORD_CHARS:
-            if len(self.begun) > self.WORDS:
-                self.begun.clear()
-            for i in range(max(start + 1, size - 4), size):
-                self.begun[data[:i]] = (i, last, count)
         if size == len(word):
-            return np.array(count[1:], np.int32)
-        return np.array([count[i] for i in range(1, size + 1) if i == size or data[i] & 0xC0 != 0x80], np.int32)
+            return count[1:]
+        return [count[i] for i in range(1, size + 1) if i == size or data[i] & 0xC0 != 0x80]
 
-    def word(self, word: str) -> np.ndarray:
-        """Counts of all prefixes of one pre-token, by characters."""
+    def word(self, word: str) -> bytes | np.ndarray:
+        """Counts of all prefixes of one pre-token, by characters; short ones as one byte each."""
         found = self.words.get(word)
-        if found is None:
-            found = self._program(word)
-            if word in _LONG_CONTRACTIONS:  # cut after one letter, it is a mark and a letter
-                found = np.array([1, 2, found[2]], np.int32)
-            if len(word) <= self.WORD_CHARS:
-                if len(self.words) > self.WORDS:
-                    self.words.clear()
-                self.words[word] = found
+        if found is not None:
+            return found
+        counts = self._program(word)
+        if word in _LONG_CONTRACTIONS:  # cut after one letter, it is a mark and a letter
+            counts = [1, 2, counts[2]]
+        if len(word) > self.WORD_CHARS:
+            return np.array(counts, np.int64)
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        self.words[word] = found = bytes(counts)  # a character has 4 bytes at most, so counts stay below 256
         return found
 
     def _segment(self, text: str) -> np.ndarray:
@@ -135,19 +129,23 @@ class PrefixCounter:
         else:
             words = self.split.findall(text)
         if not words:
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.int64)
         known = self.words
         counts = [c if (c := known.get(w)) is not None else self.word(w) for w in words]
-        totals = np.array([c[-1] for c in counts], np.int64)
-        sizes = np.array([len(c) for c in counts], np.int64)
+        sizes = np.fromiter(map(len, counts), np.int64, len(counts))
+        ends = np.cumsum(sizes)
+        if max(sizes) > self.WORD_CHARS:
+            inside = np.concatenate([np.frombuffer(c, np.uint8) if isinstance(c, bytes) else c for c in counts]).astype(np.int64)
+        else:
+            inside = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
+        totals = inside[ends - 1]
         base = np.cumsum(totals) - totals
-        found = np.concatenate(counts) + np.repeat(base, sizes)
-        starts = np.cumsum(sizes) - sizes
+        found = inside + np.repeat(base, sizes)
         if self.run.search(text):
             for j, (w, after) in enumerate(zip(words, words[1:], strict=False)):
                 # Cut just behind white space, the whole run is one pre-token.
                 if self.space.fullmatch(w) and self.space.match(after):
-                    found[starts[j + 1]] = base[j] + self.word(w + after[0])[-1]
+                    found[ends[j]] = base[j] + self.word(w + after[0])[-1]
         return found
 
     def prefix_counts(self, text: str | None) -> np.ndarray:
