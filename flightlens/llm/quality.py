@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 #: (from bytes, lowest ratio, highest ratio) by length of the whole text in bytes.
 DOC_BANDS = (
     (0, 0.0, 3.0),
-    (200, 1.05, 3.5),
-    (500, 1.15, 4.5),
-    (2_000, 1.3, 6.0),
+    (200, 1.1, 3.5),
+    (500, 1.25, 4.5),
+    (2_000, 1.4, 6.0),
     (20_000, 1.4, 8.0),
     (200_000, 1.4, 10.0),
 )
 CHUNK_BYTES = 4_096
 #: Band of one chunk, and the share of chunks that may lie outside it.
-CHUNK_BAND = (1.2, 8.0)
+CHUNK_BAND = (1.35, 8.0)
 CHUNK_MAX_OUTSIDE = 0.5
 LEVEL = 3
 WINDOW = 8
