@@ -100,6 +100,7 @@ def duck(sf_dir):
 
 def table_of(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
+    frame = frame.astype({c: "float64" for c in frame.columns if pd.api.types.is_numeric_dtype(frame[c]) and not pd.api.types.is_bool_dtype(frame[c])})
     columns = [frame[c].astype("datetime64[us]").astype(str) if str(frame[c].dtype).startswith("datetime") else [None if v is None or v != v else v for v in frame[c]] for c in frame.columns]
     return sorted(zip(*columns, strict=True), key=str)
 
