@@ -30,7 +30,7 @@ def _place() -> Column:
 
 
 def _chunks(rows: DataFrame, kind: str, text: Column, place: Column, **metadata: Column) -> DataFrame:
-    tags = F.map_from_arrays(F.array(*[F.lit(k) for k in metadata]), F.array(*[F.coalesce(v.cast("string"), F.lit("")) for v in metadata.values()]))
+    tags = F.create_map(*[x for k, v in metadata.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))]).cast("map<string,string>")
     return rows.select("case_id", F.lit(kind).alias("chunk_type"), place.alias("place"), text.alias("text"), tags.alias("metadata"))
 
 
@@ -80,6 +80,70 @@ def chunk_custody(custody: DataFrame) -> DataFrame:
     return _chunks(custody, "custody", text, F.col("entry_id").cast("long"), actor=F.col("actor"))
 
 
+def chunk_evidence(items: DataFrame) -> DataFrame:
+    """One text per evidence file."""
+    text = F.concat(
+        F.lit("[EVIDENCE_ITEM] File: "), "path", F.lit(" (Item ID: "), "item_id", F.lit(") | Platform: "), F.coalesce("platform", F.lit("UNKNOWN")), F.lit(" | Category: "), "category",
+        F.lit(" | Size: "), F.col("byte_count").cast("string"), F.lit(" bytes | SHA-256: "), "sha256",
+    )
+    return _chunks(items, "evidence_item", text, F.abs(F.xxhash64("item_id")), item_id=F.col("item_id"), category=F.col("category"))
+
+
+def chunk_media(captures: DataFrame) -> DataFrame:
+    """One text per media file, with its matched place if it has one."""
+    place = F.when(F.col("latitude").isNotNull(), _place()).otherwise("spatial match=PENDING")
+    text = F.concat(
+        F.lit("[MEDIA_RECORD] Type: "), "media_type", F.lit(" | File: "), "file_name", F.lit(" | Capture Timestamp: "), F.coalesce(F.when(F.col("ts").isNotNull(), _stamp(F.col("ts"))), F.lit("UNKNOWN")),
+        F.lit(" | Telemetry Overlap: "), F.initcap(F.col("has_overlap").cast("string")), F.lit(" | Geo-Coordinates: "), place,
+    )
+    return _chunks(captures, "media_record", text, F.col("media_id").cast("long"), media_type=F.col("media_type"))
+
+
+def chunk_plans(plans: DataFrame) -> DataFrame:
+    """One text per mission plan (plan_id, gcs_name, waypoints, planned_distance_m, planned_max_altitude_m)."""
+    text = F.concat(
+        F.lit("[MISSION_PLAN] Plan ID: "), "plan_id", F.lit(" | Target GCS: "), "gcs_name", F.lit(" | Waypoints Count: "), F.col("waypoints").cast("string"),
+        F.lit(" | Total Planned Distance: "), fixed(F.col("planned_distance_m"), 1), F.lit("m | Max Altitude: "), fixed(F.col("planned_max_altitude_m"), 1), F.lit("m"),
+    )
+    return _chunks(plans, "mission_plan", text, F.abs(F.xxhash64("plan_id")), plan_id=F.col("plan_id"))
+
+
+def chunk_operators(fixes: DataFrame, mobile: bool = False) -> DataFrame:
+    """One text per operator position, of a ground station or of a phone."""
+    head = "[MOBILE_OPERATOR_FIX] Source: " if mobile else "[OPERATOR_LOCATION] Source: "
+    text = F.concat(F.lit(head), "source", F.lit(" | Coordinates: lat="), fixed(F.col("latitude"), 6), F.lit(", lon="), fixed(F.col("longitude"), 6))
+    return _chunks(fixes, "mobile_operator_fix" if mobile else "operator_location", text, F.col("pos").cast("long"), source=F.col("source"))
+
+
+def chunk_stations(overviews: DataFrame) -> DataFrame:
+    """One text per case's ground-station overview (plans, commands)."""
+    text = F.concat(F.lit("[GCS_ANALYSIS] Mission Plans: "), F.col("plans").cast("string"), F.lit(" | Commands Issued: "), F.size("commands").cast("string"))
+    return _chunks(overviews, "gcs_overview", text, F.lit(0).cast("long"), plans=F.col("plans"))
+
+
+def chunk_apps(artifacts: DataFrame) -> DataFrame:
+    """One text per companion app of a case, with its hardware and logs."""
+    hardware = F.array_join(F.transform(F.map_entries("hardware"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    text = F.concat(
+        F.lit("[MOBILE_APP_ARTIFACT] App: "), "app_name", F.lit(" | Platform: "), "platform", F.lit(" | Paired Hardware: "), F.when(hardware == "", "None").otherwise(hardware), F.lit(" | Flight Logs Cached: "), F.size("logs").cast("string")
+    )
+    return _chunks(artifacts, "mobile_artifact", text, F.abs(F.xxhash64("app_name")), app_name=F.col("app_name"))
+
+
+def chunk_app_overview(overviews: DataFrame) -> DataFrame:
+    """One text per case's companion apps."""
+    named = lambda c, none: F.when(F.size(c) == 0, none).otherwise(F.array_join(c, ", "))
+    text = F.concat(F.lit("[MOBILE_COMPANION] Companion Apps Detected: "), named("apps", "None"), F.lit(" | Platforms: "), named("platforms", "N/A"), F.lit(" | Total Flight Records: "), F.col("points").cast("string"))
+    return _chunks(overviews, "mobile_overview", text, F.lit(0).cast("long"))
+
+
+def chunk_regulations(corpus: DataFrame, cases: DataFrame) -> DataFrame:
+    """One text per reference rule (id, title, authority, text) and case; the rules are a small table of the caller's."""
+    rows = cases.select("case_id").distinct().withColumn("j", F.lit(1)).join(F.broadcast(corpus.withColumn("j", F.lit(1))), "j")
+    text = F.concat(F.lit("[REGULATION_STANDARD] "), "title", F.lit(" | Authority: "), "authority", F.lit(" | Provisions: "), "text")
+    return _chunks(rows, "regulation", text, F.abs(F.xxhash64("id")), title=F.col("title"))
+
+
 def all_chunks(*parts: DataFrame) -> DataFrame:
     """The chunks of several sources with ids of case, source and place."""
     return reduce(DataFrame.unionByName, parts).withColumn("chunk_id", F.concat_ws("_", F.col("case_id").cast("string"), "chunk_type", F.col("place").cast("string")))
