@@ -45,7 +45,9 @@ RANKED_MAX = 400_000
 RANKED_MIN = 4
 HUBS = 6
 ROUNDS = 2
-CHUNK_BYTES = 16 << 20
+#: Lists of a set by which the first one shared with another set is told.
+FIRST_KEYS = 64
+CHUNK_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -60,7 +62,7 @@ class _WordHashes(dict):
 def shingle_hashes(texts: list[str | None], words: int, known: _WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """All shingle hashes of the texts, and the offsets at which each text's begin."""
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    if len(known) > 400_000:
+    if len(known) > 250_000:
         known.clear()
     lengths = np.array([len(s) for s in split], np.int64)
     flat = np.fromiter((known[w] for s in split for w in s), np.uint64, int(lengths.sum()))
@@ -272,12 +274,20 @@ def _hub_pairs(posts: DataFrame, seeds: range, percent: int) -> DataFrame:
 
 
 def _all_pairs(posts: DataFrame, percent: int, small: int) -> DataFrame:
-    """Members of a list in different groups. Two small sets meet in their subsets' lists alone."""
+    """Members of a list in different groups. Two small sets meet in their subsets' lists alone.
+
+    A pair is made in the first list that both stand in, not in each; that is seen from the
+    first FIRST_KEYS lists of each. Pairs that meet only behind those are made in each.
+    """
+    firsts = posts.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST_KEYS).alias("firsts"))
+    posts = materialize(posts.join(firsts, "rid"))
     covered = (F.col("a.pos") >= 0) & (F.greatest("a.n", "b.n") <= small)
+    shared = F.array_min(F.array_intersect("a.firsts", "b.firsts"))
+    first = F.coalesce(F.col("a.key") <= shared, F.lit(True))
     return _pairs(
         posts.alias("a").join(
             posts.alias("b"),
-            (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & ~covered,
+            (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & ~covered & first,
         )
     )
 
