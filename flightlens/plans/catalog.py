@@ -234,11 +234,10 @@ m AS (
   UNION ALL SELECT case_id, 'LANDING', ts, altitude_m, 'INFO' FROM f WHERE z = 1
   UNION ALL SELECT case_id, 'DISARM', ts + INTERVAL 1 SECOND, 0, 'INFO' FROM f WHERE z = 1
   UNION ALL SELECT case_id, 'ERROR_ALERT', ts, altitude_m, 'WARNING' FROM f WHERE k = 1 AND altitude_m > 120)
-SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.case_id = m.case_id AND ev.event_type = m.event_type AND ev.seq % 7 = 0)""",
+SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.case_id = m.case_id AND ev.event_type = m.event_type)""",
 )
 def lifecycle_events(spark, sf_dir):
-    own = views.events(spark, sf_dir).filter("seq % 7 = 0")
-    return lifecycle.synth_lifecycle(views.telemetry(spark, sf_dir), own).select("case_id", "event_type", "ts", "altitude_m", "severity")
+    return lifecycle.synth_lifecycle(views.telemetry(spark, sf_dir), views.events(spark, sf_dir)).select("case_id", "event_type", "ts", "altitude_m", "severity")
 
 
 # ---------------------------------------------------------------- as-of joins
@@ -283,10 +282,10 @@ def media_capture(spark, sf_dir):
 @query(
     "last_known_position",
     f"""WITH {views.EVENTS} SELECT e.case_id, e.seq AS event_id, e.event_type, arg_max(t.altitude_m, struct_pack(ts := t.ts, seq := t.seq)) AS altitude_m
-FROM ev e LEFT JOIN tel t ON t.case_id = e.case_id AND t.ts <= e.ts AND t.seq % 5 = 0 WHERE e.event_type = 'DISARM' GROUP BY e.case_id, e.seq, e.event_type""",
+FROM ev e LEFT JOIN tel t ON t.case_id = e.case_id AND t.ts <= e.ts AND t.raw_type = 'view' WHERE e.event_type = 'DISARM' GROUP BY e.case_id, e.seq, e.event_type""",
 )
 def last_known_position(spark, sf_dir):
-    found = asof.last_known_position(views.events(spark, sf_dir).filter("event_type = 'DISARM'"), views.telemetry(spark, sf_dir).filter("seq % 5 = 0"))
+    found = asof.last_known_position(views.events(spark, sf_dir).filter("event_type = 'DISARM'"), views.telemetry(spark, sf_dir).filter("raw_type = 'view'"))
     return found.select("case_id", "event_id", "event_type", "altitude_m")
 
 

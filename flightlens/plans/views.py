@@ -14,7 +14,8 @@ from flightlens.sources import zones
 
 #: Event types of the generic table and what they stand for.
 EVENT_TYPES = {"purchase": "MEDIA_CAPTURE", "click": "WAYPOINT_REACHED", "view": "TAKEOFF", "error": "ERROR_ALERT", "signup": "DISARM"}
-PLAN_EVERY = 500
+#: Rows of a plan that come before this one are its home.
+PLAN_HOME = 20
 
 
 def _coordinate(base: float, factor: int, span: int, scale: float) -> Column:
@@ -85,19 +86,21 @@ med AS (SELECT case_id, seq AS media_id, ts, CASE WHEN seq % 2 = 0 THEN CAST(30
 
 
 def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plan per case of every 500th row, shifted a little north; the first is home."""
-    rows = telemetry(spark, sf_dir).filter(F.col("seq") % PLAN_EVERY == 7)
-    return rows.select(
-        "case_id", F.lit("plan").alias("plan_id"), F.col("seq").alias("idx"), F.when(F.col("seq") == 7, "HOME").otherwise("WAYPOINT").alias("command"),
-        (F.col("latitude") + F.lit(0.0002)).alias("latitude"), "longitude", "altitude_m",
+    """A plan per case: the first row of each day, shifted a little north; the first of all is home."""
+    row = F.struct("seq", "latitude", "longitude", "altitude_m")
+    days = telemetry(spark, sf_dir).groupBy("case_id", F.to_date("ts").alias("day")).agg(F.min_by(row, "seq").alias("r"))
+    return days.select(
+        "case_id", F.lit("plan").alias("plan_id"), F.col("r.seq").alias("idx"), F.when(F.col("r.seq") < PLAN_HOME, "HOME").otherwise("WAYPOINT").alias("command"),
+        (F.col("r.latitude") + F.lit(0.0002)).alias("latitude"), F.col("r.longitude").alias("longitude"), F.col("r.altitude_m").alias("altitude_m"),
     )
 
 
 WAYPOINTS = (
     TELEMETRY
-    + """, wp AS (
-  SELECT case_id, 'plan' AS plan_id, seq AS idx, CASE WHEN seq = 7 THEN 'HOME' ELSE 'WAYPOINT' END AS command, latitude + CAST(0.0002 AS DOUBLE) AS latitude, longitude, altitude_m
-  FROM tel WHERE seq % 500 = 7)"""
+    + f""", dy AS (SELECT case_id, CAST(ts AS DATE) AS day, min(seq) AS seq FROM tel GROUP BY 1, 2),
+wp AS (
+  SELECT tel.case_id, 'plan' AS plan_id, seq AS idx, CASE WHEN seq < {PLAN_HOME} THEN 'HOME' ELSE 'WAYPOINT' END AS command, latitude + CAST(0.0002 AS DOUBLE) AS latitude, longitude, altitude_m
+  FROM tel JOIN dy USING (seq))"""
 )
 
 
