@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flightlens.functions.geo import EARTH_RADIUS_M
+from flightlens.functions.geo import EARTH_RADIUS_M, off_null_island
 from flightlens.operators.geofence import zone_matches
 from flightlens.plans import views
-from flightlens.sources import zones
+from flightlens.sources import binary, zones
 
 GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec double"
+BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 GAP_STATE = "us long, latitude double, longitude double"
 
 
@@ -89,6 +90,17 @@ def stream_flights(telemetry: DataFrame, gap: str = "5 seconds", delay: str = "1
     return grouped.agg(F.count("*").alias("points")).select("case_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "points")
 
 
+def stream_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Positions of radio logs as their files land; each file is framed once, when it arrives."""
+    landed = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(BINARY_SCHEMA).load(path)
+    frames = binary.framed(landed, binary.radio_frames, "us long, msg_id int, numbers map<string,double>, text string")
+    value = lambda name: F.element_at("numbers", name)
+    rows = frames.filter(F.col("msg_id") == binary.POSITION).select(
+        "file", F.col("off").alias("seq"), F.timestamp_micros("us").alias("ts"), (value("lat") / 1e7).alias("latitude"), (value("lon") / 1e7).alias("longitude"), F.round(value("rel_alt") / 1000, 2).alias("altitude_m")
+    )
+    return rows.filter(off_null_island(F.col("latitude"), F.col("longitude"), 0.001))
+
+
 # ---------------------------------------------------------------- one-shot runs
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 from datetime import datetime, timedelta
 
 import duckdb
@@ -69,6 +70,14 @@ def test_media_meet_points_within_the_interval(spark, tmp_path):
     assert sorted((r.media_id, r.seq) for r in found) == [(7, 0), (7, 1), (8, 9)]
 
 
+def test_landed_radio_logs_become_positions(spark, tmp_path):
+    position = struct.pack("<IiiiihhhH", 1, 191334000, 729133000, 99000, 15500, 300, 400, 0, 0)
+    stamp = (1_700_000_000_000_000).to_bytes(8, "big")
+    (tmp_path / "a.tlog").write_bytes(stamp + bytes([0xFE, len(position), 0, 1, 1, 33]) + position + bytes(2) + bytes(16))
+    found = run(jobs.stream_frames(spark, f"file://{tmp_path}")).collect()
+    assert [(r.latitude, r.altitude_m) for r in found] == [(19.1334, 15.5)]
+
+
 def test_files_are_routed_and_read(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,000\nHOME 2024-01-01 10:00:00 GPS [latitude: 19.1] [longitude: 72.9]\n")
     (tmp_path / "b.csv").write_text("timestamp,lat,lon,alt\n1,19.2,72.8,5\n")
