@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import materialize, mix64
+from flightlens.llm.common import materialize, mix64, release_memory
 
 #: Largest set size for which enumeration is considered.
 SMALL_MAX = 24
@@ -102,6 +102,7 @@ def _count_repeats(words: int):
                 values, n = np.unique(np.concatenate(own), return_counts=True) if own else (hashes, hashes)
                 often = n >= BATCH_REPEATS
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+        release_memory()
 
     return run
 
@@ -177,6 +178,7 @@ def _describe(words: int, percent: int, ranked):
                     ],
                     ["doc_id", "n", "sig", "toks", "scan"],
                 )
+        release_memory()
 
     return run
 

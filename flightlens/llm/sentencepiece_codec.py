@@ -9,6 +9,7 @@ checked for everything that is encoded, and a difference is reported, not hidden
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -21,11 +22,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from flightlens.llm.common import release_memory
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Texts are encoded in slices of about so many characters, to bound a worker's memory.
 SLICE_CHARS = 2_000_000
+#: Threads of a batch call in one worker.
+THREADS = 2
 
 
 @dataclass
@@ -139,10 +144,14 @@ class Coder:
     text's ids are those of its parts. Other models encode whole texts.
     """
 
-    #: Parts of up to so many characters are remembered, so many of them.
-    PART_CHARS, PARTS = 48, 500_000
+    #: Parts of up to so many characters are remembered, so many of them in a task, and
+    #: between tasks, when other work needs the memory, only short ones, which recur most.
+    PART_CHARS, PARTS, SHORT_CHARS = 48, 300_000, 7
+    #: Parts handed to the libraries in one multithreaded call.
+    CALL_PARTS = 8_192
 
     def __init__(self, data: bytes) -> None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read at the library's first batch
         self.spec = parse_model(data)
         self.fast = build(self.spec)
         self.known = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -163,17 +172,19 @@ class Coder:
 
     def _code(self, parts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
         """(ids as little-endian 32-bit numbers, parity, decodes to itself) of each part."""
-        found = [e.ids for e in self.fast.encode_batch_fast(parts, add_special_tokens=False)]
-        others = self.known.encode(parts, num_threads=2)
-        back = self.fast.decode_batch(found, skip_special_tokens=False)
-        for part, ids, other, text in zip(parts, found, others, back, strict=True):
-            yield np.array(ids, "<i4").tobytes(), ids == other, part == text
+        for start in range(0, len(parts), self.CALL_PARTS):
+            some = parts[start : start + self.CALL_PARTS]
+            found = [e.ids for e in self.fast.encode_batch_fast(some, add_special_tokens=False)]
+            others = self.known.encode(some, num_threads=THREADS)
+            back = self.fast.decode_batch(found, skip_special_tokens=False)
+            for part, ids, other, text in zip(some, found, others, back, strict=True):
+                yield np.array(ids, "<i4").tobytes(), ids == other, part == text
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, parity, round trip) of each text."""
         split = [self.parts(t) for t in texts]
         if len(self.seen) > self.PARTS:
-            self.seen.clear()
+            self.trim()
         seen = self.seen
         if self.by_parts and "" not in seen:  # a space at the end of a text, alone
             seen[""] = (np.array([self.fast.token_to_id(MARK)], "<i4").tobytes(), True, True)
@@ -189,6 +200,13 @@ class Coder:
         return done
 
 
+    def trim(self) -> None:
+        """Forgets long parts, and all if too many are short."""
+        self.seen = {p: c for p, c in self.seen.items() if len(p) <= self.SHORT_CHARS}
+        if len(self.seen) > self.PARTS // 2:
+            self.seen.clear()
+
+
 @lru_cache(maxsize=2)
 def coder(data: bytes) -> Coder:
     """One coder for a model and worker."""
@@ -212,6 +230,8 @@ def _encoded(batches: Iterator[pd.DataFrame], model: bytes) -> Iterator[tuple[pd
         texts = [t or "" for t in batch["text"]]
         for part in _slices([len(t) for t in texts]):
             yield batch["doc_id"][part].astype("Int64"), own.encode(texts[part])
+    own.trim()
+    release_memory()
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

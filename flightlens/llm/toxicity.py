@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import held_out
+from flightlens.llm.common import held_out, release_memory
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 CLASSES = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
@@ -235,6 +235,7 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
             for text in batch["text"]:
                 seen.update(known.intersection(features(_WORD.findall(text.lower()))))
         yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+        release_memory()
 
     others = sample.filter("toxic <> 1").select("text").mapInPandas(clean_features, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     clean = {r.word: r.n for r in others}
