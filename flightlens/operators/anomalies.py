@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import fixed, haversine_m, is_valid_fix, seconds_between
+from flightlens.operators.places import with_previous
 
 GAP_SECONDS = 5.0
 JUMP_MPS = 60.0
@@ -16,12 +17,10 @@ ALTITUDE_LIMIT_M = 120.0
 def neighbours(telemetry: DataFrame, per_file: bool = False) -> DataFrame:
     """Rows with the row before them in list order (not time order): prev_ts, gap_sec, step_m.
 
-    One shuffle by case serves every neighbour test; per_file keeps the end of one file
-    from meeting the start of the next.
+    per_file keeps the end of one file from meeting the start of the next. The windows run
+    over stretches of a case, so a case of any size is dealt over many tasks.
     """
-    keys = ["case_id", "evidence_id"] if per_file and "evidence_id" in telemetry.columns else ["case_id"]
-    order = Window.partitionBy(*keys).orderBy("ingest_seq", "seq")
-    lagged = telemetry.select("*", *[F.lag(c).over(order).alias(f"prev_{c}") for c in ("ts", "latitude", "longitude")])
+    lagged = with_previous(telemetry, ("ts", "latitude", "longitude"), per_file)
     return lagged.select(
         "*",
         seconds_between(F.col("ts"), F.col("prev_ts")).alias("gap_sec"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import METRES_PER_DEGREE, fixed, haversine_m, point_in_polygon
+from flightlens.operators.places import with_place
 
 CELL_DEGREES = 0.05
 
@@ -89,8 +90,7 @@ def geofence_violations(telemetry: DataFrame, zones: DataFrame) -> DataFrame:
 
 def breach_episodes(telemetry: DataFrame, zones: DataFrame) -> DataFrame:
     """Visits to a zone: runs of consecutive points of a case inside it, with entry, exit, peak and duration."""
-    order = Window.partitionBy("case_id").orderBy("ingest_seq", "seq")
-    numbered = telemetry.withColumn("place", F.row_number().over(order))
+    numbered = with_place(telemetry).withColumn("place", F.col("place") + 1).drop("case_rows")
     runs = zone_matches(numbered, zones).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("case_id", "zone_id").orderBy("place")))
     return runs.groupBy("case_id", "zone_id", "run").agg(
         F.min("place").alias("first_place"),

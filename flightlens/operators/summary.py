@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import seconds_between
 from flightlens.operators.anomalies import neighbours
+from flightlens.operators.places import with_place
 
 WINDOW_ROWS, WINDOW_STEP = 60, 45
 MAX_ROWS = 3000
@@ -73,8 +74,7 @@ def telemetry_windows(telemetry: DataFrame, rows: int = WINDOW_ROWS, step: int =
     Each row goes to the at most ceil(rows / step) windows that hold it, so windows are a
     plain grouped aggregate.
     """
-    case = Window.partitionBy("case_id")
-    placed = telemetry.withColumn("i", F.row_number().over(case.orderBy("ingest_seq", "seq")) - 1).withColumn("n", F.count("*").over(case))
+    placed = with_place(telemetry).withColumnsRenamed({"place": "i", "case_rows": "n"})
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - rows + 1) / step))
     last = F.floor(F.col("i") / step)
     held = placed.withColumn("win", F.explode(F.sequence(first.cast("int"), last.cast("int")))).filter((F.col("win") == 0) | (step * (F.col("win") - 1) + rows < F.col("n")))
@@ -101,6 +101,5 @@ def endpoints(telemetry: DataFrame) -> DataFrame:
 
 def downsample(telemetry: DataFrame, most: int = MAX_ROWS, aim: int = 1000) -> DataFrame:
     """Of cases of more than `most` rows every (n div aim)-th row; smaller cases stay whole."""
-    case = Window.partitionBy("case_id")
-    placed = telemetry.withColumn("_i", F.row_number().over(case.orderBy("ingest_seq", "seq")) - 1).withColumn("_n", F.count("*").over(case))
-    return placed.filter((F.col("_n") <= most) | (F.col("_i") % F.greatest(F.expr(f"_n div {aim}"), F.lit(1)) == 0)).drop("_i", "_n")
+    placed = with_place(telemetry)
+    return placed.filter((F.col("case_rows") <= most) | (F.col("place") % F.greatest(F.expr(f"case_rows div {aim}"), F.lit(1)) == 0)).select(*telemetry.columns)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlens.functions import geo
-from flightlens.operators import anomalies, asof, custody, detectors, evidence, geofence, lifecycle, mission, mobile, retrieval, sinks, summary, timeline
+from flightlens.operators import anomalies, asof, custody, detectors, evidence, geofence, lifecycle, mission, mobile, places, retrieval, sinks, summary, timeline
 from flightlens.sources import zones
 
 T0 = datetime(2024, 1, 1, 10, 0, 0)
@@ -120,6 +120,21 @@ def test_windows_stop_at_the_end(spark, n):
     assert [(r.win, r.samples) for r in found] == starts
 
 
+def test_stretches_join_up(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(c, f"e{f}", f, rng.randrange(10**6) * 7 + f, T0 + timedelta(seconds=rng.randrange(1000)) if rng.random() > 0.1 else None, rng.random(), rng.random(), 1.0, 1.0, 1.0) for c in (1, 2) for f in (0, 1, 2) for _ in range(40)]
+    track = spark.createDataFrame(rows, TELEMETRY)
+    ordered = sorted(rows, key=lambda r: (r[0], r[2], r[3]))
+    for stretch, per_file in ((100_000, False), (1_000_000, True), (10**9, False)):
+        monkeypatch.setattr(places, "STRETCH", stretch)
+        found = {(r.case_id, r.seq): (r.prev_ts, r.prev_latitude) for r in places.with_previous(track, ("ts", "latitude"), per_file).collect()}
+        for before, now in zip([None, *ordered], ordered, strict=False):
+            known = before is not None and before[0] == now[0] and (not per_file or before[1] == now[1])
+            assert found[now[0], now[3]] == ((before[4], before[5]) if known else (None, None))
+        numbered = sorted((r.case_id, r.place, r.seq, r.case_rows) for r in places.with_place(track).collect())
+        assert numbered == [(r[0], i % 120, r[3], 120) for i, r in enumerate(ordered)]
+
+
 def test_summary_of_a_case_without_telemetry(spark):
     cases = spark.createDataFrame([(1,), (2,)], "case_id long")
     rows = {r.case_id: r for r in summary.flight_summary(points(spark, [(0, 19, 72, 3), (60, 19, 72.001, 9)]), cases=cases).collect()}
