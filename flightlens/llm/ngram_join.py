@@ -15,7 +15,8 @@ frequent anywhere in the corpus stand last in the order, so lists stay short.
 
 Only groups are asked for, so a list with many members is not compared pair by pair:
 a few hubs are compared with all members, members already joined need no comparison,
-and what stays apart after two rounds is compared in full.
+and what stays apart after two rounds is compared in full: pair by pair in short lists,
+inside blocks that only hand on links in long ones.
 
 Shingles are told apart by 56 bits of a hash: within two sets of 1,000 shingles two
 different ones fall together with a probability under 1e-10. Classes have 128 bits.
@@ -28,6 +29,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -47,6 +49,9 @@ HUBS = 6
 ROUNDS = 2
 #: Lists of a set by which the first one shared with another set is told.
 FIRST_KEYS = 64
+#: Lists of so many members are compared in blocks of about so many shingles.
+DENSE = 64
+BLOCK_SHINGLES = 300_000
 CHUNK_BYTES = 8 << 20
 
 
@@ -312,16 +317,61 @@ def _up_to(tokens: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t <= F.col("cut")))
 
 
+def _sets(rids: DataFrame, classes: DataFrame, docs: DataFrame, to_sets) -> DataFrame:
+    """(rid, whole): the whole sets of these classes, from the text of one document of each."""
+    texts = classes.select("rid", "sig", "head").join(rids, "rid", "left_semi").join(docs, F.col("head") == F.col("doc_id")).select("rid", "sig", "text")
+    return materialize(texts.mapInArrow(to_sets, "rid long, whole array<long>").dropDuplicates(["rid"]))
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, percent: int) -> DataFrame:
     """The pairs whose whole sets link. Only the texts of these pairs are read again."""
-    wanted = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
-    texts = classes.select("rid", "sig", "head").join(wanted, "rid", "left_semi").join(docs, F.col("head") == F.col("doc_id")).select("rid", "sig", "text")
-    sets = materialize(texts.mapInArrow(to_sets, "rid long, whole array<long>"))
+    sets = _sets(pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct(), classes, docs, to_sets)
     one, two = sets.select(F.col("rid").alias("x"), F.col("whole").alias("wx")), sets.select(F.col("rid").alias("y"), F.col("whole").alias("wy"))
     same = F.size(F.array_intersect("wx", "wy"))
     return pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y").distinct()
 
 
+def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the rows of the two sides of a block that are in different groups, one for each row and group."""
+    left, right = block[block["side"] == 0], block[block["side"] == 1]
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        tokens, at = np.unique(np.concatenate(right["whole"].to_numpy()), return_inverse=True)
+        sizes = right["whole"].map(len).to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        rids, comps, mark = right["rid"].to_numpy(), right["comp"].to_numpy(), np.zeros(len(tokens), np.int32)
+        for rid, comp, whole in zip(left["rid"], left["comp"], left["whole"], strict=True):
+            place = np.minimum(np.searchsorted(tokens, whole), len(tokens) - 1)
+            place = place[tokens[place] == whole]
+            mark[place] = 1
+            shared = np.add.reduceat(mark[at], starts)
+            mark[place] = 0
+            hit = np.flatnonzero(((100 + percent) * shared >= percent * (len(whole) + sizes)) & (comps != comp))
+            found += [(rid, rids[i]) for i in hit[np.unique(comps[hit], return_index=True)[1]]]
+    return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+
+
+def _dense_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, percent: int) -> DataFrame:
+    """Links between different groups of long lists, found inside blocks, so that no pair becomes a row.
+
+    Lists with the same hub are taken together, so near copies that share many lists meet
+    once or a few times. Of such a collection all but the largest group meet everything;
+    both sides are dealt over blocks of bounded size.
+    """
+    hubs = posts.groupBy("key").agg(F.min_by("rid", F.xxhash64("rid", F.lit(0))).alias("hub"))
+    rows = materialize(posts.join(hubs, "key").select("hub", "rid", "n", "comp").distinct())
+    groups = rows.groupBy("hub", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    shape = groups.groupBy("hub").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("t").alias("all"), F.max(F.struct("c", "comp", "t")).alias("m"))
+    shape = shape.select("hub", "major", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("m.t")) / BLOCK_SHINGLES).cast("int").alias("ni"))
+    rows = rows.join(shape.filter("ni > 0"), "hub")
+    place, upto = F.xxhash64("rid", F.lit(1)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rows.filter("comp <> major").select("hub", "rid", "comp", F.lit(0).alias("side"), F.pmod(place, F.col("ni")).cast("int").alias("i"), upto("nj").alias("j"))
+    every = rows.select("hub", "rid", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), F.pmod(place, F.col("nj")).cast("int").alias("j"))
+    sets = _sets(rows.select("rid").distinct(), classes, docs, to_sets)
+    met = minor.unionByName(every).join(sets, "rid").groupBy("hub", "i", "j")
+    return met.applyInPandas(lambda block: block_links(block, percent), "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(rid, comp) of every rid in links (x, y): comp is the least rid reachable.
 
@@ -384,17 +434,25 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     posts = materialize(entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid")))
 
+    to_sets = _whole_sets(words, ranked)
     tested, groups = [], None
     for turn in range(ROUNDS + 1):
+        dense = None
         if turn:
             posts = _with_groups(posts, groups)
-        last = turn == ROUNDS
-        pairs = _all_pairs(posts, percent, small) if last else _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
+        if turn < ROUNDS:
+            pairs = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
+        else:
+            long_keys = posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key")
+            dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
+            pairs = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
         for done in tested:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         tested.append(materialize(pairs))
         close = materialize(_close(tested[-1], classes, percent))
-        links = _linked(close, classes, docs, _whole_sets(words, ranked), percent)
+        links = _linked(close, classes, docs, to_sets, percent)
+        if dense is not None:
+            links = links.union(dense)
         groups = components(links if groups is None else links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y"))))
     heads = classes.select("rid", "head").join(groups, "rid")
     least = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
@@ -413,10 +471,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """docs with one document of each group of near duplicates: the one of least doc_id.
 
     Rows without a set stay, as do rows with a null doc_id. Exact repeats of a row's id
-    and text count as one document. The columns of docs stay.
+    and text count as one document; an id that comes with different texts stays with all
+    of them if one heads a group. The columns of docs stay.
     """
     found = materialize(near_duplicates(docs, words, percent, id_col, text_col))
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    heads = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("heads"))
+    gone = heads.filter("not heads").select(F.col("doc_id").alias("_gone"))
     left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left
