@@ -102,9 +102,9 @@ def test_ngram_join_of_an_empty_table_and_clashing_columns(spark):
 
 
 def test_keep_one_keeps_rows_without_sets_and_one_of_repeats(spark):
-    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None, "a b c d e f g"), (4, "a b c d e f g"), (5, "x y z")]
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None, "a b c d e f g"), (4, "a b c d e f g"), (5, "x y z"), (5, "a b c d e f g")]
     kept = [tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, DOC)).collect()]
-    assert sorted(kept, key=str) == sorted([(1, "a b c d e f g"), (2, None), (3, ""), (None, "a b c d e f g"), (5, "x y z")], key=str)
+    assert sorted(kept, key=str) == sorted([(1, "a b c d e f g"), (2, None), (3, ""), (None, "a b c d e f g"), (5, "x y z"), (5, "a b c d e f g")], key=str)
 
 
 def bench_words(text):
