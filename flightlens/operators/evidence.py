@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlens.functions.rules import Rule, first_match, split_pair
+from flightlens.functions.rules import Rule, extension, first_match, split_pair
 
 # File extensions and signatures by kind.
 GCS_EXTS = (".plan", ".waypoints", ".wpl", ".kml", ".kmz", ".tlog", ".param", ".params", ".dpml", ".wpml", ".mission", ".mxml")
@@ -116,8 +116,6 @@ def companion_app(path: Column, head: Column) -> Column:
 
 
 def media_type(path: Column) -> Column:
-    from flightlens.functions.rules import extension
-
     return F.when(extension(path).isin(*VIDEO_EXTS), "VIDEO").otherwise("IMAGE")
 
 

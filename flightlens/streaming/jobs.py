@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,6 @@ def stream_gaps(telemetry: DataFrame, gap_seconds: float = 5.0, jump_mps: float
     Arrival order is the signal, so there is no watermark and no sorting across batches;
     rows of one batch are taken in seq order.
     """
-    import numpy as np
-
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
         us = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
