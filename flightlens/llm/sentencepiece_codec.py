@@ -146,7 +146,7 @@ class Coder:
 
     #: Parts of up to so many characters are remembered, so many of them in a task, and
     #: between tasks, when other work needs the memory, only short ones, which recur most.
-    PART_CHARS, PARTS, SHORT_CHARS = 48, 300_000, 7
+    PART_CHARS, PARTS, SHORT_CHARS = 48, 450_000, 7
     #: Parts handed to the libraries in one multithreaded call.
     CALL_PARTS = 8_192
 
@@ -159,7 +159,10 @@ class Coder:
         names = [p for p, _, _ in self.spec.pieces]
         plain = self.spec.dummy_prefix and self.spec.escape_spaces and not self.spec.trim_spaces and not self.spec.charsmap
         self.by_parts = plain and MARK in names and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.spec.pieces)
-        self.seen: dict[str, tuple[bytes, bool, bool]] = {}
+        self.seen: dict[str, bytes] = {}
+        #: Parts that the libraries encode differently, and that don't decode to themselves.
+        self.differing: set[str] = set()
+        self.changed: set[str] = set()
 
     def parts(self, text: str) -> list[str]:
         """The text between spaces; of several spaces all but one go with what follows."""
@@ -170,15 +173,18 @@ class Coder:
             return [x[1:] for x in re.findall(" *[^ ]+| +$", " " + text)]
         return text.split(" ")
 
-    def _code(self, parts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
-        """(ids as little-endian 32-bit numbers, parity, decodes to itself) of each part."""
+    def _learn(self, parts: list[str]) -> None:
+        """Remembers the ids of parts, as little-endian 32-bit numbers, and which of them fail a test."""
         for start in range(0, len(parts), self.CALL_PARTS):
             some = parts[start : start + self.CALL_PARTS]
             found = [e.ids for e in self.fast.encode_batch_fast(some, add_special_tokens=False)]
             others = self.known.encode(some, num_threads=THREADS)
             back = self.fast.decode_batch(found, skip_special_tokens=False)
-            for part, ids, other, text in zip(some, found, others, back, strict=True):
-                yield np.array(ids, "<i4").tobytes(), ids == other, part == text
+            self.seen.update(zip(some, [struct.pack(f"<{len(i)}i", *i) for i in found], strict=True))
+            if found != others:
+                self.differing.update(p for p, a, b in zip(some, found, others, strict=True) if a != b)
+            if back != some:
+                self.changed.update(p for p, t in zip(some, back, strict=True) if p != t)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, parity, round trip) of each text."""
@@ -187,19 +193,18 @@ class Coder:
             self.trim()
         seen = self.seen
         if self.by_parts and "" not in seen:  # a space at the end of a text, alone
-            seen[""] = (np.array([self.fast.token_to_id(MARK)], "<i4").tobytes(), True, True)
+            seen[""] = struct.pack("<i", self.fast.token_to_id(MARK))
         new = list({p for parts in split for p in parts if p not in seen})
-        seen.update(zip(new, self._code(new), strict=True))
+        self._learn(new)
         done = []
         for text, parts in zip(texts, split, strict=True):
-            coded = [seen[p] for p in parts]
-            done.append((b"".join([c[0] for c in coded]), all(c[1] for c in coded), all(c[2] for c in coded) and not (self.by_parts and MARK in text)))
+            ids = b"".join([seen[p] for p in parts])
+            done.append((ids, self.differing.isdisjoint(parts), self.changed.isdisjoint(parts) and not (self.by_parts and MARK in text)))
         for p in new:
             if len(p) > self.PART_CHARS:
                 del seen[p]
         return done
 
-
     def trim(self) -> None:
         """Forgets long parts, and all if too many are short."""
         self.seen = {p: c for p, c in self.seen.items() if len(p) <= self.SHORT_CHARS}
