@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are spread over sites."""
-    return line_dedup.dedup_lines(docs)
+    """All documents, without lines that are spread over sites and distinct texts."""
+    return line_dedup.drop_boilerplate(docs)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A line that stands on many sites is boilerplate. Per line hash a HyperLogLog sketch of
 its sites is merged by aggregation; lines whose estimate lies near the threshold are
 counted exactly; the others are decided by the sketch. Boilerplate lines go from all
-documents, but a document that would lose most of its characters is a copy of a whole
-document rather than text between boilerplate: it keeps its lines, for near-duplicate
-removal to decide.
+documents; dedup_lines and line_report spare a document that would lose most of its
+characters, copy or not. drop_boilerplate spares none: a group of near copies counts once
+for a line, so what only copies share stays for near-duplicate removal to decide, and
+what distinct texts share goes whatever share of a document it is.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.llm.common import materialize
+from flightlens.llm.ngram_join import near_duplicates
 
 MIN_SITES = 5
 MIN_CHARS = 20
-#: Share of a document's characters that may go.
+#: Share of a document's characters that dedup_lines and line_report let go.
 MAX_SHARE = 0.5
 #: log2 of the sketch's registers; its relative standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -50,10 +52,31 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     return sketched.filter(F.col("estimate") > high).select("h1", "h2").union(exact.select("h1", "h2"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def _of_texts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Column:
+    """The row of docs is a text of found (_ld_id, _ld_hash)."""
+    return docs[id_col].cast("long").eqNullSafe(found["_ld_id"]) & (F.xxhash64(docs[text_col]) == found["_ld_hash"])
+
+
+def in_distinct_texts(docs: DataFrame, lines: DataFrame, spread: DataFrame, id_col: str, text_col: str, min_texts: int) -> DataFrame:
+    """The spread lines (h1, h2) that stand in at least min_texts texts with a site, near copies counted once.
+
+    Copies are told by the n-gram join (five words, 0.8) among the texts with spread lines;
+    texts are named by their hash.
+    """
+    held = materialize(lines.filter(F.col("site").isNotNull()).join(spread, ["h1", "h2"], "left_semi").select("doc_id", "text_hash", "h1", "h2").distinct())
+    voters = held.select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash")).distinct()
+    texts = materialize(docs.join(voters, _of_texts(docs, voters, id_col, text_col), "left_semi").select(F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text")))
+    groups = near_duplicates(texts, words=5, percent=80, id_col="text_hash").select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
+    votes = held.select("h1", "h2", "text_hash").distinct().join(groups, "text_hash").select("h1", "h2", "component_id").distinct()
+    return votes.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("h1", "h2")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, copies_once: bool = False) -> DataFrame:
     """(doc_id, text_hash, gone, gone_chars): positions and characters of the boilerplate lines of each text that has some."""
     lines = materialize(line_table(docs, id_col, text_col, site_col, min_chars))
     spread = materialize(spread_lines(lines, min_sites))
+    if copies_once:
+        spread = materialize(in_distinct_texts(docs, lines, spread, id_col, text_col, min_sites))
     # Few lines are spread over sites, but one may stand in a third of all documents: they are on the small side of this join.
     found = lines.select("doc_id", "text_hash", "pos", "n_chars", "h1", "h2").join(spread, ["h1", "h2"], "left_semi")
     # Rows that repeat a whole document repeat its positions.
@@ -61,12 +84,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return found.select("doc_id", "text_hash", F.col("found.pos").alias("gone"), F.aggregate("found.n_chars", F.lit(0), lambda a, x: a + x).alias("gone_chars"))
 
 
-def _matched(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
+def _matched(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_share: float = MAX_SHARE) -> tuple[DataFrame, Column, Column]:
     """docs with its removals, whether the row's lines go, and the text that is left."""
     found = found.select(F.col("doc_id").alias("_ld_id"), F.col("text_hash").alias("_ld_hash"), F.col("gone").alias("_ld_gone"), F.col("gone_chars").alias("_ld_chars"))
     text = docs[text_col]
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_ld_id"]) & (F.xxhash64(text) == found["_ld_hash"]), "left")
-    goes = F.coalesce(found["_ld_chars"] <= MAX_SHARE * F.length(text), F.lit(False))
+    joined = docs.join(found, _of_texts(docs, found, id_col, text_col), "left")
+    goes = F.coalesce(found["_ld_chars"] <= max_share * F.length(text), F.lit(False))
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(found["_ld_gone"], i)), "\n")
     return joined, goes, F.when(goes, left).otherwise(text)
 
@@ -83,6 +106,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs as from dedup_lines, but judged by distinct texts and without spared documents.
+
+    A line is boilerplate that stands on at least min_sites sites and in at least as many
+    texts that are no near copies of one another. All of these go from all documents; a text
+    that is all boilerplate is left empty.
+    """
+    joined, _, text = _matched(docs, removals(docs, id_col, text_col, site_col, min_sites, min_chars, copies_once=True), id_col, text_col, max_share=1.0)
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_spread, n_removed, text_sha256 (of what is left; null text as empty)."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).alias("source"))

@@ -8,6 +8,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from flightlens.llm import decontaminate, line_dedup, ngram_join
 
 DOC = "doc_id long, text string"
@@ -204,6 +205,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert report == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in brute_lines(rows)}
 
 
+def test_boilerplate_goes_whatever_its_share_and_copies_count_once(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    boiler, passage, body = say(15), say(60), [say(40) for _ in range(3)]
+    own = [say(5) for _ in range(12)]
+    rows = [(i, f"{boiler}\n{own[i]}", f"s{i}") for i in range(6)]  # boilerplate is most of them
+    rows += [(i, f"{passage}\n{own[i]} {say(30)}", f"s{i}") for i in range(6, 12)]
+    copies = ["\n".join([boiler, *body])] * 6 + ["\n".join([boiler, *body]).replace(w, "edited", 1) for w in rng.sample(" ".join(body).split(), 20)]
+    rows += [(20 + i, t, f"s{i % 9}") for i, t in enumerate(copies)]
+    rows += [(90, boiler, "s1"), (91, f"{boiler}\n{boiler}", "s2"), (92, None, "s3"), (93, "", "s4"), (None, f"{boiler}\n{own[0]}", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = corpus_pipeline.dedup_lines(spark, docs, "")
+    assert found.columns == docs.columns
+    want = [(i, t if t is None else "\n".join(x for x in t.split("\n") if x not in (boiler, passage)), s) for i, t, s in rows]
+    assert sorted((tuple(r) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert want[0][1] == own[0] and all(t.count("\n") == 2 for i, t, _ in want if i and 20 <= i < 46)
+
+
 @pytest.mark.parametrize("sites", [20, 300])
 def test_sketched_lines_near_the_threshold_are_counted_exactly(spark, sites):
     rows = [(line, f"site {s}") for line in range(8) for s in range(sites - 4 + line)]
