@@ -1,33 +1,50 @@
 """Quality rules: base counts and zstandard compression bands.
 
 A text is kept when it passes the base rule and its zstandard ratio (bytes over
-compressed bytes) lies inside the band of its length, for the whole text and for each
-fixed chunk of long texts. Repetitive text compresses too well, noise not at all.
+compressed bytes) lies inside the band of its length, for the whole text and for the
+fixed chunks of texts of two chunks or more: two adjacent chunks outside, or more than a
+tenth of them, reject it. Repetitive text compresses too well, noise not at all. Noise of
+few different characters, as hex, compresses by these alone: long texts must compress
+better than the entropy of their bytes tells. Texts of less than 4 KiB don't show that:
+hex compresses like prose there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-#: (from bytes, lowest ratio, highest ratio) by length of the whole text in bytes.
+#: (from bytes, lowest ratio, highest ratio) by length of the whole text in bytes. The
+#: lowest ratios lie between base64 words and the least of prose; below 150 bytes these meet.
 DOC_BANDS = (
     (0, 0.0, 3.0),
-    (200, 1.1, 3.5),
-    (500, 1.25, 4.5),
-    (2_000, 1.4, 6.0),
-    (20_000, 1.4, 8.0),
-    (200_000, 1.4, 10.0),
+    (150, 1.065, 3.0),
+    (175, 1.1, 3.0),
+    (200, 1.135, 3.5),
+    (250, 1.16, 3.5),
+    (300, 1.205, 3.5),
+    (400, 1.26, 3.5),
+    (500, 1.32, 4.5),
+    (700, 1.38, 4.5),
+    (1_000, 1.45, 4.5),
+    (2_000, 1.5, 6.0),
+    (20_000, 1.5, 8.0),
+    (200_000, 1.5, 10.0),
 )
-CHUNK_BYTES = 4_096
-#: Band of one chunk, and the share of chunks that may lie outside it.
+CHUNK_BYTES = 1_024
+#: Band of one chunk, the share of chunks and the adjacent chunks that may lie outside it.
 CHUNK_BAND = (1.35, 8.0)
-CHUNK_MAX_OUTSIDE = 0.5
+CHUNK_MAX_OUTSIDE = 0.1
+CHUNK_MAX_RUN = 1
+#: Texts of so many bytes compress so many times better than by the entropy of their bytes.
+GAIN_BYTES = 4_096
+MIN_GAIN = 1.01
 LEVEL = 3
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -46,6 +63,9 @@ class Bands:
     chunk_bytes: int = CHUNK_BYTES
     chunk: tuple[float, float] = CHUNK_BAND
     max_outside: float = CHUNK_MAX_OUTSIDE
+    max_run: int = CHUNK_MAX_RUN
+    gain_bytes: int = GAIN_BYTES
+    min_gain: float = MIN_GAIN
     level: int = LEVEL
 
 
@@ -77,6 +97,18 @@ def dup_lines(data: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def entropy(data: bytes) -> float:
+    """Bits per byte by the counts of the bytes alone."""
+    counts = np.bincount(np.frombuffer(data, np.uint8))
+    shares = counts[counts > 0] / max(len(data), 1)
+    return float(-(shares * np.log2(shares)).sum())
+
+
+def longest_run(flags: list[bool]) -> int:
+    """The most adjacent true flags."""
+    return max((len(list(same)) for flag, same in groupby(flags) if flag), default=0)
+
+
 def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     """The figures of one text, in the order of SCHEMA after doc_id."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -91,8 +123,10 @@ def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> t
     size = bands.chunk_bytes
     # The last chunk takes the remainder, so none is shorter than chunk_bytes.
     cuts = [data[i : i + size if i + 2 * size <= len(data) else None] for i in range(0, len(data) - size + 1, size)] if len(data) >= 2 * size else []
-    outside = sum(not bands.chunk[0] <= len(c) / len(packer.compress(c)) <= bands.chunk[1] for c in cuts)
-    fits = low <= ratio <= high and outside <= bands.max_outside * len(cuts)
+    off = [not bands.chunk[0] <= len(c) / len(packer.compress(c)) <= bands.chunk[1] for c in cuts]
+    outside = sum(off)
+    fits = low <= ratio <= high and outside <= bands.max_outside * len(cuts) and longest_run(off) <= bands.max_run
+    fits = fits and (len(data) < bands.gain_bytes or ratio * entropy(data) >= 8 * bands.min_gain)
     return n_words, chars, symbols, dup_lines(data), repeated, failed, not failed and fits, len(data), ratio, len(cuts), outside
 
 

@@ -8,6 +8,7 @@ import re
 import public_tokenizers
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 from flightlens.llm import common, langid, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
@@ -57,6 +58,30 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark, sf_dir):
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def random_words(rng, letters, n):
+    words = []
+    while sum(map(len, words)) + len(words) < n:
+        words.append("".join(rng.choice(letters) for _ in range(6)))
+    return " ".join(words)[:n]
+
+
+def test_bands_reject_noise_of_any_length_and_inside_prose(spark):
+    rng = random.Random(5)
+    base64, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789abcdef"
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' and instr(text, '%%%') = 0 and doc_id % 3 = 0")
+    prose = " ".join(r.text for r in known.select("text").distinct().orderBy("text").collect() if not re.search(r"[|#$&*<>]", r.text))
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    kept = lambda text: quality.judge(text, quality.Bands(), packer)[6]
+    for n in (150, 199, 250, 300, 399, 499, 699, 999, 1_500, 1_999, 4_096, 40_000):
+        assert not kept(random_words(rng, base64, n)), n
+    for n in (4_096, 8_000, 40_000, 200_000):
+        assert not kept(random_words(rng, hexes, n)), n
+    for n, share in ((8_000, 0.51), (40_000, 0.51), (40_000, 0.1), (200_000, 0.47), (200_000, 0.03)):
+        block, at = random_words(rng, base64, int(n * share)), n // 3
+        text = f"{prose[:at]} {block} {prose[at : n - len(block)]}"
+        assert kept(prose[:n]) and not kept(text), (n, share)
+
+
 def test_sentencepiece_parity_and_round_trip(spark, sf_dir):
     texts = [None, *ODD] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
