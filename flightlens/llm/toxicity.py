@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import held_out, release_memory
+from flightlens.llm.common import held_out, materialize, release_memory
+from flightlens.llm.ngram_join import near_duplicates
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 CLASSES = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
@@ -37,14 +38,13 @@ REPORTS = "said says say told called calls claimed claims wrote writes quoted re
 #: Labelled documents that weights and calibration are learned from, at most about so many.
 LABELLED_ROWS = 20_000
 MIN_TOXIC_DOCS, MIN_LOG_ODDS, FULL_LOG_ODDS = 6, 3.5, 5.0
-#: A learned word must stand behind so many different words, per toxic document with it.
-MIN_CONTEXT_SHARE = 0.3
 MAX_LEARNED = 500
 #: Words and stems of toxic documents that are held against the others, the most frequent ones.
 MAX_CANDIDATES = 100_000
 STEM_CHARS = range(4, 9)
 #: A stem is learned beside its learned extensions if it is in so many times their documents.
 WIDER = 1.5
+#: A learned word must stand behind so many different words in toxic documents.
 MIN_CONTEXTS = 4
 SEED_WEIGHT, THREAT_WEIGHT = 0.8, 1.0
 THRESHOLD = 0.3
@@ -189,6 +189,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, ro
     return own.join(F.broadcast(drawn), F.col("own_id") == F.col("doc_id")).select("own_id", "text", "toxic")
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """(text_hash, toxic, text) of sample: exact copies once for each label, near copies among the toxic ones once."""
+    texts = materialize(sample.withColumn("toxic", F.when(F.col("toxic") == 1, 1).otherwise(0)).groupBy(F.xxhash64("text").alias("text_hash"), "toxic").agg(F.first("text").alias("text")))
+    toxic = texts.filter("toxic = 1")
+    heads = near_duplicates(toxic, words=5, percent=80, id_col="text_hash").filter("doc_id = component_id").select(F.col("doc_id").alias("text_hash"))
+    return materialize(toxic.join(heads, "text_hash", "left_semi").union(texts.filter("toxic = 0")))
+
+
 def features(words: list[str]) -> dict[str, str]:
     """The words and stems of a text, each with the word before its last occurrence."""
     found: dict[str, str] = {}
@@ -203,9 +211,10 @@ def features(words: list[str]) -> dict[str, str]:
 
 
 def learn_insults(sample: DataFrame) -> dict[str, float]:
-    """Words and stems that stand in toxic documents far more than in others, in ever new surroundings.
+    """Words and stems that stand in toxic documents far more than in others, in several surroundings.
 
-    The surroundings tell an insult from the words of a text that was copied often. A stem
+    A text counts once in sample, however often it was copied (see distinct_texts); the
+    surroundings tell an insult from the words of a phrase that many texts repeat. A stem
     stands for its extensions where it is in more documents than each of them.
     """
 
@@ -221,7 +230,7 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
         .mapInPandas(toxic_features, "word string, before string")
         .groupBy("word")
         .agg(F.count("*").alias("yes"), F.approx_count_distinct("before").alias("contexts"))
-        .filter((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("contexts") >= F.greatest(MIN_CONTEXT_SHARE * F.col("yes"), F.lit(MIN_CONTEXTS))))
+        .filter((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("contexts") >= MIN_CONTEXTS))
         .orderBy(F.desc("yes"), "word")
         .limit(MAX_CANDIDATES)
         .collect()
@@ -271,7 +280,7 @@ def calibrate(scorer: Scorer, sample: DataFrame) -> None:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Scorer:
     """A scorer from the labelled documents that are not held out; without any, the fixed lists alone."""
-    sample = _labelled(docs, labels, id_col, text_col, rows)
+    sample = distinct_texts(_labelled(docs, labels, id_col, text_col, rows))
     scorer = Scorer(dict.fromkeys(SEED_INSULTS, SEED_WEIGHT) | learn_insults(sample))
     calibrate(scorer, sample)
     return scorer

@@ -164,6 +164,25 @@ def test_toxicity_is_accurate_on_held_out_documents(spark):
     assert toxicity.drop_toxic(odd, scorer).columns == odd.columns
 
 
+def test_an_insult_is_learned_beside_a_toxic_text_that_was_copied_often(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(400)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    own = ["own" + "".join(rng.choice(letters) for _ in range(8)) for _ in range(100)]
+    copied = " ".join([*own[:20], "zorkel", *own[20:]])
+    near = [copied.replace(own[rng.randrange(100)], rng.choice(vocab)) for _ in range(60)]
+    others = [" ".join([*say(15), "zorkel", *say(15)]) for _ in range(30)]
+    toxic = [copied] * 300 + near + others
+    texts = toxic + [" ".join(say(40)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    labels = spark.createDataFrame([(i, 1, int(i < len(toxic))) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    scorer = toxicity.train(docs, labels)
+    assert any("zorkel".startswith(w.rstrip("*")) for w in scorer.insults)
+    assert not [w for w in scorer.insults if w.startswith("own")]
+    assert all(scorer.score(t) >= toxicity.THRESHOLD for t in toxic) and scorer.score(" ".join(say(40))) < toxicity.THRESHOLD
+
+
 def test_toxicity_without_labels_uses_the_fixed_lists(spark):
     docs = spark.createDataFrame([(1, "you are an idiot, you moron"), (2, "fine weather")], DOC)
     scorer = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
