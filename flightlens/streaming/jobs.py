@@ -6,7 +6,6 @@ through it once with an available-now trigger and return what was written.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from flightlens.functions.geo import EARTH_RADIUS_M, off_null_island
 from flightlens.operators.geofence import zone_matches
 from flightlens.plans import views
+from flightlens.session import shared_dir
 from flightlens.sources import binary, zones
 
 GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec double"
@@ -103,10 +103,6 @@ def stream_frames(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- one-shot runs
 
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="flightlens-")
-
-
 def read_arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
     static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
