@@ -3,26 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlens.session import shared_dir
+
 #: ASCII white space, the word separators of most operators here.
 SPACE = r"\x20\x09-\x0D"
 HELD_OUT_REMAINDER = 2
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own if it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="flightlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+#: Texts are worked on in slices of about so many characters, to bound a worker's memory.
+SLICE_CHARS = 2_000_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -37,13 +33,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        conf = df.sparkSession._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that no later plan reads."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for file in df.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(conf).delete(path, True)
+
+
+def text_slices(batch: pd.DataFrame, column: str = "text") -> Iterator[pd.DataFrame]:
+    """A batch in parts of about SLICE_CHARS characters of text each; a longer text is a part of its own."""
+    held = np.cumsum([len(t) if t else 0 for t in batch[column]]) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.iloc[a:b]
+
+
+def new_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in ("_" * k + name for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
 def ascii_lower(text: Column) -> Column:

@@ -12,9 +12,11 @@ import hashlib
 import os
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -22,13 +24,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from flightlens.llm.common import release_memory
+from flightlens.llm.common import release_memory, text_slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Texts are encoded in slices of about so many characters, to bound a worker's memory.
-SLICE_CHARS = 2_000_000
+#: One text in so many, drawn by its CRC-32, also meets the libraries as a whole.
+WHOLE_ONE_IN = 64
 #: Threads of a batch call in one worker.
 THREADS = 2
 
@@ -141,14 +143,16 @@ class Coder:
     Where no piece of the vocabulary goes on over a space, what stands between two spaces
     is encoded alike wherever it stands. Each distinct one of a batch is encoded, decoded
     and compared with the sentencepiece library once, in one multithreaded call, and a
-    text's ids are those of its parts. Other models encode whole texts.
+    text's ids are those of its parts. Other models encode whole texts. Parity and round
+    trip of a text are those of all its parts; of one text in WHOLE_ONE_IN its joined ids
+    are compared with the library's for the whole text, and decoded, as well.
     """
 
     #: Parts of up to so many characters are remembered, so many of them in a task, and
-    #: between tasks, when other work needs the memory, only short ones, which recur most.
-    PART_CHARS, PARTS, SHORT_CHARS = 48, 450_000, 7
-    #: Parts handed to the libraries in one multithreaded call.
-    CALL_PARTS = 8_192
+    #: so many between tasks, when other work needs the memory: those of few characters, which recur most.
+    PART_CHARS, PARTS, KEPT_PARTS = 48, 500_000, 120_000
+    #: Parts handed to the libraries in one multithreaded call, and joined to one text in it.
+    CALL_PARTS, JOINED_PARTS = 16_384, 2_048
 
     def __init__(self, data: bytes) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read at the library's first batch
@@ -157,6 +161,7 @@ class Coder:
         self.known = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.byte_ids = np.array([kind == BYTE for _, _, kind in self.spec.pieces])
         names = [p for p, _, _ in self.spec.pieces]
+        self.leading = np.array([p.startswith(MARK) for p in names])
         plain = self.spec.dummy_prefix and self.spec.escape_spaces and not self.spec.trim_spaces and not self.spec.charsmap
         self.by_parts = plain and MARK in names and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.spec.pieces)
         self.seen: dict[str, bytes] = {}
@@ -174,17 +179,38 @@ class Coder:
         return text.split(" ")
 
     def _learn(self, parts: list[str]) -> None:
-        """Remembers the ids of parts, as little-endian 32-bit numbers, and which of them fail a test."""
-        for start in range(0, len(parts), self.CALL_PARTS):
-            some = parts[start : start + self.CALL_PARTS]
+        """Remembers the ids of parts, as little-endian 32-bit numbers, and which of them fail a test.
+
+        Parts without spaces are encoded many at a time as one text with spaces between: each
+        begins at a piece with a marker. Where that doesn't come out, and where a test fails
+        for the joined text, its parts are taken one by one.
+        """
+        whole = [p for p in parts if self.by_parts and p and " " not in p]
+        single = [p for p in parts if not self.by_parts or not p or " " in p]
+        for start in range(0, len(whole), self.CALL_PARTS):
+            end = min(start + self.CALL_PARTS, len(whole))
+            groups = [whole[i : min(i + self.JOINED_PARTS, end)] for i in range(start, end, self.JOINED_PARTS)]
+            joined = [" ".join(g) for g in groups]
+            found = [e.ids for e in self.fast.encode_batch_fast(joined, add_special_tokens=False)]
+            back = self.fast.decode_batch(found, skip_special_tokens=False)
+            others = iter(self.known.encode(whole[start:end], num_threads=THREADS))
+            for group, text, ids, decoded in zip(groups, joined, found, back, strict=True):
+                other = [next(others) for _ in group]
+                flat = np.array(ids, "<i4")
+                at = np.flatnonzero(self.leading[flat])
+                if len(at) == len(group) and decoded == text and list(chain.from_iterable(other)) == ids and at.tolist()[1:] == list(accumulate(map(len, other)))[:-1]:
+                    data, cuts = flat.tobytes(), (4 * at).tolist()
+                    self.seen.update(zip(group, [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
+                else:
+                    single += group
+        for start in range(0, len(single), self.CALL_PARTS):
+            some = single[start : start + self.CALL_PARTS]
             found = [e.ids for e in self.fast.encode_batch_fast(some, add_special_tokens=False)]
             others = self.known.encode(some, num_threads=THREADS)
             back = self.fast.decode_batch(found, skip_special_tokens=False)
             self.seen.update(zip(some, [struct.pack(f"<{len(i)}i", *i) for i in found], strict=True))
-            if found != others:
-                self.differing.update(p for p, a, b in zip(some, found, others, strict=True) if a != b)
-            if back != some:
-                self.changed.update(p for p, t in zip(some, back, strict=True) if p != t)
+            self.differing.update(p for p, a, b in zip(some, found, others, strict=True) if a != b)
+            self.changed.update(p for p, t in zip(some, back, strict=True) if p != t)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, parity, round trip) of each text."""
@@ -199,17 +225,34 @@ class Coder:
         done = []
         for text, parts in zip(texts, split, strict=True):
             ids = b"".join([seen[p] for p in parts])
-            done.append((ids, self.differing.isdisjoint(parts), self.changed.isdisjoint(parts) and not (self.by_parts and MARK in text)))
+            same = not self.differing or self.differing.isdisjoint(parts)
+            back = not self.changed or self.changed.isdisjoint(parts)
+            done.append((ids, same, back and not (self.by_parts and MARK in text)))
         for p in new:
             if len(p) > self.PART_CHARS:
                 del seen[p]
+        return self._whole(texts, done)
+
+    def _whole(self, texts: list[str], done: list[tuple[bytes, bool, bool]]) -> list[tuple[bytes, bool, bool]]:
+        """done, with the flags of one text in WHOLE_ONE_IN measured on the whole text as well."""
+        drawn = [i for i, t in enumerate(texts) if t and zlib.crc32(t.encode("utf-8", "surrogatepass")) % WHOLE_ONE_IN == 0] if self.by_parts else []
+        if drawn:
+            ids = [np.frombuffer(done[i][0], "<i4").tolist() for i in drawn]
+            others = self.known.encode([texts[i] for i in drawn], num_threads=THREADS)
+            back = self.fast.decode_batch(ids, skip_special_tokens=False)
+            for i, own, other, text in zip(drawn, ids, others, back, strict=True):
+                done[i] = done[i][0], done[i][1] and own == other, done[i][2] and text == texts[i]
         return done
 
-    def trim(self) -> None:
-        """Forgets long parts, and all if too many are short."""
-        self.seen = {p: c for p, c in self.seen.items() if len(p) <= self.SHORT_CHARS}
-        if len(self.seen) > self.PARTS // 2:
-            self.seen.clear()
+    def trim(self, keep: int = PARTS // 2) -> None:
+        """Forgets all but at most `keep` parts, the longest first."""
+        if len(self.seen) <= keep:
+            return
+        sizes = np.bincount([len(p) for p in self.seen])
+        most = int(np.searchsorted(np.cumsum(sizes), keep, "right")) - 1  # characters
+        self.seen = {p: c for p, c in self.seen.items() if len(p) <= most}
+        self.differing.intersection_update(self.seen)
+        self.changed.intersection_update(self.seen)
 
 
 @lru_cache(maxsize=2)
@@ -218,24 +261,12 @@ def coder(data: bytes) -> Coder:
     return Coder(data)
 
 
-def _slices(sizes: list[int]) -> Iterator[slice]:
-    start = held = 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= SLICE_CHARS:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 def _encoded(batches: Iterator[pd.DataFrame], model: bytes) -> Iterator[tuple[pd.Series, list[tuple[bytes, bool, bool]]]]:
     own = coder(model)
     for batch in batches:
-        texts = [t or "" for t in batch["text"]]
-        for part in _slices([len(t) for t in texts]):
-            yield batch["doc_id"][part].astype("Int64"), own.encode(texts[part])
-    own.trim()
+        for part in text_slices(batch):
+            yield part["doc_id"].astype("Int64"), own.encode([t or "" for t in part["text"]])
+    own.trim(own.KEPT_PARTS)
     release_memory()
 
 
@@ -244,7 +275,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     Whole texts are encoded, without begin or end tokens; control pieces inside a text are
     ordinary text. Null and empty texts have no ids. parity: the ids equal those of the
-    sentencepiece library. Repeated rows are each encoded; an empty table gives no rows.
+    sentencepiece library, by the parts of the text, see Coder. Repeated rows are each encoded; an empty table gives no rows.
     Other columns are not read, so their names can't clash. `model` is the content of the
     model file, so workers need no file of their own.
     """
@@ -272,7 +303,7 @@ def digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """Encode and decode in one pass; per row doc_id, n_tokens, n_byte_tokens, ids_sha256, round_trip, parity.
 
     ids_sha256 is over the ids as little-endian 32-bit numbers. round_trip: the decoded
-    text is the text (a marker character in the text itself decodes to a space). Nulls,
+    text is the text, by its parts, see Coder (a marker character in the text itself decodes to a space). Nulls,
     repeats and empty tables are treated as encode says.
     """
 
