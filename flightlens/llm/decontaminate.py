@@ -2,32 +2,31 @@
 
 The benchmark's word windows become a hash set that every task holds; each document's
 words are hashed, combined pairwise into hashes of 2, 4 and 8 words, and the positions
-whose hash is in the set are the probes. A probe is a hit once the words themselves
-equal a window's. Only documents with probes go on to the verification join.
+whose hash is in the set are the probes. Positions are narrow rows, so only probes leave
+the scan. A probe is a hit once the document's words themselves equal a window's.
 
-The hash set is held in the plan while the benchmark has at most `max_set` different
-probes; a larger benchmark is met by an equi-join on the probe hash instead.
+The hash set and the windows are broadcast up to a checked size (`max_set`); beyond it the
+same narrow rows meet them in a shuffled join, which Spark plans and splits where skewed.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import ascii_lower, materialize
+from flightlens.llm.common import ascii_lower, materialize, new_names
 
 WINDOW = 13
-#: Different probe hashes up to which the set is shipped with the plan (8 bytes each).
-MAX_SET = 100_000
+#: Probe hashes, and words of all windows, up to which these are broadcast: tens of MB at most.
+MAX_SET = 2_000_000
 #: Words: runs of 0-9, a-z and non-ASCII characters, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: One word with what stands before it, in the original text.
 SEGMENT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
 SPANS = (8, 4, 2, 1)
-PROBES = "array<struct<pos:int,span:int,probe:bigint>>"
 
 
 def words_of(text: Column) -> Column:
@@ -35,15 +34,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
-def span_hashes(words: Column, span: int) -> Column:
-    """Hash of the `span` (1, 2, 4 or 8) words from each position on; cut short at the end."""
-    if span == 1:
-        return F.transform(words, lambda w: F.xxhash64(w))
-    hashes, width = words, 1
-    while width < span:
-        hashes = F.zip_with(hashes, F.slice(hashes, width + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-        width *= 2
-    return hashes
+def _doubled(hashes: Column, width: int) -> Column:
+    """From hashes of `width` words at each position those of twice as many; cut short at the end."""
+    return F.zip_with(hashes, F.slice(hashes, width + 1, F.greatest(F.size(hashes), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+
+def span_hashes(rows: DataFrame, words: str, spans: Sequence[int]) -> DataFrame:
+    """rows with a column h<span> for each span (of 1, 2, 4, 8): hashes of the words from each position on."""
+    own = rows.columns
+    kept = {}
+    if 1 in spans:
+        rows, kept[1] = rows.withColumn("h1", F.transform(words, lambda w: F.xxhash64(w))), "h1"
+    width, before = 1, words
+    while width < max(spans, default=1):  # a column for each step, so that none is computed twice
+        rows = rows.withColumn(f"h{2 * width}", _doubled(F.col(before), width))
+        width, before = 2 * width, f"h{2 * width}"
+        kept[width] = before
+    return rows.select(*own, *[kept[s] for s in spans])
 
 
 def probe_span(length: Column) -> Column:
@@ -58,27 +65,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))
     wins = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("win")).distinct()
     wins = wins.withColumn("len", F.size("win")).withColumn("span", probe_span(F.col("len")))
-    probe = F.lit(None).cast("long")
-    for span in SPANS:
-        probe = F.when(F.col("span") == span, span_hashes(F.slice("win", 1, span), span)[0]).otherwise(probe)
-    return wins.withColumn("probe", probe)
-
-
-def _position(tag: Column, h: Column, i: Column) -> Column:
-    return F.struct((i + 1).alias("pos"), tag, h.alias("probe"))
-
-
-def _known(known: list[int], at: Column) -> Column:
-    return at["probe"].isin(known)
-
-
-def _probes(hashes: Column, span: int, known: list[int] | None) -> Column:
-    """Array of (pos, span, probe) of the hashes in the set; without a set, of all."""
-    at = F.transform(hashes, partial(_position, F.lit(span).alias("span")))
-    if known is None:
-        return at
-    # Most documents have none, so positions are made only behind a first look.
-    return F.when(F.exists(hashes, lambda h: h.isin(known)), F.filter(at, partial(_known, known))).otherwise(F.array().cast(PROBES))
+    hashed = span_hashes(wins, "win", SPANS)
+    return hashed.withColumn("probe", F.coalesce(*[F.when(F.col("span") == s, F.col(f"h{s}")[0]) for s in SPANS])).select(*wins.columns, "probe")
 
 
 def find_hits(
@@ -99,38 +87,36 @@ def find_hits(
     are not read, so their names can't clash.
     """
     wins = materialize(benchmark_windows(benchmark, window))
-    spans: dict[int, list[int] | None] = {}
-    shape = wins.groupBy("span").agg(F.count_distinct("probe").alias("n")).collect()
-    held = sum(r.n for r in shape) <= max_set
-    for r in sorted(shape, key=lambda r: -r.span):
-        # Bounded by max_set, so the driver holds at most that many longs.
-        spans[r.span] = [x.probe for x in wins.filter(F.col("span") == r.span).select("probe").distinct().collect()] if held else None
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    scanned = base.select("doc_id", F.xxhash64("t").alias("text_hash"), words_of(F.col("t")).alias("words"))
-    scanned = scanned.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", *[span_hashes(F.col("words"), s).alias(f"h{s}") for s in spans])
-    at = [_probes(F.col(f"h{s}"), s, known) for s, known in spans.items()]
-    scanned = scanned.select("doc_id", "text_hash", "n_words", "words", (F.concat(*at) if at else F.array().cast(PROBES)).alias("at"))
-    if held:
-        # The words of documents without probes are not carried further.
-        scanned = scanned.withColumn("words", F.when(F.size("at") > 0, F.col("words")))
-    scanned = materialize(scanned)
-    probes = (
-        scanned.filter(F.size("at") > 0)
-        .dropDuplicates(["doc_id", "text_hash"])
-        .select("doc_id", "text_hash", "words", F.explode("at").alias("p"))
-        .select("doc_id", "text_hash", "words", "p.pos", "p.span", "p.probe")
-    )
-    met = probes.join(F.broadcast(wins) if held else wins, ["span", "probe"]).filter(F.slice("words", F.col("pos"), F.col("len")) == F.col("win"))
-    hits = (
-        met.groupBy("doc_id", "text_hash")
-        .agg(
+    shape = wins.groupBy("span").agg(F.count_distinct("probe").alias("probes"), F.sum("len").alias("words")).collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "t")
+    spans = sorted((r.span for r in shape), reverse=True)
+    known = wins.select("probe").distinct()
+    if sum(r.probes for r in shape) <= max_set:
+        known = F.broadcast(known)
+    if sum(r.words for r in shape) <= max_set:
+        wins = F.broadcast(wins)
+    worded = span_hashes(rows.select("doc_id", "text_hash", words_of(F.col("t")).alias("words")), "words", spans)
+    # Each span has one hash for each word, so a hash's place tells its position. The outer
+    # form, as Spark would put a filter on the array before the other, and make it twice.
+    hashes = F.concat(*[f"h{s}" for s in spans]) if spans else F.array().cast("array<bigint>")
+    at = worded.select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode_outer(hashes).alias("i", "probe"))
+    probes = at.join(known, "probe", "left_semi").select("doc_id", "text_hash", (F.col("i") % F.col("n") + 1).alias("pos"), "probe").distinct()
+    met = materialize(probes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "probe")).alias("at")))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    held = rows.join(met, same(rows, met), "inner").select(met["doc_id"], met["text_hash"], "t", "at").dropDuplicates(["doc_id", "text_hash"])
+    held = held.select("doc_id", "text_hash", words_of(F.col("t")).alias("words"), "at").select("doc_id", "text_hash", "words", F.explode_outer("at").alias("p"))
+    # The words behind a probe, as many as the longest window has.
+    tried = held.select("doc_id", "text_hash", "p.pos", "p.probe", F.slice("words", F.col("p.pos"), window).alias("ahead"))
+    found = tried.join(wins, "probe").filter(F.slice("ahead", F.lit(1), F.col("len")) == F.col("win"))
+    hits = materialize(
+        found.groupBy("doc_id", "text_hash").agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("len") - 1))))).alias("hit_positions"),
             F.array_sort(F.collect_set("item_id")).alias("items"),
         )
     )
-    keyed = scanned.select("doc_id", "text_hash", "n_words")
-    same = keyed["doc_id"].eqNullSafe(hits["doc_id"]) & (keyed["text_hash"] == hits["text_hash"])
-    return keyed.join(hits, same, "left").select(
+    keyed = rows.select("doc_id", "text_hash", F.size(words_of(F.col("t"))).cast("long").alias("n_words"))
+    return keyed.join(hits, same(keyed, hits), "left").select(
         keyed["doc_id"],
         keyed["text_hash"],
         "n_words",
@@ -156,20 +142,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     found = find_hits(docs, benchmark, window, id_col, text_col)
+    bad_id, bad_hash, bad_at = new_names(docs, "bad_id", "bad_hash", "bad_at")
     bad = (
         found.filter(contaminated(F.col("n_hit"), F.col("n_words")))
-        .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"), F.col("hit_positions").alias("_bad_at"))
+        .select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash), F.col("hit_positions").alias(bad_at))
         .distinct()
     )
     text = F.coalesce(docs[text_col], F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(text) == bad["_bad_hash"])
+    same = docs[id_col].cast("long").eqNullSafe(bad[bad_id]) & (F.xxhash64(text) == bad[bad_hash])
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
     segments = F.regexp_extract_all(text, F.lit(SEGMENT), 0)
-    rest = F.filter(segments, lambda s, i: ~F.array_contains(bad["_bad_at"], i + 1))
+    rest = F.filter(segments, lambda s, i: ~F.array_contains(bad[bad_at], i + 1))
     cleaned = F.concat(F.array_join(rest, ""), F.regexp_extract(text, TAIL, 0))
     joined = docs.join(bad, same, "left")
-    return joined.select(*[F.when(bad["_bad_id"].isNotNull() | bad["_bad_hash"].isNotNull(), cleaned).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(bad[bad_id].isNotNull() | bad[bad_hash].isNotNull(), cleaned).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 ORACLE = r"""
