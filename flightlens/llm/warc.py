@@ -15,11 +15,15 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightlens.llm.common import text_slices
+
 #: Date of captures whose source has none.
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -31,13 +35,24 @@ RECORD_SCHEMA = (
     "content_type string, content_length long, block_digest string, payload_digest string, headers array<struct<name:string,value:string>>, block string"
 )
 
-_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)")
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|title|article|section|nav|header|footer|head|body|blockquote|pre)\b[^>]*>")
-_TAG = re.compile(r"<[^>]*>")
+#: Elements of which a reader sees nothing, and those that stand on lines of their own.
+HIDDEN = frozenset({"script", "style", "noscript", "template"})
+BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 title article section nav header footer head body blockquote pre".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)\b")
 _BLANK = re.compile(r"[ \t\f\v\xa0]+")
-_LINK = re.compile(r"(?i)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
-_LANG = re.compile(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)")
+_HREF = re.compile(r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([\w-]+)")
+_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*HIDDEN, "title")}
+
+
+@dataclass
+class Reading:
+    """What one pass over a page gives."""
+
+    text: str
+    title: str | None
+    lang: str | None
+    links: list[str]
 
 
 def sha1_digest(data: bytes) -> str:
@@ -54,12 +69,61 @@ def _utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def read_page(page: str) -> Reading:
+    """Plain text, title, language and links of a page, in one pass from tag to tag.
+
+    A tag reaches from < to the next >, and < without one is text. Comments and hidden
+    elements reach to their end, or to that of the page if they have none. Every search
+    goes on from where the last one ended, and none is made again that found nothing, so
+    broken pages take time in proportion to their length as well.
+    """
+    parts: list[str] = []
+    titles: list[str] = []
+    links: list[str] = []
+    lang, at, title_ends = None, 0, True
+    while (start := page.find("<", at)) >= 0:
+        parts.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            parts.append(" ")
+            at = len(page) if end < 0 else end + 3
+            continue
+        close = page.find(">", start)
+        if close < 0:
+            parts.append(page[start:])
+            at = len(page)
+            break
+        tag, at = page[start + 1 : close], close + 1
+        named = _NAME.match(tag)
+        name = named[1].lower() if named else ""
+        opens = not tag.startswith("/")
+        if opens and name in HIDDEN:
+            end = _ENDS[name].search(page, at)
+            parts.append(" ")
+            at = end.end() if end else len(page)
+        elif name in BLOCKS:
+            parts.append("\n")
+        if opens and name == "title" and not titles and title_ends:
+            end = _ENDS["title"].search(page, at)
+            title_ends = end is not None
+            titles += [page[at : end.start()]] if end else []
+        elif opens and name == "a":
+            links += [a or b for a, b in _HREF.findall(tag)[:1]]
+        elif opens and name == "html" and lang is None:
+            found = _LANG.search(tag)
+            lang = found[1] if found else None
+    parts.append(page[at:])
+    lines = (_BLANK.sub(" ", line).strip() for line in re.split(r"[\r\n]+", html.unescape("".join(parts))))
+    return Reading("\n".join(line for line in lines if line), titles[0] if titles else None, lang, links)
+
+
 def plain_text(page: str) -> str:
     """The text a reader sees: without markup, scripts, styles and comments, one line per block."""
-    text = _BREAK.sub("\n", _DROPPED.sub(" ", page))
-    text = html.unescape(_TAG.sub("", text))
-    lines = (_BLANK.sub(" ", line).strip() for line in re.split(r"[\r\n]+", text))
-    return "\n".join(line for line in lines if line)
+    return read_page(page).text
+
+
+def _one_line(text: str) -> str:
+    return " ".join(html.unescape(text).split())
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
@@ -69,7 +133,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in chain.from_iterable(text_slices(b, "html") for b in batches):
             rows = []
             for page, url, body in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 url, body = url or "", body or ""
@@ -112,28 +176,27 @@ def derive(response_table: DataFrame) -> DataFrame:
     The metadata block is in application/warc-fields: source status and headers, source
     digests, title, language and outlinks in order of appearance. The conversion block is
     the page's plain text; both headers name the response's id, and the conversion also
-    its target and date. Null payloads, headers or urls count as empty and still give both
+    its target and date. Pages of any length are read whole, in one pass (see read_page). Null payloads, headers or urls count as empty and still give both
     records; an empty table gives none. Repeated responses give repeated records. Other
     columns are not read, so their names can't clash.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in chain.from_iterable(text_slices(b, "payload") for b in batches):
             rows = []
             for row in batch.itertuples(index=False):
-                page, head = row.payload, row.http_headers.split(CRLF)
-                title, lang = _TITLE.search(page), _LANG.search(page)
+                page, head = read_page(row.payload), row.http_headers.split(CRLF)
                 fields = [("source-status", head[0])] + [(f"source-header-{n.strip().lower()}", v.strip()) for n, _, v in (h.partition(":") for h in head[1:]) if n.strip()]
                 fields += [("source-payload-digest", row.payload_digest), ("source-block-digest", row.block_digest)]
-                if title:
-                    fields.append(("title", " ".join(html.unescape(title[1]).split())))
-                if lang:
-                    fields.append(("language", lang[1]))
-                fields += [("outlink", " ".join(html.unescape(a or b).split())) for a, b in _LINK.findall(page)]
+                if page.title is not None:
+                    fields.append(("title", _one_line(page.title)))
+                if page.lang:
+                    fields.append(("language", page.lang))
+                fields += [("outlink", _one_line(link)) for link in page.links]
                 block = "".join(f"{n}: {v}{CRLF}" for n, v in fields)
                 rows.append(_record(row, "metadata", "application/warc-fields", block, [("WARC-Concurrent-To", record_id("conversion", row.record_id))]))
                 refers = [("WARC-Refers-To-Target-URI", row.url), ("WARC-Refers-To-Date", row.warc_date), ("WARC-Source-Payload-Digest", row.payload_digest)]
-                rows.append(_record(row, "conversion", "text/plain; charset=utf-8", plain_text(page), refers))
+                rows.append(_record(row, "conversion", "text/plain; charset=utf-8", page.text, refers))
             yield _frame(rows, RECORD_SCHEMA)
 
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("record_id", "url", "warc_date", "http_headers", "payload", "payload_digest", "block_digest")]
