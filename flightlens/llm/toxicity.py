@@ -16,31 +16,43 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import held_out, materialize, release_memory
+from flightlens.llm.common import held_out, materialize, release_memory, text_slices
 from flightlens.llm.ngram_join import near_duplicates
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
-CLASSES = (INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER)
+INSULT, THREAT, LATE_THREAT, TARGET, NEGATION, REPORT, OTHER = range(7)
+CLASSES = (INSULT, THREAT, LATE_THREAT, TARGET, NEGATION, REPORT, OTHER)
 
-#: Fixed word lists of the grammar.
+#: Fixed word lists of the grammar: English, German, French and Spanish. Late threats are
+#: verbs before which their target stands ("ich werde dich schlagen", "te voy a matar").
 SEED_INSULTS = "idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage pathetic worthless disgusting vermin jerk creep imbecile".split()
 THREATS = "kill hurt destroy beat smash shoot stab burn crush punch".split()
-TARGETS = "you your yours yourself u ya him her them he she they".split()
-NEGATIONS = "not no never neither nor without hardly isn aren wasn weren don doesn didn cannot".split()
-REPORTS = "said says say told called calls claimed claims wrote writes quoted reported according".split()
+LATE_THREATS = (
+    "töten umbringen schlagen verprügeln vernichten verletzen erschießen verbrennen erwürgen "
+    "tuer frapper blesser détruire brûler écraser étrangler matar golpear herir destruir quemar aplastar disparar"
+).split()
+TARGETS = (
+    "you your yours yourself u ya him her them he she they du dich dir dein deine deiner ihr euch euer eure ihn ihm "
+    "tu te toi ton ta tes vous votre vos lui eux elle elles tú ti tus usted ustedes vosotros vosotras él ellos ellas"
+).split()
+NEGATIONS = (
+    "not no never neither nor without hardly isn aren wasn weren don doesn didn cannot nicht kein keine keinen keiner nie niemals weder ohne kaum "
+    "ne pas jamais ni sans aucun aucune guère nunca jamás tampoco sin ningún ninguna apenas"
+).split()
+REPORTS = (
+    "said says say told called calls claimed claims wrote writes quoted reported according sagte sagt sagen nannte nennt behauptete behauptet schrieb schreibt laut zitiert "
+    "dit disait appelle appelait affirme affirmait écrit écrivait selon dijo dice decía llamó llama afirma afirmó escribió escribe según"
+).split()
 
 #: Labelled documents that weights and calibration are learned from, at most about so many.
 LABELLED_ROWS = 20_000
 MIN_TOXIC_DOCS, MIN_LOG_ODDS, FULL_LOG_ODDS = 6, 3.5, 5.0
-MAX_LEARNED = 500
-#: Words and stems of toxic documents that are held against the others, the most frequent ones.
-MAX_CANDIDATES = 100_000
 STEM_CHARS = range(4, 9)
 #: A stem is learned beside its learned extensions if it is in so many times their documents.
 WIDER = 1.5
@@ -79,16 +91,17 @@ def insult_patterns() -> Transducer:
 
 
 def threat_patterns(reach: int = 3) -> Transducer:
-    """Emits THREAT_WEIGHT at a target at most `reach` words behind a threat."""
+    """Emits THREAT_WEIGHT at a target at most `reach` words behind a threat, and at a late threat so near behind a target."""
     arcs = {}
-    for state in range(reach + 1):
+    waits = [(kind, left) for kind in (THREAT, TARGET) for left in range(1, reach + 1)]
+    for state in [0, *waits]:
+        kind, left = state or (OTHER, 0)
+        idle = (kind, left - 1) if left > 1 else 0
         for c in CLASSES:
-            if c == THREAT:
-                arcs[state, c] = 1, 0.0
-            elif c == TARGET and state:
+            if c == TARGET and kind == THREAT or c == LATE_THREAT and kind == TARGET:
                 arcs[state, c] = 0, THREAT_WEIGHT
             else:
-                arcs[state, c] = ((state + 1) % (reach + 1) if state else 0), 0.0
+                arcs[state, c] = (c, reach) if c in (THREAT, TARGET) else idle, 0.0
     return Transducer(arcs)
 
 
@@ -119,7 +132,7 @@ def combine(a: Transducer, b: Transducer, weigh: Callable[[float, float], float]
 
 def grammar() -> Transducer:
     """(insult or threat) under target, negation and reported speech."""
-    both = (INSULT, THREAT, TARGET)
+    both = (INSULT, THREAT, LATE_THREAT, TARGET)
     patterns = combine(insult_patterns(), threat_patterns(), max)
     changes = combine(_counting(TARGET, 6, (INSULT,), 1.5), _counting(NEGATION, 3, both, 0.3), lambda x, y: x * y)
     changes = combine(changes, reported_speech(), lambda x, y: x * y)
@@ -135,10 +148,10 @@ class Scorer:
     probabilities: list[float] = field(default_factory=lambda: [0.02, 0.3, 0.6, 0.95])
 
     def __post_init__(self) -> None:
-        self.tags = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+        self.tags = {w: c for c, words in ((THREAT, THREATS), (LATE_THREAT, LATE_THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
         self.stems = {k: frozenset(w[:-1] for w in self.insults if w[-1] == "*" and len(w) == k + 1) for k in STEM_CHARS}
         self.stems = {k: v for k, v in self.stems.items() if v}
-        self.strong = frozenset([w for w in self.insults if w[-1] != "*"] + THREATS)
+        self.strong = frozenset([w for w in self.insults if w[-1] != "*"] + THREATS + LATE_THREATS)
         self.machine = grammar()
 
     def matches(self, words: list[str]) -> bool:
@@ -215,24 +228,25 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
 
     A text counts once in sample, however often it was copied (see distinct_texts); the
     surroundings tell an insult from the words of a phrase that many texts repeat. A stem
-    stands for its extensions where it is in more documents than each of them.
+    stands for its extensions where it is in more documents than each of them. What the
+    driver collects is bounded by the sample: features of at least MIN_TOXIC_DOCS of its texts.
     """
 
     def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             yield pd.DataFrame([row for text in batch["text"] for row in features(_WORD.findall(text.lower())).items()], columns=["word", "before"])
 
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     yes, no = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
+    # What stands in fewer toxic texts has too low odds even if no other text has it.
+    least = math.exp(MIN_LOG_ODDS) * 0.5 * (yes + 1) / (no + 1) - 0.5
     counted = (
         sample.filter("toxic = 1")
         .select("text")
         .mapInPandas(toxic_features, "word string, before string")
         .groupBy("word")
         .agg(F.count("*").alias("yes"), F.approx_count_distinct("before").alias("contexts"))
-        .filter((F.col("yes") >= MIN_TOXIC_DOCS) & (F.col("contexts") >= MIN_CONTEXTS))
-        .orderBy(F.desc("yes"), "word")
-        .limit(MAX_CANDIDATES)
+        .filter((F.col("yes") >= max(MIN_TOXIC_DOCS, least)) & (F.col("contexts") >= MIN_CONTEXTS))
         .collect()
     )
     candidates = {r.word: r.yes for r in counted}
@@ -254,7 +268,7 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
     for w in sorted((w for w in odds if odds[w] >= MIN_LOG_ODDS), key=lambda w: (-candidates[w], w[-1] == "*", -len(w), w)):
         held = any(w[:k] + "*" in learned for k in STEM_CHARS)
         idle = w[-1] == "*" and any(x.startswith(w[:-1]) and candidates[w] <= WIDER * candidates[x] for x in learned)
-        if len(learned) < MAX_LEARNED and not held and not idle:
+        if not held and not idle:
             learned[w] = min(1.0, odds[w] / FULL_LOG_ODDS)
     return learned
 
@@ -279,7 +293,12 @@ def calibrate(scorer: Scorer, sample: DataFrame) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Scorer:
-    """A scorer from the labelled documents that are not held out; without any, the fixed lists alone."""
+    """A scorer from the labelled documents that are not held out; without any, the fixed lists alone.
+
+    It is fitted on a bounded sample: about `rows` labelled documents (never more than twice
+    as many), drawn by a hash of their ids, with their whole texts. Null texts and labels and
+    null ids are left out; a document with several labels is toxic if one of them says so.
+    """
     sample = distinct_texts(_labelled(docs, labels, id_col, text_col, rows))
     scorer = Scorer(dict.fromkeys(SEED_INSULTS, SEED_WEIGHT) | learn_insults(sample))
     calibrate(scorer, sample)
