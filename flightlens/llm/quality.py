@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from flightlens.llm.common import text_slices
+
 #: (from bytes, lowest ratio, highest ratio) by length of the whole text in bytes. The
 #: lowest ratios lie between base64 words and the least of prose; below 150 bytes these meet.
 DOC_BANDS = (
@@ -141,7 +143,7 @@ def quality(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=bands.level)
         names = [field.split()[0] for field in SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in chain.from_iterable(map(text_slices, batches)):
             rows = [(i, *judge(t, bands, packer)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)]
             out = pd.DataFrame(rows, columns=names)
             out["doc_id"] = out["doc_id"].astype("Int64")
