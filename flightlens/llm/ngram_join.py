@@ -7,8 +7,8 @@ copies never meet each other in a join. Between classes:
   need, all their subsets of c shingles; two small sets that reach the overlap share one;
 * large sets scan inverted lists: each set stands in the lists of its rarest shingles,
   as many as a partner must share at least one of;
-* the boundary between small and large is the size at which enumerating costs more than
-  scanning, by the table's own size histogram and list lengths.
+* the boundary between small and large is the size up to which enumerating costs no more
+  than scanning, by the table's own sizes, lists, and pairs that the lists open.
 
 Either way a candidate counts only after an exact comparison of the whole sets. Shingles
 frequent anywhere in the corpus stand last in the order, so lists stay short.
@@ -36,10 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import materialize, mix64, release_memory
+from flightlens.llm.common import discard, materialize, mix64, new_names, release_memory
 
-#: Largest set size for which enumeration is considered.
+#: Largest set size for which enumeration is considered, and whole sets are kept beside the lists.
 SMALL_MAX = 24
+#: Rows that a pair opened by a list costs, beside four for each shingle of its two sets: it
+#: is told apart from other pairs, meets both classes and both whole sets, and is closed.
+PAIR_ROWS = 6
 #: Shingles seen at least so often in one batch count towards the corpus frequency.
 BATCH_REPEATS = 2
 #: So many frequent shingles are ranked (8 + 1 bytes each); the others keep hash order.
@@ -158,8 +161,8 @@ def overlaps(n: int, percent: int) -> list[int]:
     return sorted({c for c in (least_overlap(n, b, percent) for b in sizes) if 0 < c <= n})
 
 
-def _describe(words: int, percent: int, ranked):
-    """(doc_id, text) to (doc_id, n, sig, toks, scan): whole sets up to SMALL_MAX, else their prefix."""
+def _describe(words: int, percent: int, small_max: int, ranked):
+    """(doc_id, text) to (doc_id, n, sig, toks): whole sets up to small_max, else their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -168,9 +171,7 @@ def _describe(words: int, percent: int, ranked):
             for chunk in _chunks(batch, 1):
                 sets = ordered_sets(chunk.column(1).to_pylist(), words, table, known)
                 firsts = [s[: prefix_length(len(s), percent)] for s in sets]
-                kept = [s if len(s) <= SMALL_MAX else f for s, f in zip(sets, firsts, strict=True)]
-                levels = [f >> 56 for f in firsts]
-                scan = [float(np.where(v > 0, 2.0 ** ((v - 1) / 4), 1.0).sum()) for v in levels]
+                kept = [s if len(s) <= small_max else f for s, f in zip(sets, firsts, strict=True)]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -179,9 +180,8 @@ def _describe(words: int, percent: int, ranked):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
-                        pa.array(scan, pa.float64()),
                     ],
-                    ["doc_id", "n", "sig", "toks", "scan"],
+                    ["doc_id", "n", "sig", "toks"],
                 )
         release_memory()
 
@@ -241,15 +241,35 @@ def _enumerate(percent: int):
     return run
 
 
-def boundary(classes: DataFrame, percent: int) -> int:
-    """The largest size to enumerate: where enumerated keys plus scanned entries are fewest."""
-    sizes = {r.n: (r.c, r.s) for r in classes.filter(F.col("n") <= SMALL_MAX).groupBy("n").agg(F.count("*").alias("c"), F.sum("scan").alias("s")).collect()}
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, rid, n, pos) of each class in the lists of its first shingles."""
+    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    rows = classes.select("rid", "n", F.posexplode(F.slice("toks", F.lit(1), length.cast("int"))).alias("pos", "key"))
+    return rows.select("key", "rid", "n", F.col("pos").cast("long"))
+
+
+def boundary(classes: DataFrame, percent: int, small_max: int = SMALL_MAX) -> int:
+    """The largest size to enumerate: where enumerating small sets and scanning the lists of the others cost least.
+
+    Enumerating costs one row for each subset. Scanning costs one row for each list of a set,
+    and, for each partner of fitting size that the list opens, the work on a pair. Both are
+    summed by size from the table's own sets and lists; equal costs go to enumeration. Sets
+    that may have a partner beyond the boundary are in the lists as well.
+    """
+    sizes = {r.n: r.c for r in classes.filter(F.col("n") <= small_max).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    most = 100 * small_max // percent
+    lists = _prefixes(classes.filter(F.col("n") <= most), percent).groupBy("key", "n").agg(F.count("*").alias("c"))
+    # A list's counts by size: at most `most` of them, however long the list.
+    lists = lists.groupBy("key").agg(F.collect_list(F.struct("n", "c")).alias("all")).select("all", F.explode("all").alias("own"))
+    fitting = F.filter("all", lambda x: 100 * F.least(x["n"], F.col("own.n")) >= percent * F.greatest(x["n"], F.col("own.n")))
+    opened = F.col("own.c") * (F.aggregate(fitting, F.lit(0).cast("long"), lambda s, x: s + x["c"]) - 1) / 2
+    scans = {r.n: (r.c, r.p) for r in lists.groupBy("own.n").agg(F.sum("own.c").alias("c"), F.sum(opened).alias("p")).collect()}
 
     def cost(b: int) -> float:
-        enumerated = sum(c * sum(comb(n, k) for k in overlaps(n, percent)) for n, (c, _) in sizes.items() if n <= b)
-        return enumerated + sum(s for n, (_, s) in sizes.items() if n > b)
+        enumerated = sum(c * sum(comb(n, k) for k in overlaps(n, percent)) for n, c in sizes.items() if n <= b)
+        return enumerated + sum(c + p * (PAIR_ROWS + 4 * n) for n, (c, p) in scans.items() if n > b or 100 * n >= percent * (b + 1))
 
-    return min(range(SMALL_MAX + 1), key=lambda b: (cost(b), b))
+    return min(range(small_max + 1), key=lambda b: (cost(b), -b))
 
 
 # ---------------------------------------------------------------- links
@@ -280,8 +300,8 @@ def _hub_pairs(posts: DataFrame, seeds: range, percent: int) -> DataFrame:
     )
 
 
-def _all_pairs(posts: DataFrame, percent: int, small: int) -> DataFrame:
-    """Members of a list in different groups. Two small sets meet in their subsets' lists alone.
+def _all_pairs(posts: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Members of a list in different groups, and the lists that they are read from. Two small sets meet in their subsets' lists alone.
 
     A pair is made in the first list that both stand in, not in each; that is seen from the
     first FIRST_KEYS lists of each. Pairs that meet only behind those are made in each.
@@ -291,12 +311,13 @@ def _all_pairs(posts: DataFrame, percent: int, small: int) -> DataFrame:
     covered = (F.col("a.pos") >= 0) & (F.greatest("a.n", "b.n") <= small)
     shared = F.array_min(F.array_intersect("a.firsts", "b.firsts"))
     first = F.coalesce(F.col("a.key") <= shared, F.lit(True))
-    return _pairs(
+    pairs = _pairs(
         posts.alias("a").join(
             posts.alias("b"),
             (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent) & ~covered & first,
         )
     )
+    return pairs, posts
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -323,12 +344,13 @@ def _sets(rids: DataFrame, classes: DataFrame, docs: DataFrame, to_sets) -> Data
     return materialize(texts.mapInArrow(to_sets, "rid long, whole array<long>").dropDuplicates(["rid"]))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, percent: int) -> DataFrame:
-    """The pairs whose whole sets link. Only the texts of these pairs are read again."""
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets link, and the sets that they are read from. Only the texts of these pairs are read again."""
     sets = _sets(pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct(), classes, docs, to_sets)
     one, two = sets.select(F.col("rid").alias("x"), F.col("whole").alias("wx")), sets.select(F.col("rid").alias("y"), F.col("whole").alias("wy"))
     same = F.size(F.array_intersect("wx", "wy"))
-    return pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y").distinct()
+    links = pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y").distinct()
+    return links, sets
 
 
 def block_links(block: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -384,8 +406,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if now == state or not now.n:
-            return edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct()
-        state = now
+            groups = materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct())
+            discard(edges)
+            return groups
+        state, spent = now, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
@@ -393,6 +417,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(spent, large)
 
 
 def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -402,7 +427,19 @@ def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
     return materialize(posts.join(open_keys.select("key"), "key", "left_semi"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _posts(classes: DataFrame, percent: int, small: int) -> DataFrame:
+    """(key, rid, n, pos, comp) of the lists with several members: subsets up to size small, first shingles above.
+
+    Sets of up to small that may have a larger partner stand in both.
+    """
+    scanned = _prefixes(classes.filter(100 * F.col("n") >= percent * (small + 1)), percent)
+    subsets = classes.filter(F.col("n") <= small).select("rid", "n", "toks").mapInArrow(_enumerate(percent), "key long, rid long, n long, pos long")
+    entries = scanned.union(subsets)
+    shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    return entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", small_max: int = SMALL_MAX) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_size.
 
     A set holds the distinct shingles of `words` words of a whole text, or its whole word
@@ -411,60 +448,61 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     shingles and link with nothing. Rows with a null doc_id get a null component_id and
     link nothing. Repeated rows are copies of one another; a doc_id that comes with
     different texts links by each of them. An empty table gives no rows. Other columns
-    are not read, so their names can't clash.
+    are not read, so their names can't clash. Sets of more than small_max shingles are never
+    enumerated (their subsets are too many at any rate); any value gives the same result.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranked = spark.sparkContext.broadcast(ranked_shingles(docs, words))
-    rows = materialize(docs.mapInArrow(_describe(words, percent, ranked), "doc_id long, n long, sig binary, toks array<long>, scan double"))
+    rows = materialize(docs.mapInArrow(_describe(words, percent, small_max, ranked), "doc_id long, n long, sig binary, toks array<long>"))
     classes = materialize(
         rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .groupBy("sig")
-        .agg(F.min("doc_id").alias("head"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("toks").alias("toks"), F.first("scan").alias("scan"))
+        .agg(F.min("doc_id").alias("head"), F.count("*").alias("class_size"), F.first("n").alias("n"), F.first("toks").alias("toks"))
         .withColumn("rid", F.monotonically_increasing_id())
     )
-    small = boundary(classes, percent)
-    listed = classes.filter(100 * F.col("n") >= percent * (small + 1))
-    length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    scanned = listed.select("rid", "n", F.posexplode(F.slice("toks", F.lit(1), length.cast("int"))).alias("pos", "key")).select("key", "rid", "n", F.col("pos").cast("long"))
-    subsets = classes.filter(F.col("n") <= small).select("rid", "n", "toks").mapInArrow(_enumerate(percent), "key long, rid long, n long, pos long")
-    entries = scanned.union(subsets)
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    posts = materialize(entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid")))
+    small = boundary(classes, percent, small_max)
+    posts = materialize(_posts(classes, percent, small))
 
     to_sets = _whole_sets(words, ranked)
     tested, groups = [], None
     for turn in range(ROUNDS + 1):
-        dense = None
+        dense, spent = None, []
         if turn:
+            spent.append(posts)
             posts = _with_groups(posts, groups)
         if turn < ROUNDS:
             pairs = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
         else:
             long_keys = posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key")
             dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
-            pairs = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
+            pairs, lists = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
+            spent.append(lists)
         for done in tested:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         tested.append(materialize(pairs))
         close = materialize(_close(tested[-1], classes, percent))
-        links = _linked(close, classes, docs, to_sets, percent)
+        links, sets = _linked(close, classes, docs, to_sets, percent)
         if dense is not None:
             links = links.union(dense)
-        groups = components(links if groups is None else links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y"))))
+        if groups is not None:
+            links = links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y")))
+            spent.append(groups)
+        groups = components(links)
+        discard(close, sets, *spent)
+    discard(posts, *tested)
     heads = classes.select("rid", "head").join(groups, "rid")
     least = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
     joined = heads.join(least, "comp").select("rid", "component_id")
-    by_sig = classes.select("sig", "rid", "head", "class_size").join(joined, "rid", "left").select("sig", "class_size", F.coalesce("component_id", "head").alias("found"))
+    by_sig = classes.select("sig", "rid", "head", "class_size").join(joined, "rid", "left")
+    by_sig = materialize(by_sig.select("sig", "class_size", F.coalesce("component_id", "head").alias("found")))
+    discard(classes, groups)
+    # Rows without a set are all alike, and need no class.
     has_set = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    return rows.select("doc_id", "n", "sig").join(by_sig, "sig", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(has_set, F.col("found")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(has_set, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
-    )
+    classed = rows.filter(has_set).join(by_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("found").alias("component_id"), "class_size")
+    return classed.union(rows.filter(~has_set).select("doc_id", "n", "doc_id", F.lit(1).cast("long")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -476,8 +514,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     """
     found = materialize(near_duplicates(docs, words, percent, id_col, text_col))
     heads = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("heads"))
-    gone = heads.filter("not heads").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone = heads.filter("not heads").select("doc_id").toDF(*new_names(docs, "gone"))
+    left = docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return left
     named = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col])
