@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flightlens.llm import decontaminate, line_dedup, ngram_join
@@ -84,6 +85,50 @@ def test_a_large_group_of_near_copies_is_one_group_and_lists_stay_linear(spark):
     assert found == {i: c for i, _, c in brute_components(rows, 4, 85)}
 
 
+def common_phrases(n=260):
+    """Short texts whose every phrase stands in many others, so that lists are long; two in three have a near copy."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{k}{j}" for j in range(5)) for k in range(7)]
+    texts = [" ".join(rng.sample(phrases, 3)) for _ in range(n)]
+    return [t + rng.choice(["", " tail", f" x{i}"]) for i, t in enumerate(texts)]
+
+
+def test_small_sets_link_by_their_subsets(spark):
+    rows = list(enumerate(common_phrases()))
+    docs = spark.createDataFrame(rows, DOC)
+    described = docs.mapInArrow(ngram_join._describe(4, 85, 24, spark.sparkContext.broadcast(ngram_join.ranked_shingles(docs, 4))), "doc_id long, n long, sig binary, toks array<long>")
+    classes = described.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("toks").alias("toks"))
+    sets = {r.rid: set(r.toks) for r in classes.collect()}
+    small = ngram_join.boundary(classes, 85)
+    assert small >= max(map(len, sets.values()))
+    posts = ngram_join._posts(classes, 85, small)
+    assert posts.filter("pos >= 0 and n <= 0.85 * %d" % small).isEmpty()
+    lists = {}
+    for r in posts.filter("pos < 0").collect():
+        lists.setdefault(r.key, set()).add(r.rid)
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked and linked == {(a, b) for rids in lists.values() for a in rids for b in rids if a < b}
+    found = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(docs).collect()}
+    assert found == {(i, c) for i, _, c in brute_components(rows, 4, 85)}
+
+
+@pytest.mark.parametrize("small_max", [0, 3, 24])
+def test_any_boundary_gives_the_same_groups(spark, small_max):
+    rows = list(enumerate(common_phrases(120)))
+    found = {(r.doc_id, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, DOC), small_max=small_max).collect()}
+    assert found == {(i, c) for i, _, c in brute_components(rows, 4, 85)}
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
+def test_registered_joins_enumerate_small_sets(spark, monkeypatch, words, percent):
+    seen = []
+    real = ngram_join.boundary
+    monkeypatch.setattr(ngram_join, "boundary", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ngram_join.near_duplicates(docs, words, percent)
+    assert seen and seen[0] > 0
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_prefixes_and_subsets_miss_no_pair(percent):
     for a in range(1, 30):
@@ -181,7 +226,7 @@ def brute_lines(rows, sites=5, chars=20):
     out = []
     for i, text, site in rows:
         gone = [x for x in (text or "").split("\n") if norm(x) in spread]
-        if gone and 2 * sum(map(len, gone)) <= len(text):
+        if gone:
             text = "\n".join(x for x in text.split("\n") if norm(x) not in spread)
         out.append((i, text, site))
     return out
@@ -201,6 +246,7 @@ def test_line_dedup_equals_brute_force(spark):
     found = line_dedup.dedup_lines(docs)
     assert found.columns == docs.columns
     assert sorted((tuple(r)[:3] for r in found.collect()), key=str) == sorted(brute_lines(rows), key=str)
+    assert any(t == "" for i, t, _ in brute_lines(rows) if i == 502)  # all boilerplate, and no copy of another
     report = {(r.doc_id, r.text_sha256) for r in line_dedup.line_report(docs).collect()}
     assert report == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in brute_lines(rows)}
 
@@ -230,6 +276,18 @@ def test_sketched_lines_near_the_threshold_are_counted_exactly(spark, sites):
     assert {r.h1 for r in line_dedup.spread_lines(lines, sites, lg_k=8).collect()} == {4, 5, 6, 7}
 
 
+def test_names_of_docs_never_clash_with_those_of_the_operators(spark):
+    names = ["line_doc", "line_hash", "line_gone", "bad_id", "bad_hash", "bad_at", "gone", "_gone", "h1", "estimate"]
+    docs = spark.createDataFrame([(i, f"Text {i} of one two three four five six\nThe shared line of all sites", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", *[f"doc_id as {n}" for n in names])
+    bench = spark.createDataFrame([(1, "text 3 of one two")], "item_id long, text string")
+    for found in (line_dedup.dedup_lines(docs), line_dedup.drop_boilerplate(docs), decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, remove="spans"), ngram_join.keep_one(docs)):
+        assert found.columns == docs.columns
+        assert all(r[n] == r.doc_id for r in found.collect() for n in names)
+    assert all("shared" not in r.text for r in line_dedup.dedup_lines(docs).collect())
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()] == [0, 1, 2, 4, 5]
+
+
 def test_line_dedup_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.line_report(empty).count() == 0

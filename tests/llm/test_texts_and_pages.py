@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import math
+import os
 import random
 import re
+import subprocess
+import sys
+import time
+import uuid
+from html.parser import HTMLParser
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -19,6 +29,28 @@ BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a  b  ", "\n\n x", "<s> </s> <unk> <0x41>", "日本語 \U0001f600 x", "a\tb\r\n", "\x00\x01\x1c \x85a", "   lead", "trail   ", "ÀÉ ß ﬁ", "x" * 500, "it're we'll I've 's", "a" * 60 + " 12 3\n\n\nfoo   \n bar"]
 
 
+PLAIN_SESSION = """
+from pyspark.sql import SparkSession
+from flightlens.llm import common, line_dedup
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "file://{folder}/warehouse").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+kept = common.materialize(spark.range(3))
+assert kept.count() == 3 and "/warehouse/" in kept.inputFiles()[0], kept.inputFiles()
+folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+common.discard(kept)
+import os
+assert not os.path.exists(folder)
+print("fine")
+"""
+
+
+def test_a_session_without_a_checkpoint_folder_uses_the_warehouse(tmp_path):
+    (tmp_path / "conf").mkdir()
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": os.pathsep.join(p for p in ["", *sys.path] if p)}
+    ran = subprocess.run([sys.executable, "-c", PLAIN_SESSION.replace("{folder}", str(tmp_path))], env=env, capture_output=True, text=True, timeout=120, check=False)
+    assert ran.stdout.strip().endswith("fine"), ran.stderr[-2000:]
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     inside = set()
@@ -138,7 +170,61 @@ def test_token_counts_answer_totals_and_budgets(spark, sf_dir):
         assert len(library.encode(text[: r.fit_chars], add_special_tokens=False).ids) <= 100
         assert (r.fit_chars < len(text)) == (n > 100)
     table = token_counts.prefix_table(spark.createDataFrame([(1, "abc def"), (2, None)], DOC), open(BPE_FILE).read()).collect()
-    assert [list(r.counts) for r in table] == [[1, 1, 1, 2, 2, 2, 2], []] or len(table[0].counts) == 7
+    for r, text in zip(sorted(table, key=lambda r: r.doc_id), ["abc def", ""], strict=True):
+        assert list(r.counts) == [len(library.encode(text[:p], add_special_tokens=False).ids) for p in range(1, len(text) + 1)]
+
+
+CLASH = "doc_id long, text string, ids string, counts string, score string, held_out string, n_tokens string, parity string"
+
+
+def clashing(spark, texts):
+    """Repeated rows, a null id and columns of the operators' own names."""
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, texts[0]), (None, texts[-1])]
+    return spark.createDataFrame([(i, t, "x", "x", "x", "x", "x", "x") for i, t in rows], CLASH), rows
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op4", "op5", "op7"])
+def test_repeats_nulls_clashing_names_and_empty_tables(spark, name):
+    texts = ["you are an idiot", None, "", " \n\t ", "Fine weather, é 漢 <|endoftext|>", "word " * 60_000, "x" * 150_000]
+    docs, rows = clashing(spark, texts)
+    model = langid.Model(["en"], np.ones(langid.BUCKETS), np.zeros((langid.BUCKETS, 1)), np.zeros(1))
+    run = {
+        "op1": quality.quality,
+        "op3": lambda d: sentencepiece_codec.digest(d, MODEL),
+        "op4": lambda d: token_counts.token_counts(d, open(BPE_FILE).read()),
+        "op5": lambda d: toxicity.score(d, toxicity.Scorer({"idiot": 1.0})),
+        "op7": lambda d: langid.predict(d, model),
+    }[name]
+    found = run(docs).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((i is None, i or 0) for i, _ in rows)
+    own = [tuple(r)[1:] for r in found if r.doc_id == 0]
+    assert len(own) == 3 and len(set(own)) == 1
+    assert run(docs.limit(0)).collect() == [] and run(docs.limit(0)).columns == run(docs).columns
+    if name == "op3":
+        library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+        for r in found:
+            ids = library.encode((texts[r.doc_id] if r.doc_id is not None else texts[-1]) or "")
+            assert (r.n_tokens, r.ids_sha256, r.parity, r.round_trip) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True, True)
+
+
+def test_parity_is_also_measured_on_whole_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "WHOLE_ONE_IN", 1)
+    coder = sentencepiece_codec.Coder(MODEL)
+    texts = ["a b", " a", "a ", "  a  b  ", " ", "   ", "é\u00a0漢\t x\n y", "a" * 90, "\x00 b"] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    assert all(same and back for _, same, back in coder.encode(texts))
+    other = coder.encode(["a b c"])[0][0]
+    coder.seen["b"] = coder.seen["c"]  # a wrong join of right parts is seen on the whole text alone
+    wrong = coder.encode(["a b c"])[0]
+    assert wrong[0] != other and wrong[1:] == (False, False)
+
+
+def test_the_coder_forgets_all_but_so_many_parts():
+    coder = sentencepiece_codec.Coder(MODEL)
+    coder.encode([" ".join(f"p{i}" for i in range(3_000))])
+    coder.trim(1_200)
+    assert 1_000 < len(coder.seen) <= 1_200 and max(map(len, coder.seen)) <= 4
+    coder.trim(0)
+    assert not coder.seen and coder.encode(["p1 p2"])[0][1]
 
 
 def test_grammar_weighs_targets_negation_and_reports():
@@ -183,6 +269,42 @@ def test_an_insult_is_learned_beside_a_toxic_text_that_was_copied_often(spark):
     assert all(scorer.score(t) >= toxicity.THRESHOLD for t in toxic) and scorer.score(" ".join(say(40))) < toxicity.THRESHOLD
 
 
+def brute_total(text, insults):
+    """Clause sums by the rules themselves, without transducers."""
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n|]+", text.lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        waiting, said, target, negation = None, False, None, None  # threat or target that waits, as (kind, place)
+        for i, w in enumerate(words):
+            stem = next((x for x in insults if x[-1] == "*" and w.startswith(x[:-1]) and len(w) >= len(x) - 1), None)
+            kind = "insult" if w in insults else next((k for k, v in (("threat", toxicity.THREATS), ("late", toxicity.LATE_THREATS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) if w in v), "insult" if stem else "other")
+            near = waiting is not None and i - waiting[1] <= 3
+            pattern = insults.get(w, insults.get(stem)) if kind == "insult" else 1.0 if near and (waiting[0], kind) in (("threat", "target"), ("target", "late")) else 0.0
+            fired = kind != "insult" and pattern > 0
+            weight = pattern * (0.5 if said else 1.0)
+            if kind == "insult" and target is not None and i - target <= 6:
+                weight *= 1.5
+            if negation is not None and i - negation <= 3:
+                weight *= 0.3
+            total += weight
+            waiting = None if fired else (kind, i) if kind in ("threat", "target") else waiting
+            said = said or kind == "report"
+            target = i if kind == "target" else target
+            negation = i if kind == "negation" else negation
+    return total
+
+
+def test_clause_sums_equal_the_rules_read_word_by_word():
+    rng = random.Random(9)
+    insults = {"idiot": 1.0, "moron": 0.7, "dumm*": 0.5}
+    own = toxicity.Scorer(insults)
+    words = ["idiot", "moron", "Dummkopf", "you", "dich", "te", "kill", "matar", "töten", "not", "kein", "said", "dijo", "the", "plan", ".", "!", "\n", ","]
+    for _ in range(2_000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))
+        assert own.total(text) == pytest.approx(brute_total(text, insults)), text
+    assert own.total("te voy a matar") > 0 and own.total("ich werde dich töten") > 0 and own.total("matar el proceso") == 0
+
+
 def test_toxicity_without_labels_uses_the_fixed_lists(spark):
     docs = spark.createDataFrame([(1, "you are an idiot, you moron"), (2, "fine weather")], DOC)
     scorer = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -202,6 +324,118 @@ def test_language_is_accurate_on_held_out_documents(spark):
     assert langid.predict(odd, nothing).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(1)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(i, say("abcde", 30), "xa") for i in range(3_000)] + [(5_000 + i, say("vwxyz", 30), "xb") for i in range(60)] + [(9_000, "abc", None), (None, "abcde edcba", "xa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample_rows=200, lang_rows=20)
+    assert model.langs == ["xa", "xb"]
+    assert model.predict(say("vwxyz", 20))[0] == "xb" and model.predict(say("abcde", 20))[0] == "xa"
+    few = langid.train(docs, sample_rows=200, lang_rows=20, sample_counts=4_000)
+    assert few.langs == model.langs
+
+
+def test_ftrl_equals_a_plain_version():
+    """One weight at a time, by the published update."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4)) for _ in range(30)]
+    classes = rng.integers(0, 3, 30)
+    model = langid.Model(["a", "b", "c"], np.ones(12), np.zeros((12, 3)), np.zeros(3))
+    langid.fit_ftrl(model, rows, classes)
+    z, n = {}, {}
+
+    def weight(i, k):
+        zi = z.get((i, k), 0.0)
+        if abs(zi) <= langid.L1:
+            return 0.0
+        return -(zi - math.copysign(langid.L1, zi)) / ((langid.BETA + math.sqrt(n.get((i, k), 0.0))) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for r in order.permutation(30):
+            x = {**dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True)), 12: 1.0}
+            w = {(i, k): weight(i, k) for i in x for k in range(3)}
+            e = [math.exp(sum(w[i, k] * v for i, v in x.items())) for k in range(3)]
+            for i, v in x.items():
+                for k in range(3):
+                    g = (e[k] / sum(e) - (k == classes[r])) * v
+                    sigma = (math.sqrt(n.get((i, k), 0.0) + g * g) - math.sqrt(n.get((i, k), 0.0))) / langid.ALPHA
+                    z[i, k] = z.get((i, k), 0.0) + g - sigma * w[i, k]
+                    n[i, k] = n.get((i, k), 0.0) + g * g
+    got = np.vstack([model.weights, model.bias])
+    assert np.allclose(got, [[weight(i, k) for k in range(3)] for i in range(13)])
+    assert (got == 0).any()
+
+
+class _Plain(HTMLParser):
+    """Text, title, language and links by Python's own parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.links, self.title, self.lang, self.hidden, self.in_title = [], [], "", None, 0, False
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        self.hidden += tag in warc.HIDDEN
+        self.in_title = self.in_title or tag == "title"
+        if tag in warc.BLOCKS:
+            self.parts.append("\n")
+        if tag == "a" and own.get("href") is not None:
+            self.links.append(" ".join(own["href"].split()))
+        if tag == "html":
+            self.lang = own.get("lang")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc.HIDDEN
+        self.in_title = self.in_title and tag != "title"
+        if tag in warc.BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        self.parts.append(" " if self.hidden else data)
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+
+def test_records_equal_an_independent_rebuild(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    extra = [(901, "http://x/", "<html lang=de><title>A &lt; b</title><body><h1>T</h1><!-- c <p> --><p>one <b>two</b><br>three</p><script>if (a < b) {}</script><a class=k href=\"/q?a=1&amp;b=2\">l</a><ul><li>x<li>y</ul></html>"), (902, None, None), (902, None, None)]
+    pages = pages.union(spark.createDataFrame(extra, pages.schema)).selectExpr("*", "'x' as block", "'y' as headers", "1 as record_id")
+    got = {}
+    for r in warc.derive(warc.responses(pages)).collect():
+        got.setdefault((r.page_id, r.warc_type), []).append(r)
+    for row in pages.collect():
+        body, url = row.html or "", row.url or ""
+        data = body.encode()
+        sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(data)}"
+        plain = _Plain()
+        plain.feed(body)
+        plain.close()
+        text = "\n".join(x for x in (re.sub(r"[ \t\f\v\xa0]+", " ", line).strip() for line in re.split(r"[\r\n]+", "".join(plain.parts))) if x)
+        want = [("source-status", "HTTP/1.1 200 OK"), ("source-header-content-type", "text/html; charset=utf-8"), ("source-header-content-length", str(len(data))), ("source-payload-digest", sha(data)), ("source-block-digest", sha(head.encode() + b"\r\n\r\n" + data))]
+        want += [("title", " ".join(plain.title.split()))] * ("<title" in body) + [("language", plain.lang)] * bool(plain.lang) + [("outlink", x) for x in plain.links]
+        refers = f"<urn:uuid:{uuid.uuid5(warc.NAMESPACE, chr(0).join(['response', str(row.page_id), url, sha(data)]))}>"
+        for r in got[row.page_id, "metadata"]:
+            assert r.block == "".join(f"{n}: {v}\r\n" for n, v in want)
+            assert (r.refers_to, r.target_uri, r.content_length, r.block_digest) == (refers, url, len(r.block.encode()), sha(r.block.encode()))
+        for r in got[row.page_id, "conversion"]:
+            assert r.block == text and dict(r.headers)["WARC-Refers-To"] == refers
+    assert len(got[902, "metadata"]) == len(got[902, "conversion"]) == 2
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<", "<a href=", "<a href='x ", "<!--", "<script>", "</title", "<p", "&lt;<a href=\"x\">"])
+def test_broken_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    warc.read_page(page)
+    assert time.process_time() - began < 1.5
+
+
 def test_warc_records_refer_to_their_responses_and_survive_files(spark, sf_dir, tmp_path):
     pages = spark.createDataFrame(
         [(1, "http://a.example/x", "<html lang=en><title>T &amp; t</title><script>no()</script><p>One</p><p>Two &eacute; <a href='/y'>y</a></p></html>"), (2, None, None), (3, "http://b", "<p>\r\n\r\nx")],
