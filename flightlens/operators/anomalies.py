@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import fixed, haversine_m, is_valid_fix, seconds_between
-from flightlens.operators.places import with_previous
+from flightlens.operators.places import in_list, numbered, with_previous
 
 GAP_SECONDS = 5.0
 JUMP_MPS = 60.0
@@ -67,9 +67,9 @@ def midair_disarms(events: DataFrame, airborne_m: float = AIRBORNE_M) -> DataFra
 
 def anomaly_report(telemetry: DataFrame, events: DataFrame | None = None, **limits) -> DataFrame:
     """The findings, numbered per case: by point, then check; events last."""
-    order = Window.partitionBy("case_id").orderBy(F.col("check_no") == 3, "ingest_seq", "seq", "check_no")
-    found = anomaly_candidates(telemetry, events, **limits)
-    return found.select("case_id", F.format_string("ANOM-%03d", F.row_number().over(order)).alias("anomaly_id"), "ingest_seq", "seq", "anomaly_type", "severity", "description", "ts")
+    stretch = {"_late": F.col("check_no") == 3, **in_list()}
+    found = numbered(anomaly_candidates(telemetry, events, **limits), "number", ["case_id"], stretch, ["seq", "check_no"])
+    return found.select("case_id", F.format_string("ANOM-%03d", "number").alias("anomaly_id"), "ingest_seq", "seq", "anomaly_type", "severity", "description", "ts")
 
 
 def altitude_alerts(telemetry: DataFrame, limit_m: float = ALTITUDE_LIMIT_M) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlens.operators.places import by_number, by_time, in_list, with_last, with_previous
+
 CONFIDENT_SECONDS = 2.0
 IMAGE_TOLERANCE, VIDEO_PADDING = 60.0, 15.0
 
@@ -12,21 +14,19 @@ IMAGE_TOLERANCE, VIDEO_PADDING = 60.0, 15.0
 def nearest_media(media: DataFrame, telemetry: DataFrame) -> DataFrame:
     """Each media row with the telemetry row of its case nearest in time; equally near: the earlier in the list.
 
-    Both tables are sorted together once per case; running windows carry the last
-    telemetry row before and the first after each media row, so no row meets more than
-    two candidates. Media without a time, or whose case has no telemetry, have no row.
+    Both tables are sorted together in stretches of time; running windows carry the last
+    telemetry row before and the first after each media row, from stretch to stretch by one
+    row each, so no row meets more than two candidates and no task has a whole case. Media
+    without a time, or whose case has no telemetry, have no row.
     """
     nothing = F.lit(None).cast("struct<ts:timestamp,ingest_seq:bigint,seq:bigint,latitude:double,longitude:double,altitude_m:double>")
     left = media.filter(F.col("ts").isNotNull()).select("case_id", "ts", F.col("media_id"), F.lit(1).alias("kind"), nothing.alias("p"))
     # Of points at the same time the first in the list stands for all.
     firsts = telemetry.filter(F.col("ts").isNotNull()).groupBy("case_id", "ts").agg(F.min_by(F.struct(F.col("ingest_seq").cast("long").alias("ingest_seq"), F.col("seq").cast("long").alias("seq"), "latitude", "longitude", "altitude_m"), F.struct("ingest_seq", "seq")).alias("q"))
     right = firsts.select("case_id", "ts", F.lit(None).cast("long").alias("media_id"), F.lit(0).alias("kind"), F.struct("ts", "q.*").alias("p"))
-    order = Window.partitionBy("case_id").orderBy("ts", "kind")
-    both = left.unionByName(right).select(
-        "*",
-        F.last("p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("before"),
-        F.first("p", True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("after"),
-    )
+    stretch = {"_stretch": by_time(F.col("ts"))}
+    both = with_last(left.unionByName(right), {"before": F.col("p")}, ["case_id"], stretch, ["ts", "kind"])
+    both = with_last(both, {"after": F.col("p")}, ["case_id"], stretch, ["ts", "kind"], descending=True)
     gap = lambda p: F.abs(F.unix_micros(F.col("ts")) - F.unix_micros(F.col(f"{p}.ts"))) / F.lit(1e6)
     earlier = (gap("before") < gap("after")) | ((gap("before") == gap("after")) & (F.struct("before.ingest_seq", "before.seq") < F.struct("after.ingest_seq", "after.seq")))
     chosen = both.filter("kind = 1").withColumn("m", F.when(F.col("after").isNull() | (F.col("before").isNotNull() & earlier), F.col("before")).otherwise(F.col("after"))).filter(F.col("m").isNotNull())
@@ -73,8 +73,8 @@ def media_capture(media: DataFrame, overlap: DataFrame) -> DataFrame:
 
 def carry_forward(rows: DataFrame, columns: list[str], partition: list[str] | None = None) -> DataFrame:
     """Nulls of the columns filled with the last value before them in list order."""
-    order = Window.partitionBy(*(partition or ["case_id"])).orderBy("ingest_seq", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(c, True).over(order) for c in columns})
+    found = with_last(rows, {c: F.col(c) for c in columns}, partition or ["case_id"], in_list(), ["seq"])
+    return found.select(*rows.columns)
 
 
 def last_known_position(events: DataFrame, telemetry: DataFrame) -> DataFrame:
@@ -82,26 +82,30 @@ def last_known_position(events: DataFrame, telemetry: DataFrame) -> DataFrame:
     position = ("latitude", "longitude", "altitude_m")
     left = events.select("case_id", "ts", "event_id", "event_type", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("ord"), *[F.lit(None).cast("double").alias(c) for c in position])
     right = telemetry.select("case_id", "ts", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("ord"), *position)
-    order = Window.partitionBy("case_id").orderBy("ts", "kind", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return left.unionByName(right).withColumns({c: F.last(c, True).over(order) for c in position}).filter("kind = 1").select("case_id", "event_id", "event_type", "ts", *position)
+    found = with_last(left.unionByName(right), {c: F.col(c) for c in position}, ["case_id"], {"_stretch": by_time(F.col("ts"))}, ["ts", "kind", "ord"])
+    return found.filter("kind = 1").select("case_id", "event_id", "event_type", "ts", *position)
 
 
 def arm_edges(rows: DataFrame, armed: Column) -> DataFrame:
     """Rows at which the armed state changes; before the first row it is off."""
-    order = Window.partitionBy("case_id").orderBy("ingest_seq", "seq")
-    marked = rows.withColumn("armed", F.coalesce(armed, F.lit(False)))
-    return marked.withColumn("was", F.lag("armed", 1, False).over(order)).filter(F.col("armed") != F.col("was")).withColumn("event_type", F.when(F.col("armed"), "ARM").otherwise("DISARM")).drop("was", "armed")
+    marked = with_previous(rows.withColumn("armed", F.coalesce(armed, F.lit(False))), ("armed",))
+    changed = marked.filter(F.col("armed") != F.coalesce("prev_armed", F.lit(False)))
+    return changed.withColumn("event_type", F.when(F.col("armed"), "ARM").otherwise("DISARM")).drop("prev_armed", "armed")
 
 
 def resample(telemetry: DataFrame, step_ms: int = 1000) -> DataFrame:
-    """One row per case and slot of `step_ms` that holds rows: the last of them, stamped with the slot's start.
+    """One row per case and slot of `step_ms` that holds rows, stamped with the slot's start, with the last known values.
 
-    Slots count from the case's first time. Where a file emits at most once per message
-    and slot, these are its emissions; empty slots give no row.
+    Slots count from the case's first time. A value is the last one that is not null in the
+    slot, or, if it has none, in the slots before. Where a file emits at most once per
+    message and slot, these are its emissions; empty slots give no row.
     """
-    first = F.min(F.unix_micros("ts")).over(Window.partitionBy("case_id"))
-    slots = telemetry.filter(F.col("ts").isNotNull()).withColumn("t0", first).withColumn("slot", F.floor((F.unix_micros("ts") - F.col("t0")) / F.lit(step_ms * 1000)).cast("long"))
-    last = F.max_by(F.struct("latitude", "longitude", "altitude_m"), F.struct("ts", "ingest_seq", "seq"))
-    return slots.groupBy("case_id", "slot").agg(F.min("t0").alias("t0"), last.alias("p"), F.count("*").alias("rows_in_slot")).select(
-        "case_id", "slot", F.timestamp_micros(F.col("t0") + F.col("slot") * (step_ms * 1000)).alias("slot_ts"), "p.*", "rows_in_slot"
-    )
+    values = ("latitude", "longitude", "altitude_m")
+    timed = telemetry.filter(F.col("ts").isNotNull())
+    starts = timed.groupBy("case_id").agg(F.min(F.unix_micros("ts")).alias("t0")).withColumnRenamed("case_id", "_case")
+    slots = timed.join(starts, F.col("case_id").eqNullSafe(F.col("_case"))).withColumn("slot", F.floor((F.unix_micros("ts") - F.col("t0")) / F.lit(step_ms * 1000)).cast("long"))
+    order = F.struct("ts", "ingest_seq", "seq")
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in values]
+    found = slots.groupBy("case_id", "slot").agg(F.min("t0").alias("t0"), *last, F.count("*").alias("rows_in_slot"))
+    found = with_last(found, {c: F.col(c) for c in values}, ["case_id"], {"_stretch": by_number(F.col("slot"))}, ["slot"])
+    return found.select("case_id", "slot", F.timestamp_micros(F.col("t0") + F.col("slot") * (step_ms * 1000)).alias("slot_ts"), *values, "rows_in_slot")

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from flightlens.operators.places import by_number, previous
 
 #: Fixed value: what the first entry of a chain is linked to.
 GENESIS = "GENESIS_BLOCK_000000000000000000000000"
@@ -27,27 +33,35 @@ def payload(case_id: Column, ts: Column, actor: Column, action: Column, details:
 def chain_append(entries: DataFrame, key: bytes) -> DataFrame:
     """entries with previous_hash and signature, chained per case in entry_id order.
 
-    A signature needs the one before it, so a case is a serial fold over its entries,
-    which have to fit one row; cases are independent and run in parallel.
+    A signature needs the one before it, so a case is signed by one task, in one pass over
+    its sorted rows that keeps the last signature alone; cases run in parallel, and however
+    many entries a case has, none is gathered.
     """
-    entry = F.struct("entry_id", "ts_raw", "actor", "action", "details", "evidence_item_id")
-    chains = entries.groupBy("case_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    start = F.array().cast("array<struct<e:struct<entry_id:bigint,ts_raw:string,actor:string,action:string,details:string,evidence_item_id:string>,previous_hash:string,signature:string>>")
-
-    def append(chain: Column, e: Column) -> Column:
-        previous = F.coalesce(F.get(chain, F.size(chain) - 1)["signature"], F.lit(GENESIS))
-        signed = hmac_sha256(payload(F.col("case_id"), e["ts_raw"], e["actor"], e["action"], e["details"], e["evidence_item_id"], previous), key)
-        return F.concat(chain, F.array(F.struct(e.alias("e"), previous.alias("previous_hash"), signed.alias("signature"))))
-
-    folded = chains.select("case_id", F.explode(F.aggregate("entries", start, append)).alias("x"))
-    return folded.select("case_id", "x.e.*", "x.previous_hash", "x.signature")
+    signed = payload(*[F.col(c) for c in ("case_id", "ts_raw", "actor", "action", "details", "evidence_item_id")], F.lit(""))
+    rows = entries.select("case_id", "entry_id", "ts_raw", "actor", "action", "details", "evidence_item_id", signed.alias("signed"))
+    rows = rows.repartition("case_id").sortWithinPartitions("case_id", "entry_id")
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        case, last = object(), GENESIS
+        for batch in batches:
+            before, own = [], []
+            for of, text in zip(batch["case_id"].tolist(), batch["signed"], strict=True):
+                if of != case:
+                    case, last = of, GENESIS
+                before.append(last)
+                last = hmac.new(key, (text + last).encode(), hashlib.sha256).hexdigest()
+                own.append(last)
+            yield batch.drop(columns="signed").assign(previous_hash=before, signature=own)
+
+    fields = [f for f in rows.schema.fields if f.name != "signed"]
+    return rows.mapInPandas(sign, T.StructType([*fields, T.StructField("previous_hash", T.StringType()), T.StructField("signature", T.StringType())]))
 
 
 def chain_check(custody: DataFrame, key: bytes) -> DataFrame:
     """custody with linked (the previous hash is the previous signature) and genuine (the signature is right), in parallel."""
-    before = F.lag("signature").over(Window.partitionBy("case_id").orderBy("entry_id"))
+    linked = previous(custody, F.struct("signature"), "_before", ["case_id"], {"_stretch": by_number(F.col("entry_id"))}, "entry_id")
     signed = hmac_sha256(payload(*[F.col(c) for c in ("case_id", "ts_raw", "actor", "action", "details", "evidence_item_id", "previous_hash")]), key)
-    return custody.withColumns({"expected_previous": F.coalesce(before, F.lit(GENESIS))}).withColumns(
+    return linked.withColumn("expected_previous", F.coalesce("_before.signature", F.lit(GENESIS))).drop("_before").withColumns(
         {"linked": F.coalesce(F.col("previous_hash") == F.col("expected_previous"), F.lit(False)), "genuine": F.coalesce(F.col("signature") == signed, F.lit(False))}
     )
 
@@ -66,5 +80,5 @@ def chain_verify(custody: DataFrame, key: bytes) -> DataFrame:
 def link_table(entries: DataFrame) -> DataFrame:
     """Unsigned links: each entry with a digest of its own fields and that of the entry before it."""
     own = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("case_id", "entry_id", "actor", "action", "details")]), 256)
-    order = Window.partitionBy("case_id").orderBy("entry_id")
-    return entries.withColumn("entry_hash", own).withColumn("previous_entry_hash", F.coalesce(F.lag("entry_hash").over(order), F.lit(GENESIS))).select("case_id", "entry_id", "entry_hash", "previous_entry_hash")
+    linked = previous(entries.withColumn("entry_hash", own), F.struct("entry_hash"), "_before", ["case_id"], {"_stretch": by_number(F.col("entry_id"))}, "entry_id")
+    return linked.withColumn("previous_entry_hash", F.coalesce("_before.entry_hash", F.lit(GENESIS))).select("case_id", "entry_id", "entry_hash", "previous_entry_hash")

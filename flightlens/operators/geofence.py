@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import METRES_PER_DEGREE, fixed, haversine_m, point_in_polygon
-from flightlens.operators.places import with_place
+from flightlens.operators.places import by_number, in_list, numbered, with_place
 
 CELL_DEGREES = 0.05
 
@@ -67,10 +67,10 @@ def geofence_violations(telemetry: DataFrame, zones: DataFrame) -> DataFrame:
     altitude = fixed(F.col("altitude_m"), 1)
     ceiling = F.concat(F.lit("UAV exceeded statutory ceiling ("), F.col("max_altitude_m").cast("string"), F.lit("m) inside '"), "name", F.lit("'"), prefix, F.lit(" at altitude "), altitude, F.lit("m"))
     entry = F.concat(F.lit("UAV entered restricted airspace '"), "name", F.lit("'"), prefix, F.lit(" at altitude "), altitude, F.lit("m"))
-    order = Window.partitionBy("case_id").orderBy("ingest_seq", "seq", "zone_pos")
-    return zone_matches(telemetry, zones).select(
+    found = numbered(zone_matches(telemetry, zones), "number", ["case_id"], in_list(), ["seq", "zone_pos"])
+    return found.select(
         "case_id",
-        F.format_string("VIO-%04d", F.row_number().over(order)).alias("violation_id"),
+        F.format_string("VIO-%04d", "number").alias("violation_id"),
         "ingest_seq",
         "seq",
         "zone_pos",
@@ -90,8 +90,9 @@ def geofence_violations(telemetry: DataFrame, zones: DataFrame) -> DataFrame:
 
 def breach_episodes(telemetry: DataFrame, zones: DataFrame) -> DataFrame:
     """Visits to a zone: runs of consecutive points of a case inside it, with entry, exit, peak and duration."""
-    numbered = with_place(telemetry).withColumn("place", F.col("place") + 1).drop("case_rows")
-    runs = zone_matches(numbered, zones).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("case_id", "zone_id").orderBy("place")))
+    placed = with_place(telemetry).withColumn("place", F.col("place") + 1).drop("case_rows")
+    inside = numbered(zone_matches(placed, zones), "nth", ["case_id", "zone_id"], {"_stretch": by_number(F.col("place"))}, ["place"])
+    runs = inside.withColumn("run", F.col("place") - F.col("nth"))
     return runs.groupBy("case_id", "zone_id", "run").agg(
         F.min("place").alias("first_place"),
         F.min_by("ts", "place").alias("entry_ts"),

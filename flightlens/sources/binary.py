@@ -286,12 +286,13 @@ def signature_marks(data: bytes) -> Iterator[tuple]:
 def carve_extents(spark: SparkSession, path: str, most: int = MOST_CARVES) -> DataFrame:
     """(file, carve_id, file_type, byte_offset, size_bytes): headers with the next footer within the greatest size, else the default size.
 
-    Marks are found per file; headers and footers are paired by an ordered window.
+    Marks are found per file; a running window from the end of the file backwards pairs
+    each header with the next footer.
     """
     marks = framed(read_files(spark, path), signature_marks, "rank int, footer boolean, total long")
     kinds = spark.createDataFrame([(i, k, len(h), o, 0 if f is None else len(f), g, d) for i, (k, h, o, f, g, d) in enumerate(SIGNATURES)], "rank int, file_type string, header_len int, header_off int, footer_len int, greatest long, default_len long")
-    ahead = Window.partitionBy("file", "rank").orderBy("off", "footer").rowsBetween(1, Window.unboundedFollowing)
-    paired = marks.withColumn("next", F.first(F.when(F.col("footer"), F.col("off")), True).over(ahead)).filter("not footer").join(F.broadcast(kinds), "rank")
+    ahead = Window.partitionBy("file", "rank").orderBy(F.desc("off"), F.desc("footer")).rowsBetween(Window.unboundedPreceding, -1)
+    paired = marks.withColumn("next", F.last(F.when(F.col("footer"), F.col("off")), True).over(ahead)).filter("not footer").join(F.broadcast(kinds), "rank")
     start = F.greatest(F.lit(0), F.col("off") - F.col("header_off"))
     closed = (F.col("next") >= F.col("off") + F.col("header_len")) & (F.col("next") - start + F.col("footer_len") <= F.col("greatest"))
     finish = F.when(F.coalesce(closed, F.lit(False)), F.col("next") + F.col("footer_len")).otherwise(F.least(F.col("total"), start + F.col("default_len")))
