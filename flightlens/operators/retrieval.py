@@ -17,6 +17,10 @@ from flightlens.functions.geo import fixed
 
 DIMS = 768
 QUERY_K, STORE_K = 10, 8
+#: Queries that are broadcast at once: 8 bytes a dimension, so tens of MB.
+QUERY_BLOCK = 4_096
+#: Texts are embedded in slices of about so many texts or characters.
+SLICE_TEXTS, SLICE_CHARS = 1_000, 1_000_000
 _SEPARATORS = str.maketrans(",|:", "   ")
 
 
@@ -149,77 +153,129 @@ def all_chunks(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("chunk_id", F.concat_ws("_", F.col("case_id").cast("string"), "chunk_type", F.col("place").cast("string")))
 
 
-class _Hashes(dict):
-    """Index and weight of a word or trigram, remembered."""
+def _digits(found: hashlib._Hash) -> int:
+    return int(found.hexdigest()[:8], 16)
+
+
+class _Trigrams:
+    """Places of character trigrams in the vector, remembered as sorted codes."""
+
+    def __init__(self, dims: int, most: int = 1_000_000) -> None:
+        self.dims, self.most = dims, most
+        self.codes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each of these different codes, three characters of 21 bits each."""
+        at = np.searchsorted(self.codes, codes)
+        known = at < len(self.codes)
+        known[known] = self.codes[at[known]] == codes[known]
+        new = codes[~known]
+        terms = ["".join(chr(int(c) >> shift & 0x1FFFFF) for shift in (42, 21, 0)).lower() for c in new]
+        found = [(_digits(hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False)) >> 4) % self.dims for t in terms]
+        places = np.zeros(len(codes), np.int64)
+        places[known], places[~known] = self.places[at[known]], found
+        if len(self.codes) + len(new) > self.most:
+            self.codes, self.places = codes, places
+        else:
+            codes = np.concatenate([self.codes, new])
+            order = np.argsort(codes)
+            self.codes, self.places = codes[order], np.concatenate([self.places, np.array(found, np.int64)])[order]
+        return places
+
+
+class _Words(dict):
+    """Place and sign of a word, remembered."""
 
     def __init__(self, dims: int) -> None:
         self.dims = dims
 
-    def __missing__(self, key: tuple[str, bool]) -> tuple[int, float]:
-        term, is_word = key
-        if is_word:
-            code = int(hashlib.sha256(term.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
-            found = code % self.dims, 1.0 if code >> 16 & 1 == 0 else -1.0
-        else:
-            code = int(hashlib.md5(term.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:8], 16)
-            found = (code >> 4) % self.dims, 0.5
-        if len(self) > 500_000:
-            self.clear()
-        self[key] = found
+    def __missing__(self, word: str) -> tuple[int, float]:
+        code = _digits(hashlib.sha256(word.encode("utf-8", "surrogatepass")))
+        self[word] = found = code % self.dims, 1.0 if code >> 16 & 1 == 0 else -1.0
         return found
 
 
+def _embedded(texts: list[str], dims: int, words: _Words, trigrams: _Trigrams) -> np.ndarray:
+    """A row of unit length for each text, or of zeros."""
+    split = [re.split(r"\s+", t.lower().translate(_SEPARATORS).strip()) for t in texts]
+    filled = [s != [""] for s in split]
+    terms = [words[w] for s, f in zip(split, filled, strict=True) if f for w in s]
+    rows = np.repeat(np.arange(len(texts)), [len(s) if f else 0 for s, f in zip(split, filled, strict=True)])
+    at, weights = np.array([t[0] for t in terms], np.int64), np.array([t[1] for t in terms])
+    total = np.bincount(rows * dims + at, weights, len(texts) * dims)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    last = np.cumsum(sizes)[owner] - np.arange(len(points))  # characters from here to the text's end
+    inside = ((last >= 3) & np.array(filled)[owner])[: len(codes)] if len(points) > 2 else np.zeros(0, bool)
+    codes, owner = codes[inside], owner[: len(inside)][inside]
+    if len(codes):
+        different, which = np.unique(codes, return_inverse=True)
+        total += 0.5 * np.bincount(owner * dims + trigrams(different)[which], minlength=len(texts) * dims)
+    vectors = total.reshape(len(texts), dims)
+    norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.where(norms > 1e-6, vectors / np.maximum(norms, 1e-6), vectors).astype(np.float32)
+
+
 def hash_embed(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     """texts with an `embedding` of unit length of hashed words and character trigrams; texts without words have zeros.
 
-    A text has few different trigrams over and over, so a worker remembers their hashes;
-    hashing each occurrence in the JVM took fifty times as long.
+    A text has few different trigrams over and over: they are hashed once for a slice of
+    texts, remembered in a worker, and added up as counts.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = _Hashes(dims)
+        words, trigrams = _Words(dims), _Trigrams(dims)
         for batch in batches:
-            out = []
+            out, held, size = [], [], 0
             for text in batch:
-                vector = np.zeros(dims, np.float32)
-                words = re.split(r"\s+", (text or "").lower().translate(_SEPARATORS).strip())
-                if words != [""]:
-                    terms = [known[w, True] for w in words] + [known[text[i : i + 3].lower(), False] for i in range(len(text) - 2)]
-                    np.add.at(vector, [t[0] for t in terms], [t[1] for t in terms])
-                    norm = float(np.sqrt((vector.astype(np.float64) ** 2).sum()))
-                    if norm > 1e-6:
-                        vector = (vector / norm).astype(np.float32)
-                out.append(vector)
-            yield pd.Series(out)
+                held.append(text or "")
+                size += len(held[-1])
+                if len(held) >= SLICE_TEXTS or size >= SLICE_CHARS:
+                    out += list(_embedded(held, dims, words, trigrams))
+                    held, size = [], 0
+                    if len(words) > 500_000:
+                        words.clear()
+            yield pd.Series(out + list(_embedded(held, dims, words, trigrams)) if held else out)
 
     return texts.withColumn("embedding", embed("text"))
 
 
+def length(v: Column) -> Column:
+    """The Euclidean length of a vector."""
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; zero if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    norm = length(a) * length(b)
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = QUERY_K, where: Column | None = None, per_case: bool = True, blocks: int = 16) -> DataFrame:
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = QUERY_K, where: Column | None = None, per_case: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """The k chunks nearest each query by cosine; `where` filters chunks first. Ties go to the lesser id.
 
     queries: query_id, case_id, query_vector; chunks: chunk_id, case_id, embedding. The
     queries are a stated set: each meets the chunks of its case, or, with per_case off, all
-    chunks, dealt over `blocks` blocks of queries. The rank limit is applied in each task
-    before the shuffle, so a task hands on at most k candidates of a query.
+    chunks. They are broadcast, `block` queries at a time, so chunks stay where they are and
+    a case with most of them is split like any other; lengths are computed once. The rank
+    limit is applied in each task before the shuffle, so a task hands on at most k candidates
+    of a query.
     """
     found = chunks if where is None else chunks.filter(where)
-    if per_case:
-        pair = queries.join(found, "case_id")
-    else:
-        dealt = queries.drop("case_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pair = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
-    scored = pair.select("query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("embedding")), 4).alias("score"))
+    found = found.select("chunk_id", "embedding", length(F.col("embedding")).alias("_length"), (F.col("case_id") if per_case else F.lit(0)).alias("_of"))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select("query_id", "query_vector", length(F.col("query_vector")).alias("_q_length"), (F.col("case_id") if per_case else F.lit(0)).alias("_asked"))
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dot = F.aggregate(F.zip_with("query_vector", "embedding", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    lengths = F.col("_q_length") * F.col("_length")
+    score = F.round(F.when(lengths > 0, dot / lengths).otherwise(0.0), 4).alias("score")
+    parts = [found.join(F.broadcast(asked.filter(F.col("_block") == i)), F.col("_of") == F.col("_asked")).select("query_id", "chunk_id", score) for i in range(blocks)]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def numbered_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:
