@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlens.functions.geo import fixed
+
 
 def _track(telemetry: DataFrame, row: Column) -> DataFrame:
     """Per case its rows in list order; a case's track has to fit one row, as its export has to fit one text."""
@@ -44,7 +46,7 @@ def to_srt(slots: DataFrame, step_ms: int = 1000) -> DataFrame:
     start = F.col("slot") * step_ms
     block = F.concat(
         (F.col("slot") + 1).cast("string"), F.lit("\n"), clock(start), F.lit(" --> "), clock(start + step_ms), F.lit("\n"),
-        F.format_string("[latitude: %.7f] [longitude: %.7f] [altitude: %.2f]", "latitude", "longitude", "altitude_m"), F.lit("\n"),
+        F.lit("[latitude: "), fixed(F.col("latitude"), 7), F.lit("] [longitude: "), fixed(F.col("longitude"), 7), F.lit("] [altitude: "), fixed(F.col("altitude_m"), 2), F.lit("]\n"),
     )
     return slots.select("case_id", "slot", block.alias("srt"))
 

@@ -400,7 +400,20 @@ def evidence_counts(spark, sf_dir):
     return summary.evidence_counts(_classified(spark, sf_dir))
 
 
-@query("detect_platform")
+_EXT, _HEAD = "regexp_extract(path, '(\\.[a-z]+)$', 1)", "left(content, 2048)"
+
+
+@query(
+    "detect_platform",
+    f"""WITH {views.EVIDENCE}, h AS (SELECT item_id, {_EXT} AS ext, {_HEAD} AS head FROM evi)
+SELECT item_id, CASE WHEN ext = '.txt' AND regexp_matches(head, 'OSD\\.|CUSTOM\\.|DJI|flycState') THEN 'dji' WHEN ext = '.txt' AND regexp_matches(head, 'FMT,|QGC WPL') THEN 'ardupilot' WHEN ext = '.plan' AND regexp_matches(head, 'QGroundControl|Plan') THEN 'ardupilot'
+    WHEN ext = '.csv' AND regexp_matches(split_part(head, chr(10), 1), 'timestamp.*(lat|vehicle_gps|lon)|(lat|vehicle_gps|lon).*timestamp') THEN 'px4' WHEN ext = '.json' AND NOT regexp_matches(head, 'gs_pro|home_location|DJI') AND regexp_matches(head, 'parrot|anafi|bebop|run_id|flightplan', 'i') THEN 'parrot'
+    WHEN ext = '.txt' AND regexp_matches(head, 'feature GPS|set nav_|set craft_name|# diff|H Product:Blackbox|H Firmware type:(Betaflight|INAV)') THEN 'betaflight' WHEN ext = '.bin' THEN 'ardupilot' WHEN ext = '.ulg' THEN 'px4' ELSE 'dji' END AS platform,
+  CASE WHEN ext = '.plan' THEN 'QGroundControl' WHEN ext = '.txt' AND contains(split_part(head, chr(10), 1), 'QGC WPL') THEN 'QGroundControl / Mission Planner' WHEN ext = '.kml' AND regexp_matches(head, 'wpml:|(?i:dji)') THEN 'DJI Pilot 2 (WPML)'
+    WHEN ext = '.json' AND regexp_matches(head, 'gs_pro|gs pro|gspro|dji', 'i') THEN 'DJI GS Pro' WHEN ext = '.json' AND regexp_matches(head, 'flightplan|freeflight|parrot', 'i') THEN 'Parrot FlightPlan' WHEN ext = '.json' AND regexp_matches(head, 'inav|mwp', 'i') THEN 'iNav Mission Planner' END AS station,
+  CASE WHEN ext = '.csv' AND regexp_matches(split_part(head, chr(10), 1), 'phone_latitude', 'i') THEN 'Litchi for DJI Drones' WHEN ext = '.csv' AND regexp_matches(split_part(head, chr(10), 1), 'autel|flightrecord', 'i') THEN 'Autel Explorer' WHEN ext = '.txt' AND regexp_matches(head, 'speedybee', 'i') THEN 'SpeedyBee Mobile App'
+    WHEN ext = '.json' AND regexp_matches(head, 'freeflight|anafi|bebop|parrot|gutma|flight_logging', 'i') THEN 'Parrot FreeFlight 6' END AS app_name FROM h""",
+)
 def detect_platform(spark, sf_dir):
     rows = _classified(spark, sf_dir)
     station, app = evidence.ground_station(F.col("path"), F.col("head")), evidence.companion_app(F.col("path"), F.col("head"))
@@ -425,7 +438,22 @@ def custody_links(spark, sf_dir):
     return custody.link_table(views.custody(spark, sf_dir))
 
 
-@query("custody_chain")
+def _pad(byte: int) -> str:
+    return "'" + "".join(f"\\x{b ^ byte:02X}" for b in EXAMPLE_KEY.ljust(custody.BLOCK, b"\0")) + "'::BLOB"
+
+
+_SIGNED = f"sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(message))))"
+
+
+@query(
+    "custody_chain",
+    f"""WITH RECURSIVE e AS (SELECT conv_id AS case_id, turn AS entry_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, conv_id || '|t' || turn || '|' || coalesce(role, '') || '|NOTE|' || coalesce(text, '') || '||' AS body FROM conversations),
+c AS (
+  SELECT case_id, entry_id, k, previous_hash, {_SIGNED} AS signature FROM (SELECT *, '{custody.GENESIS}' AS previous_hash, body || '{custody.GENESIS}' AS message FROM e WHERE k = 1)
+  UNION ALL
+  SELECT case_id, entry_id, k, previous_hash, {_SIGNED} FROM (SELECT e.*, c.signature AS previous_hash, e.body || c.signature AS message FROM c JOIN e ON e.case_id = c.case_id AND e.k = c.k + 1))
+SELECT case_id, entry_id, previous_hash, signature FROM c""",
+)
 def custody_chain(spark, sf_dir):
     return custody.chain_append(views.custody(spark, sf_dir), EXAMPLE_KEY).select("case_id", "entry_id", "previous_hash", "signature")
 
@@ -506,11 +534,24 @@ def chunk_count(spark, sf_dir):
     return retrieval.chunk_count(retrieval.all_chunks(*parts))
 
 
-@query("hash_embed")
+@query(
+    "hash_embed",
+    """WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text, regexp_replace(regexp_replace(lower(translate(coalesce(text, ''), ',|:', '   ')), '^\\s+', ''), '\\s+$', '') AS clean FROM documents),
+term AS (
+  SELECT id, code % 768 AS dim, CASE WHEN (code >> 16) & 1 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS v FROM (SELECT id, ('0x' || left(sha256(w), 8))::BIGINT AS code FROM (SELECT id, unnest(regexp_split_to_array(clean, '\\s+')) AS w FROM d WHERE clean <> ''))
+  UNION ALL
+  SELECT id, (code >> 4) % 768, 0.5::DOUBLE FROM (SELECT id, ('0x' || left(md5(lower(substring(text, i, 3))), 8))::BIGINT AS code FROM (SELECT id, text, unnest(range(1, length(text) - 1)) AS i FROM d WHERE clean <> ''))),
+raw AS (SELECT id, dim, sum(v) AS v FROM term GROUP BY id, dim),
+norm AS (SELECT id, sqrt(sum(v * v)) AS n FROM raw GROUP BY id)
+SELECT d.id, CASE WHEN max(coalesce(n, 0)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS self_cosine,
+  sha256(string_agg(CAST(round(CAST(CAST(coalesce(raw.v / n, 0) AS FLOAT) AS DOUBLE) * 100000) AS BIGINT), ',' ORDER BY k.dim)) AS digest
+FROM d CROSS JOIN (SELECT unnest(range(768)) AS dim) k LEFT JOIN norm USING (id) LEFT JOIN raw ON raw.id = d.id AND raw.dim = k.dim GROUP BY d.id""",
+)
 def hash_embed(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = retrieval.hash_embed(rows)
-    return found.select("id", F.round(retrieval.cosine(F.col("embedding"), F.col("embedding")), 4).alias("self_cosine"), F.sha2(F.array_join(F.transform("embedding", lambda v: F.round(v, 5).cast("string")), ","), 256).alias("digest"))
+    whole = F.transform("embedding", lambda v: F.round(v.cast("double") * 100_000).cast("long").cast("string"))
+    found = retrieval.hash_embed(rows).select("id", "embedding", retrieval.length(F.col("embedding")).alias("n"))
+    return found.select("id", F.round(F.when(F.col("n") > 0, F.col("n") * F.col("n")).otherwise(0.0), 4).alias("self_cosine"), F.sha2(F.array_join(whole, ","), 256).alias("digest"))
 
 
 @query(
@@ -547,17 +588,33 @@ def suite_score(spark, sf_dir):
     return detectors.suite_score(table(spark, sf_dir, "documents").select(F.col("source").alias("suite"), (F.col("n_chars") > 300).alias("passed")))
 
 
-@query("geojson_track")
+@query(
+    "geojson_track",
+    f"""WITH {views.TELEMETRY}, p AS (SELECT *, '[' || longitude || ',' || latitude || ',' || altitude_m || ']' AS pt, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM tel)
+SELECT case_id, '{{"type":"FeatureCollection","features":[{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || string_agg(pt, ',' ORDER BY seq) || ']}},"properties":{{"name":"UAV Flight Trajectory","points_count":' || count(*) || '}}}},{{"type":"Feature","geometry":{{"type":"Point","coordinates":'
+  || arg_min(pt, seq) || '}},"properties":{{"name":"Takeoff / Origin","timestamp":"' || arg_min(stamp, seq) || '"}}}},{{"type":"Feature","geometry":{{"type":"Point","coordinates":' || arg_max(pt, seq) || '}},"properties":{{"name":"Final Position / Landing","timestamp":"' || arg_max(stamp, seq) || '"}}}}]}}' AS geojson FROM p GROUP BY case_id""",
+)
 def geojson_track(spark, sf_dir):
     return sinks.to_geojson(views.telemetry(spark, sf_dir))
 
 
-@query("kml_track")
+@query(
+    "kml_track",
+    f"""WITH {views.TELEMETRY} SELECT case_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>UAV Flight</name><Placemark><name>3D Flight Path</name><LineString><extrude>1</extrude><tessellate>1</tessellate><altitudeMode>relativeToGround</altitudeMode><coordinates>' || chr(10)
+  || string_agg(concat_ws(',', longitude, latitude, altitude_m), chr(10) ORDER BY seq) || chr(10) || '</coordinates></LineString></Placemark></Document></kml>' AS kml FROM tel GROUP BY case_id""",
+)
 def kml_track(spark, sf_dir):
     return sinks.to_kml(views.telemetry(spark, sf_dir))
 
 
-@query("srt_track")
+_CLOCK_SQL = "printf('%02d:%02d:%02d,000', ({0}) // 3600, ({0}) // 60 % 60, ({0}) % 60)"
+
+
+@query(
+    "srt_track",
+    f"""WITH r AS ({ORACLE_SQL["resample_1h"].replace(" AS altitude_m, count", " AS altitude_m, arg_max(latitude, struct_pack(ts := ts, seq := seq)) AS latitude, arg_max(longitude, struct_pack(ts := ts, seq := seq)) AS longitude, count")})
+SELECT case_id, slot, slot + 1 || chr(10) || {_CLOCK_SQL.format("slot * 3600")} || ' --> ' || {_CLOCK_SQL.format("slot * 3600 + 3600")} || chr(10) || printf('[latitude: %.7f] [longitude: %.7f] [altitude: %.2f]', latitude, longitude, altitude_m) || chr(10) AS srt FROM r""",
+)
 def srt_track(spark, sf_dir):
     return sinks.to_srt(asof.resample(views.telemetry(spark, sf_dir), 3_600_000), 3_600_000)
 

@@ -64,12 +64,21 @@ def stream_summary(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("case_id").agg(F.count("*").alias("points"), F.max("altitude_m").alias("max_altitude_m"), F.max("ground_speed_mps").alias("max_speed_mps"))
 
 
-def stream_media_match(media: DataFrame, telemetry: DataFrame, seconds: int = 60, delay: str = "10 minutes") -> DataFrame:
-    """Media rows with every point of their case within `seconds`; both sides forget rows behind the watermark."""
-    m = media.withWatermark("ts", delay).alias("m")
+def stream_media_match(media: DataFrame, telemetry: DataFrame, seconds: int = 60, padding: int = 15, longest: int = 7_200, delay: str = "10 minutes") -> DataFrame:
+    """Media rows with the points of their case they belong to; both sides forget rows behind the watermark.
+
+    An image (no duration_sec) takes the points within `seconds` of it, a video those inside
+    its interval and `padding` seconds around it. How long state is kept follows from
+    `longest`, the seconds a video may last at most; a longer one takes the points up to there.
+    """
+    m = (media if "duration_sec" in media.columns else media.withColumn("duration_sec", F.lit(None).cast("double"))).withWatermark("ts", delay).alias("m")
     t = telemetry.withWatermark("ts", delay).alias("t")
-    near = F.expr(f"t.ts between m.ts - interval {seconds} seconds and m.ts + interval {seconds} seconds")
-    return m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & near).select(F.col("m.case_id").alias("case_id"), "m.media_id", F.col("m.ts").alias("capture_ts"), "t.seq", F.col("t.ts").alias("point_ts"))
+    reach = F.expr(f"t.ts between m.ts - interval {max(seconds, padding)} seconds and m.ts + interval {max(seconds, longest + padding)} seconds")
+    after = (F.unix_micros("t.ts") - F.unix_micros("m.ts")) / F.lit(1e6)
+    length = F.coalesce("m.duration_sec", F.lit(0.0))
+    near = F.when(length > 0, (after >= -padding) & (after <= length + padding)).otherwise(F.abs(after) <= seconds)
+    met = m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & reach).filter(near)
+    return met.select(F.col("m.case_id").alias("case_id"), "m.media_id", F.col("m.ts").alias("capture_ts"), "t.seq", F.col("t.ts").alias("point_ts"))
 
 
 def stream_dedupe(files: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -152,6 +161,23 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(stream_summary(arriving_telemetry(spark, sf_dir)), "complete")
 
 
+def run_gaps(spark: SparkSession, sf_dir: str, gap_seconds: float, jump_mps: float) -> DataFrame:
+    return run_once(stream_gaps(arriving_telemetry(spark, sf_dir), gap_seconds, jump_mps))
+
+
+def run_windows(spark: SparkSession, sf_dir: str, length: str, every: str) -> DataFrame:
+    return run_once(stream_windows(arriving_telemetry(spark, sf_dir), length, every), "complete")
+
+
+def run_flights(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
+    return run_once(stream_flights(arriving_telemetry(spark, sf_dir), gap), "complete")
+
+
+def run_media_match(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
+    # Table order is not time order, so nothing may be forgotten for being late.
+    return run_once(stream_media_match(views.media(_Arriving(spark), sf_dir), views.track(_Arriving(spark), sf_dir), seconds, longest=3_600, delay="10000 days"))
+
+
 def run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = read_arriving(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("arrived"))
     return run_once(stream_dedupe(files)).agg(F.count("*").alias("files"))
