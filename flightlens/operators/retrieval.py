@@ -17,6 +17,7 @@ from flightlens.functions.geo import fixed
 
 DIMS = 768
 QUERY_K, STORE_K = 10, 8
+# The sentences of the chunk_* texts, with their labels, are fixed values.
 #: Queries that are broadcast at once: 8 bytes a dimension, so tens of MB.
 QUERY_BLOCK = 4_096
 #: Texts are embedded in slices of about so many texts or characters.
@@ -103,41 +104,80 @@ def chunk_media(captures: DataFrame) -> DataFrame:
     return _chunks(captures, "media_record", text, F.col("media_id").cast("long"), media_type=F.col("media_type"))
 
 
+def _own(rows: DataFrame, name: str, default: str) -> Column:
+    """A column as text where rows have it, else, and for nulls, what stands for it."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in rows.columns else F.lit(default)
+
+
+def _labelled(rows: DataFrame, *parts: tuple[str, str, str]) -> Column:
+    """' | Label: value' of those (label, column, default) whose column rows have."""
+    return F.concat(F.lit(""), *[F.concat(F.lit(f" | {label}: "), _own(rows, name, default)) for label, name, default in parts if name in rows.columns])
+
+
+def _metres(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a length as text of one decimal, 0.0 for nulls, if they have it."""
+    return rows.withColumn(name, fixed(F.coalesce(name, F.lit(0.0)), 1)) if name in rows.columns else rows
+
+
+def _pairs(column: str) -> Column:
+    """'key=value' of a map's filled values, joined."""
+    filled = F.filter(F.map_entries(column), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.array_join(F.transform(filled, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+
+
 def chunk_plans(plans: DataFrame) -> DataFrame:
-    """One text per mission plan (plan_id, gcs_name, waypoints, planned_distance_m, planned_max_altitude_m)."""
+    """One text per mission plan (plan_id, gcs_name, waypoints, planned_distance_m, planned_max_altitude_m; file_name and geofence_included where given)."""
     text = F.concat(
-        F.lit("[MISSION_PLAN] Plan ID: "), "plan_id", F.lit(" | Target GCS: "), "gcs_name", F.lit(" | Waypoints Count: "), F.col("waypoints").cast("string"),
+        F.lit("[MISSION_PLAN] Plan ID: "), "plan_id", F.lit(" | Target GCS: "), "gcs_name", _labelled(plans, ("File", "file_name", "")), F.lit(" | Waypoints Count: "), F.col("waypoints").cast("string"),
         F.lit(" | Total Planned Distance: "), fixed(F.col("planned_distance_m"), 1), F.lit("m | Max Altitude: "), fixed(F.col("planned_max_altitude_m"), 1), F.lit("m"),
+        F.concat(F.lit(" | Geofence Included: "), F.initcap(F.col("geofence_included").cast("string"))) if "geofence_included" in plans.columns else F.lit(""),
     )
-    return _chunks(plans, "mission_plan", text, F.abs(F.xxhash64("plan_id")), plan_id=F.col("plan_id"))
+    return _chunks(plans, "mission_plan", text, F.abs(F.xxhash64("plan_id")), plan_id=F.col("plan_id"), gcs_name=F.col("gcs_name"))
 
 
 def chunk_operators(fixes: DataFrame, mobile: bool = False) -> DataFrame:
-    """One text per operator position, of a ground station or of a phone."""
+    """One text per operator position, of a ground station (with its altitude, where given) or of a phone; time, accuracy and description where given."""
     head = "[MOBILE_OPERATOR_FIX] Source: " if mobile else "[OPERATOR_LOCATION] Source: "
-    text = F.concat(F.lit(head), "source", F.lit(" | Coordinates: lat="), fixed(F.col("latitude"), 6), F.lit(", lon="), fixed(F.col("longitude"), 6))
-    return _chunks(fixes, "mobile_operator_fix" if mobile else "operator_location", text, F.col("pos").cast("long"), source=F.col("source"))
+    fixes = _metres(_metres(fixes, "accuracy_m"), "altitude_m")
+    stamped = fixes.withColumn("ts", _stamp(F.col("ts"))) if "ts" in fixes.columns else fixes
+    altitude = F.concat(F.lit(", alt="), F.col("altitude_m"), F.lit("m")) if "altitude_m" in fixes.columns and not mobile else F.lit("")
+    accuracy = F.concat(F.lit(" | Accuracy: "), F.col("accuracy_m"), F.lit("m")) if "accuracy_m" in fixes.columns else F.lit("")
+    text = F.concat(
+        F.lit(head), "source", F.lit(" | Coordinates: lat="), fixed(F.col("latitude"), 6), F.lit(", lon="), fixed(F.col("longitude"), 6), altitude,
+        _labelled(stamped, ("Timestamp (UTC)", "ts", "N/A")), accuracy, _labelled(stamped, ("Description", "description", "")),
+    )
+    return _chunks(stamped, "mobile_operator_fix" if mobile else "operator_location", text, F.col("pos").cast("long"), source=F.col("source"), latitude=F.col("latitude"), longitude=F.col("longitude"))
 
 
 def chunk_stations(overviews: DataFrame) -> DataFrame:
-    """One text per case's ground-station overview (plans, commands)."""
-    text = F.concat(F.lit("[GCS_ANALYSIS] Mission Plans: "), F.col("plans").cast("string"), F.lit(" | Commands Issued: "), F.size("commands").cast("string"))
-    return _chunks(overviews, "gcs_overview", text, F.lit(0).cast("long"), plans=F.col("plans"))
+    """One text per case's ground-station overview (plans, commands; station, controller and artifacts where given)."""
+    named = _labelled(overviews, ("Ground Control Station", "station", "N/A"), ("Flight Controller", "controller", "N/A"))
+    files = F.concat(F.lit(" | Artifacts Found: "), F.col("artifacts").cast("string"), F.lit(" files")) if "artifacts" in overviews.columns else F.lit("")
+    rest = F.concat(named, files, F.lit(" | Mission Plans: "), F.col("plans").cast("string"), F.lit(" | Commands Issued: "), F.size("commands").cast("string"))
+    return _chunks(overviews, "gcs_overview", F.concat(F.lit("[GCS_ANALYSIS] "), F.substr(rest, F.lit(4))), F.lit(0).cast("long"), plans=F.col("plans"), detected_gcs=_own(overviews, "station", ""))
 
 
 def chunk_apps(artifacts: DataFrame) -> DataFrame:
-    """One text per companion app of a case, with its hardware and logs."""
-    hardware = F.array_join(F.transform(F.map_entries("hardware"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
+    """One text per companion app of a case, with its hardware and logs; package_id and the map pilot_account where given."""
+    hardware = _pairs("hardware")
+    package = F.concat(F.lit(" ("), _own(artifacts, "package_id", "unknown package"), F.lit(")")) if "package_id" in artifacts.columns else F.lit("")
+    pilot = F.lit("")
+    if "pilot_account" in artifacts.columns:
+        account = F.coalesce(_pairs("pilot_account"), F.lit(""))
+        pilot = F.concat(F.lit(" | Pilot Account: "), F.when(account == "", "Unregistered/Anonymous").otherwise(account))
     text = F.concat(
-        F.lit("[MOBILE_APP_ARTIFACT] App: "), "app_name", F.lit(" | Platform: "), "platform", F.lit(" | Paired Hardware: "), F.when(hardware == "", "None").otherwise(hardware), F.lit(" | Flight Logs Cached: "), F.size("logs").cast("string")
+        F.lit("[MOBILE_APP_ARTIFACT] App: "), "app_name", package, F.lit(" | Platform: "), "platform", pilot, F.lit(" | Paired Hardware: "), F.when(hardware == "", "None").otherwise(hardware), F.lit(" | Flight Logs Cached: "), F.size("logs").cast("string")
     )
-    return _chunks(artifacts, "mobile_artifact", text, F.abs(F.xxhash64("app_name")), app_name=F.col("app_name"))
+    return _chunks(artifacts, "mobile_artifact", text, F.abs(F.xxhash64("app_name")), app_name=F.col("app_name"), target_platform=F.col("platform"))
 
 
 def chunk_app_overview(overviews: DataFrame) -> DataFrame:
-    """One text per case's companion apps."""
+    """One text per case's companion apps; waypoints and operator fixes where given."""
     named = lambda c, none: F.when(F.size(c) == 0, none).otherwise(F.array_join(c, ", "))
-    text = F.concat(F.lit("[MOBILE_COMPANION] Companion Apps Detected: "), named("apps", "None"), F.lit(" | Platforms: "), named("platforms", "N/A"), F.lit(" | Total Flight Records: "), F.col("points").cast("string"))
+    text = F.concat(
+        F.lit("[MOBILE_COMPANION] Companion Apps Detected: "), named("apps", "None"), F.lit(" | Platforms: "), named("platforms", "N/A"), F.lit(" | Total Flight Records: "), F.col("points").cast("string"),
+        _labelled(overviews, ("Waypoints Recovered", "waypoints", "0"), ("Operator Fixes", "operator_fixes", "0")),
+    )
     return _chunks(overviews, "mobile_overview", text, F.lit(0).cast("long"))
 
 

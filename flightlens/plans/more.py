@@ -97,9 +97,9 @@ def media_times(spark, sf_dir):
     return case_jobs.media_timestamp(rows).select("seq", "ts", "timestamp_source")
 
 
-@query("zones_found", _MAT + " SELECT zone_id, count(*) AS points FROM mat WHERE contains(lower(zone_id || ' ' || zone_name || ' ' || category || ' ' || coalesce(authority, '')), 'airport') GROUP BY zone_id")
+@query("zones_found", _MAT + " SELECT zone_id, count(*) AS points FROM mat WHERE contains(lower(zone_id || ' ' || zone_name || ' ' || category || ' ' || coalesce(authority, '') || ' ' || city_region || ' ' || zone_text), 'coastal') GROUP BY zone_id")
 def zones_found(spark, sf_dir):
-    wanted = zones.search_zones(zones.zone_catalog(spark), "AirPort")
+    wanted = zones.search_zones(zones.zone_catalog(spark), "COASTal")
     return geofence.zone_matches(views.telemetry(spark, sf_dir), wanted).groupBy("zone_id").agg(F.count("*").alias("points"))
 
 

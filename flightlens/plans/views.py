@@ -139,12 +139,12 @@ EVIDENCE = (
 
 def zone_sql() -> str:
     """The built-in zones as two subqueries: zn, a row per zone, and edge, a row per polygon edge."""
-    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    rows = ", ".join("(" + ", ".join(text(r[i]) for i in (0, 1, 2, 3, 5, 6, 7, 8, 11, 12, 13, 14)) + ")" for r in zones.preset_rows())
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    rows = ", ".join("(" + ", ".join(text(r[i]) for i in (0, 1, 2, 3, 5, 6, 7, 8, 11, 12, 13, 14, 15, 16)) + ")" for r in zones.preset_rows())
     ring = zones.BUFFER_RING
     edges = ", ".join(f"('{zones.BUFFER[0]}', {p[0]}, {p[1]}, {q[0]}, {q[1]})" for p, q in zip(ring, [*ring[1:], ring[0]], strict=True))
     return (
-        f"zn(zone_pos, zone_id, zone_name, zone_type, clat, clon, radius, ceiling, nofly, category, zone_class, authority) AS (SELECT col0, col1, col2, col3, CAST(col4 AS DOUBLE), CAST(col5 AS DOUBLE), CAST(col6 AS DOUBLE), CAST(col7 AS DOUBLE), col8, col9, col10, col11 FROM (VALUES {rows}) v), "
+        f"zn(zone_pos, zone_id, zone_name, zone_type, clat, clon, radius, ceiling, nofly, category, zone_class, authority, city_region, zone_text) AS (SELECT col0, col1, col2, col3, CAST(col4 AS DOUBLE), CAST(col5 AS DOUBLE), CAST(col6 AS DOUBLE), CAST(col7 AS DOUBLE), col8, col9, col10, col11, col12, col13 FROM (VALUES {rows}) v), "
         f"edge(zone_id, la, lo, lb, lp) AS (SELECT col0, CAST(col1 AS DOUBLE), CAST(col2 AS DOUBLE), CAST(col3 AS DOUBLE), CAST(col4 AS DOUBLE) FROM (VALUES {edges}) v)"
     )
 

@@ -88,7 +88,8 @@ def test_zone_maintenance(spark):
     moved = zones.upsert_zones(catalog, zones.zone_by_id(catalog, "ZONE-AIRPORT-BOM").withColumn("radius_meters", F.lit(1.0)))
     last = moved.orderBy(F.desc("zone_pos")).first()
     assert last.zone_id == "ZONE-AIRPORT-BOM" and last.radius_meters == 1.0 and moved.count() == catalog.count()
-    assert zones.filter_zones(catalog, "PRISON", "ALL").count() == 1 and zones.search_zones(catalog, "naval").count() == 2
+    assert catalog.count() == 42 and zones.filter_zones(catalog, "PRISON", zones.REGION).count() == 1 and zones.filter_zones(catalog, "PRISON", "ALL").count() == 3
+    assert [r.zone_id for r in zones.search_zones(catalog, "Corrections").collect()] == [] and [r.zone_id for r in zones.search_zones(catalog, "CONTRABAND").collect()] == ["ZONE-PRISON-ARTHUR"]
 
 
 def test_reversal_gap_jump_and_midair_disarm(spark):

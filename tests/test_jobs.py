@@ -69,7 +69,15 @@ def test_chunk_texts(spark):
     files = spark.createDataFrame([(1, "App", "LOG", "a.txt", None, 3), (1, "App", "HARDWARE", "sn", "X1", None)], "case_id long, app_name string, kind string, name string, value string, points long")
     catalog = spark.createDataFrame([("app", "x.y", "DJI")], "app_name string, package_id string, platform string")
     artifacts = mobile.with_app_catalog(mobile.mobile_artifacts(files), catalog)
-    assert retrieval.chunk_apps(artifacts).first().text == "[MOBILE_APP_ARTIFACT] App: App | Platform: DJI | Paired Hardware: sn=X1 | Flight Logs Cached: 1"
+    assert retrieval.chunk_apps(artifacts).first().text == "[MOBILE_APP_ARTIFACT] App: App (x.y) | Platform: DJI | Paired Hardware: sn=X1 | Flight Logs Cached: 1"
+    owned = artifacts.withColumns({"package_id": F.lit(None).cast("string"), "pilot_account": F.create_map(F.lit("email"), F.lit("a@b"), F.lit("phone"), F.lit(""))})
+    assert retrieval.chunk_apps(owned).first().text == "[MOBILE_APP_ARTIFACT] App: App (unknown package) | Platform: DJI | Pilot Account: email=a@b | Paired Hardware: sn=X1 | Flight Logs Cached: 1"
+    station = mission.overview(plan).withColumns({"station": F.lit("QGC"), "controller": F.lit("PX4"), "artifacts": F.lit(3)})
+    assert retrieval.chunk_stations(station).first().text == "[GCS_ANALYSIS] Ground Control Station: QGC | Flight Controller: PX4 | Artifacts Found: 3 files | Mission Plans: 1 | Commands Issued: 2"
+    filed = metrics.withColumns({"file_name": F.lit("a.plan"), "geofence_included": F.lit(True)})
+    assert retrieval.chunk_plans(filed).first().text == "[MISSION_PLAN] Plan ID: p | Target GCS: G | File: a.plan | Waypoints Count: 2 | Total Planned Distance: 105.1m | Max Altitude: 5.0m | Geofence Included: True"
+    full = fixes.withColumns({"altitude_m": F.lit(7.25), "ts": F.lit("2024-01-02 03:04:05").cast("timestamp"), "accuracy_m": F.lit(None).cast("double"), "description": F.lit("home")})
+    assert retrieval.chunk_operators(full).first().text == "[OPERATOR_LOCATION] Source: RC | Coordinates: lat=10.000000, lon=20.000000, alt=7.2m | Timestamp (UTC): 2024-01-02T03:04:05Z | Accuracy: 0.0m | Description: home"
     assert retrieval.chunk_app_overview(mobile.mobile_overview(artifacts)).first().text == "[MOBILE_COMPANION] Companion Apps Detected: App | Platforms: DJI | Total Flight Records: 3"
     assert mobile.merge_artifacts(artifacts, artifacts).count() == 1
 
