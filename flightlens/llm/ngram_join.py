@@ -287,17 +287,20 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a.rid", "b.rid").alias("x"), F.greatest("a.rid", "b.rid").alias("y")).distinct()
 
 
-def _hub_pairs(posts: DataFrame, seeds: range, percent: int) -> DataFrame:
-    """Each member of a list with the list's hubs: of any seed the member of least hash."""
+def _hub_pairs(posts: DataFrame, seeds: range, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Each member of a list with the list's hubs, and the hubs: of any seed the member of least hash."""
     member = F.struct("rid", "n", "pos", "comp")
     least = [F.min_by(member, F.xxhash64("rid", F.lit(s))).alias(f"h{s}") for s in seeds]
     hubs = posts.groupBy("key").agg(*least).select("key", F.explode(F.array_distinct(F.array(*[f"h{s}" for s in seeds]))).alias("h")).select("key", "h.*")
-    return _pairs(
+    # A table of its own, so that Spark can split a list that many sets stand in.
+    hubs = materialize(hubs)
+    pairs = _pairs(
         posts.alias("a").join(
             hubs.alias("b"),
             (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") != F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b", percent),
         )
     )
+    return pairs, hubs
 
 
 def _all_pairs(posts: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +427,10 @@ def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
     """The lists that still hold different groups; a list of two has been compared already."""
     posts = posts.drop("comp").join(groups, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     open_keys = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter((F.col("lo") < F.col("hi")) & (F.col("c") > 2))
-    return materialize(posts.join(open_keys.select("key"), "key", "left_semi"))
+    open_keys = materialize(open_keys.select("key"))
+    left = materialize(posts.join(open_keys, "key", "left_semi"))
+    discard(open_keys)
+    return left
 
 
 def _posts(classes: DataFrame, percent: int, small: int) -> DataFrame:
@@ -435,7 +441,7 @@ def _posts(classes: DataFrame, percent: int, small: int) -> DataFrame:
     scanned = _prefixes(classes.filter(100 * F.col("n") >= percent * (small + 1)), percent)
     subsets = classes.filter(F.col("n") <= small).select("rid", "n", "toks").mapInArrow(_enumerate(percent), "key long, rid long, n long, pos long")
     entries = scanned.union(subsets)
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    shared = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
     return entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid"))
 
 
@@ -474,12 +480,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
             spent.append(posts)
             posts = _with_groups(posts, groups)
         if turn < ROUNDS:
-            pairs = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
+            pairs, lists = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
         else:
             long_keys = posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key")
             dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
             pairs, lists = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
-            spent.append(lists)
+        spent.append(lists)
         for done in tested:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         tested.append(materialize(pairs))
