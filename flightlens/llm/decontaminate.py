@@ -5,8 +5,9 @@ words are hashed, combined pairwise into hashes of 2, 4 and 8 words, and the pos
 whose hash is in the set are the probes. Positions are narrow rows, so only probes leave
 the scan. A probe is a hit once the document's words themselves equal a window's.
 
-The hash set and the windows are broadcast up to a checked size (`max_set`); beyond it the
-same narrow rows meet them in a shuffled join, which Spark plans and splits where skewed.
+The hash set, the windows and the keys of texts with probes are broadcast up to a checked
+size (`max_set`); beyond it the same rows meet them in a shuffled join, which Spark plans and
+splits where skewed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from flightlens.llm.common import ascii_lower, materialize, new_names
 
 WINDOW = 13
-#: Probe hashes, and words of all windows, up to which these are broadcast: tens of MB at most.
+#: Probe hashes, words of all windows, and texts with their probes or hits, up to so many of
+#: which each of these is broadcast: tens of MB at most.
 MAX_SET = 2_000_000
 #: Words: runs of 0-9, a-z and non-ASCII characters, after lower-casing A-Z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,8 +105,11 @@ def find_hits(
     at = worded.select("doc_id", "text_hash", F.size("words").alias("n"), F.posexplode_outer(hashes).alias("i", "probe"))
     probes = at.join(known, "probe", "left_semi").select("doc_id", "text_hash", (F.col("i") % F.col("n") + 1).alias("pos"), "probe").distinct()
     met = materialize(probes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "probe")).alias("at")))
+    # Few texts have probes: while they do, the others stay where they are, unshuffled.
+    size = met.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    some = F.broadcast(met) if size <= max_set else met
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-    held = rows.join(met, same(rows, met), "inner").select(met["doc_id"], met["text_hash"], "t", "at").dropDuplicates(["doc_id", "text_hash"])
+    held = rows.join(some, same(rows, some), "inner").select(some["doc_id"], some["text_hash"], "t", "at").dropDuplicates(["doc_id", "text_hash"])
     held = held.select("doc_id", "text_hash", words_of(F.col("t")).alias("words"), "at").select("doc_id", "text_hash", "words", F.explode_outer("at").alias("p"))
     # The words behind a probe, as many as the longest window has.
     tried = held.select("doc_id", "text_hash", "p.pos", "p.probe", F.slice("words", F.col("p.pos"), window).alias("ahead"))
@@ -148,6 +153,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
         .select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash), F.col("hit_positions").alias(bad_at))
         .distinct()
     )
+    if remove == "documents":
+        bad = bad.select(bad_id, bad_hash)
+    bad = materialize(bad)
+    if bad.agg(F.count("*") + F.coalesce(F.sum(F.size(bad_at)), F.lit(0)) if remove == "spans" else F.count("*")).first()[0] <= MAX_SET:
+        bad = F.broadcast(bad)
     text = F.coalesce(docs[text_col], F.lit(""))
     same = docs[id_col].cast("long").eqNullSafe(bad[bad_id]) & (F.xxhash64(text) == bad[bad_hash])
     if remove == "documents":
