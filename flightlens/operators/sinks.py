@@ -1,4 +1,4 @@
-"""Exports of tracks and cases as texts, one row per case, and table writes."""
+"""Exports of tracks and cases: as texts, one row per case, or as files of any length; table writes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.functions.geo import fixed
+from flightlens.operators.places import with_place
 
 
 def _track(telemetry: DataFrame, row: Column) -> DataFrame:
@@ -35,9 +36,49 @@ def to_geojson(telemetry: DataFrame, cases: DataFrame | None = None) -> DataFram
 def to_kml(telemetry: DataFrame, title: str = "UAV Flight") -> DataFrame:
     """(case_id, kml): the path as one line string, longitude first."""
     at = F.concat_ws(",", *[F.col(c).cast("string") for c in ("longitude", "latitude", "altitude_m")])
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{title}</name><Placemark><name>3D Flight Path</name><LineString><extrude>1</extrude><tessellate>1</tessellate><altitudeMode>relativeToGround</altitudeMode><coordinates>\n'
-    tail = "\n</coordinates></LineString></Placemark></Document></kml>"
-    return _track(telemetry, at).select("case_id", F.concat(F.lit(head), F.array_join("rows", "\n"), F.lit(tail)).alias("kml"))
+    head, tail = _kml_ends(title)
+    return _track(telemetry, at).select("case_id", F.concat(F.lit(head + "\n"), F.array_join("rows", "\n"), F.lit("\n" + tail)).alias("kml"))
+
+
+def _kml_ends(title: str) -> tuple[str, str]:
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document><name>{title}</name><Placemark><name>3D Flight Path</name><LineString><extrude>1</extrude><tessellate>1</tessellate><altitudeMode>relativeToGround</altitudeMode><coordinates>'
+    return head, "</coordinates></LineString></Placemark></Document></kml>"
+
+
+def _write_files(points: DataFrame, heads: DataFrame, tails: DataFrame, path: str) -> None:
+    """One file per case below path/case_id=...: its head, a line per point in list order, its tail.
+
+    A file is written by one task from sorted rows, which spill; no row holds a track.
+    """
+    parts = [df.select("case_id", F.lit(i).alias("part"), "ingest_seq", "seq", "value") for i, df in enumerate((heads, points, tails))]
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition("case_id")
+    lines.sortWithinPartitions("case_id", "part", "ingest_seq", "seq").select("case_id", "value").write.partitionBy("case_id").text(path)
+
+
+def _end(cases: DataFrame, value: Column) -> DataFrame:
+    return cases.select("case_id", F.lit(0).cast("long").alias("ingest_seq"), F.lit(0).cast("long").alias("seq"), value.alias("value"))
+
+
+def write_kml(telemetry: DataFrame, path: str, title: str = "UAV Flight") -> None:
+    """The text of to_kml as a file per case, for tracks of any length."""
+    at = F.concat_ws(",", *[F.col(c).cast("string") for c in ("longitude", "latitude", "altitude_m")])
+    cases, (head, tail) = telemetry.select("case_id").distinct(), _kml_ends(title)
+    _write_files(telemetry.withColumn("value", at), _end(cases, F.lit(head)), _end(cases, F.lit(tail)), path)
+
+
+def write_geojson(telemetry: DataFrame, path: str) -> None:
+    """The object of to_geojson as a file per case, a line per point, for tracks of any length."""
+    at = F.to_json(F.struct(F.array("longitude", "latitude", "altitude_m").alias("x")))
+    at = F.regexp_extract(at, r"^\{.x.:(.*)\}$", 1)
+    placed = with_place(telemetry)
+    points = placed.withColumn("value", F.concat(F.when(F.col("place") > 0, ",").otherwise(""), at))
+    ends = placed.groupBy("case_id").agg(
+        F.count("*").alias("n"), *[f(F.struct(at.alias("at"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts")), "place").alias(name) for name, f in (("first", F.min_by), ("last", F.max_by))]
+    )
+    point = lambda end, name: F.concat(F.lit(',{"type":"Feature","geometry":{"type":"Point","coordinates":'), F.col(f"{end}.at"), F.lit(f'}},"properties":{{"name":"{name}","timestamp":"'), F.col(f"{end}.ts"), F.lit('"}}'))
+    tail = F.concat(F.lit(']},"properties":{"name":"UAV Flight Trajectory","points_count":'), F.col("n").cast("string"), F.lit("}}"), point("first", "Takeoff / Origin"), point("last", "Final Position / Landing"), F.lit("]}"))
+    head = F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"LineString","coordinates":[')
+    _write_files(points, _end(ends, head), _end(ends, tail), path)
 
 
 def to_srt(slots: DataFrame, step_ms: int = 1000) -> DataFrame:

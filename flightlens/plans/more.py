@@ -11,7 +11,7 @@ from flightlens.functions import geo
 from flightlens.operators import custody, evidence, geofence, lifecycle, mission, mobile, retrieval, sinks, summary
 from flightlens.operators import jobs as case_jobs
 from flightlens.operators.places import by_number, numbered
-from flightlens.plans import catalog, views
+from flightlens.plans import catalog, files, views
 from flightlens.plans.catalog import EXAMPLE_KEY, GAP_SECONDS, JUMP_MPS, query
 from flightlens.session import shared_dir, table
 from flightlens.sources import lines, missions, registry, zones
@@ -310,6 +310,20 @@ def dfxml_objects(spark, sf_dir):
     return sinks.to_dfxml(evidence.hash_manifest(views.evidence(spark, sf_dir), F.col("content"), sha3=False))
 
 
+@query("kml_files", f"WITH k AS ({catalog.ORACLE_SQL['kml_track']}) SELECT case_id, sha256(kml || chr(10)) AS sha256 FROM k")
+def kml_files(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_kml(views.telemetry(spark, sf_dir), path)
+    return files.of_case(lines.read_whole(spark, path)).select("case_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("geojson_files", f"WITH k AS ({catalog.ORACLE_SQL['geojson_track']}) SELECT case_id, sha256(geojson) AS sha256 FROM k")
+def geojson_files(spark, sf_dir):
+    path = _folder(spark)
+    sinks.write_geojson(views.telemetry(spark, sf_dir), path)
+    return files.of_case(lines.read_whole(spark, path)).select("case_id", F.sha2(F.replace("text", F.lit("\n"), F.lit("")), 256).alias("sha256"))
+
+
 @query("appended_case", _TEL + " SELECT CAST(77 AS BIGINT) AS case_id, case_id AS ingest_seq, count(*) AS points FROM tel WHERE case_id < 4 GROUP BY tel.case_id")
 def appended_case(spark, sf_dir):
     rows = views.telemetry(spark, sf_dir).withColumn("file", F.col("case_id").cast("string")).drop("case_id", "ingest_seq")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import math
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -275,3 +277,47 @@ def test_scores_and_exports(spark):
     assert blocks[1].srt.startswith("2\n00:00:01,000 --> 00:00:02,000\n[latitude: 19.5000000]")
     whole = json.loads(sinks.case_json(summary.flight_summary(track), path=track.select("case_id", "seq", "altitude_m")).first().json)
     assert whole["summary"]["telemetry_count"] == 2 and [p["altitude_m"] for p in whole["path"]] == [3.0, 4.0]
+
+
+def test_lists_are_cut_into_stretches_without_a_difference(spark, monkeypatch):
+    """Numbers, previous rows and last values over stretches equal those of a plain loop, null keys included."""
+    monkeypatch.setattr(places, "STRETCH", 4)
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, None]), f, s, rng.choice([None, None, rng.random()])) for f in range(3) for s in range(40) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "case_id long, ingest_seq long, seq long, v double")
+    got = places.numbered(df, "n", ["case_id"], places.in_list(), ["seq"], "of")
+    got = places.previous(got, F.struct("v", "seq"), "before", ["case_id"], places.in_list(), "seq")
+    got = places.with_last(got, {"last": F.col("v")}, ["case_id"], places.in_list(), ["seq"])
+    got = places.with_last(got, {"ahead": F.col("v")}, ["case_id"], places.in_list(), ["seq"], descending=True)
+    want = []
+    for case in (1, 2, None):
+        own = sorted(r[1:] for r in rows if r[0] == case)
+        values = [v for _, _, v in own]
+        for i, (f, s, v) in enumerate(own):
+            last = next((x for x in reversed(values[: i + 1]) if x is not None), None)
+            ahead = next((x for x in values[i:] if x is not None), None)
+            want.append((case, f, s, v, i + 1, len(own), None if i == 0 else (own[i - 1][2], own[i - 1][1]), last, ahead))
+    found = [(r.case_id, r.ingest_seq, r.seq, r.v, r.n, r.of, None if r.before is None else tuple(r.before), r["last"], r.ahead) for r in got.collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_no_window_takes_a_whole_case(spark):
+    """Windows over rows are cut by stretch; those over a case alone read one row per stretch, from an aggregate."""
+    track = points(spark, [(i, 19 + i / 1e4, 72, 30) for i in range(50)])
+    media = spark.createDataFrame([(1, 1, T0, 30.0)], "case_id long, media_id long, ts timestamp, duration_sec double")
+    for df in (asof.nearest_media(media, track), asof.carry_forward(track, ["altitude_m"]), asof.arm_edges(track, F.col("altitude_m") > 1), anomalies.anomaly_report(track), geofence.geofence_violations(track, zones.zone_catalog(spark))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        cut = [line for line in plan.splitlines() if re.search(r"\bWindow \[", line)]
+        whole = [line for line in cut if "_stretch" not in line.rsplit("], [", 2)[1]]
+        assert cut and len(whole) < len(cut)
+        assert all(re.search("_n|_total|_last|_v_|_c_|_before|_carried", line) for line in whole), whole
+
+
+def test_track_files_hold_what_the_rows_hold(spark, tmp_path):
+    track = points(spark, [(i, 19 + i / 1e4, 72, 30 + i) for i in range(12)])
+    sinks.write_kml(track, f"file://{tmp_path}/kml")
+    sinks.write_geojson(track, f"file://{tmp_path}/json")
+    (kml,) = (tmp_path / "kml").glob("case_id=*/*.txt")
+    (geo,) = (tmp_path / "json").glob("case_id=*/*.txt")
+    assert kml.read_text() == sinks.to_kml(track).first().kml + "\n"
+    assert json.loads(geo.read_text()) == json.loads(sinks.to_geojson(track).first().geojson)
