@@ -22,7 +22,7 @@ QUERY_K, STORE_K = 10, 8
 QUERY_BLOCK = 4_096
 #: Texts are embedded in slices of about so many texts or characters.
 SLICE_TEXTS, SLICE_CHARS = 1_000, 1_000_000
-_SEPARATORS = str.maketrans(",|:", "   ")
+_SEPARATORS = ",|:"
 
 
 def _stamp(ts: Column) -> Column:
@@ -237,7 +237,7 @@ class _Words(dict):
 
 def _embedded(texts: list[str], dims: int, words: _Words, trigrams: _Trigrams) -> np.ndarray:
     """A row of unit length for each text, or of zeros."""
-    split = [re.split(r"\s+", t.lower().translate(_SEPARATORS).strip()) for t in texts]
+    split = [re.split(r"\s+", reduce(lambda x, c: x.replace(c, " "), _SEPARATORS, t.lower()).strip()) for t in texts]
     filled = [s != [""] for s in split]
     terms = [words[w] for s, f in zip(split, filled, strict=True) if f for w in s]
     rows = np.repeat(np.arange(len(texts)), [len(s) if f else 0 for s, f in zip(split, filled, strict=True)])
