@@ -412,15 +412,17 @@ def components(links: DataFrame) -> DataFrame:
             groups = materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct())
             discard(edges)
             return groups
-        state, spent = now, edges
+        state, spent = now, [edges]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Tables of their own, so that Spark can split a node that many edges meet in.
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialize(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        spent += [least, large]
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(spent, large)
+        discard(*spent, least)
 
 
 def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
