@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlens.operators import anomalies
-from flightlens.plans import catalog, views
+from flightlens.plans import catalog, files, more, views  # noqa: F401
 from flightlens.sources import registry
 from flightlens.streaming import jobs
 
