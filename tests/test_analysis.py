@@ -66,7 +66,7 @@ def test_violations_have_types_numbers_and_windows(spark):
     ring = [[19.130, 72.910], [19.130, 72.920], [19.140, 72.920], [19.140, 72.910]]
     row = (0, "Z1", "Campus", "polygon", ring, None, None, None, 50.0, None, None, False, "CAMPUS", "YELLOW", "Security", "R")
     later = (1, "Z2", "Later", "circle", None, 19.135, 72.915, 5000.0, None, T0 + timedelta(seconds=2), None, True, "X", "RED", None, "R")
-    found = geofence.geofence_violations(points(spark, [(0, 19.135, 72.915, 40), (1, 19.135, 72.915, 60), (2, 19.2, 72.8, 60), (3, 19.135, 72.915, 10)]), spark.createDataFrame([row, later], zones.SCHEMA)).orderBy("violation_id").collect()
+    found = geofence.geofence_violations(points(spark, [(0, 19.135, 72.915, 40), (1, 19.135, 72.915, 60), (2, 19.2, 72.8, 60), (3, 19.135, 72.915, 10)]), spark.createDataFrame([(*row, None), (*later, None)], zones.SCHEMA)).orderBy("violation_id").collect()
     assert [(r.violation_id, r.zone_id, r.violation_type, r.severity) for r in found] == [
         ("VIO-0001", "Z1", "BOUNDARY_ENTRY", "WARNING"), ("VIO-0002", "Z1", "CEILING_EXCEEDED", "WARNING"), ("VIO-0003", "Z1", "BOUNDARY_ENTRY", "WARNING"), ("VIO-0004", "Z2", "BOUNDARY_ENTRY", "CRITICAL")
     ]
@@ -78,7 +78,7 @@ def test_violations_have_types_numbers_and_windows(spark):
 def test_episodes_split_where_the_track_leaves(spark):
     zone = (0, "Z", "C", "circle", None, 19.0, 72.0, 1000.0, None, None, None, True, "X", "RED", None, "R")
     track = [(0, 19, 72, 1), (1, 19, 72, 5), (2, 20, 72, 1), (3, 19, 72, 2)]
-    found = geofence.breach_episodes(points(spark, track), spark.createDataFrame([zone], zones.SCHEMA)).orderBy("first_place").collect()
+    found = geofence.breach_episodes(points(spark, track), spark.createDataFrame([(*zone, None)], zones.SCHEMA)).orderBy("first_place").collect()
     assert [(r.first_place, r.points, r.max_altitude_m, r.duration_sec) for r in found] == [(1, 2, 5.0, 1.0), (4, 1, 2.0, 0.0)]
 
 

@@ -242,4 +242,4 @@ def test_scan_and_route(spark, files):
 
 def test_zone_catalog_from_a_table(spark, tmp_path):
     zones.zone_catalog(spark).write.parquet(f"file://{tmp_path}/zones")
-    assert zones.zone_catalog(spark, f"file://{tmp_path}/zones").count() == 11
+    assert zones.zone_catalog(spark, f"file://{tmp_path}/zones").count() == 42
