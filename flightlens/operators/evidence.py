@@ -16,6 +16,7 @@ GCS_EXTS = (".plan", ".waypoints", ".wpl", ".kml", ".kmz", ".tlog", ".param", ".
 VIDEO_EXTS = (".mp4", ".mov", ".m4v", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".ts", ".m2ts", ".3gp")
 IMAGE_EXTS = (".jpg", ".jpeg", ".png", ".dng", ".tiff", ".tif", ".bmp", ".webp", ".raw", ".cr2", ".nef", ".arw")
 
+# The names, extensions and signatures in the rules below are fixed values as well.
 #: (station|controller) of ground-control files.
 STATION_RULES = (
     Rule("Mission Planner / QGroundControl", (".tlog",), also="ArduPilot / PX4"),

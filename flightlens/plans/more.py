@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.functions import geo
-from flightlens.operators import custody, evidence, geofence, lifecycle, mission, mobile, retrieval, sinks, summary
+from flightlens.operators import asof, custody, evidence, geofence, lifecycle, mission, mobile, retrieval, sinks, summary
 from flightlens.operators import jobs as case_jobs
 from flightlens.operators.places import by_number, numbered
 from flightlens.plans import catalog, files, views
@@ -143,6 +143,16 @@ def boot_times(spark, sf_dir):
     return lifecycle.boot_time(rows).select(F.col("evidence_id").alias("case_id"), "seq", "ts")
 
 
+@query(
+    "last_position_of_events",
+    f"""{_EV} SELECT e.case_id, e.seq AS event_id, e.event_type, arg_max(t.latitude, struct_pack(ts := t.ts, seq := t.seq)) AS latitude, arg_max(t.longitude, struct_pack(ts := t.ts, seq := t.seq)) AS longitude
+FROM ev e LEFT JOIN tel t ON t.case_id = e.case_id AND t.ts <= e.ts AND t.raw_type <> 'purchase' GROUP BY e.case_id, e.seq, e.event_type""",
+)
+def last_position_of_events(spark, sf_dir):
+    """Every event of the table against the whole track."""
+    return asof.last_known_position(views.events(spark, sf_dir), views.track(spark, sf_dir)).select("case_id", "event_id", "event_type", "latitude", "longitude")
+
+
 @query("waypoint_telemetry", f"WITH {views.WAYPOINTS} SELECT case_id, idx AS seq, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(idx * 15) AS ts, latitude, longitude, altitude_m, 'PLANNED' AS source_channel FROM wp")
 def waypoint_telemetry(spark, sf_dir):
     return mission.waypoint_telemetry(views.waypoints(spark, sf_dir), "2024-01-01 00:00:00").drop("plan_id")
