@@ -481,11 +481,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
         if turn:
             spent.append(posts)
             posts = _with_groups(posts, groups)
+            if posts.isEmpty():  # no list holds different groups any more
+                discard(*spent)
+                break
         if turn < ROUNDS:
             pairs, lists = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
         else:
-            long_keys = posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key")
-            dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
+            long_keys = materialize(posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key"))
+            spent.append(long_keys)
+            if not long_keys.isEmpty():
+                dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
             pairs, lists = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
         spent.append(lists)
         for done in tested:
