@@ -64,9 +64,12 @@ def in_distinct_texts(docs: DataFrame, lines: DataFrame, spread: DataFrame, id_c
     names = new_names(docs, "line_doc", "line_hash")
     voters = held.select("doc_id", "text_hash").distinct().toDF(*names)
     texts = materialize(docs.join(voters, _of_texts(docs, voters, id_col, text_col), "left_semi").select(F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text")))
-    groups = near_duplicates(texts, words=5, percent=80, id_col="text_hash").select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
+    spent: list[DataFrame] = []
+    groups = near_duplicates(texts, words=5, percent=80, id_col="text_hash", spent=spent).select(F.col("doc_id").alias("text_hash"), "component_id").distinct()
     votes = held.select("h1", "h2", "text_hash").distinct().join(groups, "text_hash").select("h1", "h2", "component_id").distinct()
-    return votes.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("h1", "h2")
+    found = materialize(votes.groupBy("h1", "h2").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("h1", "h2"))
+    discard(held, texts, *spent)
+    return found
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, copies_once: bool = False) -> DataFrame:

@@ -384,7 +384,7 @@ def _dense_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, to_sets,
     both sides are dealt over blocks of bounded size.
     """
     hubs = posts.groupBy("key").agg(F.min_by("rid", F.xxhash64("rid", F.lit(0))).alias("hub"))
-    rows = materialize(posts.join(hubs, "key").select("hub", "rid", "n", "comp").distinct())
+    rows = met_rows = materialize(posts.join(hubs, "key").select("hub", "rid", "n", "comp").distinct())
     groups = rows.groupBy("hub", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     shape = groups.groupBy("hub").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("t").alias("all"), F.max(F.struct("c", "comp", "t")).alias("m"))
     shape = shape.select("hub", "major", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("m.t")) / BLOCK_SHINGLES).cast("int").alias("ni"))
@@ -394,7 +394,10 @@ def _dense_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, to_sets,
     every = rows.select("hub", "rid", "comp", F.lit(1).alias("side"), upto("ni").alias("i"), F.pmod(place, F.col("nj")).cast("int").alias("j"))
     sets = _sets(rows.select("rid").distinct(), classes, docs, to_sets)
     met = minor.unionByName(every).join(sets, "rid").groupBy("hub", "i", "j")
-    return met.applyInPandas(lambda block: block_links(block, percent), "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    links = met.applyInPandas(lambda block: block_links(block, percent), "x long, y long").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    links = materialize(links.distinct())
+    discard(met_rows, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -412,17 +415,15 @@ def components(links: DataFrame) -> DataFrame:
             groups = materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct())
             discard(edges)
             return groups
-        state, spent = now, [edges]
+        state, spent = now, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Tables of their own, so that Spark can split a node that many edges meet in.
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialize(large.distinct())
-        spent += [least, large]
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(*spent, least)
+        discard(spent, large)
 
 
 def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -447,7 +448,7 @@ def _posts(classes: DataFrame, percent: int, small: int) -> DataFrame:
     return entries.join(shared, "key", "left_semi").withColumn("comp", F.col("rid"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", small_max: int = SMALL_MAX) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", small_max: int = SMALL_MAX, spent: list[DataFrame] | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class_size.
 
     A set holds the distinct shingles of `words` words of a whole text, or its whole word
@@ -458,6 +459,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     different texts links by each of them. An empty table gives no rows. Other columns
     are not read, so their names can't clash. Sets of more than small_max shingles are never
     enumerated (their subsets are too many at any rate); any value gives the same result.
+    `spent` receives the tables that the result is read from, for a caller to discard behind it.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent is above 0 and at most 100")
@@ -477,22 +479,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     to_sets = _whole_sets(words, ranked)
     tested, groups = [], None
     for turn in range(ROUNDS + 1):
-        dense, spent = None, []
+        dense, done_with = None, []
         if turn:
-            spent.append(posts)
+            done_with.append(posts)
             posts = _with_groups(posts, groups)
             if posts.isEmpty():  # no list holds different groups any more
-                discard(*spent)
+                discard(*done_with)
                 break
         if turn < ROUNDS:
             pairs, lists = _hub_pairs(posts, range(turn * HUBS, (turn + 1) * HUBS), percent)
         else:
             long_keys = materialize(posts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= DENSE).select("key"))
-            spent.append(long_keys)
+            done_with.append(long_keys)
             if not long_keys.isEmpty():
                 dense = _dense_links(posts.join(long_keys, "key", "left_semi"), classes, docs, to_sets, percent)
             pairs, lists = _all_pairs(posts.join(long_keys, "key", "left_anti"), percent, small)
-        spent.append(lists)
+        done_with.append(lists)
         for done in tested:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
         tested.append(materialize(pairs))
@@ -502,9 +504,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
             links = links.union(dense)
         if groups is not None:
             links = links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y")))
-            spent.append(groups)
+            done_with.append(groups)
         groups = components(links)
-        discard(close, sets, *spent)
+        discard(close, sets, *done_with)
     discard(posts, *tested)
     heads = classes.select("rid", "head").join(groups, "rid")
     least = heads.groupBy("comp").agg(F.min("head").alias("component_id"))
@@ -512,6 +514,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
     by_sig = classes.select("sig", "rid", "head", "class_size").join(joined, "rid", "left")
     by_sig = materialize(by_sig.select("sig", "class_size", F.coalesce("component_id", "head").alias("found")))
     discard(classes, groups)
+    if spent is not None:
+        spent += [rows, by_sig]
     # Rows without a set are all alike, and need no class.
     has_set = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     classed = rows.filter(has_set).join(by_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), F.col("found").alias("component_id"), "class_size")
@@ -525,7 +529,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     and text count as one document; an id that comes with different texts stays with all
     of them if one heads a group. The columns of docs stay.
     """
-    found = materialize(near_duplicates(docs, words, percent, id_col, text_col))
+    spent: list[DataFrame] = []
+    found = materialize(near_duplicates(docs, words, percent, id_col, text_col, spent=spent))
+    discard(*spent)
     heads = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("heads"))
     gone = heads.filter("not heads").select("doc_id").toDF(*new_names(docs, "gone"))
     left = docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")

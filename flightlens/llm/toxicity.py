@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import held_out, materialize, release_memory, text_slices
+from flightlens.llm.common import discard, held_out, materialize, release_memory, text_slices
 from flightlens.llm.ngram_join import near_duplicates
 
 INSULT, THREAT, LATE_THREAT, TARGET, NEGATION, REPORT, OTHER = range(7)
@@ -206,8 +206,11 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
     """(text_hash, toxic, text) of sample: exact copies once for each label, near copies among the toxic ones once."""
     texts = materialize(sample.withColumn("toxic", F.when(F.col("toxic") == 1, 1).otherwise(0)).groupBy(F.xxhash64("text").alias("text_hash"), "toxic").agg(F.first("text").alias("text")))
     toxic = texts.filter("toxic = 1")
-    heads = near_duplicates(toxic, words=5, percent=80, id_col="text_hash").filter("doc_id = component_id").select(F.col("doc_id").alias("text_hash"))
-    return materialize(toxic.join(heads, "text_hash", "left_semi").union(texts.filter("toxic = 0")))
+    spent: list[DataFrame] = []
+    heads = near_duplicates(toxic, words=5, percent=80, id_col="text_hash", spent=spent).filter("doc_id = component_id").select(F.col("doc_id").alias("text_hash"))
+    found = materialize(toxic.join(heads, "text_hash", "left_semi").union(texts.filter("toxic = 0")))
+    discard(texts, *spent)
+    return found
 
 
 def features(words: list[str]) -> dict[str, str]:
