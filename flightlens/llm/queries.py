@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import decontaminate, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from flightlens.llm import collocations, decontaminate, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 from flightlens.session import table
 
 
@@ -62,6 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_frame(spark))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ngram_join": op2_ngram_join,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_url_filter": op10_url_filter,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE_SQL = {
@@ -80,4 +85,5 @@ ORACLE_SQL = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
