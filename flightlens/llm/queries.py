@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.llm import collocations, decontaminate, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from flightlens.llm import collocations, decontaminate, exact_topk, hard_negatives, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 from flightlens.session import table
 
 
@@ -66,6 +66,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % hard_negatives.ANCHOR_EVERY == 0, label)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % exact_topk.QUERY_EVERY == 0)
+
+
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_ngram_join": op2_ngram_join,
@@ -78,6 +87,8 @@ QUERIES = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_url_filter": op10_url_filter,
     "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_topk": op13_exact_topk,
 }
 
 ORACLE_SQL = {
@@ -86,4 +97,6 @@ ORACLE_SQL = {
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_exact_topk": exact_topk.ORACLE,
 }
