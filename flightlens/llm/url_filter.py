@@ -43,7 +43,7 @@ def url_path(url: Column) -> Column:
 
 
 def expressions(host: Column, path: Column, max_labels: int, path_lengths: list[int]) -> Column:
-    """Array of host_suffix + path_prefix strings that a rule could equal."""
+    """Array of host_suffix / path_prefix strings that a rule could equal; no host holds a slash, so the first one parts them."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max_labels))),
@@ -51,7 +51,7 @@ def expressions(host: Column, path: Column, max_labels: int, path_lengths: list[
     )
     lengths = F.filter(F.array(*[F.lit(n) for n in path_lengths]), lambda n: n <= F.length(path))
     prefixes = F.transform(lengths, lambda n: F.substring(path, F.lit(1), n))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("/"), p))))
 
 
 def filter_urls(
@@ -65,20 +65,25 @@ def filter_urls(
     """One row per input row: id, host, path, rule, verdict.
 
     rule is the host and path of the longest fitting rule, null if none fits; the
-    verdict is then `default`. Equally long rules cannot differ in text for one url;
-    of repeated rules with different verdicts, block wins. Null urls, and urls without
-    ://, have an empty host and path and fit no rule. A rule with a null or empty host
-    fits nothing. No rules: all rows get the default. Repeated rows stay; other
-    columns of pages are not read, so their names can't clash.
+    verdict is then `default`. Of equally long rules that fit, the one with the longer host
+    decides; of repeated rules with different verdicts, block wins. Null urls, and urls without
+    ://, have an empty host and path and fit no rule. A rule with a null or empty host, a host
+    that holds /, ? or #, or a path that neither is empty nor begins with / fits nothing. No
+    rules: all rows get the default. Repeated rows stay; other columns of pages are not read, so
+    their names can't clash.
     """
     known = (
         rules.select(ascii_lower(F.col("host")).alias("h"), "path", "verdict")
-        .filter((F.col("h") != "") & F.col("path").isNotNull() & F.col("verdict").isNotNull())
-        .groupBy(F.concat("h", "path").alias("rule"))
-        .agg(
-            F.min_by("verdict", F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("rule_verdict"),
-            F.max(F.size(F.split("h", r"\.", -1))).alias("n_labels"),
-            F.max(F.length("path")).alias("n_path"),
+        .filter((F.col("h") != "") & ~F.col("h").rlike("[/?#]") & F.col("path").isNotNull() & F.col("verdict").isNotNull())
+        .groupBy("h", "path")
+        .agg(F.min_by("verdict", F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("rule_verdict"))
+        .select(
+            F.concat("h", "path").alias("rule"),
+            F.concat("h", F.lit("/"), "path").alias("expr"),
+            "rule_verdict",
+            F.length("h").alias("host_chars"),
+            F.size(F.split("h", r"\.", -1)).alias("n_labels"),
+            F.length("path").alias("n_path"),
         )
     )
     shape = known.agg(F.max("n_labels").alias("most"), F.collect_set("n_path").alias("lengths")).first()
@@ -96,14 +101,14 @@ def filter_urls(
         .withColumn("digest", F.sha2("expr", 256))
         .withColumn("short", F.substring("digest", 1, prefix_chars))
     )
-    hashed = known.select("rule", "rule_verdict", F.sha2("rule", 256).alias("rule_digest")).withColumn(
+    hashed = known.select("rule", "rule_verdict", "host_chars", F.sha2("expr", 256).alias("rule_digest")).withColumn(
         "short", F.substring("rule_digest", 1, prefix_chars)
     )
     decided = (
         met.join(hashed, "short")
         .filter(F.col("digest") == F.col("rule_digest"))
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
+        .agg(F.max(F.struct(F.length("rule").alias("n"), "host_chars", "rule", "rule_verdict")).alias("best"))
     )
     return urls.join(decided, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
