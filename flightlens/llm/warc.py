@@ -38,10 +38,12 @@ RECORD_SCHEMA = (
 #: Elements of which a reader sees nothing, and those that stand on lines of their own.
 HIDDEN = frozenset({"script", "style", "noscript", "template"})
 BLOCKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 title article section nav header footer head body blockquote pre".split())
-_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)\b")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _BLANK = re.compile(r"[ \t\f\v\xa0]+")
-_HREF = re.compile(r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-_LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([\w-]+)")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s=/>]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in (*HIDDEN, "title")}
 
 
@@ -69,14 +71,52 @@ def _utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+class _Page:
+    """A page and where the last of each quote in it stands, so that no search for one is made in vain."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.last = {q: text.rfind(q) for q in "\"'"}
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes from behind a tag's name on, the first of each name, and where the tag ends; -1: it doesn't.
+
+        A quoted value ends with its quote, whatever is inside. A quote that is never closed
+        is an ordinary character.
+        """
+        found: dict[str, str] = {}
+        text, size = self.text, len(self.text)
+        while True:
+            at = _BETWEEN.match(text, at).end()
+            if at >= size:
+                return found, -1
+            if text[at] == ">":
+                return found, at + 1
+            named = _ATTRIBUTE.match(text, at)
+            equals = _EQUALS.match(text, named.end())
+            value, at = "", named.end()
+            if equals:
+                at = equals.end()
+                quote = text[at : at + 1]
+                if quote in self.last and self.last[quote] > at:
+                    end = text.find(quote, at + 1)
+                    value, at = text[at + 1 : end], end + 1
+                else:
+                    bare = _BARE.match(text, at)
+                    value, at = bare[0], bare.end()
+            found.setdefault(named[0].lower(), value)
+
+
 def read_page(page: str) -> Reading:
     """Plain text, title, language and links of a page, in one pass from tag to tag.
 
-    A tag reaches from < to the next >, and < without one is text. Comments and hidden
-    elements reach to their end, or to that of the page if they have none. Every search
-    goes on from where the last one ended, and none is made again that found nothing, so
-    broken pages take time in proportion to their length as well.
+    A tag begins at < with a letter, /, ! or ? behind it and reaches to the next > outside of
+    quoted values; any other < is text, as is a last tag that never ends. Attributes are read
+    by their names, quoted or not. Comments and hidden elements reach to their end, or to that
+    of the page if they have none. Every search goes on from where the last one ended, and none
+    is made again that found nothing, so broken pages take time in proportion to their length.
     """
+    held = _Page(page)
     parts: list[str] = []
     titles: list[str] = []
     links: list[str] = []
@@ -88,15 +128,22 @@ def read_page(page: str) -> Reading:
             parts.append(" ")
             at = len(page) if end < 0 else end + 3
             continue
-        close = page.find(">", start)
-        if close < 0:
+        opens = page[start + 1 : start + 2] != "/"
+        named = _NAME.match(page, start + 1 if opens else start + 2)
+        if named is None:
+            if page[start + 1 : start + 2] not in ("/", "!", "?"):
+                parts.append("<")
+                at = start + 1
+                continue
+            close, name, found = page.find(">", start), "", {}
+            at = close + 1 if close >= 0 else -1
+        else:
+            name = named[0].lower()
+            found, at = held.attributes(named.end())
+        if at < 0:
             parts.append(page[start:])
             at = len(page)
             break
-        tag, at = page[start + 1 : close], close + 1
-        named = _NAME.match(tag)
-        name = named[1].lower() if named else ""
-        opens = not tag.startswith("/")
         if opens and name in HIDDEN:
             end = _ENDS[name].search(page, at)
             parts.append(" ")
@@ -107,11 +154,10 @@ def read_page(page: str) -> Reading:
             end = _ENDS["title"].search(page, at)
             title_ends = end is not None
             titles += [page[at : end.start()]] if end else []
-        elif opens and name == "a":
-            links += [a or b for a, b in _HREF.findall(tag)[:1]]
+        elif opens and name == "a" and "href" in found:
+            links.append(found["href"])
         elif opens and name == "html" and lang is None:
-            found = _LANG.search(tag)
-            lang = found[1] if found else None
+            lang = found.get("lang", "").strip() or None
     parts.append(page[at:])
     lines = (_BLANK.sub(" ", line).strip() for line in re.split(r"[\r\n]+", html.unescape("".join(parts))))
     return Reading("\n".join(line for line in lines if line), titles[0] if titles else None, lang, links)
