@@ -5,11 +5,11 @@ from __future__ import annotations
 import ctypes
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.session import shared_dir
@@ -21,6 +21,10 @@ HELD_OUT_REMAINDER = 2
 SLICE_CHARS = 2_000_000
 
 
+#: Folders that materialize has made and nobody has deleted yet.
+_made: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again.
 
@@ -29,17 +33,35 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flightlens/{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
+    _made.remove(path)
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that no later plan reads."""
+    """Delete the files of materialized frames that no later plan reads; other tables are refused."""
     for df in frames:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-            path.getFileSystem(conf).delete(path, True)
+            own = [path for path in _made if path.rsplit("/", 1)[-1] == file.split("/")[-2]]
+            if not own:
+                raise ValueError(f"not a table made by materialize: {file}")
+            _delete(df.sparkSession, own[0])
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, as a table of its own; all other tables made on the way are deleted."""
+    before = set(_made)
+    result = materialize(make())
+    for path in [p for p in _made[:-1] if p not in before]:
+        _delete(result.sparkSession, path)
+    return result
 
 
 def text_slices(batch: pd.DataFrame, column: str = "text") -> Iterator[pd.DataFrame]:
@@ -57,6 +79,13 @@ def new_names(docs: DataFrame, *names: str) -> list[str]:
     return [next(n for n in ("_" * k + name for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
 
 
+def without_places(items: Column, gone: Column) -> Column:
+    """The array without the items at these places, from 0; in time proportional to both (null gone: none)."""
+    kept = lambda of: F.array_except(F.sequence(F.lit(0), F.size(of) - 1), gone)
+    rest = F.transform(F.array(items), lambda of: F.when(F.size(of) > 0, F.transform(kept(of), lambda i: F.get(of, i))).otherwise(of))
+    return F.when(gone.isNull(), items).otherwise(F.get(rest, F.lit(0)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import ascii_lower, materialize, new_names
+from flightlens.llm.common import ascii_lower, materialize, new_names, without_places
 
 WINDOW = 13
 #: Probe hashes, words of all windows, and texts with their probes or hits, up to so many of
@@ -163,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     if remove == "documents":
         return docs.join(bad, same, "left_anti")
     segments = F.regexp_extract_all(text, F.lit(SEGMENT), 0)
-    rest = F.filter(segments, lambda s, i: ~F.array_contains(bad[bad_at], i + 1))
+    rest = without_places(segments, F.transform(bad[bad_at], lambda p: p - 1))
     cleaned = F.concat(F.array_join(rest, ""), F.regexp_extract(text, TAIL, 0))
     joined = docs.join(bad, same, "left")
     return joined.select(*[F.when(bad[bad_id].isNotNull() | bad[bad_hash].isNotNull(), cleaned).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])

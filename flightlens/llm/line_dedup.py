@@ -15,7 +15,7 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.common import discard, materialize, new_names
+from flightlens.llm.common import discard, materialize, new_names, without_places
 from flightlens.llm.ngram_join import near_duplicates
 
 MIN_SITES = 5
@@ -91,7 +91,7 @@ def _matched(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> t
     names = new_names(docs, "line_doc", "line_hash", "line_gone")
     found = found.select("doc_id", "text_hash", "gone").toDF(*names)
     joined, gone = docs.join(found, _of_texts(docs, found, id_col, text_col), "left"), found[names[2]]
-    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    left = F.array_join(without_places(F.split(docs[text_col], "\n", -1), gone), "\n")
     return joined, gone, F.when(gone.isNotNull(), left).otherwise(docs[text_col])
 
 
@@ -109,10 +109,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs as from dedup_lines, but judged by distinct texts.
+    """docs as from dedup_lines, but judged by distinct texts; every row and column stays.
 
     A line is boilerplate that stands on at least min_sites sites and in at least as many
-    texts that are no near copies of one another.
+    texts that are no near copies of one another. Nulls, empty texts, repeated rows, null
+    sites, empty tables and clashing names are treated as dedup_lines says.
     """
     joined, _, text = _matched(docs, removals(docs, id_col, text_col, site_col, min_sites, min_chars, copies_once=True), id_col, text_col)
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.llm import collocations, decontaminate, exact_topk, hard_negatives, langid, line_dedup, ngram_join, quality, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from flightlens.llm.common import finished
 from flightlens.session import table
 
 
@@ -17,7 +18,7 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return finished(lambda: ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
@@ -30,11 +31,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = public_t
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return finished(lambda: toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return finished(lambda: line_dedup.line_report(table(spark, sf_dir, "documents")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +44,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        "n_items",
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
-    )
+    def judged() -> DataFrame:
+        found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+        return found.select(
+            "doc_id",
+            "n_words",
+            "n_hit",
+            "n_items",
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        )
+
+    return finished(judged)
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = distinct_texts(_labelled(docs, labels, id_col, text_col, rows))
     scorer = Scorer(dict.fromkeys(SEED_INSULTS, SEED_WEIGHT) | learn_insults(sample))
     calibrate(scorer, sample)
+    discard(sample)
     return scorer
 
 
@@ -326,5 +327,9 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score at least `threshold`; the columns stay."""
+    """docs without the rows that score at least `threshold`; the columns stay.
+
+    Null and empty texts score as texts without matches and stay; repeated rows are each
+    scored; whole texts are read; an empty table gives no rows.
+    """
     return docs.filter(score_column(scorer, F.col(text_col), docs) < threshold)
