@@ -19,7 +19,7 @@ from flightlens.functions.geo import EARTH_RADIUS_M, off_null_island
 from flightlens.operators.geofence import zone_matches
 from flightlens.plans import views
 from flightlens.session import shared_dir
-from flightlens.sources import binary, zones
+from flightlens.sources import binary, ranges, zones
 
 GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec double"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -101,7 +101,12 @@ def stream_flights(telemetry: DataFrame, gap: str = "5 seconds", delay: str = "1
 def stream_frames(spark: SparkSession, path: str) -> DataFrame:
     """Positions of radio logs as their files land; each file is framed once, when it arrives."""
     landed = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(BINARY_SCHEMA).load(path)
-    frames = binary.framed(landed, binary.radio_frames, "us long, msg_id int, numbers map<string,double>, text string")
+    def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([(path, *f) for f in ranges.file_at_once(binary.Radio(), bytes(content))], columns=["file", "off", "us", "msg_id", "numbers", "text"])
+
+    frames = landed.select("path", "content").mapInPandas(framed, f"file string, off long, {binary.RADIO_FIELDS}")
     value = lambda name: F.element_at("numbers", name)
     rows = frames.filter(F.col("msg_id") == binary.POSITION).select(
         "file", F.col("off").alias("seq"), F.timestamp_micros("us").alias("ts"), (value("lat") / 1e7).alias("latitude"), (value("lon") / 1e7).alias("longitude"), F.round(value("rel_alt") / 1000, 2).alias("altitude_m")

@@ -220,7 +220,7 @@ def test_carving(spark, files):
     assert found[0].size_bytes == len(jpeg) and found[2].size_bytes == 37
     import hashlib
 
-    assert binary.hash_extents(spark, path, binary.carve_extents(spark, path)).filter("carve_id = 1").first().sha256 == hashlib.sha256(jpeg).hexdigest()
+    assert binary.hash_extents(spark, binary.carve_extents(spark, path)).filter("carve_id = 1").first().sha256 == hashlib.sha256(jpeg).hexdigest()
 
 
 @pytest.mark.parametrize("wide", [False, True])
