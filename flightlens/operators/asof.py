@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.operators.places import by_number, by_time, in_list, with_last, with_previous
+from flightlens.operators.places import by_number, by_time, in_list, numbered, with_last, with_previous, with_running
 
 CONFIDENT_SECONDS = 2.0
 IMAGE_TOLERANCE, VIDEO_PADDING = 60.0, 15.0
@@ -44,8 +44,8 @@ def media_overlap(media: DataFrame, telemetry: DataFrame, tolerance: float = IMA
     further from a point than its padded length; an image within `tolerance` of a point.
     """
     window = telemetry.groupBy("case_id").agg(F.min("ts").alias("window_start"), F.max("ts").alias("window_end"))
-    near = nearest_media(media, telemetry).select("media_id", "matched_ts", "matched_seq", "latitude", "longitude", "altitude_m", (F.abs(F.unix_micros("capture_ts") - F.unix_micros("matched_ts")) / F.lit(1e6)).alias("delta"))
-    rows = media.select("case_id", "media_id", "ts", "duration_sec").join(window, "case_id", "left").join(near, "media_id", "left")
+    near = nearest_media(media, telemetry).select("case_id", "media_id", "matched_ts", "matched_seq", "latitude", "longitude", "altitude_m", (F.abs(F.unix_micros("capture_ts") - F.unix_micros("matched_ts")) / F.lit(1e6)).alias("delta"))
+    rows = media.select("case_id", "media_id", "ts", "duration_sec").join(window, "case_id", "left").join(near, ["case_id", "media_id"], "left")
     start, length = F.unix_micros("ts") / F.lit(1e6), F.coalesce("duration_sec", F.lit(0.0))
     meets = F.greatest(start - padding, F.unix_micros("window_start") / F.lit(1e6)) <= F.least(start + length + padding, F.unix_micros("window_end") / F.lit(1e6))
     overlap = F.coalesce(F.when(length > 0, meets | (F.col("delta") <= length + padding)).otherwise(F.col("delta") <= tolerance), F.lit(False))
@@ -66,9 +66,9 @@ def media_events(overlap: DataFrame) -> DataFrame:
 
 def media_capture(media: DataFrame, overlap: DataFrame) -> DataFrame:
     """media with the matched position, or its own geotag where nothing matched."""
-    matched = overlap.select("media_id", "has_overlap", *[F.col(c).alias(f"m_{c}") for c in ("latitude", "longitude", "altitude_m")])
+    matched = overlap.select("case_id", "media_id", "has_overlap", *[F.col(c).alias(f"m_{c}") for c in ("latitude", "longitude", "altitude_m")])
     own = [F.coalesce(f"m_{c}", f"tag_{c}").alias(c) for c in ("latitude", "longitude", "altitude_m")]
-    return media.join(matched, "media_id", "left").select("case_id", "media_id", "ts", "has_overlap", *own)
+    return media.join(matched, ["case_id", "media_id"], "left").select("case_id", "media_id", "ts", "has_overlap", *own)
 
 
 def carry_forward(rows: DataFrame, columns: list[str], partition: list[str] | None = None) -> DataFrame:
@@ -109,3 +109,29 @@ def resample(telemetry: DataFrame, step_ms: int = 1000) -> DataFrame:
     found = slots.groupBy("case_id", "slot").agg(F.min("t0").alias("t0"), *last, F.count("*").alias("rows_in_slot"))
     found = with_last(found, {c: F.col(c) for c in values}, ["case_id"], {"_stretch": by_number(F.col("slot"))}, ["slot"])
     return found.select("case_id", "slot", F.timestamp_micros(F.col("t0") + F.col("slot") * (step_ms * 1000)).alias("slot_ts"), *values, "rows_in_slot")
+
+
+def emissions(messages: DataFrame, step_ms: int = 1000) -> DataFrame:
+    """The rows at which a sampler of `step_ms` emits, with the last values known there; messages with a time, in time order.
+
+    The sampler emits at most once a message, when the message's time has come to its clock, and
+    each emission moves the clock on by one step from the case's first time; so behind a gap the
+    messages catch up, one step each. After message i it has emitted e(i) = min(e(i-1) + 1,
+    slot(i) + 1) times, where slot is the number of whole steps since the first time: that is i
+    plus the least slot(j) + 1 - j up to i, a running minimum, carried over stretches of time.
+
+    Returns case_id, number (from 1), clock_ms (since the first time), ts, and latitude, longitude,
+    altitude_m, roll_deg, pitch_deg and yaw_deg, each the last that is not null.
+    """
+    values = ("latitude", "longitude", "altitude_m", "roll_deg", "pitch_deg", "yaw_deg")
+    stretch, order = {"_stretch": by_time(F.col("ts"))}, ["ts", "ingest_seq", "seq"]
+    rows = messages.filter(F.col("ts").isNotNull()).select("case_id", *order, *values)
+    starts = rows.groupBy("case_id").agg(F.min(F.unix_micros("ts")).alias("t0")).withColumnRenamed("case_id", "_case")
+    timed = rows.join(starts, F.col("case_id").eqNullSafe(F.col("_case"))).drop("_case")
+    timed = timed.withColumn("slot", F.floor((F.unix_micros("ts") - F.col("t0")) / F.lit(step_ms * 1000)).cast("long")).drop("t0")
+    placed = numbered(timed, "i", ["case_id"], stretch, order).withColumn("i", F.col("i") - 1)
+    bounded = with_running(placed, "least", F.col("slot") + 1 - F.col("i"), ["case_id"], stretch, order)
+    known = with_last(bounded, {c: F.col(c) for c in values}, ["case_id"], stretch, order)
+    before = F.coalesce(F.col("i") - 1 + F.col("least"), F.lit(0))  # emitted before this message
+    found = known.withColumn("number", before + 1).filter(F.col("slot") >= F.col("number") - 1)
+    return found.select("case_id", F.col("number").cast("long").alias("number"), ((F.col("number") - 1) * step_ms).cast("long").alias("clock_ms"), "ts", *values)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -148,13 +149,18 @@ def hash_manifest(items: DataFrame, content: Column, sha3: bool = True) -> DataF
 
 
 def verify_manifest(expected: DataFrame, computed: DataFrame) -> DataFrame:
-    """Every item of either manifest with a flag per hash, compared in any case; valid only if all match."""
+    """Every item of either manifest with a flag per hash, compared in any case; valid only if all match.
+
+    sha3_256 has a flag, and counts, where both manifests have the column.
+    """
     e, c = expected.alias("e"), computed.alias("c")
     joined = e.join(c, F.col("e.item_id") == F.col("c.item_id"), "full_outer")
     flags = {f"{h}_match": F.coalesce(F.lower(f"e.{h}") == F.lower(f"c.{h}"), F.lit(False)) for h in ("sha256", "md5")}
     flags["bytes_match"] = F.coalesce(F.col("e.byte_count") == F.col("c.byte_count"), F.lit(False))
+    if "sha3_256" in expected.columns and "sha3_256" in computed.columns:
+        flags["sha3_256_match"] = F.coalesce(F.lower("e.sha3_256") == F.lower("c.sha3_256"), F.lit(False))
     found = joined.select(F.coalesce("e.item_id", "c.item_id").alias("item_id"), *[v.alias(k) for k, v in flags.items()])
-    return found.withColumn("is_valid", F.col("sha256_match") & F.col("md5_match") & F.col("bytes_match"))
+    return found.withColumn("is_valid", reduce(Column.__and__, [F.col(k) for k in flags]))
 
 
 def acquisition_totals(files: DataFrame) -> DataFrame:

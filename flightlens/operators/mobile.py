@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlens.session import forget, stored
+
 SAME_PLACE_DEGREES = 1e-5
 UNKNOWN_PLATFORM = "Generic Mobile"
 
@@ -42,12 +46,11 @@ def mobile_artifacts(files: DataFrame) -> DataFrame:
     files: case_id, app_name, kind (LOG, PLAN, MEDIA or HARDWARE), name, value, points.
     """
     names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
-    hardware = F.array_sort(F.collect_set(F.when(F.col("kind") == "HARDWARE", F.struct("name", "value"))))
-    grouped = files.groupBy("case_id", "app_name").agg(
-        names("LOG").alias("logs"), names("PLAN").alias("plans"), names("MEDIA").alias("media"), hardware.alias("_hw"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"), F.count("*").alias("files")
-    )
-    latest = F.aggregate("_hw", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["name"]), F.create_map(x["name"], x["value"])))
-    return grouped.withColumn("hardware", latest).drop("_hw")
+    grouped = files.groupBy("case_id", "app_name").agg(names("LOG").alias("logs"), names("PLAN").alias("plans"), names("MEDIA").alias("media"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"), F.count("*").alias("files"))
+    values = files.filter((F.col("kind") == "HARDWARE") & F.col("name").isNotNull()).groupBy("case_id", "app_name", "name").agg(F.max("value").alias("value"))
+    maps = values.groupBy("case_id", "app_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("hardware")).toDF("_case", "_app", "hardware")
+    joined = grouped.join(maps, grouped["case_id"].eqNullSafe(maps["_case"]) & grouped["app_name"].eqNullSafe(maps["_app"]), "left")
+    return joined.select(*grouped.columns, F.coalesce("hardware", F.create_map().cast("map<string,string>")).alias("hardware"))
 
 
 def mobile_overview(artifacts: DataFrame) -> DataFrame:
@@ -62,18 +65,50 @@ def merge_artifacts(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.unionByName(new.join(known.select("case_id", "app_name"), ["case_id", "app_name"], "left_anti"))
 
 
-def operator_locations(fixes: DataFrame) -> DataFrame:
-    """Operator fixes of a case without those at the place of an earlier one kept.
+def _cells(lat: Column, lon: Column) -> list[Column]:
+    return [F.floor(c / SAME_PLACE_DEGREES).cast("long").alias(name) for c, name in ((lat, "cy"), (lon, "cx"))]
+
 
-    Repeats of the very same position go first, in parallel; the ordered fold that is left
-    runs per case over its different positions, which have to fit one row.
+def _near(centres: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Pairs of a centre (columns c_...) and a fix of its case at the same place, the fix itself left out.
+
+    Fixes of one cell are at one place, and those at one place lie in neighbouring cells; with
+    at most one centre a cell, no fix meets more than nine.
     """
-    first = fixes.groupBy("case_id", "latitude", "longitude").agg(F.min_by(F.struct("pos", "source"), "pos").alias("p"))
-    sorted_fixes = first.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "latitude", "longitude", F.col("p.source").alias("source")))).alias("fixes"))
+    around = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
+    spread = centres.select(*[F.col(c).alias(f"c_{c}") for c in ("case_id", "pos", "latitude", "longitude")], "cy", "cx", around.alias("d"))
+    spread = spread.withColumns({"cy": F.col("cy") + F.col("d.y"), "cx": F.col("cx") + F.col("d.x")}).drop("d")
+    met = fixes.join(spread, (F.col("case_id").eqNullSafe(F.col("c_case_id"))) & (fixes["cy"] == spread["cy"]) & (fixes["cx"] == spread["cx"])).drop(spread["cy"]).drop(spread["cx"])
+    same = [F.abs(F.col(c) - F.col(f"c_{c}")) < SAME_PLACE_DEGREES for c in ("latitude", "longitude")]
+    return met.filter(same[0] & same[1] & (F.col("pos") != F.col("c_pos")))
+
 
-    def keep(kept, fix):
-        near = F.exists(kept, lambda k: (F.abs(k["latitude"] - fix["latitude"]) < SAME_PLACE_DEGREES) & (F.abs(k["longitude"] - fix["longitude"]) < SAME_PLACE_DEGREES))
-        return F.when(near, kept).otherwise(F.concat(kept, F.array(fix)))
+def operator_locations(fixes: DataFrame) -> DataFrame:
+    """Operator fixes (case_id, pos, latitude, longitude, source) without those at the place of an earlier one kept.
 
-    start = F.slice("fixes", 1, 0)
-    return sorted_fixes.select("case_id", F.explode(F.aggregate("fixes", start, keep)).alias("f")).select("case_id", "f.*")
+    The list's rule, a fix stays if no fix kept before it is at its place, is met in rounds: a fix
+    that comes before all undecided fixes at its place is kept, and those are dropped with it.
+    Only the first undecided fix of a cell can be kept, so a round is linear; there are as many
+    as the longest chain of fixes, each at the place of the one before, needs. Of equal pos the
+    smaller position is first; fixes without a position or pos are left out.
+    """
+    known = fixes.filter(F.col("pos").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    first = known.groupBy("case_id", "latitude", "longitude").agg(F.min_by(F.struct("pos", "source"), "pos").alias("p"))
+    ordered = first.select("case_id", F.struct(F.col("p.pos").alias("at"), "latitude", "longitude").alias("pos"), "latitude", "longitude", F.col("p.source").alias("source"), *_cells(F.col("latitude"), F.col("longitude")))
+    undecided, kept = stored(ordered), []
+    while not undecided.isEmpty():
+        least = undecided.groupBy("case_id", "cy", "cx").agg(F.min_by(F.struct("pos", "latitude", "longitude", "source"), "pos").alias("f")).select("case_id", "cy", "cx", "f.*")
+        late = _near(least, undecided).filter(F.col("pos") < F.col("c_pos")).select(F.col("c_case_id").alias("case_id"), F.col("c_pos").alias("pos")).distinct()
+        chosen = stored(_without(least, late))
+        gone = _near(chosen, undecided).select("case_id", "pos").union(chosen.select("case_id", "pos")).distinct()
+        kept.append(chosen)
+        undecided, before = stored(_without(undecided, gone)), undecided
+        forget(before)
+    if not kept:
+        return fixes.select("case_id", "pos", "latitude", "longitude", "source").limit(0)
+    return reduce(DataFrame.unionByName, kept).select("case_id", F.col("pos.at").alias("pos"), "latitude", "longitude", "source")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.toDF("_case", "_pos")
+    return rows.join(gone, rows["case_id"].eqNullSafe(gone["_case"]) & (rows["pos"] == gone["_pos"]), "left_anti")

@@ -7,7 +7,7 @@ comes from an aggregate with one row per stretch, which is joined back on the st
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +76,18 @@ def with_last(rows: DataFrame, values: dict[str, Column], keys: Sequence[str], s
     return _joined(inside, carried, spans).select(*kept, *[F.coalesce(f"_i_{n}", f"_c_{n}").alias(n) for n in values])
 
 
+def with_running(rows: DataFrame, name: str, value: Column, keys: Sequence[str], stretch: dict[str, Column], order: Sequence[str], fold: Callable[[Column], Column] = F.min) -> DataFrame:
+    """rows with the fold (F.min, F.max or F.sum) of value over the rows before the row itself; null at the first."""
+    cut = rows.withColumns({**stretch, "_v": value})
+    spans = [*keys, *stretch]
+    whole = cut.groupBy(*spans).agg(fold("_v").alias("_v"))
+    carried = whole.select(*spans, fold("_v").over(Window.partitionBy(*keys).orderBy(*stretch).rowsBetween(*BEFORE)).alias("_c"))
+    inside = cut.withColumn("_i", fold("_v").over(Window.partitionBy(*spans).orderBy(*order).rowsBetween(*BEFORE)))
+    pair = F.filter(F.array("_i", "_c"), lambda x: x.isNotNull())
+    both = F.when(F.size(pair) == 2, {F.min: F.array_min, F.max: F.array_max}.get(fold, lambda a: F.get(a, F.lit(0)) + F.get(a, F.lit(1)))(pair)).otherwise(F.get(pair, F.lit(0)))
+    return _joined(inside, carried, spans).select(*rows.columns, both.alias(name))
+
+
 def in_list() -> dict[str, Column]:
     """The stretches of a case's list of rows."""
     return {"_file": F.col("ingest_seq"), "_stretch": by_number(F.col("seq"))}

@@ -81,17 +81,31 @@ def write_geojson(telemetry: DataFrame, path: str) -> None:
     _write_files(points, _end(ends, head), _end(ends, tail), path)
 
 
+def _clock(ms: Column) -> Column:
+    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+
+
 def to_srt(slots: DataFrame, step_ms: int = 1000) -> DataFrame:
     """(case_id, slot, srt): a subtitle block per resampled slot."""
-    clock = lambda ms: F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
     start = F.col("slot") * step_ms
     block = F.concat(
-        (F.col("slot") + 1).cast("string"), F.lit("\n"), clock(start), F.lit(" --> "), clock(start + step_ms), F.lit("\n"),
+        (F.col("slot") + 1).cast("string"), F.lit("\n"), _clock(start), F.lit(" --> "), _clock(start + step_ms), F.lit("\n"),
         F.lit("[latitude: "), fixed(F.col("latitude"), 7), F.lit("] [longitude: "), fixed(F.col("longitude"), 7), F.lit("] [altitude: "), fixed(F.col("altitude_m"), 2), F.lit("]\n"),
     )
     return slots.select("case_id", "slot", block.alias("srt"))
 
 
+#: What a subtitle's line shows, its digits and unit.
+SHOWN = (("latitude", 7, ""), ("longitude", 7, ""), ("altitude_m", 2, "m"), ("roll_deg", 1, ""), ("pitch_deg", 1, ""), ("yaw_deg", 1, ""))
+
+
+def emissions_to_srt(emitted: DataFrame, step_ms: int = 1000) -> DataFrame:
+    """(case_id, number, srt): a subtitle block with position and attitude per emission (asof.emissions); what isn't known yet is 0."""
+    shown = [F.concat(F.lit(f"[{name.split('_')[0]}: "), fixed(F.coalesce(F.col(name), F.lit(0.0)), digits), F.lit(f"{unit}]")) for name, digits, unit in SHOWN]
+    block = F.concat(F.col("number").cast("string"), F.lit("\n"), _clock(F.col("clock_ms")), F.lit(" --> "), _clock(F.col("clock_ms") + step_ms), F.lit("\n"), F.concat_ws(" ", *shown), F.lit("\n"))
+    return emitted.select("case_id", "number", block.alias("srt"))
+
+
 def to_dfxml(evidence: DataFrame) -> DataFrame:
     """(case_id, item_id, xml): a fileobject element per evidence item."""
     safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,5 +43,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse's where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_flightlens"
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse's where that is unset.
+
+    A warehouse on a local disk is no such folder unless all run on one machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return warehouse + "/_flightlens"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: its lineage ends there, and no lost executor takes it along."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of stored frames that no later plan reads; other tables are refused."""
+    for df in frames:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if not re.search(r"/tables/[0-9a-f]{32}$", folder):
+                raise ValueError(f"not a stored table: {folder}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

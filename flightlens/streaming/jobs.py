@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flightlens.functions.geo import EARTH_RADIUS_M, off_null_island
 from flightlens.operators.geofence import zone_matches
@@ -21,6 +21,7 @@ from flightlens.plans import views
 from flightlens.session import shared_dir
 from flightlens.sources import binary, ranges, zones
 
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec double"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 GAP_STATE = "us long, latitude double, longitude double"
@@ -31,32 +32,51 @@ def stream_geofence(telemetry: DataFrame, zone_table: DataFrame) -> DataFrame:
     return zone_matches(telemetry, zone_table).select("case_id", "seq", "zone_id", "ts")
 
 
-def stream_gaps(telemetry: DataFrame, gap_seconds: float = 5.0, jump_mps: float = 60.0) -> DataFrame:
-    """Gaps, reversals and jumps between rows as they arrive; per case only the last row is kept.
+class Gaps(StatefulProcessor):
+    """Neighbour tests of one case: the last row is all that is kept between batches.
 
-    Arrival order is the signal, so there is no watermark and no sorting across batches;
-    rows of one batch are taken in seq order.
+    Shuffled rows of a batch come in no order, so a batch's rows of a case are held as numbers
+    (40 bytes each) and sorted. A row without a time has no gap before or behind it, one without
+    a position no step, as in the batch operator.
     """
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        us = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        lat, lon = rows["latitude"].to_numpy(), rows["longitude"].to_numpy()
-        seq = rows["seq"].to_numpy()
-        if state.exists:
-            u, a, b = state.get
-            us, lat, lon, seq = np.insert(us, 0, u), np.insert(lat, 0, a), np.insert(lon, 0, b), np.insert(seq, 0, -1)
-        state.update((int(us[-1]), float(lat[-1]), float(lon[-1])))
-        gap = np.diff(us) / 1e6
+
+    def __init__(self, gap_seconds: float, jump_mps: float) -> None:
+        self.gap_seconds, self.jump_mps = gap_seconds, jump_mps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", GAP_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts = [(b["seq"].to_numpy("int64"), b["ts"].notna().to_numpy(), b["ts"].astype("datetime64[us]").astype("int64").to_numpy(), b["latitude"].to_numpy(float), b["longitude"].to_numpy(float)) for b in rows]
+        seq, known, us, lat, lon = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, known, us, lat, lon = (x[order] for x in (seq, known, us, lat, lon))
+        if self.last.exists():
+            u, a, b = self.last.get()
+            seq, known, us = np.r_[-1, seq], np.r_[u is not None, known], np.r_[u or 0, us]
+            lat, lon = (np.r_[np.nan if x is None else x, xs] for x, xs in ((a, lat), (b, lon)))
+        self.last.update((int(us[-1]) if known[-1] else None, *(None if np.isnan(x[-1]) else float(x[-1]) for x in (lat, lon))))
+        gap = np.where(known[:-1] & known[1:], np.diff(np.where(known, us, 0)) / 1e6, np.nan)
         p, q = np.radians(lat[:-1]), np.radians(lat[1:])
         h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(np.diff(lon)) / 2) ** 2
         step = 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(h), np.sqrt(np.maximum(0, 1 - h)))
         speed = np.divide(step, gap, out=np.zeros_like(step), where=gap > 0)
-        at = pd.to_datetime(us, unit="us")
-        for mask, kind, shift in ((gap < 0, "CLOCK_SKEW", 1), (gap > gap_seconds, "TIMESTAMP_GAP", 0), (speed > jump_mps, "GPS_DISCORDANCE", 1)):
+        for mask, kind, shift in ((gap < 0, "CLOCK_SKEW", 1), (gap > self.gap_seconds, "TIMESTAMP_GAP", 0), (speed > self.jump_mps, "GPS_DISCORDANCE", 1)):
             i = np.flatnonzero(mask)
-            yield pd.DataFrame({"case_id": key[0], "seq": seq[i + 1], "anomaly_type": kind, "ts": at[i + shift], "gap_sec": gap[i]})
+            yield pd.DataFrame({"case_id": key[0], "seq": seq[i + 1], "anomaly_type": kind, "ts": pd.to_datetime(us[i + shift], unit="us"), "gap_sec": gap[i]})
+
+    def close(self) -> None:
+        pass
+
 
-    return telemetry.select("case_id", "seq", "ts", "latitude", "longitude").groupBy("case_id").applyInPandasWithState(run, GAP_SCHEMA, GAP_STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_gaps(telemetry: DataFrame, gap_seconds: float = 5.0, jump_mps: float = 60.0) -> DataFrame:
+    """Gaps, reversals and jumps between rows as they arrive; per case only the last row is kept.
+
+    Arrival order is the signal, so there is no watermark and no sorting across batches; rows of
+    one batch are taken in seq order. Needs the RocksDB state store, which run_once sets.
+    """
+    rows = telemetry.select("case_id", "seq", "ts", "latitude", "longitude")
+    return rows.groupBy("case_id").transformWithStateInPandas(Gaps(gap_seconds, jump_mps), GAP_SCHEMA, "Append", "None")
 
 
 def stream_summary(telemetry: DataFrame) -> DataFrame:
@@ -145,6 +165,7 @@ def arriving_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Everything there is through a stream, then its output as a table."""
     spark = stream.sparkSession
+    spark.conf.set(*STATE_STORE)
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
