@@ -29,9 +29,20 @@ def _stamp(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("N/A"))
 
 
-def _place() -> Column:
-    text = F.concat(F.lit("lat="), fixed(F.col("latitude"), 6), F.lit(", lon="), fixed(F.col("longitude"), 6), F.lit(", alt="), fixed(F.col("altitude_m"), 1), F.lit("m"))
-    return F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), text).otherwise("coordinates=N/A")
+def _place(prefix: str = "") -> Column:
+    lat, lon, alt = (F.col(prefix + c) for c in ("latitude", "longitude", "altitude_m"))
+    text = F.concat(F.lit("lat="), fixed(lat, 6), F.lit(", lon="), fixed(lon, 6), F.lit(", alt="), fixed(alt, 1), F.lit("m"))
+    return F.when(lat.isNotNull() & lon.isNotNull(), text).otherwise("coordinates=N/A")
+
+
+def _time(rows: DataFrame, name: str) -> Column:
+    """A time as metadata: the stamp, empty for nulls and where rows have none."""
+    return F.when(F.col(name).isNotNull(), _stamp(F.col(name))) if name in rows.columns else F.lit(None).cast("string")
+
+
+def _some(rows: DataFrame, *names: str) -> dict[str, Column]:
+    """Metadata of those columns that rows have."""
+    return {n: F.col(n) for n in names if n in rows.columns}
 
 
 def _chunks(rows: DataFrame, kind: str, text: Column, place: Column, **metadata: Column) -> DataFrame:
@@ -54,35 +65,48 @@ def chunk_violations(violations: DataFrame) -> DataFrame:
         F.lit(" | Timestamp (UTC): "), _stamp(F.col("ts")), F.lit(" | Breach Coordinates: "), _place(), F.lit(" | Jurisdiction Authority: "), F.coalesce("authority", F.lit("DGCA / Local Civil Aviation")),
         F.lit(" | Airspace Category: "), F.coalesce("category", F.lit("RESTRICTED")), F.lit(" | Details: "), "details",
     )
-    return _chunks(violations, "geofence_violation", text, F.col("seq") * 1000 + F.col("zone_pos"), zone_id=F.col("zone_id"), violation_type=F.col("violation_type"), severity=F.col("severity"))
+    return _chunks(violations, "geofence_violation", text, F.col("seq") * 1000 + F.col("zone_pos"), **_some(violations, "zone_id", "zone_name", "violation_type", "severity", "latitude", "longitude", "altitude_m"), timestamp_utc=_time(violations, "ts"))
+
+
+#: Metrics of an anomaly that its text names.
+MOST_METRICS = 6
 
 
 def chunk_anomalies(anomalies: DataFrame) -> DataFrame:
-    """One text per anomaly."""
+    """One text per anomaly; evidence_ref and metrics (an array of name, value) where given, of these the first MOST_METRICS."""
+    metrics = F.lit("")
+    if "metrics" in anomalies.columns:
+        shown = F.transform(F.slice("metrics", 1, MOST_METRICS), lambda m: F.concat(m["name"], F.lit("="), m["value"]))
+        metrics = F.when(F.size("metrics") > 0, F.concat(F.lit(" | Forensic Metrics: "), F.array_join(shown, ", "))).otherwise("")
     text = F.concat(
-        F.lit("[ANOMALY_DETECTION] Type: "), "anomaly_type", F.lit(" | Severity: "), "severity", F.lit(" | Timestamp (UTC): "), _stamp(F.col("ts")), F.lit(" | Evidence Reference: Flight Log | Description: "), "description"
-    )
-    return _chunks(anomalies, "anomaly_report", text, F.col("seq").cast("long"), anomaly_type=F.col("anomaly_type"), severity=F.col("severity"))
+        F.lit("[ANOMALY_DETECTION] Type: "), "anomaly_type", F.lit(" | Severity: "), "severity", F.lit(" | Timestamp (UTC): "), _stamp(F.col("ts")),
+        F.lit(" | Evidence Reference: "), _own(anomalies, "evidence_ref", "Flight Log"), F.lit(" | Description: "), "description", metrics,
+    )
+    return _chunks(anomalies, "anomaly_report", text, F.col("seq").cast("long"), **_some(anomalies, "anomaly_type", "severity"), timestamp_utc=_time(anomalies, "ts"), evidence_ref=_own(anomalies, "evidence_ref", ""))
 
 
 def chunk_windows(windows: DataFrame) -> DataFrame:
-    """One text per window of telemetry rows."""
+    """One text per window of telemetry rows; start and end places and the source where given (telemetry_windows with ends)."""
     battery = F.when(F.col("min_battery_pct").isNull(), "Batt: N/A").otherwise(F.concat(F.lit("Batt: "), fixed(F.col("min_battery_pct"), 1), F.lit("% - "), fixed(F.col("max_battery_pct"), 1), F.lit("%")))
+    places = F.concat(F.lit(" | Start Location: "), _place("start_"), F.lit(" | End Location: "), _place("end_")) if "start_latitude" in windows.columns else F.lit("")
     text = F.concat(
-        F.lit("[TELEMETRY_WINDOW] Time: "), _stamp(F.col("start_ts")), F.lit(" to "), _stamp(F.col("end_ts")), F.format_string(" (%d samples)", "samples"),
+        F.lit("[TELEMETRY_WINDOW] Time: "), _stamp(F.col("start_ts")), F.lit(" to "), _stamp(F.col("end_ts")), F.format_string(" (%d samples)", "samples"), places,
         F.lit(" | Altitude Range: "), fixed(F.col("min_altitude_m"), 1), F.lit("m to "), fixed(F.col("max_altitude_m"), 1), F.lit("m | Max Speed: "), fixed(F.col("max_speed_mps"), 1),
-        F.lit(" m/s (avg "), fixed(F.col("avg_speed_mps"), 1), F.lit(" m/s) | "), battery,
+        F.lit(" m/s (avg "), fixed(F.col("avg_speed_mps"), 1), F.lit(" m/s) | "), battery, _labelled(windows, ("Source", "source_channel", "")),
+    )
+    return _chunks(
+        windows, "telemetry_window", text, F.col("win").cast("long"), samples_count=F.col("samples"), start_time_utc=_time(windows, "start_ts"), end_time_utc=_time(windows, "end_ts"), **_some(windows, "min_altitude_m", "max_altitude_m", "max_speed_mps")
     )
-    return _chunks(windows, "telemetry_window", text, F.col("win").cast("long"), samples_count=F.col("samples"))
 
 
 def chunk_custody(custody: DataFrame) -> DataFrame:
-    """One text per custody entry."""
+    """One text per custody entry; its time (ts, or ts_raw as it is written) and evidence item where given."""
+    rows = custody.withColumn("timestamp_utc", _stamp(F.col("ts"))) if "ts" in custody.columns else custody.withColumnRenamed("ts_raw", "timestamp_utc")
     text = F.concat(
-        F.lit("[CHAIN_OF_CUSTODY] Sequence #"), F.col("entry_id").cast("string"), F.lit(" | Actor: "), "actor", F.lit(" | Action: "), "action", F.lit(" | Details: "), "details",
-        F.lit(" | HMAC Signature: "), F.substring("signature", 1, 16), F.lit("..."),
+        F.lit("[CHAIN_OF_CUSTODY] Sequence #"), F.col("entry_id").cast("string"), F.lit(" | Actor: "), "actor", F.lit(" | Action: "), "action", _labelled(rows, ("Timestamp (UTC)", "timestamp_utc", "N/A")), F.lit(" | Details: "), "details",
+        _labelled(rows, ("Evidence Item", "evidence_item_id", "Case Vault")), F.lit(" | HMAC Signature: "), F.substring("signature", 1, 16), F.lit("..."),
     )
-    return _chunks(custody, "custody", text, F.col("entry_id").cast("long"), actor=F.col("actor"))
+    return _chunks(rows, "custody", text, F.col("entry_id").cast("long"), **_some(rows, "entry_id", "actor", "action", "timestamp_utc", "signature"))
 
 
 def chunk_evidence(items: DataFrame) -> DataFrame:

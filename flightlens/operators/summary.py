@@ -68,18 +68,23 @@ def sync_status(cases: DataFrame, **tables: DataFrame) -> DataFrame:
     return joined.select("case_id", *[F.coalesce(f"{name}_count", F.lit(0)).alias(f"{name}_count") for name in tables])
 
 
-def telemetry_windows(telemetry: DataFrame, rows: int = WINDOW_ROWS, step: int = WINDOW_STEP) -> DataFrame:
+def telemetry_windows(telemetry: DataFrame, rows: int = WINDOW_ROWS, step: int = WINDOW_STEP, ends: bool = False) -> DataFrame:
     """Overlapping windows of `rows` rows every `step` rows of a case; the last is the first to reach the end.
 
     Each row goes to the at most ceil(rows / step) windows that hold it, so windows are a
-    plain grouped aggregate.
+    plain grouped aggregate. ends adds the places of the first and last row (start_latitude to
+    end_altitude_m) and the first one's source_channel, where telemetry has it.
     """
     placed = with_place(telemetry).withColumnsRenamed({"place": "i", "case_rows": "n"})
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - rows + 1) / step))
     last = F.floor(F.col("i") / step)
     held = placed.withColumn("win", F.explode(F.sequence(first.cast("int"), last.cast("int")))).filter((F.col("win") == 0) | (step * (F.col("win") - 1) + rows < F.col("n")))
     place = F.col("i")
-    return held.groupBy("case_id", "win").agg(
+    at = F.struct("latitude", "longitude", "altitude_m")
+    extra = [f(at, place).alias(side) for side, f in (("_start", F.min_by), ("_end", F.max_by))] if ends else []
+    if ends and "source_channel" in telemetry.columns:
+        extra.append(F.min_by("source_channel", place).alias("source_channel"))
+    found = held.groupBy("case_id", "win").agg(
         F.min_by("ts", place).alias("start_ts"),
         F.max_by("ts", place).alias("end_ts"),
         F.min("altitude_m").alias("min_altitude_m"),
@@ -89,7 +94,11 @@ def telemetry_windows(telemetry: DataFrame, rows: int = WINDOW_ROWS, step: int =
         F.min("battery_pct").alias("min_battery_pct"),
         F.max("battery_pct").alias("max_battery_pct"),
         F.count("*").alias("samples"),
+        *extra,
     )
+    if not ends:
+        return found
+    return found.select("*", *[F.col(f"_{side}.{c}").alias(f"{side}_{c}") for side in ("start", "end") for c in ("latitude", "longitude", "altitude_m")]).drop("_start", "_end")
 
 
 def endpoints(telemetry: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ RANGE = 50_000
 _TEL = files._TEL + ", e AS (SELECT *, CAST(round(latitude * 1e7) AS BIGINT) AS lat7, CAST(round(longitude * 1e7) AS BIGINT) AS lon7, CAST(round(altitude_m * 100) AS BIGINT) AS alt2, CAST(epoch(ts) AS BIGINT) AS sec FROM f)"
 
 
-def encoded(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple, int], bytes], head: bytes = b"") -> str:
-    """The folder of files made of telemetry: head, then encode(row, place) for each row of a case in seq order."""
+def pieces(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple, int], bytes], head: bytes = b"") -> DataFrame:
+    """(file, ord, data) of files made of telemetry: head, then encode(row, place) for each row of a case in seq order."""
     rows = files._rows(spark, sf_dir).select(
         F.col("case_id").cast("long").alias("case_id"), F.lit(0).alias("ingest_seq"), "seq", F.round(F.col("lat").cast("double") * 1e7).cast("long").alias("lat7"), F.round(F.col("lon").cast("double") * 1e7).cast("long").alias("lon7"),
         F.round(F.col("alt").cast("double") * 100).cast("long").alias("alt2"), F.round("ground_speed_mps", 1).alias("speed"), F.unix_seconds("ts").alias("sec"),
@@ -37,7 +37,12 @@ def encoded(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple
             data = [(head if row.place == 1 else b"") + encode(row, row.place - 1) for row in batch.itertuples(index=False)]
             yield pd.DataFrame({"file": [f"case_id={c}/{name}" for c in batch["case_id"]], "ord": batch["place"], "data": data})
 
-    return binary_files.write_files(placed.mapInPandas(run, "file string, ord long, data binary"), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
+    return placed.mapInPandas(run, "file string, ord long, data binary")
+
+
+def encoded(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple, int], bytes], head: bytes = b"") -> str:
+    """The folder of those files."""
+    return binary_files.write_files(pieces(spark, sf_dir, name, encode, head), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
 
 
 def _in_order(rows: DataFrame, off: str = "seq") -> DataFrame:
@@ -140,6 +145,11 @@ def _radio_rows(row, place: int) -> bytes:
     return out + (b"damaged bytes" if row.seq % 11 == 0 else b"")
 
 
+def _numbered_radio_rows(row, place: int) -> bytes:
+    """Radio rows whose positions carry the row's id as boot time."""
+    return _radio_rows(row, row.seq)
+
+
 def radio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.radio_messages(spark, encoded(spark, sf_dir, "flight.tlog", _radio_rows), RANGE)
 

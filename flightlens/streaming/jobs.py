@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,6 +24,8 @@ from flightlens.sources import binary, ranges, zones
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec double"
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: Files of a delivery, and deliveries of a month.
+FILES_EACH, BATCHES = 2, 4
 GAP_STATE = "us long, latitude double, longitude double"
 
 
@@ -179,6 +181,45 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def delivered(rows: DataFrame, batch: Column, count: int) -> DataFrame:
+    """rows as a stream of `count` batches: those with batch k arrive k-th, in FILES_EACH files."""
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/arrivals/{uuid.uuid4().hex}"
+    for k in range(count):
+        part = rows.filter(batch == k).repartition(FILES_EACH)
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_EACH).parquet(path)
+
+
+def _batches(rows: DataFrame, late: Column) -> tuple[DataFrame, Column]:
+    """Telemetry-like rows in four batches by the day of the month, and those that are `late` in the last."""
+    return rows, F.when(late, BATCHES - 1).otherwise(F.least(F.lit(BATCHES - 1), F.floor((F.dayofmonth("ts") - 1) / 8))).cast("int")
+
+
+def run_late_windows(spark: SparkSession, sf_dir: str, delay: str) -> DataFrame:
+    """Windows of a day that close behind the watermark; every 89th row comes with the last batch."""
+    return run_once(stream_windows(delivered(*_batches(views.telemetry(spark, sf_dir), F.col("seq") % 89 == 0), BATCHES), "1 day", "1 day", delay))
+
+
+def run_late_flights(spark: SparkSession, sf_dir: str, gap: str, delay: str) -> DataFrame:
+    """Flights that close behind the watermark; every 89th row of the first days comes with the last batch."""
+    late = (F.col("seq") % 89 == 0) & (F.dayofmonth("ts") < 9)
+    return run_once(stream_flights(delivered(*_batches(views.telemetry(spark, sf_dir), late), BATCHES), gap, delay))
+
+
+def run_late_media(spark: SparkSession, sf_dir: str, seconds: int, delay: str) -> DataFrame:
+    """Media and points in four batches each; every 7th media row and 11th point comes with the last."""
+    media = delivered(*_batches(views.media(spark, sf_dir), F.col("media_id") % 7 == 0), BATCHES)
+    track = delivered(*_batches(views.track(spark, sf_dir), F.col("seq") % 11 == 0), BATCHES)
+    return run_once(stream_media_match(media, track, seconds, longest=3_600, delay=delay))
+
+
+def run_late_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that arrive on six days, by their id; what came within the watermark is left out."""
+    day = F.pmod("doc_id", F.lit(6)).cast("int")
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.timestamp_seconds(F.lit(1_704_067_200) + day * 86_400).alias("arrived"), day.alias("day"))
+    return run_once(stream_dedupe(delivered(files, F.col("day"), 6)))
+
+
 def run_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(stream_geofence(arriving_telemetry(spark, sf_dir), zones.zone_catalog(spark))).select("case_id", "seq", "zone_id")
 
