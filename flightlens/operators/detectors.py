@@ -24,6 +24,12 @@ def suite_score(checks: DataFrame) -> DataFrame:
     return per
 
 
+def suites_overview(checks: DataFrame) -> DataFrame:
+    """One row over all suites: suites run and passed, and the mean of their scores; a suite without a name is one."""
+    per = checks.groupBy("suite").agg(F.round(F.count_if("passed") / F.count("*") * 100.0, 1).alias("score_pct"), F.bool_and("passed").alias("all_passed"))
+    return per.agg(F.count("*").alias("suites"), F.count_if("all_passed").alias("suites_passed"), F.round(F.coalesce(F.avg("score_pct"), F.lit(0.0)), 1).alias("mean_score_pct"))
+
+
 def kinds_found(anomalies: DataFrame) -> DataFrame:
     """Per case the different severities and types."""
     return anomalies.groupBy("case_id").agg(F.array_sort(F.collect_set("severity")).alias("severities"), F.array_sort(F.collect_set("anomaly_type")).alias("types"))

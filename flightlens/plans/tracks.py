@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flightlens.operators import asof, evidence, mission, mobile, sinks
+from flightlens.operators import asof, detectors, evidence, geofence, mission, mobile, sinks
 from flightlens.plans import views
 from flightlens.plans.catalog import query
+from flightlens.session import table
+from flightlens.sources import registry, zones
 
 STEP_S = 3_600
 
@@ -74,6 +76,38 @@ def verify_manifest_sha3(spark, sf_dir):
     return evidence.verify_manifest(expected, computed.select("item_id", "sha256", "md5", "byte_count", "sha3_256"))
 
 
+@query("suites_overview", "WITH s AS (SELECT source, round(count_if(n_chars > 300) / count(*) * 100, 1) AS p, bool_and(n_chars > 300) AS a FROM documents GROUP BY source) SELECT count(*) AS suites, CAST(count_if(a) AS BIGINT) AS suites_passed, round(avg(p), 1) AS mean_score_pct FROM s")
+def suites_overview(spark, sf_dir):
+    return detectors.suites_overview(table(spark, sf_dir, "documents").select(F.col("source").alias("suite"), (F.col("n_chars") > 300).alias("passed")))
+
+
+_WINDOWS = "CASE WHEN zone_pos % 3 = 0 THEN TIMESTAMP '2024-01-10' END AS active_from, CASE WHEN zone_pos % 2 = 0 THEN TIMESTAMP '2024-01-20' END AS active_to"
+
+
+@query(
+    "geofence_in_window",
+    f"""WITH {views.TELEMETRY}, {views.matches_sql()}, a AS (SELECT *, {_WINDOWS} FROM mat)
+SELECT case_id, zone_id, count(*) AS points, min(ts) AS first_ts, max(ts) AS last_ts FROM a WHERE (active_from IS NULL OR ts >= active_from) AND (active_to IS NULL OR ts <= active_to) GROUP BY case_id, zone_id""",
+)
+def geofence_in_window(spark, sf_dir):
+    """Zones that are active from a day on, up to a day, between both, or always."""
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    zone_table = zones.zone_catalog(spark).withColumns({"active_from": F.when(F.col("zone_pos") % 3 == 0, at(10)), "active_to": F.when(F.col("zone_pos") % 2 == 0, at(20))})
+    found = geofence.geofence_violations(views.telemetry(spark, sf_dir), zone_table)
+    return found.groupBy("case_id", "zone_id").agg(F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(
+    "files_by_reader",
+    f"WITH {views.EVIDENCE}, r(pos, name, exts) AS (VALUES " + ", ".join(f"({i}, '{r.name}', {list(r.extensions)})" for i, r in enumerate(registry.Registry().readers)) + ") SELECT pos, name, CAST(count(item_id) AS BIGINT) AS files FROM r LEFT JOIN evi ON list_contains(exts, regexp_extract(path, '\\.[a-z0-9]+$')) GROUP BY pos, name",
+)
+def files_by_reader(spark, sf_dir):
+    """The readers in their order, with the evidence files whose extension each may take."""
+    readers = registry.Registry().table(spark).select("pos", "name", F.explode("extensions").alias("extension"))
+    items = views.evidence(spark, sf_dir).select("item_id", F.regexp_extract("path", r"(\.[a-z0-9]+)$", 1).alias("extension"))
+    return readers.join(items, "extension", "left").groupBy("pos", "name").agg(F.count("item_id").alias("files"))
+
+
 @query("operator_places", f"WITH {views.TELEMETRY} SELECT case_id, min(seq) AS pos FROM tel GROUP BY case_id, floor(latitude * 10), floor(longitude * 10)")
 def operator_places(spark, sf_dir):
     """Operator positions of the whole track, at one place in each tenth of a degree: what isn't the first there stands a hair beside it."""

@@ -40,6 +40,24 @@ def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_files(spark, path).select("path", "length")
 
 
+HEAD_BYTES = 4096
+
+
+def heads(spark: SparkSession, path: str | list[str], most: int = HEAD_BYTES) -> DataFrame:
+    """(path, length, head) of every file below path; of each file the first `most` bytes are read."""
+    files = listed(spark, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for file, length in zip(batch["path"], batch["length"], strict=True):
+                with ranges.open_file(file) as opened:
+                    found.append(opened.read(min(most, length)))
+            yield batch.assign(head=found)
+
+    return files.mapInPandas(run, "path string, length long, head binary")
+
+
 # ---------------------------------------------------------------- dataflash
 
 #: Struct codes and scales of the log's format characters.

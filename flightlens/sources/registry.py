@@ -77,7 +77,7 @@ class Registry:
         Only names and first bytes are looked at to route; the list of paths, one per
         file, goes through the driver as it does for any Spark read of a list of paths.
         """
-        routed = binary.read_files(spark, path).select("path", self.route(F.col("path"), evidence.head_text(F.col("content"))).alias("reader"))
+        routed = binary.heads(spark, path).select("path", self.route(F.col("path"), evidence.head_text(F.col("head"))).alias("reader"))
         paths: dict[str, list[str]] = {}
         for row in routed.filter(F.col("reader").isNotNull()).collect():
             paths.setdefault(row.reader, []).append(row.path)

@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from flightlens.operators import asof, evidence, mission, mobile, places, sinks
+from flightlens.operators import asof, detectors, evidence, mission, mobile, places, sinks
+from flightlens.sources import binary
 from flightlens.streaming import jobs
 
 T = datetime(2024, 5, 1, 10)
@@ -127,3 +128,22 @@ def test_rows_without_a_time_or_position_have_no_gap(spark, tmp_path):
     spark.createDataFrame(rows, "case_id long, seq long, ts timestamp, latitude double, longitude double").write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema("case_id long, seq long, ts timestamp, latitude double, longitude double").parquet(f"file://{tmp_path}/in")
     assert [(r.seq, r.anomaly_type, r.gap_sec) for r in jobs.run_once(jobs.stream_gaps(stream)).collect()] == [(5, "TIMESTAMP_GAP", 8.0)]
+
+
+def test_sha3_has_the_published_digests(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"")), (3, None)], "item_id long, content binary")
+    found = {r.item_id: r.sha3_256 for r in evidence.hash_manifest(rows, F.col("content")).collect()}
+    assert found == {1: "3a985da74fe225b2045c172d6bd390bd855f086e3e9d525b46bfe24511431532", 2: "a7ffc6f8bf1ed76651c14756a061d662f580ff4de43b49fa82d80a4b80f8434a", 3: None}
+
+
+def test_the_mean_over_suites_counts_each_suite_once(spark):
+    checks = spark.createDataFrame([("a", True), ("a", False), ("a", False), ("b", True), (None, True)], "suite string, passed boolean")
+    assert tuple(detectors.suites_overview(checks).first()) == (3, 2, 77.8)
+    assert tuple(detectors.suites_overview(checks.limit(0)).first()) == (0, 0, 0.0)
+
+
+def test_heads_of_files_are_read_alone(spark, tmp_path):
+    for name, data in (("a.bin", b"\xa3\x95" + b"x" * 9_000), ("b.txt", b"short"), ("c.txt", b"")):
+        (tmp_path / name).write_bytes(data)
+    found = {r.path[-5:]: (r.length, bytes(r.head)) for r in binary.heads(spark, f"file://{tmp_path}", 10).collect()}
+    assert found == {"a.bin": (9_002, b"\xa3\x95" + b"x" * 8), "b.txt": (5, b"short"), "c.txt": (0, b"")}
