@@ -36,7 +36,7 @@ def scan_evidence(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, length) of every file below path; contents are not read."""
+    """(path, length) of every file below path that has bytes; contents are not read."""
     return read_files(spark, path).select("path", "length")
 
 
