@@ -68,7 +68,7 @@ def late_dedupe(spark, sf_dir):
     return jobs.run_late_dedupe(spark, sf_dir).select("sha256", "day")
 
 
-@query("growing_radio_logs", binary_logs._TEL + " SELECT case_id, 33 AS msg_id, count(*) AS n, sum(id) AS checksum FROM e GROUP BY 1 UNION ALL SELECT case_id, 24, count(*), sum(id % 12) FROM e WHERE id % 3 = 0 GROUP BY 1")
+@query("growing_radio_logs", binary_logs._TEL + " SELECT case_id, 33 AS msg_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS checksum FROM e GROUP BY 1 UNION ALL SELECT case_id, 24, count(*), CAST(sum(id % 12) AS BIGINT) FROM e WHERE id % 3 = 0 GROUP BY 1")
 def growing_radio_logs(spark, sf_dir):
     """Logs that grow to a third, two thirds and the whole of their rows while a stream reads them."""
     base = f"{shared_dir(spark)}/growing/{uuid.uuid4().hex}"

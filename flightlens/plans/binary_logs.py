@@ -177,7 +177,7 @@ def read_tlog_events(spark, sf_dir):
     return _in_order(binary.radio_events(radio_log(spark, sf_dir))).select("case_id", "n", "ts", "event_type", "severity", "description")
 
 
-@query("read_tlog_homes", _TEL + " SELECT case_id, latitude, longitude, 5.0 AS altitude_m FROM e WHERE seq = 0")
+@query("read_tlog_homes", _TEL + " SELECT case_id, latitude, longitude, CAST(5 AS DOUBLE) AS altitude_m FROM e WHERE seq = 0")
 def read_tlog_homes(spark, sf_dir):
     return files.of_case(binary.radio_homes(radio_log(spark, sf_dir))).select("case_id", "latitude", "longitude", "altitude_m")
 
