@@ -1,15 +1,16 @@
 """Phrase collocations by Rabin-Karp fingerprints.
 
 Numpy prefix polynomials over the bytes of a text give the fingerprint of any of its word
-n-grams in constant time. Fingerprints are counted by a shuffle, each with a pointer to a text
-in which it occurs and the least and greatest of a second, independent fingerprint. Only the
-frequent ones are read again from the texts they point to and become phrases; where the second
-fingerprints differ, several texts share a fingerprint, and those are counted from the text.
-
-An n-gram is no more frequent than its parts. So words are counted first, then pairs of frequent
-words, then triples and quadruples of frequent pairs. What is frequent reaches the next scan as a
-bitmap of fixed size (2 ** BITMAP_LOG2 bits, whatever the corpus); a bit shared by chance lets an
-n-gram through that the count then drops, so a full bitmap costs shuffle but never a result.
+n-grams in constant time. An n-gram is no more frequent than its parts, so fingerprints of words
+are counted by a first shuffle, those of pairs of frequent words by a second, and those of triples
+and quadruples of frequent pairs by a third. What is frequent reaches the next scan as a bitmap of
+fixed size (2 ** BITMAP_LOG2 bits, whatever the corpus); a bit shared by chance lets an n-gram
+through that the count then drops, so a full bitmap costs shuffle but never a result.
+
+The last shuffle aggregates the fingerprints left, each with its count, a pointer to a text in
+which it occurs, and the least and greatest of a second, independent fingerprint. Phrases are read
+from the texts pointed at. Where the second fingerprints differ, several phrases share a
+fingerprint; those are counted again from the text.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASES = (0xD6E8FEB86659FD93, 0xA5A3564E5A4F2C6B)
 
-COUNTS = "lang string, fp long, n long, ptr long, low long, high long"
 PHRASES = "lang string, phrase string, fp long, n long"
 
 
@@ -178,24 +178,49 @@ def _level(words: Words, level: int, bitmap: np.ndarray | None) -> Iterator[tupl
             run = run[hot[run + n - 1]]
 
 
+def _heads(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, np.int64)
+
+
 def count_slices(level: int, bits: int, bitmap=None):
-    """mapInArrow's function for one scan: counts of a slice's distinct fingerprints; level 1 also gives words by language (fp null)."""
+    """mapInArrow's function for one level: counts of a slice's distinct fingerprints; level 1 also gives words by language (fp null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for lang, words, _ in _slices(batches, bits):
-            parts = [(words.fingerprints(first, n), words.fingerprints(first, n, 1), words.owner[first]) for first, n in _level(words, level, flags)]
+            fp = np.sort(np.concatenate([words.fingerprints(first, n) for first, n in _level(words, level, flags)]))
+            heads = _heads(fp)
+            columns = [pa.array(fp[heads].view(np.int64)), pa.array(np.diff(np.r_[heads, len(fp)]))]
+            if level > 1:
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "n"])
+                continue
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(heads), pa.string()), *columns], ["lang", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.int64()), pa.array([len(words.start)])], ["lang", "fp", "n"])
+        release_memory()
+
+    return run
+
+
+def point_slices(bits: int, bitmap):
+    """mapInArrow's function for the fingerprints in the bitmap: count, least pointer, least and greatest second fingerprint in a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(bitmap.value, np.uint8)
+        for _, words, _ in _slices(batches, bits):
+            parts = []
+            for n in range(1, MAX_WORDS + 1):
+                first = words.starts(n)
+                fp = words.fingerprints(first, n)
+                hit = in_bitmap(flags, fp)
+                parts.append((fp[hit], words.fingerprints(first[hit], n, 1), words.owner[first[hit]]))
             fp, second, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(fp)
             fp, second, owner = fp[order], second[order].view(np.int64), owner[order]
-            heads = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[heads, len(fp)])
+            heads = _heads(fp)
             low, high, ptr = (f.reduceat(x, heads) if len(heads) else np.zeros(0, np.int64) for f, x in ((np.minimum, second), (np.maximum, second), (np.minimum, owner)))
-            columns = [pa.nulls(len(heads), pa.string()), *(pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)) for x in (fp[heads], n, ptr, low, high))]
-            names = ["lang", "fp", "n", "ptr", "low", "high"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            if level == 1:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.int64()), pa.array([len(words.start)]), *(pa.nulls(1, pa.int64()) for _ in range(3))], names)
+            columns = [fp[heads].view(np.int64), np.diff(np.r_[heads, len(fp)]), ptr, low, high]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["fp", "n", "ptr", "low", "high"])
         release_memory()
 
     return run
@@ -264,25 +289,21 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     lang, text = F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(lang.alias("lang"), text.alias("text"), F.xxhash64(lang, text).alias("ptr"))
-    spent: list[DataFrame] = []
-    levels: list[DataFrame] = []
-    bitmap, totals = None, None
-    for level in (1, 2, 3):
-        counted = texts.mapInArrow(count_slices(level, bits, bitmap), COUNTS).groupBy("lang", "fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"), F.min("low").alias("low"), F.max("high").alias("high"))
-        kept = materialize(counted.filter(F.col("fp").isNull() | (F.col("n") >= min_count)))
-        spent.append(kept)
-        if level == 1:
-            totals = materialize(kept.filter(F.col("fp").isNull()).select("lang", "n"))
-        levels.append(kept.filter(F.col("fp").isNotNull()).select("fp", "n", "ptr", "low", "high"))
-        if level < 3:
-            bitmap = frequent_bitmap(levels[-1])
-    # Levels share the fingerprints' range, so a word and a pair can meet as two pairs can.
-    frequent = levels[0].union(levels[1]).union(levels[2]).groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counted = texts.mapInArrow(count_slices(1, bits), "lang string, fp long, n long").groupBy("lang", "fp").agg(F.sum("n").alias("n"))
+    kept = materialize(counted.filter(F.col("fp").isNull() | (F.col("n") >= min_count)))
+    totals = materialize(kept.filter(F.col("fp").isNull()).select("lang", "n"))
+    levels = [kept.filter(F.col("fp").isNotNull()).select("fp")]
+    for level in (2, 3):
+        counted = texts.mapInArrow(count_slices(level, bits, frequent_bitmap(levels[-1])), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+        levels.append(materialize(counted.filter(F.col("n") >= min_count).select("fp")))
+    bitmap = frequent_bitmap(levels[0].union(levels[1]).union(levels[2]))
+    pointing = texts.mapInArrow(point_slices(bits, bitmap), "fp long, n long, ptr long, low long, high long")
+    frequent = pointing.groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"), F.min("low").alias("low"), F.max("high").alias("high"))
+    frequent = materialize(frequent.filter(F.col("n") >= min_count))
 
     # Pointers are least hashes, so few texts are pointed at, each by many phrases.
     whole = frequent.filter(F.col("low") == F.col("high"))
     pointed = materialize(whole.groupBy("ptr").agg(F.collect_list(F.struct("fp", "low")).alias("wanted")))
-    spent.append(pointed)
     small = pointed.select(F.sum(F.size("wanted"))).first()[0]
     wanted = F.broadcast(pointed) if (small or 0) <= BROADCAST_PHRASES else pointed
     read = texts.join(wanted, "ptr").select("lang", "text", "wanted").mapInArrow(pointed_phrases(bits), PHRASES)
@@ -294,7 +315,7 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         recount = texts.mapInArrow(texts_of_grams(bits), PHRASES).join(shared, "fp", "left_semi")
         found = found.union(recount.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
     found = materialize(found)
-    discard(*spent)
+    discard(kept, *levels[1:], frequent, pointed)
     return found, totals
 
 
