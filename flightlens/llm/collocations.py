@@ -38,8 +38,8 @@ BITMAP_LOG2 = 27
 ROW_BITS = 32_768
 FINGERPRINT_BITS = 64
 SLICE_BYTES = 1 << 20
-#: Up to so many pointed-at phrases are broadcast to the texts; more are joined by shuffle.
-BROADCAST_PHRASES = 500_000
+#: Up to so many pointers, of eight bytes each, are broadcast to the texts; more meet them by shuffle.
+BROADCAST_POINTERS = 2_000_000
 #: Hash classes within a language that are ranked first, each down to the report's length.
 RANK_CLASSES = 256
 
@@ -301,12 +301,14 @@ def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     frequent = pointing.groupBy("fp").agg(F.sum("n").alias("n"), F.min("ptr").alias("ptr"), F.min("low").alias("low"), F.max("high").alias("high"))
     frequent = materialize(frequent.filter(F.col("n") >= min_count))
 
-    # Pointers are least hashes, so few texts are pointed at, each by many phrases.
+    # Pointers are least hashes, so few texts are pointed at, each by many phrases. Only those
+    # leave the scan, copies once a task.
     whole = frequent.filter(F.col("low") == F.col("high"))
     pointed = materialize(whole.groupBy("ptr").agg(F.collect_list(F.struct("fp", "low")).alias("wanted")))
-    small = pointed.select(F.sum(F.size("wanted"))).first()[0]
-    wanted = F.broadcast(pointed) if (small or 0) <= BROADCAST_PHRASES else pointed
-    read = texts.join(wanted, "ptr").select("lang", "text", "wanted").mapInArrow(pointed_phrases(bits), PHRASES)
+    pointers = pointed.select("ptr")
+    pointers = F.broadcast(pointers) if pointed.count() <= BROADCAST_POINTERS else pointers
+    picked = texts.join(pointers, "ptr", "left_semi").dropDuplicates(["ptr", "lang", "text"])
+    read = picked.join(pointed, "ptr").select("lang", "text", "wanted").mapInArrow(pointed_phrases(bits), PHRASES)
     named = read.groupBy("fp").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
     found = named.join(whole.select("fp", "n"), "fp").select("lang", "phrase", F.col("n").alias("f"))
 
