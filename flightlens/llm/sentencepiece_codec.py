@@ -12,11 +12,10 @@ import hashlib
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,8 +28,6 @@ from flightlens.llm.common import release_memory, text_slices
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: One text in so many, drawn by its CRC-32, also meets the libraries as a whole.
-WHOLE_ONE_IN = 64
 #: Threads of a batch call in one worker.
 THREADS = 2
 
@@ -141,11 +138,10 @@ class Coder:
     """A model's tokenizers pipeline, applied to the distinct pieces of text between spaces.
 
     Where no piece of the vocabulary goes on over a space, what stands between two spaces
-    is encoded alike wherever it stands. Each distinct one of a batch is encoded, decoded
-    and compared with the sentencepiece library once, in one multithreaded call, and a
-    text's ids are those of its parts. Other models encode whole texts. Parity and round
-    trip of a text are those of all its parts; of one text in WHOLE_ONE_IN its joined ids
-    are compared with the library's for the whole text, and decoded, as well.
+    is encoded alike wherever it stands. Each distinct one of a batch is encoded once, in one
+    multithreaded call, and a text's ids are those of its parts. Other models encode whole
+    texts. Parity and round trip are measured on every whole text: its ids are compared with
+    the sentencepiece library's ids of the text, and decoded.
     """
 
     #: Parts of up to so many characters are remembered, so many of them in a task, and
@@ -153,6 +149,8 @@ class Coder:
     PART_CHARS, PARTS, KEPT_PARTS = 48, 500_000, 120_000
     #: Parts handed to the libraries in one multithreaded call, and joined to one text in it.
     CALL_PARTS, JOINED_PARTS = 16_384, 2_048
+    #: Characters of whole texts that are measured in one call; a longer text is a call of its own.
+    CALL_CHARS = 500_000
 
     def __init__(self, data: bytes) -> None:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read at the library's first batch
@@ -165,9 +163,6 @@ class Coder:
         plain = self.spec.dummy_prefix and self.spec.escape_spaces and not self.spec.trim_spaces and not self.spec.charsmap
         self.by_parts = plain and MARK in names and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.spec.pieces)
         self.seen: dict[str, bytes] = {}
-        #: Parts that the libraries encode differently, and that don't decode to themselves.
-        self.differing: set[str] = set()
-        self.changed: set[str] = set()
 
     def parts(self, text: str) -> list[str]:
         """The text between spaces; of several spaces all but one go with what follows."""
@@ -179,38 +174,28 @@ class Coder:
         return text.split(" ")
 
     def _learn(self, parts: list[str]) -> None:
-        """Remembers the ids of parts, as little-endian 32-bit numbers, and which of them fail a test.
+        """Remembers the ids of parts, as little-endian 32-bit numbers.
 
         Parts without spaces are encoded many at a time as one text with spaces between: each
-        begins at a piece with a marker. Where that doesn't come out, and where a test fails
-        for the joined text, its parts are taken one by one.
+        begins at a piece with a marker. Where that doesn't come out, they are taken one by one.
         """
         whole = [p for p in parts if self.by_parts and p and " " not in p]
         single = [p for p in parts if not self.by_parts or not p or " " in p]
         for start in range(0, len(whole), self.CALL_PARTS):
             end = min(start + self.CALL_PARTS, len(whole))
             groups = [whole[i : min(i + self.JOINED_PARTS, end)] for i in range(start, end, self.JOINED_PARTS)]
-            joined = [" ".join(g) for g in groups]
-            found = [e.ids for e in self.fast.encode_batch_fast(joined, add_special_tokens=False)]
-            back = self.fast.decode_batch(found, skip_special_tokens=False)
-            others = iter(self.known.encode(whole[start:end], num_threads=THREADS))
-            for group, text, ids, decoded in zip(groups, joined, found, back, strict=True):
-                other = [next(others) for _ in group]
-                flat = np.array(ids, "<i4")
+            found = self.fast.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+            for group, flat in zip(groups, (np.array(e.ids, "<i4") for e in found), strict=True):
                 at = np.flatnonzero(self.leading[flat])
-                if len(at) == len(group) and decoded == text and list(chain.from_iterable(other)) == ids and at.tolist()[1:] == list(accumulate(map(len, other)))[:-1]:
+                if len(at) == len(group) and at[0] == 0:
                     data, cuts = flat.tobytes(), (4 * at).tolist()
                     self.seen.update(zip(group, [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
                 else:
                     single += group
         for start in range(0, len(single), self.CALL_PARTS):
             some = single[start : start + self.CALL_PARTS]
-            found = [e.ids for e in self.fast.encode_batch_fast(some, add_special_tokens=False)]
-            others = self.known.encode(some, num_threads=THREADS)
-            back = self.fast.decode_batch(found, skip_special_tokens=False)
-            self.seen.update(zip(some, [struct.pack(f"<{len(i)}i", *i) for i in found], strict=True))
-            self.differing.update(p for p, a, b in zip(some, found, others, strict=True) if a != b)
-            self.changed.update(p for p, t in zip(some, back, strict=True) if p != t)
+            found = self.fast.encode_batch_fast(some, add_special_tokens=False)
+            self.seen.update(zip(some, [struct.pack(f"<{len(e.ids)}i", *e.ids) for e in found], strict=True))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, parity, round trip) of each text."""
@@ -222,26 +207,25 @@ class Coder:
             seen[""] = struct.pack("<i", self.fast.token_to_id(MARK))
         new = list({p for parts in split for p in parts if p not in seen})
         self._learn(new)
-        done = []
-        for text, parts in zip(texts, split, strict=True):
-            ids = b"".join([seen[p] for p in parts])
-            same = not self.differing or self.differing.isdisjoint(parts)
-            back = not self.changed or self.changed.isdisjoint(parts)
-            done.append((ids, same, back and not (self.by_parts and MARK in text)))
+        ids = [b"".join([seen[p] for p in parts]) for parts in split]
         for p in new:
             if len(p) > self.PART_CHARS:
                 del seen[p]
-        return self._whole(texts, done)
-
-    def _whole(self, texts: list[str], done: list[tuple[bytes, bool, bool]]) -> list[tuple[bytes, bool, bool]]:
-        """done, with the flags of one text in WHOLE_ONE_IN measured on the whole text as well."""
-        drawn = [i for i, t in enumerate(texts) if t and zlib.crc32(t.encode("utf-8", "surrogatepass")) % WHOLE_ONE_IN == 0] if self.by_parts else []
-        if drawn:
-            ids = [np.frombuffer(done[i][0], "<i4").tolist() for i in drawn]
-            others = self.known.encode([texts[i] for i in drawn], num_threads=THREADS)
-            back = self.fast.decode_batch(ids, skip_special_tokens=False)
-            for i, own, other, text in zip(drawn, ids, others, back, strict=True):
-                done[i] = done[i][0], done[i][1] and own == other, done[i][2] and text == texts[i]
+        del split, new
+        return self._measured(texts, ids)
+
+    def _measured(self, texts: list[str], ids: list[bytes]) -> list[tuple[bytes, bool, bool]]:
+        """The ids with what the libraries say of each whole text, a few texts at a time."""
+        done: list[tuple[bytes, bool, bool]] = []
+        ends = np.cumsum([len(t) for t in texts]) // self.CALL_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = [np.frombuffer(i, "<i4") for i in ids[a:b]]
+            others = self.known.encode(texts[a:b], num_threads=THREADS)
+            same = [len(x) == len(y) and bool((x == np.array(y, "<i4")).all()) for x, y in zip(own, others, strict=True)]
+            del others
+            back = self.fast.decode_batch([x.tolist() for x in own], skip_special_tokens=False)
+            done += [(i, p, t == d) for i, p, t, d in zip(ids[a:b], same, texts[a:b], back, strict=True)]
         return done
 
     def trim(self, keep: int = PARTS // 2) -> None:
@@ -251,8 +235,6 @@ class Coder:
         sizes = np.bincount([len(p) for p in self.seen])
         most = int(np.searchsorted(np.cumsum(sizes), keep, "right")) - 1  # characters
         self.seen = {p: c for p, c in self.seen.items() if len(p) <= most}
-        self.differing.intersection_update(self.seen)
-        self.changed.intersection_update(self.seen)
 
 
 @lru_cache(maxsize=2)
@@ -275,7 +257,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     Whole texts are encoded, without begin or end tokens; control pieces inside a text are
     ordinary text. Null and empty texts have no ids. parity: the ids equal those of the
-    sentencepiece library, by the parts of the text, see Coder. Repeated rows are each encoded; an empty table gives no rows.
+    sentencepiece library for the whole text. Repeated rows are each encoded; an empty table gives no rows.
     Other columns are not read, so their names can't clash. `model` is the content of the
     model file, so workers need no file of their own.
     """
@@ -287,12 +269,21 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text").mapInPandas(run, "doc_id long, ids array<int>, parity boolean")
 
 
+def _id_slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of about a million ids each; a longer list is a part of its own."""
+    held = np.cumsum([0 if i is None else len(i) for i in batch["ids"]]) // 1_000_000
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1), len(batch)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.iloc[a:b]
+
+
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """One row per input row (doc_id, ids): doc_id, text. Null ids decode to null, no ids to an empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fast = coder(model).fast
-        for batch in batches:
+        for batch in chain.from_iterable(map(_id_slices, batches)):
             texts = fast.decode_batch([[] if i is None else list(i) for i in batch["ids"]], skip_special_tokens=False)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [None if i is None else t for i, t in zip(batch["ids"], texts, strict=True)]})
 
@@ -303,7 +294,7 @@ def digest(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """Encode and decode in one pass; per row doc_id, n_tokens, n_byte_tokens, ids_sha256, round_trip, parity.
 
     ids_sha256 is over the ids as little-endian 32-bit numbers. round_trip: the decoded
-    text is the text, by its parts, see Coder (a marker character in the text itself decodes to a space). Nulls,
+    text is the text (a marker character in the text itself decodes to a space). Nulls,
     repeats and empty tables are treated as encode says.
     """
 

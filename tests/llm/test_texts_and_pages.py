@@ -207,8 +207,7 @@ def test_repeats_nulls_clashing_names_and_empty_tables(spark, name):
             assert (r.n_tokens, r.ids_sha256, r.parity, r.round_trip) == (len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), True, True)
 
 
-def test_parity_is_also_measured_on_whole_texts(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(sentencepiece_codec, "WHOLE_ONE_IN", 1)
+def test_parity_is_measured_on_whole_texts(spark, sf_dir):
     coder = sentencepiece_codec.Coder(MODEL)
     texts = ["a b", " a", "a ", "  a  b  ", " ", "   ", "é\u00a0漢\t x\n y", "a" * 90, "\x00 b"] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
     assert all(same and back for _, same, back in coder.encode(texts))
