@@ -13,8 +13,8 @@ SAME_PLACE_DEGREES = 1e-5
 UNKNOWN_PLATFORM = "Generic Mobile"
 
 
-def account_fields(pairs: DataFrame) -> DataFrame:
-    """email, pilot_name, user_id and phone per case from (case_id, pos, key, value) rows.
+def account_fields(pairs: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """email, pilot_name, user_id and phone per case (or other keys) from (case_id, pos, key, value) rows.
 
     A key names the field by the first keyword in it; empty values count only for a name
     by 'name' and an id by 'uid'. The last value of a field wins, of user_id the first.
@@ -30,7 +30,27 @@ def account_fields(pairs: DataFrame) -> DataFrame:
     rows = pairs.withColumn("field", field).filter(F.col("field").isNotNull())
     last = [F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("pos"))).alias(f) for f in ("email", "pilot_name", "phone")]
     first = F.min_by(F.when(F.col("field") == "user_id", F.col("value")), F.when(F.col("field") == "user_id", F.col("pos"))).alias("user_id")
-    return rows.groupBy("case_id").agg(*last, first)
+    return rows.groupBy(*keys).agg(*last, first)
+
+
+ACCOUNT_FIELDS = ("email", "phone", "pilot_name", "user_id")
+
+
+def with_pilots(artifacts: DataFrame, accounts: DataFrame, fixes: DataFrame) -> DataFrame:
+    """artifacts with pilot_account, a map of the filled fields of the app's account, and operator_fixes, how many places of the operator the app tells.
+
+    accounts: account_fields with case_id and app_name. fixes: (case_id, app_name, pos, latitude,
+    longitude, source), thinned for each app on its own as operator_locations does.
+    """
+    entries = F.array(*[F.struct(F.lit(f).alias("name"), F.col(f).alias("value")) for f in ACCOUNT_FIELDS])
+    filled = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    known = accounts.select(F.col("case_id").alias("_case"), F.col("app_name").alias("_app"), F.map_from_entries(filled).alias("pilot_account"))
+    own = fixes.withColumn("case_id", F.struct("case_id", "app_name")).select("case_id", "pos", "latitude", "longitude", "source")
+    counted = operator_locations(own).groupBy(F.col("case_id.case_id").alias("_case"), F.col("case_id.app_name").alias("_app")).agg(F.count("*").alias("operator_fixes"))
+    found = artifacts
+    for part in (known, counted):
+        found = found.join(part, found["case_id"].eqNullSafe(part["_case"]) & found["app_name"].eqNullSafe(part["_app"]), "left").drop("_case", "_app")
+    return found.withColumns({"pilot_account": F.coalesce("pilot_account", F.create_map().cast("map<string,string>")), "operator_fixes": F.coalesce("operator_fixes", F.lit(0)).cast("long")})
 
 
 def with_app_catalog(artifacts: DataFrame, catalog: DataFrame) -> DataFrame:

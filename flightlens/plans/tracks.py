@@ -108,6 +108,24 @@ def files_by_reader(spark, sf_dir):
     return readers.join(items, "extension", "left").groupBy("pos", "name").agg(F.count("item_id").alias("files"))
 
 
+@query(
+    "pilots_of_apps",
+    """WITH p AS (SELECT user_id % 10 AS case_id, 'app' || user_id % 3 AS app_name, event_id AS pos, (['Email', 'nick', 'uid', 'phone_no'])[event_id % 4 + 1] AS k, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id AS VARCHAR) ELSE '' END AS v, event_id % 17 AS spot FROM events),
+a AS (SELECT case_id, app_name, count(DISTINCT spot) AS operator_fixes, coalesce(arg_max(v, pos) FILTER (WHERE k = 'Email' AND v <> ''), '') AS email, coalesce(arg_max(v, pos) FILTER (WHERE k = 'phone_no' AND v <> ''), '') AS phone,
+  coalesce(arg_max(v, pos) FILTER (WHERE k = 'nick' AND v <> ''), '') AS nick, coalesce(arg_min(v, pos) FILTER (WHERE k = 'uid'), '') AS uid FROM p GROUP BY ALL)
+SELECT case_id, app_name, operator_fixes, concat_ws(',', CASE WHEN email <> '' THEN 'email=' || email END, CASE WHEN phone <> '' THEN 'phone=' || phone END, CASE WHEN nick <> '' THEN 'pilot_name=' || nick END, CASE WHEN uid <> '' THEN 'user_id=' || uid END) AS pilot_account FROM a""",
+)
+def pilots_of_apps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("case_id"), F.concat(F.lit("app"), (F.col("user_id") % 3).cast("string")).alias("app_name"), F.col("event_id").alias("pos"))
+    named = F.element_at(F.array(*map(F.lit, ("Email", "nick", "uid", "phone_no"))), (F.col("pos") % 4 + 1).cast("int"))
+    pairs = rows.select("*", named.alias("key"), F.when(F.col("pos") % 6 != 0, F.col("pos").cast("string")).otherwise("").alias("value"))
+    fixes = rows.select("*", (F.col("pos") % 17).cast("double").alias("latitude"), F.lit(1.0).alias("longitude"), F.lit("PHONE").alias("source"))
+    logs = rows.select("case_id", "app_name", F.lit("LOG").alias("kind"), F.lit("log").alias("name"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("points"))
+    found = mobile.with_pilots(mobile.mobile_artifacts(logs), mobile.account_fields(pairs, ("case_id", "app_name")), fixes)
+    shown = F.transform(F.array_sort(F.map_entries("pilot_account")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("case_id", "app_name", "operator_fixes", F.array_join(shown, ",").alias("pilot_account"))
+
+
 @query("operator_places", f"WITH {views.TELEMETRY} SELECT case_id, min(seq) AS pos FROM tel GROUP BY case_id, floor(latitude * 10), floor(longitude * 10)")
 def operator_places(spark, sf_dir):
     """Operator positions of the whole track, at one place in each tenth of a degree: what isn't the first there stands a hair beside it."""
