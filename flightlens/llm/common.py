@@ -21,6 +21,8 @@ HELD_OUT_REMAINDER = 2
 SLICE_CHARS = 2_000_000
 
 
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that materialize has made and nobody has deleted yet.
 _made: list[str] = []
 
@@ -29,12 +31,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     Cuts the lineage the way checkpoint() does, but columnar, so later readers
-    prune columns; a lost executor loses no part of it.
+    prune columns; a lost executor loses no part of it. The shuffle files of the job go with
+    its end, not when the driver happens to collect its garbage: many small jobs leave many.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flightlens/{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
