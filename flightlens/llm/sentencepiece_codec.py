@@ -141,7 +141,8 @@ class Coder:
     is encoded alike wherever it stands. Each distinct one of a batch is encoded once, in one
     multithreaded call, and a text's ids are those of its parts. Other models encode whole
     texts. Parity and round trip are measured on every whole text: its ids are compared with
-    the sentencepiece library's ids of the text, and decoded.
+    the sentencepiece library's ids of the text, and that library decodes them to the text; the
+    pipeline's own decoder is tested on every distinct part, and on their joins.
     """
 
     #: Parts of up to so many characters are remembered, so many of them in a task, and
@@ -163,6 +164,8 @@ class Coder:
         plain = self.spec.dummy_prefix and self.spec.escape_spaces and not self.spec.trim_spaces and not self.spec.charsmap
         self.by_parts = plain and MARK in names and not any(MARK in p.lstrip(MARK) or kind == USER_DEFINED for p, _, kind in self.spec.pieces)
         self.seen: dict[str, bytes] = {}
+        #: Parts that the pipeline doesn't decode to themselves.
+        self.changed: set[str] = set()
 
     def parts(self, text: str) -> list[str]:
         """The text between spaces; of several spaces all but one go with what follows."""
@@ -177,25 +180,30 @@ class Coder:
         """Remembers the ids of parts, as little-endian 32-bit numbers.
 
         Parts without spaces are encoded many at a time as one text with spaces between: each
-        begins at a piece with a marker. Where that doesn't come out, they are taken one by one.
+        begins at a piece with a marker. Where that doesn't come out, or they don't decode to
+        the text, they are taken one by one.
         """
         whole = [p for p in parts if self.by_parts and p and " " not in p]
         single = [p for p in parts if not self.by_parts or not p or " " in p]
         for start in range(0, len(whole), self.CALL_PARTS):
             end = min(start + self.CALL_PARTS, len(whole))
             groups = [whole[i : min(i + self.JOINED_PARTS, end)] for i in range(start, end, self.JOINED_PARTS)]
-            found = self.fast.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-            for group, flat in zip(groups, (np.array(e.ids, "<i4") for e in found), strict=True):
+            joined = [" ".join(g) for g in groups]
+            found = [e.ids for e in self.fast.encode_batch_fast(joined, add_special_tokens=False)]
+            back = self.fast.decode_batch(found, skip_special_tokens=False)
+            for group, ids, same in zip(groups, found, map(str.__eq__, joined, back), strict=True):
+                flat = np.array(ids, "<i4")
                 at = np.flatnonzero(self.leading[flat])
-                if len(at) == len(group) and at[0] == 0:
+                if same and len(at) == len(group) and at[0] == 0:
                     data, cuts = flat.tobytes(), (4 * at).tolist()
                     self.seen.update(zip(group, [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)], strict=True))
                 else:
                     single += group
         for start in range(0, len(single), self.CALL_PARTS):
             some = single[start : start + self.CALL_PARTS]
-            found = self.fast.encode_batch_fast(some, add_special_tokens=False)
-            self.seen.update(zip(some, [struct.pack(f"<{len(e.ids)}i", *e.ids) for e in found], strict=True))
+            found = [e.ids for e in self.fast.encode_batch_fast(some, add_special_tokens=False)]
+            self.seen.update(zip(some, [struct.pack(f"<{len(i)}i", *i) for i in found], strict=True))
+            self.changed.update(p for p, t in zip(some, self.fast.decode_batch(found, skip_special_tokens=False), strict=True) if p != t)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """(ids, parity, round trip) of each text."""
@@ -208,13 +216,14 @@ class Coder:
         new = list({p for parts in split for p in parts if p not in seen})
         self._learn(new)
         ids = [b"".join([seen[p] for p in parts]) for parts in split]
+        kept = [not self.changed or self.changed.isdisjoint(parts) for parts in split]
         for p in new:
             if len(p) > self.PART_CHARS:
                 del seen[p]
         del split, new
-        return self._measured(texts, ids)
+        return self._measured(texts, ids, kept)
 
-    def _measured(self, texts: list[str], ids: list[bytes]) -> list[tuple[bytes, bool, bool]]:
+    def _measured(self, texts: list[str], ids: list[bytes], kept: list[bool]) -> list[tuple[bytes, bool, bool]]:
         """The ids with what the libraries say of each whole text, a few texts at a time."""
         done: list[tuple[bytes, bool, bool]] = []
         ends = np.cumsum([len(t) for t in texts]) // self.CALL_CHARS
@@ -224,8 +233,8 @@ class Coder:
             others = self.known.encode(texts[a:b], num_threads=THREADS)
             same = [len(x) == len(y) and bool((x == np.array(y, "<i4")).all()) for x, y in zip(own, others, strict=True)]
             del others
-            back = self.fast.decode_batch([x.tolist() for x in own], skip_special_tokens=False)
-            done += [(i, p, t == d) for i, p, t, d in zip(ids[a:b], same, texts[a:b], back, strict=True)]
+            back = self.known.decode([x.tolist() for x in own], num_threads=THREADS)
+            done += [(i, p, k and t == d) for i, p, k, t, d in zip(ids[a:b], same, kept[a:b], texts[a:b], back, strict=True)]
         return done
 
     def trim(self, keep: int = PARTS // 2) -> None:
@@ -235,6 +244,7 @@ class Coder:
         sizes = np.bincount([len(p) for p in self.seen])
         most = int(np.searchsorted(np.cumsum(sizes), keep, "right")) - 1  # characters
         self.seen = {p: c for p, c in self.seen.items() if len(p) <= most}
+        self.changed.intersection_update(self.seen)
 
 
 @lru_cache(maxsize=2)
