@@ -92,14 +92,21 @@ def stream_media_match(media: DataFrame, telemetry: DataFrame, seconds: int = 60
     An image (no duration_sec) takes the points within `seconds` of it, a video those inside
     its interval and `padding` seconds around it. How long state is kept follows from
     `longest`, the seconds a video may last at most; a longer one takes the points up to there.
+    Rows meet by case and stretch of time: a media row goes to each stretch it reaches, a point to its own.
     """
-    m = (media if "duration_sec" in media.columns else media.withColumn("duration_sec", F.lit(None).cast("double"))).withWatermark("ts", delay).alias("m")
-    t = telemetry.withWatermark("ts", delay).alias("t")
-    reach = F.expr(f"t.ts between m.ts - interval {max(seconds, padding)} seconds and m.ts + interval {max(seconds, longest + padding)} seconds")
-    after = (F.unix_micros("t.ts") - F.unix_micros("m.ts")) / F.lit(1e6)
+    latest = max(seconds, longest + padding)
+    span = F.lit(max(seconds, padding, longest // 16) * 1_000_000)
+    m = (media if "duration_sec" in media.columns else media.withColumn("duration_sec", F.lit(None).cast("double"))).withWatermark("ts", delay)
+    length = F.coalesce("duration_sec", F.lit(0.0))
+    before, after = F.when(length > 0, padding).otherwise(seconds), F.when(length > 0, F.least(length + padding, F.lit(float(latest)))).otherwise(seconds)
+    place = lambda moved: F.floor((F.unix_micros("ts") + moved * 1_000_000) / span)
+    m = m.withColumn("bucket", F.explode(F.sequence(place(-before), place(F.ceil(after))))).alias("m")
+    t = telemetry.withWatermark("ts", delay).withColumn("bucket", place(F.lit(0))).alias("t")
+    reach = F.expr(f"t.ts between m.ts - interval {max(seconds, padding)} seconds and m.ts + interval {latest} seconds")
+    past = (F.unix_micros("t.ts") - F.unix_micros("m.ts")) / F.lit(1e6)
     length = F.coalesce("m.duration_sec", F.lit(0.0))
-    near = F.when(length > 0, (after >= -padding) & (after <= length + padding)).otherwise(F.abs(after) <= seconds)
-    met = m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & reach).filter(near)
+    near = F.when(length > 0, (past >= -padding) & (past <= length + padding)).otherwise(F.abs(past) <= seconds)
+    met = m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & (F.col("m.bucket") == F.col("t.bucket")) & reach).filter(near)
     return met.select(F.col("m.case_id").alias("case_id"), "m.media_id", F.col("m.ts").alias("capture_ts"), "t.seq", F.col("t.ts").alias("point_ts"))
 
 

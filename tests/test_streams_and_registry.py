@@ -70,6 +70,20 @@ def test_media_meet_points_within_the_interval(spark, tmp_path):
     assert sorted((r.media_id, r.seq) for r in found) == [(7, 0), (7, 1), (8, 9)]
 
 
+def test_media_meet_points_by_stretches_of_time(spark, tmp_path):
+    """A month of points in one case: rows meet those of their stretch alone, and lose none on its borders."""
+    track = [(1, i, T + timedelta(seconds=100 * i), 19.0, 72.0, 1.0, 1.0) for i in range(26_000)]
+    media = [(1, i, T + timedelta(seconds=137 * i + 0.5), (None, 30.0, 500.25, 9_000.0)[i % 4]) for i in range(4_000)]
+    stream = jobs.stream_media_match(arriving(spark, tmp_path / "m", [media], "case_id long, media_id long, ts timestamp, duration_sec double"), arriving(spark, tmp_path / "t", [track], POINT), delay="1000 days")
+    assert "bucket" in stream._jdf.queryExecution().analyzed().toString().split("Join Inner", 1)[1].split("\n")[0]
+    want = set()
+    for _, i, ts, duration in media:
+        low, high = (-15, min(duration, 7_200) + 15) if duration else (-60, 60)
+        at = (ts - T).total_seconds()
+        want |= {(i, k) for k in range(max(0, int((at + low) // 100)), min(26_000, int((at + high) // 100) + 1)) if low <= 100 * k - at <= high}
+    assert sorted((r.media_id, r.seq) for r in run(stream).collect()) == sorted(want)
+
+
 def test_landed_radio_logs_become_positions(spark, tmp_path):
     position = struct.pack("<IiiiihhhH", 1, 191334000, 729133000, 99000, 15500, 300, 400, 0, 0)
     stamp = (1_700_000_000_000_000).to_bytes(8, "big")
