@@ -358,12 +358,8 @@ def _capture(head: bytes, known: object) -> Capture | None:
 
 def read_pcap(spark: SparkSession, path: str | list[str], most: int | None = MOST_PACKETS, size: int = ranges.RANGE_BYTES) -> DataFrame:
     """(file, off, n, ts_sec, size, payload) of the first `most` packets of each capture file, all of them if None."""
-    found = ranges.read_frames(listed(spark, path), _capture, "ts_sec long, size long, payload binary", size, head=CAPTURE_HEAD + PACKET_HEAD)
-    if most is None:
-        counted = numbered(found, "n", ["file"], ranges.by_offset(), ["off"])
-    else:  # only the first ones are numbered, so that no task sorts a whole file
-        counted = found.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("off"))).filter(F.col("n") <= most)
-    return counted.select("file", "off", (F.col("n") - 1).cast("long").alias("n"), "ts_sec", "size", "payload")
+    found = ranges.read_frames(listed(spark, path), _capture, "ts_sec long, size long, payload binary", size, head=CAPTURE_HEAD + PACKET_HEAD, ends=True)
+    return (found if most is None else found.filter(F.col("n") < most)).select("file", "off", "n", "ts_sec", "size", "payload")
 
 
 def pcap_summary(packets: DataFrame) -> DataFrame:
@@ -435,23 +431,22 @@ def header_places(read: Callable[[int, int], bytes], header: bytes, start: int,
 
 def _signature_marks(files: DataFrame, size: int) -> DataFrame:
     """(file, length, rank, off, footer) of every header and footer in files (path, length)."""
-    ranged = ranges.byte_ranges(files, size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 with ranges.open_file(row.file) as opened:
-                    def read(a: int, b: int, opened=opened) -> bytes:
-                        opened.seek(a)
-                        return opened.read(max(0, b - a))
-
+                    read = ranges.reading(opened)
                     for rank, (_, header, _, footer, _, _) in enumerate(SIGNATURES):
-                        heads = header_places(read, header, row.start, row.stop, row.length)
-                        feet = [row.start + at for at in _places(read(row.start, min(row.length, row.stop + len(footer) - 1)), footer)] if footer else []
+                        heads, feet = [], []
+                        for start in range(row.start, row.stop, size):
+                            stop = min(row.stop, start + size)
+                            heads += header_places(read, header, start, stop, row.length)
+                            feet += [start + at for at in _places(read(start, min(row.length, stop + len(footer) - 1)), footer)] if footer else []
                         off = np.array(heads + feet, np.int64)
                         yield pd.DataFrame({"file": row.file, "length": row.length, "rank": rank, "off": off, "footer": np.arange(len(off)) >= len(heads)})
 
-    return ranged.repartition(max(1, min(ranged.count(), ranges.MOST_TASKS))).mapInPandas(run, "file string, length long, rank int, off long, footer boolean")
+    return ranges.stretches(files, size).mapInPandas(run, "file string, length long, rank int, off long, footer boolean")
 
 
 def carve_extents(spark: SparkSession, path: str | list[str], most: int | None = MOST_CARVES, size: int = ranges.RANGE_BYTES) -> DataFrame:

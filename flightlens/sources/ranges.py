@@ -6,6 +6,9 @@ depends on all before it; a task finds it from a few bytes before the range alon
 frames from every place at which one could begin there, and once all of these ways have met, the
 place where they meet is on the whole file's way too. Until they meet, it goes further back, in
 the end to the start of the file. Any size of ranges gives the frames of the whole file.
+A task reads ranges that follow each other, so only the first of them is found so. Where a
+way can end within a file (captures), each task starts from a guess, and an aggregate over a
+file's tasks checks that every one begins where the one before it went (`chained`).
 
 Bytes are read with pyarrow's file systems (local, HDFS, S3, GCS and what else it opens by URI).
 """
@@ -13,7 +16,7 @@ Bytes are read with pyarrow's file systems (local, HDFS, S3, GCS and what else i
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -21,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightlens.session import stored
 from flightlens.sources.binary_files import file_system
 
 RANGE_BYTES = 32 << 20
 #: Ranges are dealt over at most so many tasks.
 MOST_TASKS = 20_000
 FRAMES_AT_A_TIME = 20_000
+#: A task takes ranges that follow each other, of about so many bytes, and goes from one to the next.
+TASK_BYTES = 4 << 20
 
 
 class Framing(Protocol):
@@ -88,51 +94,159 @@ def entry(framing: Framing, read: Callable[[int, int], bytes], start: int, lengt
         back *= 8
 
 
-def frames_of(framing: Framing, read: Callable[[int, int], bytes], start: int, stop: int, length: int) -> Iterator[tuple]:
-    """(off, ...) of the frames that start in a range."""
+def follow(framing: Framing, read: Callable[[int, int], bytes], at: int | None, stop: int, length: int, size: int) -> Generator[tuple, None, int | None]:
+    """(off, ...) of the frames from a place of the way on, up to stop, with about `size` bytes read at a time.
+
+    Returns the place behind: the first that isn't before stop, None if the way ends.
+    """
+    while at is not None and at < stop:
+        upto = min(stop, at + max(size, framing.longest))
+        data, base = read(at, min(length, upto + framing.longest)), at
+        place: int | None = 0
+        while place is not None and base + place < upto:
+            place, frame = framing.step(data, place, base)
+            if frame is not None and base + frame[0] < stop:
+                yield base + frame[0], *frame[1:]
+        at = None if place is None else base + place
+    return at
+
+
+def frames_of(framing: Framing, read: Callable[[int, int], bytes], start: int, stop: int, length: int, size: int | None = None) -> Iterator[tuple]:
+    """(off, ...) of the frames that start in a range, read at once or `size` bytes at a time."""
     at = framing.first if start <= framing.first else entry(framing, read, start, length)
-    if at is None or at >= stop:
-        return
-    data, base = read(at, min(length, stop + framing.longest)), at
-    place: int | None = 0
-    while place is not None and base + place < stop:
-        place, frame = framing.step(data, place, base)
-        if frame is not None and base + frame[0] < stop:
-            yield base + frame[0], *frame[1:]
+    yield from follow(framing, read, at, stop, length, size or stop - start)
+
+
+def guess(framing: Framing, read: Callable[[int, int], bytes], start: int, length: int) -> int | None:
+    """The one place at which the ways from shortly before start go on behind it; None if there are several or none.
+
+    A way that ends there may be false or the file's own, so this can be wrong: the place behind
+    the range before tells.
+    """
+    low = start - 2 * framing.longest
+    if low <= framing.first:
+        low, places = framing.first, [0]
+        data = read(low, min(length, start + framing.longest))
+    else:
+        data = read(low, min(length, start + framing.longest))
+        places = framing.starts(data, framing.longest)
+    ends, seen = set(), set()
+    for place in places:
+        at: int | None = place
+        while at is not None and at < start - low and at not in seen:
+            seen.add(at)
+            at, _ = framing.step(data, at, low)
+        if at is not None and at >= start - low:
+            ends.add(at)
+    return low + ends.pop() if len(ends) == 1 else None
+
+
+def stretches(files: DataFrame, size: int, known: DataFrame | None = None) -> DataFrame:
+    """byte_ranges of about TASK_BYTES, of whole ranges of `size`, each for one task, with what is known of their file."""
+    found = byte_ranges(files, size * max(1, TASK_BYTES // size))
+    count = found.count()
+    if known is not None:
+        found = found.join(known, "file", "left")
+    return found.repartition(max(1, min(count, MOST_TASKS)))
+
+
+def reading(opened: pa.NativeFile) -> Callable[[int, int], bytes]:
+    """A reader of the bytes from one place to another."""
+
+    def read(a: int, b: int) -> bytes:
+        opened.seek(a)
+        return opened.read(max(0, b - a))
+
+    return read
+
 
+def chained(files: DataFrame, make: Callable[..., Framing | None], size: int, head: int) -> DataFrame:
+    """(file, length, start, stop, at, before) of stretches: the place from which each goes on, and how many frames come before.
 
-def read_frames(files: DataFrame, make: Callable[..., Framing | None], schema: str, size: int = RANGE_BYTES, head: int = 0, known: DataFrame | None = None) -> DataFrame:
+    For framings whose way can end within a file, which no look at a few bytes can tell. Every
+    stretch is followed from a guess; the place behind a stretch has to be the next one's guess,
+    else the next one is followed again from there. A file has one row a stretch here.
+    """
+
+    def followed(framing: Framing, row: tuple, at: int, opened: pa.NativeFile) -> tuple[int, int]:
+        frames, count = follow(framing, reading(opened), at, row.stop, row.length, size), 0
+        while True:
+            try:
+                next(frames)
+                count += 1
+            except StopIteration as end:
+                return -1 if end.value is None else end.value, count
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                with open_file(row.file) as opened:
+                    framing = make(reading(opened)(0, min(head, row.length)), None)
+                    if framing is None:
+                        continue
+                    at = framing.first if row.start <= framing.first else guess(framing, reading(opened), row.start, row.length)
+                    rows.append((*row, *((-1, -1, 0) if at is None else (at, *followed(framing, row, at, opened)))))
+            yield pd.DataFrame(rows, columns=[*batch.columns, "at", "behind", "frames"])
+
+    def joined(found: pd.DataFrame) -> pd.DataFrame:
+        rows, at, before = [], None, 0
+        for row in found.sort_values("start").itertuples(index=False):
+            if at is None:  # a file's first stretch is followed from its first frame
+                at = row.at
+            behind, frames = row.behind, row.frames
+            if at < 0 or at >= row.stop:
+                continue
+            if at != row.at:
+                with open_file(row.file) as opened:
+                    behind, frames = followed(make(reading(opened)(0, min(head, row.length)), None), row, at, opened)
+            rows.append((row.file, row.length, row.start, row.stop, at, before))
+            at, before = behind, before + frames
+        return pd.DataFrame(rows, columns=["file", "length", "start", "stop", "at", "before"])
+
+    kinds = "file string, length long, start long, stop long, at long"
+    guessed = stretches(files, size).mapInPandas(run, f"{kinds}, behind long, frames long")
+    return guessed.groupBy("file").applyInPandas(joined, f"{kinds}, before long")
+
+
+def read_frames(files: DataFrame, make: Callable[..., Framing | None], schema: str, size: int = RANGE_BYTES, head: int = 0, known: DataFrame | None = None, ends: bool = False) -> DataFrame:
     """A row (file, off, ...) for each frame of files (path, length).
 
     make(head bytes, known value) gives a file's framing, None for a file that has no frames;
-    known (file, known) adds to each file what an earlier pass found.
+    known (file, known) adds to each file what an earlier pass found. ends: the framing's way can
+    end within a file; rows then also have n, the number of the frame in its file, from 0.
     """
-    ranges = byte_ranges(files, size)
-    count = ranges.count()
-    if known is not None:
-        ranges = ranges.join(known, "file", "left")
-    names = ["file", "off", *[c.split()[0] for c in schema.split(", ")]]
+    if ends:
+        found = stored(chained(files, make, size, head))  # a row a stretch
+        dealt = found.repartition(max(1, min(found.count(), MOST_TASKS)))
+    else:
+        dealt = stretches(files, size, known)
+    names = ["file", "off", *[c.split()[0] for c in schema.split(", ")], *(["n"] if ends else [])]
     informed = known is not None
-    fields = ["file", "length", "start", "stop", *(["known"] if informed else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 with open_file(row.file) as opened:
-                    def read(a: int, b: int, opened=opened) -> bytes:
-                        opened.seek(a)
-                        return opened.read(max(0, b - a))
-
+                    read = reading(opened)
                     framing = make(read(0, min(head, row.length)), row.known if informed else None)
+                    if framing is None:
+                        continue
+                    if ends:
+                        frames = ((*f, row.before + i) for i, f in enumerate(follow(framing, read, row.at, row.stop, row.length, size)))
+                    else:
+                        frames = frames_of(framing, read, row.start, row.stop, row.length, size)
                     rows: list[tuple] = []
-                    for frame in frames_of(framing, read, row.start, row.stop, row.length) if framing else ():
+                    since = row.start
+                    for frame in frames:
                         rows.append((row.file, *frame))
-                        if len(rows) == FRAMES_AT_A_TIME:
+                        if len(rows) == FRAMES_AT_A_TIME or frame[0] - since > TASK_BYTES:
+                            since = frame[0]
                             yield pd.DataFrame(rows, columns=names)
                             rows = []
                     yield pd.DataFrame(rows, columns=names)
 
-    return ranges.select(*fields).repartition(max(1, min(count, MOST_TASKS))).mapInPandas(run, f"file string, off long, {schema}")
+    return dealt.mapInPandas(run, f"file string, off long, {schema}" + (", n long" if ends else ""))
 
 
 def by_offset(off: str = "off") -> dict[str, Column]:

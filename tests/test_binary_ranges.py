@@ -135,3 +135,19 @@ def test_readers_give_the_same_at_any_range_size(spark, tmp_path, size):
         path = f"file://{tmp_path}/{pattern}"
         key = lambda rows: sorted(map(str, rows))
         assert key(reader(spark, path, size).collect()) == key(reader(spark, path, 777).collect())
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_a_capture_ends_where_a_packet_is_damaged_however_it_is_cut(spark, tmp_path, monkeypatch, order):
+    """Packets behind the damage look whole, but no reader of the whole file comes to them."""
+    monkeypatch.setattr(ranges, "TASK_BYTES", 300_000)
+    head = binary.CAPTURE_MARKS[order == "<"] + struct.pack(order + "HHIIII", 2, 4, 0, 0, 65_535, 1)
+    many = [binary_logs._packet_rows(order)(Row(i), i) for i in range(40_000)]
+    (tmp_path / "whole.pcap").write_bytes(head + b"".join(many))
+    (tmp_path / "damaged.pcap").write_bytes(head + b"".join(many[:500]) + struct.pack(order + "IIII", 1, 0, 1 << 30, 1 << 30) + b"".join(many[500:]))
+    found = binary.read_pcap(spark, f"file://{tmp_path}/*.pcap", None, 20_000).collect()
+    for name, packets_read in (("whole", 40_000), ("damaged", 500)):
+        rows = sorted((r.n, r.off, r.size) for r in found if r.file.endswith(f"{name}.pcap"))
+        data = (tmp_path / f"{name}.pcap").read_bytes()
+        assert rows == [(n, f[0], f[2]) for n, f in enumerate(ranges.file_at_once(binary.Capture(data[:40]), data))]
+        assert len(rows) == packets_read
