@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.session import forget, stored
+from flightlens.sources.lines import read_lines
 
 #: Evidence categories and their names in an export.
 CATEGORIES = {"logs": "LOGS", "video_images": "VIDEO_IMAGES", "gcs": "GCS"}
 ORDER = ("o1", "o2", "o3")
+#: Lines that one task writes.
+LINES_A_FILE = 200_000
 
 
 def _line(cases: DataFrame, part: int, text: Column) -> DataFrame:
@@ -35,7 +38,7 @@ def _object(cases: DataFrame, part: int, name: str, rows: DataFrame | None, key:
 def _array(cases: DataFrame, part: int, rows: DataFrame, order: list[str], key: Column, end: str, spent: list[DataFrame]) -> DataFrame:
     """The lines of an array: its head, a line for each row in the order of up to three whole numbers, its end. The rows are stored, as they are read twice."""
     given = [F.col(c).cast("long") for c in order] + [F.lit(0).cast("long")] * (len(ORDER) - len(order))
-    body = F.to_json(F.struct(*[c for c in rows.columns if c != "case_id"]), {"ignoreNullFields": "false"})
+    body = F.to_json(F.struct(*[c for c in rows.columns if c != "case_id" and not c.startswith("_")]), {"ignoreNullFields": "false"})
     lines = stored(rows.join(cases, "case_id", "left_semi").select("case_id", *[c.alias(o) for c, o in zip(given, ORDER, strict=True)], body.alias("value")))
     spent.append(lines)
     first = lines.groupBy("case_id").agg(F.min(F.struct(*ORDER)).alias("_first")).withColumnRenamed("case_id", "_case")
@@ -54,7 +57,7 @@ def write_case_json(
     generated_at: str,
     path: str,
 ) -> None:
-    """Every case's document as a file below path/case_id=..., written by one task from sorted rows, which spill.
+    """Every case's document below path/case_id=..., as files that follow each other by their names, of LINES_A_FILE each.
 
     cases: one row a case, with what its `case` object shows. objects: flight_summary,
     ground_control_station, gcs_analysis and mobile_companion_analysis, one row a case each, or
@@ -82,6 +85,39 @@ def write_case_json(
         else:
             found.append(_line(ids, part, F.concat(key(name), F.lit("{")) if kind == "open" else F.lit("},")))
     found.append(_line(ids, 10 * (len(plan) + 1), F.lit(f'"generated_at_utc": "{generated_at}"}}')))
-    lines = reduce(DataFrame.unionByName, found).repartition("case_id").sortWithinPartitions("case_id", "part", *ORDER)
-    lines.select("case_id", "value").write.partitionBy("case_id").text(path)
+    write_lines(reduce(DataFrame.unionByName, found), path)
+    forget(*spent)
+
+
+def write_report(summary: DataFrame, arrays: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+    """sinks.case_json as documents of any size below path/case_id=...: the summary's columns, and each array's rows in the order of up to three whole numbers."""
+    ids, spent = summary.select("case_id"), []
+    key = lambda name: F.lit(f'"{name}": ')
+    found = [_line(ids, 0, F.concat(F.lit('{"case_id": '), F.to_json(F.struct("case_id")).substr(F.lit(12), F.length(F.to_json(F.struct("case_id"))) - 12), F.lit(","))), _object(ids, 1, "summary", summary, key("summary"), "," if arrays else "")]
+    for i, (name, (rows, order)) in enumerate(arrays.items()):
+        found.append(_array(ids, 10 * (i + 1), rows, order, key(name), "," if i + 1 < len(arrays) else "", spent))
+    write_lines(reduce(DataFrame.unionByName, [*found, _line(ids, 10 * (len(arrays) + 1), F.lit("}"))]), path)
     forget(*spent)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines in order as files of about LINES_A_FILE: a document is its case's files, one after the other by their names."""
+    ordered = lines.repartitionByRange(1 + lines.count() // LINES_A_FILE, "case_id", "part", *ORDER).sortWithinPartitions("case_id", "part", *ORDER)
+    ordered.select("case_id", "value").write.partitionBy("case_id").text(path)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, array, number, block, id, value) of the rows of all arrays of documents as they are written here, by lines.
+
+    (number, block, id) is the order of a case's lines. A row belongs to the array whose head,
+    of which a case has a few, is the last before it.
+    """
+    read = read_lines(spark, path).select(
+        F.regexp_extract("file", r"case_id=(-?\d+)", 1).cast("long").alias("case_id"), F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("number"), "block", "id", F.col("line").alias("value")
+    )
+    place = F.struct("number", "block", "id")
+    head = F.regexp_extract("value", r'^"(\w+)": \[$', 1)
+    lines = stored(read.filter(F.substring("value", 1, 2).isin(" {", ",{") | (head != "")).select("*", head.alias("head")))
+    heads = stored(lines.filter("head <> ''").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "head"))).alias("heads")))
+    array = F.element_at(F.filter("heads", lambda h: h["place"] < place), -1)["head"]
+    return lines.filter("head = ''").join(heads, "case_id").select("case_id", array.alias("array"), "number", "block", "id", F.substring("value", 2, 1 << 30).alias("value"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.operators import anomalies, asof, custody, evidence, geofence, mission, retrieval, sinks, summary, timeline
+from flightlens.operators import anomalies, asof, custody, evidence, export, geofence, mission, retrieval, sinks, summary, timeline
 from flightlens.sources import binary
 from flightlens.sources.lines import parse_ts
 
@@ -91,6 +91,19 @@ def case_report(analysis: dict[str, DataFrame], plans: DataFrame | None = None,
     return sinks.case_json(analysis["summary"], **parts)
 
 
+def write_case_report(analysis: dict[str, DataFrame], path: str, plans: DataFrame | None = None) -> None:
+    """case_report as documents below path/case_id=..., for cases of any size; rows by their numbers and places."""
+    number = lambda c, at: F.substring(c, at, 20).cast("long")
+    arrays = {
+        "violations": (analysis["violations"].drop("ingest_seq").withColumn("_o", number("violation_id", 5)), ["_o"]),
+        "anomalies": (analysis["anomalies"].drop("ingest_seq").withColumn("_o", number("anomaly_id", 6)), ["_o"]),
+        "episodes": (analysis["episodes"].withColumn("_o", F.xxhash64("zone_id")), ["first_place", "_o"]),
+    }
+    if plans is not None:
+        arrays["plans"] = (mission.plan_metrics(plans).withColumn("_o", F.xxhash64("plan_id")), ["_o"])
+    export.write_report(analysis["summary"], arrays, path)
+
+
 def match_media(media: DataFrame, telemetry: DataFrame) -> dict[str, DataFrame]:
     """Overlaps, captures and events of media rows (media_id, case_id, ts, duration_sec, tag_*)."""
     overlap = asof.media_overlap(media, telemetry)

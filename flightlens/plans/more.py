@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlens.functions import geo
-from flightlens.operators import asof, custody, evidence, geofence, lifecycle, mission, mobile, retrieval, sinks, summary
+from flightlens.operators import asof, custody, evidence, export, geofence, lifecycle, mission, mobile, retrieval, sinks, summary
 from flightlens.operators import jobs as case_jobs
 from flightlens.operators.places import by_number, numbered
 from flightlens.plans import catalog, files, views
@@ -290,9 +290,11 @@ SELECT s.case_id, (SELECT count(*) FROM v WHERE v.case_id = s.case_id) AS violat
 )
 def case_report(spark, sf_dir):
     analysis = case_jobs.analyze(views.telemetry(spark, sf_dir), views.events(spark, sf_dir), zones.zone_catalog(spark))
-    found = case_jobs.case_report(analysis, views.waypoints(spark, sf_dir))
-    count = lambda name: F.coalesce(F.json_array_length(F.get_json_object("json", f"$.{name}")), F.lit(0)).cast("long").alias(name)
-    return found.select("case_id", count("violations"), count("episodes"))
+    path = _folder(spark)
+    case_jobs.write_case_report(analysis, path, views.waypoints(spark, sf_dir))
+    counts = export.read_rows(spark, path).groupBy("case_id").agg(*[F.count_if(F.col("array") == n).alias(n) for n in ("violations", "episodes")])
+    cases = analysis["summary"].select(F.col("case_id").cast("long").alias("case_id"))
+    return cases.join(counts, "case_id", "left").select("case_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("violations", "episodes")])
 
 
 @query("saved_and_restored", _TEL + " SELECT case_id, count(*) AS points FROM tel WHERE case_id <> 3 GROUP BY case_id")

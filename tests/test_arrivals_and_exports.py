@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 from datetime import datetime, timedelta
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlens.operators import export, retrieval, summary
-from flightlens.plans import binary_logs
+from flightlens.plans import binary_logs, exports
 from flightlens.session import forget, shared_dir, stored
 from flightlens.sources import binary, ranges
 from flightlens.streaming import frames, jobs
@@ -102,3 +103,29 @@ def test_stored_tables_are_deleted_and_others_are_not(spark, tmp_path):
     with pytest.raises(ValueError, match="not a stored table"):
         forget(spark.read.parquet(f"file://{tmp_path}/own"))
     assert shared_dir(spark) and binary_logs.RANGE
+
+
+def test_a_report_of_many_files_is_one_document(spark, tmp_path, monkeypatch):
+    """No task takes a case: its lines fill several files, and rows are read from each without the others."""
+    monkeypatch.setattr(export, "LINES_A_FILE", 500)
+    total = spark.createDataFrame([(1, 5), (2, None)], "case_id long, points long")
+    many = spark.range(4_000).select(F.lit(1).cast("long").alias("case_id"), F.col("id").alias("n"), F.lit('"x": [\n').alias("text"), F.col("id").alias("_o"))
+    few = spark.createDataFrame([(1, 3), (2, 8), (2, 7)], "case_id long, n long")
+    export.write_report(total, {"violations": (many, ["_o"]), "episodes": (few, ["n"])}, f"file://{tmp_path}/out")
+    parts = sorted((tmp_path / "out" / "case_id=1").glob("part-*"))
+    assert len(parts) > 4 and max(len(p.read_text().splitlines()) for p in parts) < 2_000
+    found = json.loads("".join(p.read_text() for p in parts))
+    assert found["case_id"] == 1 and found["summary"] == {"points": 5} and [v["n"] for v in found["violations"]] == list(range(4_000)) and found["episodes"] == [{"n": 3}]
+    read = export.read_rows(spark, f"file://{tmp_path}/out").orderBy("case_id", "number", "block", "id").collect()
+    assert [(r.case_id, r.array, json.loads(r.value)["n"]) for r in read] == [*((1, "violations", n) for n in range(4_000)), (1, "episodes", 3), (2, "episodes", 7), (2, "episodes", 8)]
+
+
+def test_keys_are_hashed_in_order_across_batches_and_files(spark):
+    rows = [(c, p, n % 3, 0, n, f"{p}{n}") for c in (1, 2) for p in ("a", "b") for n in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = exports._digests(spark.createDataFrame(rows, "case_id long, part string, number int, block long, id long, k string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(c, p): hashlib.sha256(",".join(f"{p}{n}" for n in sorted(range(300), key=lambda n: (n % 3, n))).encode()).hexdigest() for c in (1, 2) for p in ("a", "b")}
+    assert {(r.case_id, r.part): r.keys_sha256 for r in found} == want and {r.n for r in found} == {300}
