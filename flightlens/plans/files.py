@@ -20,6 +20,8 @@ from flightlens.session import shared_dir
 from flightlens.sources import binary, flight_logs, missions, registry
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
+#: Running numbers whose lines are joined before a file is put together.
+BLOCK = 1_000
 #: Files made of telemetry: of every row what the formats hold, in text precision.
 _TEL = f"""WITH {views.TELEMETRY}, f AS (
   SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY seq) - 1 AS seq, seq AS id, date_trunc('second', ts) AS ts, CAST(printf('%.7f', latitude) AS DOUBLE) AS latitude, CAST(printf('%.7f', longitude) AS DOUBLE) AS longitude,
@@ -37,13 +39,19 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(rows: DataFrame, value: Column, head: tuple[str, ...] = (), sep: str = "\n") -> str:
-    """The folder of files, one for each case_id of rows, with `head` and a line `value` for each row in seq order."""
+    """The folder of files, one for each case_id of rows, with `head` and a line `value` for each row in seq order.
+
+    One task puts a case's file together, from blocks of lines that many tasks have sorted.
+    """
     path = f"{shared_dir(rows.sparkSession)}/files/{uuid.uuid4().hex}"
     lines = rows.select("case_id", F.lit(1).alias("part"), F.col("seq").cast("long").alias("seq"), value.alias("value"))
     if head:
         heads = rows.select("case_id").distinct().select("case_id", F.lit(0).alias("part"), F.posexplode(F.array(*[F.lit(h) for h in head])).alias("seq", "value"))
         lines = lines.unionByName(heads)
-    ordered = lines.repartition("case_id").sortWithinPartitions("case_id", "part", "seq")
+    line = F.struct("seq", F.coalesce("value", F.lit("")).alias("value"))
+    blocks = lines.groupBy("case_id", "part", F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    joined = blocks.select("case_id", "part", "block", F.array_join(F.col("lines.value"), sep).alias("value"))
+    ordered = joined.repartition("case_id").sortWithinPartitions("case_id", "part", "block")
     ordered.select("case_id", "value").write.option("lineSep", sep).partitionBy("case_id").text(path)
     return path
 

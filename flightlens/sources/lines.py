@@ -63,12 +63,14 @@ def named_column(header: Column, *names: str) -> Column:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, id, header, parts) of the data lines of separated files.
 
-    The first filled line of a file is its header, behind an optional 'sep=' line. The
-    headers, one row per file, are joined back to the lines.
+    The first filled line of a file is its header, behind an optional 'sep=' line. Its place
+    is found from numbers alone, so no lines are sorted; the headers, one row per file, are
+    joined back to the lines.
     """
     lines = read_lines(spark, path).filter((F.trim("line") != "") & ~F.lower("line").startswith("sep="))
-    heads = lines.groupBy("file").agg(F.min(F.struct("block", "id", "line")).alias("h"))
-    heads = heads.select("file", F.col("h.block").alias("hb"), F.col("h.id").alias("hi"), fields(F.lower("h.line")).alias("header"))
+    firsts = lines.groupBy("file", "block").agg(F.min("id").alias("id")).groupBy("file").agg(F.min(F.struct("block", "id")).alias("h"))
+    heads = lines.join(F.broadcast(firsts), "file").filter((F.col("block") == F.col("h.block")) & (F.col("id") == F.col("h.id")))
+    heads = heads.select("file", F.col("block").alias("hb"), F.col("id").alias("hi"), fields(F.lower("line")).alias("header"))
     body = lines.join(heads, "file").filter((F.col("block") != F.col("hb")) | (F.col("id") != F.col("hi")))
     return body.select("file", "block", "id", "header", fields(F.col("line")).alias("parts"))
 

@@ -160,8 +160,11 @@ def read_inav_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def _operator(rows: DataFrame, *pairs: tuple[Column, Column, str]) -> DataFrame:
     """Per file the first valid position of the pairs: all rows of an earlier pair go before a later pair's."""
-    fixes = [F.when(off_null_island(a, b, 0.01), F.struct(F.lit(i).alias("o"), F.col("block"), F.col("id"), a.alias("latitude"), b.alias("longitude"), F.lit(s).alias("source"))) for i, (a, b, s) in enumerate(pairs)]
-    return rows.select("file", F.explode(F.array_compact(F.array(*fixes))).alias("f")).groupBy("file").agg(F.min("f").alias("f")).select("file", "f.latitude", "f.longitude", "f.source")
+    fixes = [F.when(off_null_island(a, b, 0.01), F.struct(F.lit(i).alias("o"), a.alias("latitude"), b.alias("longitude"))) for i, (a, b, _) in enumerate(pairs)]
+    found = rows.select("file", "block", "id", F.explode(F.array_compact(F.array(*fixes))).alias("f")).select("file", "block", "id", "f.*")
+    firsts = found.groupBy("file", "o", "block").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("latitude", "longitude")])  # numbers alone: nothing is sorted
+    best = firsts.groupBy("file").agg(F.min(F.struct("o", "block", "id", "latitude", "longitude")).alias("f"))
+    return best.select("file", "f.latitude", "f.longitude", F.get(F.array(*[F.lit(s) for _, _, s in pairs]), F.col("f.o")).alias("source"))
 
 
 def read_litchi_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -243,3 +243,20 @@ def test_scan_and_route(spark, files):
 def test_zone_catalog_from_a_table(spark, tmp_path):
     zones.zone_catalog(spark).write.parquet(f"file://{tmp_path}/zones")
     assert zones.zone_catalog(spark, f"file://{tmp_path}/zones").count() == 42
+
+
+def test_headers_and_operator_positions_need_no_sort_of_lines(spark, tmp_path):
+    """The first header and position of a file, with blocks in between; only a few rows a block are ordered."""
+    lines = ["", "sep=,", "latitude,longitude,phone_latitude,phone_longitude,home_latitude,home_longitude", "1,2,,,7,8", "1,2,0,0,7,9"] + [f"1,2,{3 + i % 50}.5,4,7,8" for i in range(4_000)]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    (tmp_path / "b.csv").write_text("\n".join([lines[2], "1,2,,,5,6", "1,2,,,7,8"]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        track, homes = missions.read_litchi_csv(spark, f"file://{tmp_path}")
+        assert sorted((r.file[-5:], r.latitude, r.longitude, r.source) for r in homes.collect()) == [("a.csv", 3.5, 4.0, "PHONE_GPS"), ("b.csv", 5.0, 6.0, "HOME_POINT")]
+        assert track.count() == 4_004
+        sorted_by_lines = [line for line in homes._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line and "line" in line]
+        assert not sorted_by_lines
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
