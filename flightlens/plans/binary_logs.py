@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from flightlens.operators.places import numbered
 from flightlens.plans import files, views
 from flightlens.plans.catalog import query
-from flightlens.session import shared_dir
+from flightlens.session import shared_dir, stored
 from flightlens.sources import binary, binary_files, ranges
 
 RANGE = 50_000
+#: Rows that one piece of a file holds at most: a file is put together by one task.
+PIECE = 64
 _TEL = files._TEL + ", e AS (SELECT *, CAST(round(latitude * 1e7) AS BIGINT) AS lat7, CAST(round(longitude * 1e7) AS BIGINT) AS lon7, CAST(round(altitude_m * 100) AS BIGINT) AS alt2, CAST(epoch(ts) AS BIGINT) AS sec FROM f)"
 
 
@@ -31,13 +33,17 @@ def pieces(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple,
         F.round(F.col("alt").cast("double") * 100).cast("long").alias("alt2"), F.round("ground_speed_mps", 1).alias("speed"), F.unix_seconds("ts").alias("sec"),
     )
     placed = numbered(rows, "place", ["case_id"], {"_stretch": F.floor(F.col("seq") / 100_000)}, ["seq"])
+    dealt = placed.repartition("case_id", F.floor(F.col("place") / (PIECE * 100))).sortWithinPartitions("case_id", "place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            data = [(head if row.place == 1 else b"") + encode(row, row.place - 1) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame({"file": [f"case_id={c}/{name}" for c in batch["case_id"]], "ord": batch["place"], "data": data})
+            found: dict[tuple[int, int], tuple[int, list[bytes]]] = {}
+            for row in batch.itertuples(index=False):
+                _, data = found.setdefault((row.case_id, row.place // PIECE), (row.place, []))
+                data.append((head if row.place == 1 else b"") + encode(row, row.place - 1))
+            yield pd.DataFrame([(f"case_id={c}/{name}", first, b"".join(data)) for (c, _), (first, data) in found.items()], columns=["file", "ord", "data"])
 
-    return placed.mapInPandas(run, "file string, ord long, data binary")
+    return dealt.mapInPandas(run, "file string, ord long, data binary")
 
 
 def encoded(spark: SparkSession, sf_dir: str, name: str, encode: Callable[[tuple, int], bytes], head: bytes = b"") -> str:
@@ -116,7 +122,7 @@ q AS (SELECT case_id, count(*) AS params_total, CAST(sum(last) AS DOUBLE) AS val
 SELECT case_id, params_total, value_sum, first_name, coalesce('ArduCopter V' || a, 'ArduPilot') AS firmware, coalesce('QUAD ' || b, 'Standard') AS frame, coalesce('CubeOrange ' || c, 'Pixhawk / STM32 Autopilot') AS board FROM q LEFT JOIN m USING (case_id)""",
 )
 def dataflash_summary(spark, sf_dir):
-    messages = flash_messages(spark, sf_dir)
+    messages = stored(flash_messages(spark, sf_dir).filter(F.col("msg").isin("PARM", "MSG")))
     first = binary.dataflash_summary(messages, 1).select("file", F.map_keys("params")[0].alias("first_name"))
     found = files.of_case(binary.dataflash_summary(messages, 100).join(first, "file"))
     return found.select("case_id", "params_total", F.aggregate(F.map_values("params"), F.lit(0.0), lambda s, x: s + x).alias("value_sum"), "first_name", "firmware", "frame", "board")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flightlens.functions.geo import off_null_island
 from flightlens.operators.asof import arm_edges, carry_forward
 from flightlens.operators.places import numbered, previous, with_last
+from flightlens.session import stored
 from flightlens.sources import ranges
 
 #: Message ids that a radio log is read for: position, raw GPS, home, heartbeat, text.
@@ -159,7 +160,7 @@ def dataflash_telemetry(messages: DataFrame) -> DataFrame:
         _first("Lat").alias("latitude"), _first("Lng", "Lon").alias("longitude"), _first("Alt").alias("altitude_m"), _first("Spd").alias("ground_speed_mps"), _first("NSats").cast("int").alias("satellites_visible"),
         _first("GWk").alias("week"), _first("GMS").alias("week_ms"), _first("GCrs").alias("course"), _first("Roll").alias("roll_deg"), _first("Pitch").alias("pitch_deg"), _first("Yaw").alias("yaw_deg"),
     )
-    held = carry_forward(rows, ["roll_deg", "pitch_deg", "yaw_deg"])
+    held = carry_forward(stored(rows), ["roll_deg", "pitch_deg", "yaw_deg"])
     ts = F.timestamp_micros(((F.col("week") * WEEK_S + GPS_EPOCH_S) * 1_000_000 + F.col("week_ms") * 1000).cast("long"))
     good = (F.col("msg") == "GPS") & off_null_island(F.col("latitude"), F.col("longitude"), 0.001)
     return held.filter(good).select(
@@ -187,7 +188,7 @@ def dataflash_events(messages: DataFrame) -> DataFrame:
         F.col("file").alias("case_id"), F.lit(0).alias("ingest_seq"), F.col("off").alias("seq"), kind.alias("event_type"), F.when(F.col("msg") == "MODE", mode_name(_first("ModeNum", "Mode"))).alias("mode"),
         F.when(F.col("msg") == "GPS", _first("Lat")).alias("latitude"), F.when(F.col("msg") == "GPS", _first("Lng", "Lon")).alias("longitude"),
     )
-    return carry_forward(rows, ["latitude", "longitude"]).filter(F.col("event_type").isNotNull()).withColumnRenamed("case_id", "file").drop("ingest_seq")
+    return carry_forward(stored(rows), ["latitude", "longitude"]).filter(F.col("event_type").isNotNull()).withColumnRenamed("case_id", "file").drop("ingest_seq")
 
 
 #: What a log's messages say of its hardware, and what is assumed if they don't.
@@ -277,7 +278,7 @@ def radio_telemetry(messages: DataFrame) -> DataFrame:
         _first("sats").cast("int").alias("satellites_visible"),
     )
     good = rows.filter((F.abs("latitude") <= 90) & (F.abs("longitude") <= 180) & off_null_island(F.col("latitude"), F.col("longitude"), 0.001))
-    good = previous(good, F.struct("msg_id", "us"), "before", ["file"], ranges.by_offset("seq"), "seq")
+    good = previous(stored(good), F.struct("msg_id", "us"), "before", ["file"], ranges.by_offset("seq"), "seq")
     repeated = (F.col("msg_id") == RAW_GPS) & (F.col("before.msg_id") == POSITION) & (F.col("before.us") == F.col("us"))
     return good.withColumn("repeated", F.coalesce(repeated, F.lit(False))).filter("not repeated").select(
         "file", "seq", F.timestamp_micros("us").alias("ts"), "latitude", "longitude", "altitude_m", "ground_speed_mps", "satellites_visible", F.when(F.col("msg_id") == POSITION, "GLOBAL_POSITION_INT").otherwise("GPS_RAW_INT").alias("source_channel")
@@ -286,6 +287,7 @@ def radio_telemetry(messages: DataFrame) -> DataFrame:
 
 def radio_events(messages: DataFrame) -> DataFrame:
     """Arm and disarm edges of heartbeats, and status texts by severity; failures by what they say."""
+    messages = stored(messages.filter(F.col("msg_id").isin(HEARTBEAT, TEXT)))
     beats = messages.filter(F.col("msg_id") == HEARTBEAT).select(F.col("file").alias("case_id"), F.lit(0).alias("ingest_seq"), F.col("off").alias("seq"), "us", _first("base_mode").cast("int").alias("mode"))
     edges = arm_edges(beats, F.col("mode").bitwiseAND(ARMED_BIT) > 0).select(F.col("case_id").alias("file"), "seq", "us", "event_type", F.lit("INFO").alias("severity"), F.lit(None).cast("string").alias("description"))
     level = _first("severity")
@@ -455,7 +457,7 @@ def carve_extents(spark: SparkSession, path: str | list[str], most: int | None =
     Marks are found by byte ranges; a header's next footer is carried backwards over stretches of
     the file. The first `most` extents of a file, by signature and place, are given; all if None.
     """
-    marks = _signature_marks(listed(spark, path), size)
+    marks = stored(_signature_marks(listed(spark, path), size))
     kinds = spark.createDataFrame([(i, k, len(h), o, 0 if f is None else len(f), g, d) for i, (k, h, o, f, g, d) in enumerate(SIGNATURES)], "rank int, file_type string, header_len int, header_off int, footer_len int, greatest long, default_len long")
     carried = with_last(marks, {"next": F.when(F.col("footer"), F.col("off"))}, ["file", "rank"], ranges.by_offset(), ["off", "footer"], descending=True)
     paired = carried.filter("not footer").join(F.broadcast(kinds), "rank")

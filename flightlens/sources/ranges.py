@@ -17,12 +17,16 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Generator, Iterator
+from types import SimpleNamespace
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from flightlens.session import stored
 from flightlens.sources.binary_files import file_system
@@ -209,6 +213,20 @@ def chained(files: DataFrame, make: Callable[..., Framing | None], size: int, he
     return guessed.groupBy("file").applyInPandas(joined, f"{kinds}, before long")
 
 
+def batch_of(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; the entries of dicts, which are maps, are laid out one after the other."""
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_map(kind):
+            return pa.array(values, kind)
+        ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+        keys = pa.array([k for v in values for k in v], kind.key_type)
+        return pa.MapArray.from_arrays(pa.array(ends), keys, pa.array([x for v in values for x in v.values()], kind.item_type)).cast(kind)
+
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
 def read_frames(files: DataFrame, make: Callable[..., Framing | None], schema: str, size: int = RANGE_BYTES, head: int = 0, known: DataFrame | None = None, ends: bool = False) -> DataFrame:
     """A row (file, off, ...) for each frame of files (path, length).
 
@@ -221,12 +239,13 @@ def read_frames(files: DataFrame, make: Callable[..., Framing | None], schema: s
         dealt = found.repartition(max(1, min(found.count(), MOST_TASKS)))
     else:
         dealt = stretches(files, size, known)
-    names = ["file", "off", *[c.split()[0] for c in schema.split(", ")], *(["n"] if ends else [])]
+    given = f"file string, off long, {schema}" + (", n long" if ends else "")
+    kinds = to_arrow_schema(StructType.fromDDL(given))
     informed = known is not None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
+            for row in (SimpleNamespace(**r) for r in batch.to_pylist()):
                 with open_file(row.file) as opened:
                     read = reading(opened)
                     framing = make(read(0, min(head, row.length)), row.known if informed else None)
@@ -242,11 +261,11 @@ def read_frames(files: DataFrame, make: Callable[..., Framing | None], schema: s
                         rows.append((row.file, *frame))
                         if len(rows) == FRAMES_AT_A_TIME or frame[0] - since > TASK_BYTES:
                             since = frame[0]
-                            yield pd.DataFrame(rows, columns=names)
+                            yield batch_of(rows, kinds)
                             rows = []
-                    yield pd.DataFrame(rows, columns=names)
+                    yield batch_of(rows, kinds)
 
-    return dealt.mapInPandas(run, f"file string, off long, {schema}" + (", n long" if ends else ""))
+    return dealt.mapInArrow(run, given)
 
 
 def by_offset(off: str = "off") -> dict[str, Column]:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 import struct
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from flightlens.plans import binary_logs
@@ -151,3 +154,34 @@ def test_a_capture_ends_where_a_packet_is_damaged_however_it_is_cut(spark, tmp_p
         data = (tmp_path / f"{name}.pcap").read_bytes()
         assert rows == [(n, f[0], f[2]) for n, f in enumerate(ranges.file_at_once(binary.Capture(data[:40]), data))]
         assert len(rows) == packets_read
+
+
+def test_frames_are_laid_out_as_columns_with_their_maps():
+    kinds = pa.schema([("off", pa.int64()), ("numbers", pa.map_(pa.string(), pa.float64())), ("text", pa.string())])
+    rows = [(1, {"a": 1.0, "b": None}, None), (2, {}, "x"), (3, {"a": 2.5}, "y")]
+    found = ranges.batch_of(rows, kinds)
+    assert [(r["off"], dict(r["numbers"]), r["text"]) for r in found.to_pylist()] == rows
+    assert ranges.batch_of([], kinds).num_rows == 0
+
+
+def test_a_file_comes_in_pieces_of_many_rows(spark, tmp_path):
+    """The task that puts a file together gets a row for many rows of telemetry, and the same bytes."""
+    pq.write_table(pa.table({
+        "event_id": pa.array(range(20_000), pa.int64()), "ts": pa.array([datetime(2024, 5, 1, 10)] * 20_000, pa.timestamp("us")), "user_id": pa.array([i // 15_000 for i in range(20_000)], pa.int64()),
+        "event_type": ["click"] * 20_000, "value": [1.5] * 20_000, "props": ['{"k": 1}'] * 20_000,
+    }), tmp_path / "events.parquet")
+    found = binary_logs.pieces(spark, str(tmp_path), "f", lambda row, place: f"{row.seq}:{place} ".encode(), b"head ").orderBy("file", "ord").collect()
+    for case, (low, high) in enumerate(((0, 15_000), (15_000, 20_000))):
+        assert b"".join(r["data"] for r in found if r["file"] == f"case_id={case}/f") == b"head " + b"".join(f"{i}:{i - low} ".encode() for i in range(low, high))
+    assert len(found) < 20_000 / binary_logs.PIECE * 1.2
+
+
+def test_marks_are_read_once(spark, tmp_path, monkeypatch):
+    """Messages and marks that several aggregates use are read from their files once."""
+    (tmp_path / "1.tlog").write_bytes(radio(random.Random(2)))
+    kept = []
+    monkeypatch.setattr(binary, "stored", lambda df: kept.append(df) or df)
+    for reader in (binary.radio_events, binary.radio_telemetry):
+        reader(binary.radio_messages(spark, f"file://{tmp_path}/*.tlog"))
+    binary.carve_extents(spark, f"file://{tmp_path}/*.tlog")
+    assert len(kept) == 3
