@@ -57,7 +57,7 @@ def analyze(telemetry: DataFrame, events: DataFrame, zones: DataFrame) -> dict[s
 
 def ingest_case(chunks: list[DataFrame], path: str) -> None:
     """Chunks of several sources, embedded and written as the index, a partition per case; a repeated ingest replaces."""
-    known = retrieval.all_chunks(*chunks)
+    known = retrieval.all_chunks(*chunks).sortWithinPartitions("case_id")  # before the vectors, so that the write needn't sort them
     retrieval.write_index(retrieval.hash_embed(known), path)
 
 

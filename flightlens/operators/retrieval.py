@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from flightlens.functions.geo import fixed
 
@@ -21,7 +25,9 @@ QUERY_K, STORE_K = 10, 8
 #: Queries that are broadcast at once: 8 bytes a dimension, so tens of MB.
 QUERY_BLOCK = 4_096
 #: Texts are embedded in slices of about so many texts or characters.
-SLICE_TEXTS, SLICE_CHARS = 1_000, 1_000_000
+SLICE_TEXTS, SLICE_CHARS = 1_000, 250_000
+#: Words whose places a worker remembers, and scores that a slice of chunks has with the queries.
+MOST_WORDS, SLICE_SCORES = 100_000, 2_000_000
 _SEPARATORS = ",|:"
 
 
@@ -224,7 +230,7 @@ def _digits(found: hashlib._Hash) -> int:
 class _Trigrams:
     """Places of character trigrams in the vector, remembered as sorted codes."""
 
-    def __init__(self, dims: int, most: int = 1_000_000) -> None:
+    def __init__(self, dims: int, most: int = 300_000) -> None:
         self.dims, self.most = dims, most
         self.codes, self.places = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -267,16 +273,15 @@ def _embedded(texts: list[str], dims: int, words: _Words, trigrams: _Trigrams) -
     rows = np.repeat(np.arange(len(texts)), [len(s) if f else 0 for s, f in zip(split, filled, strict=True)])
     at, weights = np.array([t[0] for t in terms], np.int64), np.array([t[1] for t in terms])
     total = np.bincount(rows * dims + at, weights, len(texts) * dims)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    last = np.cumsum(sizes)[owner] - np.arange(len(points))  # characters from here to the text's end
-    inside = ((last >= 3) & np.array(filled)[owner])[: len(codes)] if len(points) > 2 else np.zeros(0, bool)
-    codes, owner = codes[inside], owner[: len(inside)][inside]
-    if len(codes):
-        different, which = np.unique(codes, return_inverse=True)
-        total += 0.5 * np.bincount(owner * dims + trigrams(different)[which], minlength=len(texts) * dims)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends, worded = np.cumsum([len(t) for t in texts]), np.array(filled)
+    for low in range(0, len(points) - 2, SLICE_CHARS):
+        part = points[low : low + SLICE_CHARS + 2].astype(np.int64)
+        codes, at = part[:-2] << 42 | part[1:-1] << 21 | part[2:], np.arange(low, low + len(part) - 2)
+        owner = np.searchsorted(ends, at, side="right")
+        inside = (ends[owner] - at >= 3) & worded[owner]
+        different, which = np.unique(codes[inside], return_inverse=True)
+        total += 0.5 * np.bincount(owner[inside] * dims + trigrams(different)[which], minlength=len(total))
     vectors = total.reshape(len(texts), dims)
     norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
     return np.where(norms > 1e-6, vectors / np.maximum(norms, 1e-6), vectors).astype(np.float32)
@@ -286,30 +291,64 @@ def hash_embed(texts: DataFrame, dims: int = DIMS) -> DataFrame:
     """texts with an `embedding` of unit length of hashed words and character trigrams; texts without words have zeros.
 
     A text has few different trigrams over and over: they are hashed once for a slice of
-    texts, remembered in a worker, and added up as counts.
+    texts, remembered in a worker, and added up as counts. Slices and what is remembered are
+    bounded, and vectors are handed on as one Arrow array.
     """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, trigrams = _Words(dims), _Trigrams(dims)
         for batch in batches:
-            out, held, size = [], [], 0
-            for text in batch:
-                held.append(text or "")
-                size += len(held[-1])
-                if len(held) >= SLICE_TEXTS or size >= SLICE_CHARS:
-                    out += list(_embedded(held, dims, words, trigrams))
-                    held, size = [], 0
-                    if len(words) > 500_000:
-                        words.clear()
-            yield pd.Series(out + list(_embedded(held, dims, words, trigrams)) if held else out)
+            found = [np.zeros((0, dims), np.float32)]
+            chars = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(batch), 0)))
+            cuts = np.flatnonzero(np.diff(np.maximum(chars // SLICE_CHARS, 0) + np.arange(len(batch)) // SLICE_TEXTS)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                found.append(_embedded([t or "" for t in batch.slice(a, b - a).to_pylist()], dims, words, trigrams))
+                if len(words) > MOST_WORDS:
+                    words.clear()
+            flat = np.concatenate(found).reshape(-1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), pa.array(flat))
 
     return texts.withColumn("embedding", embed("text"))
 
 
+def _in_turn(products: np.ndarray) -> np.ndarray:
+    """Sums of the rows, added from left to right."""
+    return np.add.accumulate(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
+def _vectors(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Sizes of vectors, and by size the places and rows of those; vectors that are null or hold a null have size -1."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), -1)).astype(np.int64)
+    flat = column.flatten()
+    if flat.null_count:
+        holds = np.unique(np.asarray(pc.list_parent_indices(column))[np.asarray(flat.is_null())])
+        column = pc.if_else(pa.array(~np.isin(np.arange(len(column)), holds)), column, pa.scalar(None, column.type))
+        sizes[holds], flat = -1, column.flatten()
+    values, owner = flat.to_numpy(zero_copy_only=False).astype(np.float64), np.repeat(sizes, np.maximum(sizes, 0))
+    return sizes, {int(n): (np.flatnonzero(sizes == n), values[owner == n].reshape(-1, n)) for n in np.unique(sizes) if n > 0}
+
+
+def _lengths(sizes: np.ndarray, by_size: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The vectors' lengths; zero for those of no size."""
+    found = np.zeros(len(sizes))
+    for at, rows in by_size.values():
+        found[at] = np.sqrt(_in_turn(rows * rows))
+    return found
+
+
+@F.arrow_udf(T.DoubleType())
+def _length(vectors: pa.Array) -> pa.Array:
+    found = []
+    for low in range(0, len(vectors), SLICE_TEXTS):
+        sizes, by_size = _vectors(vectors.slice(low, SLICE_TEXTS))
+        found.append(pa.array(_lengths(sizes, by_size), mask=sizes < 0))
+    return pa.concat_arrays(found) if found else pa.array([], pa.float64())
+
+
 def length(v: Column) -> Column:
-    """The Euclidean length of a vector."""
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    """The Euclidean length of a vector; null if it is null or holds a null."""
+    return _length(v)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -319,27 +358,110 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def _rounded(score: float) -> float:
+    """As Spark rounds to four digits."""
+    return float(Decimal(repr(score)).quantize(Decimal("0.0001"), ROUND_HALF_UP)) if math.isfinite(score) else score
+
+
+class _Nearest:
+    """The k best chunks of each query so far, by rounded score and id; NaN is the best score, none the worst.
+
+    Scores of a slice are a matrix product; rows within TIE of the k-th best are scored again,
+    with sums in order, and rounded, so ties go to the lesser id.
+    """
+
+    TIE = 2e-4  # more than twice what rounding moves
+
+    def __init__(self, k: int, vectors: pa.Array, cases: list) -> None:
+        self.k, self.cases = k, cases
+        self.sizes, self.by_size = _vectors(vectors)
+        self.lengths = _lengths(self.sizes, self.by_size)
+        self.best: list[list[tuple]] = [[] for _ in cases]
+        self.cut = np.full(len(cases), -np.inf)
+        self.of_case: dict = {}
+        for i, c in enumerate(cases):
+            self.of_case.setdefault(c, []).append(i)
+
+    def add(self, ids: list, vectors: pa.Array, cases: list) -> None:
+        sizes, by_size = _vectors(vectors)
+        lengths = _lengths(sizes, by_size)
+        with np.errstate(all="ignore"):
+            product = np.outer(self.lengths, lengths)
+            scores = np.full(product.shape, -np.inf)  # none: vectors of different sizes
+            for n, (at, rows) in by_size.items():
+                if n in self.by_size:
+                    of, asked = self.by_size[n]
+                    scores[np.ix_(of, at)] = asked @ rows.T / product[np.ix_(of, at)]
+        scores[np.isnan(scores)] = np.inf
+        scores[(product == 0) | (self.sizes < 0)[:, None] | (sizes < 0)] = 0.0
+        place: dict = {}
+        for i, c in enumerate(cases):
+            place.setdefault(c, []).append(i)
+        where = {n: {int(i): j for j, i in enumerate(at)} for n, (at, _) in by_size.items()}
+        for case, at in place.items():
+            of = np.array(self.of_case.get(case, ()), np.int64)
+            if case is None or not len(of):
+                continue
+            some, at = scores[np.ix_(of, at)], np.array(at)
+            if len(at) >= self.k:
+                self.cut[of] = np.maximum(self.cut[of], np.partition(some, len(at) - self.k, axis=1)[:, len(at) - self.k])
+            close = some >= self.cut[of][:, None] - self.TIE
+            for q, kept in zip(of[close.any(axis=1)], close[close.any(axis=1)], strict=True):
+                self._merge(int(q), at[kept], scores[q], ids, sizes, by_size, lengths, where)
+
+    def _merge(self, q: int, at: np.ndarray, rough: np.ndarray, ids: list, sizes: np.ndarray, by_size: dict, lengths: np.ndarray, where: dict) -> None:
+        exact, size = rough[at], int(self.sizes[q])
+        with np.errstate(all="ignore"):
+            product = self.lengths[q] * lengths[at]
+        real = np.flatnonzero((sizes[at] == size) & (product != 0) & (size > 0))
+        if len(real):
+            of, asked = self.by_size[size]
+            rows = by_size[size][1][[where[size][int(i)] for i in at[real]]]
+            with np.errstate(all="ignore"):
+                exact[real] = _in_turn(rows * asked[np.searchsorted(of, q)]) / product[real]
+        known = {s: (_rounded(s) if not math.isnan(s) else math.inf) for s in set(exact.tolist())}
+        rows = [(-known.get(s, math.inf), ids[i] is not None, ids[i], None if s == -math.inf else s) for i, s in zip(at.tolist(), exact.tolist(), strict=True)]
+        self.best[q] = sorted(self.best[q] + rows, key=lambda r: r[:3] if r[1] else (r[0], False))[: self.k]
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int = QUERY_K, where: Column | None = None, per_case: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """The k chunks nearest each query by cosine; `where` filters chunks first. Ties go to the lesser id.
 
     queries: query_id, case_id, query_vector; chunks: chunk_id, case_id, embedding. The
     queries are a stated set: each meets the chunks of its case, or, with per_case off, all
     chunks. They are broadcast, `block` queries at a time, so chunks stay where they are and
-    a case with most of them is split like any other; lengths are computed once. The rank
-    limit is applied in each task before the shuffle, so a task hands on at most k candidates
-    of a query.
+    a case with most of them is split like any other. A task multiplies slices of its chunks
+    with the queries and hands on at most k candidates of a query.
     """
+    spark = queries.sparkSession
     found = chunks if where is None else chunks.filter(where)
-    found = found.select("chunk_id", "embedding", length(F.col("embedding")).alias("_length"), (F.col("case_id") if per_case else F.lit(0)).alias("_of"))
     blocks = max(1, -(-queries.count() // block))
-    asked = queries.select("query_id", "query_vector", length(F.col("query_vector")).alias("_q_length"), (F.col("case_id") if per_case else F.lit(0)).alias("_asked"))
-    asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dot = F.aggregate(F.zip_with("query_vector", "embedding", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    lengths = F.col("_q_length") * F.col("_length")
-    score = F.round(F.when(lengths > 0, dot / lengths).otherwise(0.0), 4).alias("score")
-    parts = [found.join(F.broadcast(asked.filter(F.col("_block") == i)), F.col("_of") == F.col("_asked")).select("query_id", "chunk_id", score) for i in range(blocks)]
+    asked = queries.select("query_id", "query_vector", (F.col("case_id") if per_case else F.lit(0)).alias("_of"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_block"))
+    found = found.select("chunk_id", "embedding", (F.col("case_id") if per_case else F.lit(0)).cast(asked.schema["_of"].dataType).alias("_of"))
+    kinds = T.StructType([asked.schema["query_id"], found.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+    layout = to_arrow_schema(kinds)
+
+    def part(i: int) -> DataFrame:
+        held = spark.sparkContext.broadcast(asked.filter(F.col("_block") == i).drop("_block").toArrow().combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors, cases = (c.combine_chunks() for c in held.value.columns)
+            near, size = _Nearest(k, vectors, cases.to_pylist()), max(1, min(SLICE_TEXTS, SLICE_SCORES // max(1, len(ids))))
+            for batch in batches:
+                for low in range(0, batch.num_rows, size):
+                    one = batch.slice(low, size)
+                    near.add(one.column(0).to_pylist(), one.column(1), one.column(2).to_pylist())
+            for some in range(0, len(ids), SLICE_TEXTS):
+                rows = [(q, r) for q in range(some, min(len(ids), some + SLICE_TEXTS)) for r in near.best[q]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([q for q, _ in rows], pa.int64())).cast(layout[0].type), pa.array([r[2] for _, r in rows], layout[1].type), pa.array([r[3] for _, r in rows], pa.float64())], schema=layout
+                )
+
+        return found.mapInArrow(run, kinds)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    scored = reduce(DataFrame.unionByName, [part(i) for i in range(blocks)]).withColumn("score", F.round("score", 4))
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def numbered_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:

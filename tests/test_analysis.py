@@ -11,6 +11,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flightlens.functions import geo
@@ -321,3 +322,38 @@ def test_track_files_hold_what_the_rows_hold(spark, tmp_path):
     (geo,) = (tmp_path / "json").glob("case_id=*/*.txt")
     assert kml.read_text() == sinks.to_kml(track).first().kml + "\n"
     assert json.loads(geo.read_text()) == json.loads(sinks.to_geojson(track).first().geojson)
+
+
+def test_top_k_ranks_odd_vectors_as_scores_of_all_pairs_do(spark):
+    """Null, short, zero and non-finite vectors, many ties, and ids as texts: against every pair's cosine."""
+    rng = random.Random(5)
+    some = lambda: [float(rng.randrange(-3, 4)) for _ in range(4)]
+    odd = [None, [], [1.0, None, 2.0, 3.0], [0.0] * 4, [1.0, 2.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 0.0]]
+    chunk = "chunk_id string, case_id long, embedding array<double>"
+    chunks = spark.createDataFrame([(f"c{i:04d}", rng.choice([1, 2, None]), some()) for i in range(3_000)] + [(f"o{i}", 1 + i % 2, v) for i, v in enumerate(odd)], chunk).repartition(3)
+    plain = spark.createDataFrame([(f"s{i}", 1, v) for i, v in enumerate([None, [0.0] * 4, [1.0, 2.0], [1.0, 0.5, 0.25, 0.1]])], chunk)
+    queries = spark.createDataFrame([(i, rng.choice([1, 2]), some()) for i in range(20)] + [(100 + i, 1, v) for i, v in enumerate(odd[:5])], "query_id long, case_id long, query_vector array<double>")
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    for rows in (chunks, plain):
+        for per_case in (True, False):
+            pairs = rows.select("chunk_id", F.col("case_id").alias("of"), "embedding").join(queries, (F.col("of") == F.col("case_id")) if per_case else F.lit(True))
+            lengths = norm(F.col("query_vector")) * norm(F.col("embedding"))
+            dot = F.aggregate(F.zip_with("query_vector", "embedding", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+            scored = pairs.select("query_id", "chunk_id", F.round(F.when(lengths > 0, dot / lengths).otherwise(0.0), 4).alias("score"))
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+            want = scored.withColumn("rank", rank).filter("rank <= 7").collect()
+            found = retrieval.top_k(queries, rows, 7, per_case=per_case, block=11).collect()
+            assert sorted(map(str, found)) == sorted(map(str, want))
+
+
+def test_long_texts_are_embedded_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé,| 😀") for _ in range(rng.randrange(200))) for _ in range(40)] + ["", None, " ", "ab"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words, trigrams = retrieval._Words(768), retrieval._Trigrams(768)
+    whole = retrieval._embedded([t or "" for t in texts], 768, words, trigrams)
+    monkeypatch.setattr(retrieval, "SLICE_CHARS", 7)
+    assert (retrieval._embedded([t or "" for t in texts], 768, words, retrieval._Trigrams(768, 20)) == whole).all()
+    found = retrieval.hash_embed(frame).orderBy("id").collect()
+    assert [list(r.embedding) for r in found] == whole.tolist()
+    assert max(abs(a - b) for r, t in zip(found, texts, strict=True) for a, b in zip(r.embedding, brute_embedding(t or ""), strict=True)) < 1e-5
