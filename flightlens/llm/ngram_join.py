@@ -56,6 +56,8 @@ FIRST_KEYS = 64
 DENSE = 64
 BLOCK_SHINGLES = 300_000
 CHUNK_BYTES = 8 << 20
+#: Nodes that a task joins at once.
+STAR_NODES = 300_000
 
 
 # ---------------------------------------------------------------- sets of shingles
@@ -352,7 +354,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, to_sets, perc
     sets = _sets(pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct(), classes, docs, to_sets)
     one, two = sets.select(F.col("rid").alias("x"), F.col("whole").alias("wx")), sets.select(F.col("rid").alias("y"), F.col("whole").alias("wy"))
     same = F.size(F.array_intersect("wx", "wy"))
-    links = pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y").distinct()
+    links = pairs.join(one, "x").join(two, "y").filter((100 + percent) * same >= percent * (F.size("wx") + F.size("wy"))).select("x", "y")
     return links, sets
 
 
@@ -400,30 +402,60 @@ def _dense_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, to_sets,
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(rid, comp) of every rid in links (x, y): comp is the least rid reachable.
-
-    Alternates the two star steps until nothing changes: every node hands its larger
-    neighbours to the least one, then every node hands its smaller ones. The number of
-    rounds grows with the logarithm of the longest path; each is two joins on node ids.
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to edges that connect the same nodes: each with the least that it is connected with among the rows of a task."""
+    over: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := over.setdefault(x, x)) != x:
+            over[x] = x = over[up]
+        return x
+
+    def found() -> pa.RecordBatch:
+        edges = [(x, root(x)) for x in over if over[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in edges], pa.int64()), pa.array([v for _, v in edges], pa.int64())], ["u", "v"])
+
+    last = None
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(over) > STAR_NODES and u != last:  # rows of a node that follow each other stay together
+                yield found()
+                over.clear()
+            last, a, b = u, root(u), root(v)
+            if a != b:
+                over[max(a, b)] = min(a, b)
+    yield found()
+    release_memory()
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(rid, comp) of every rid in links (x, y) and in known, an earlier result: comp is the least rid reachable.
+
+    Each round has two star steps: every node hands its larger neighbours to the least one,
+    then its smaller ones. The first is one join on node ids; for the second, rows that a
+    task or a node has together are joined at once (_stars), so a node sends each task's
+    rows as one. The number of rounds grows with the logarithm of the longest path; they end
+    when every node is the least of its neighbours or has one neighbour alone. If links has
+    nothing to add, known is returned.
     """
-    edges = materialize(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    state = None
+    stars = lambda edges: edges.mapInArrow(_stars, "u long, v long")
+    edges = first = materialize(stars(links.filter("x <> y").select(F.col("x").alias("u"), F.col("y").alias("v"))))
+    if known is not None:
+        if first.isEmpty():
+            discard(first)
+            return known
+        edges = edges.union(known.filter("rid <> comp").select(F.col("rid").alias("u"), F.col("comp").alias("v")))
+    spent = [first]
     while True:
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if now == state or not now.n:
-            groups = materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v"), F.col("v"))).distinct())
+        edges = materialize(stars(stars(edges).repartition("u").sortWithinPartitions("u")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        ends = materialize(both.groupBy(F.col("u").alias("rid")).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("comp", F.least("rid", "lo")))
+        discard(*spent)
+        if ends.filter("lo < rid and hi <> lo").isEmpty():
             discard(edges)
-            return groups
-        state, spent = now, edges
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = materialize(large.distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        discard(spent, large)
+            return ends.select("rid", "comp")
+        spent = [edges, ends]
+        edges = edges.join(ends.select(F.col("rid").alias("v"), "comp"), "v").select("u", F.col("comp").alias("v"))
 
 
 def _with_groups(posts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -502,10 +534,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85, id_col:
         links, sets = _linked(close, classes, docs, to_sets, percent)
         if dense is not None:
             links = links.union(dense)
-        if groups is not None:
-            links = links.union(groups.select(F.col("rid").alias("x"), F.col("comp").alias("y")))
-            done_with.append(groups)
-        groups = components(links)
+        before, groups = groups, components(links, groups)
+        if before is not None and before is not groups:
+            done_with.append(before)
         discard(close, sets, *done_with)
     discard(posts, *tested)
     heads = classes.select("rid", "head").join(groups, "rid")

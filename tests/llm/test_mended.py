@@ -136,3 +136,75 @@ def test_tables_of_others_are_never_deleted(spark, tmp_path):
     with pytest.raises(ValueError, match="not a table"):
         common.discard(spark.read.parquet(f"{tmp_path}/own"))
     assert spark.read.parquet(f"{tmp_path}/own").count() == 3
+
+
+def least_reachable(links, known=()):
+    """rid to the least rid reachable, by spreading labels until nothing changes."""
+    edges = [(x, y) for x, y in [*links, *known] if x != y]
+    comp = {x: x for edge in edges for x in edge}
+    changed = True
+    while changed:
+        changed = False
+        for x, y in edges:
+            least = min(comp[x], comp[y])
+            changed |= comp[x] != least or comp[y] != least
+            comp[x] = comp[y] = least
+    return comp
+
+
+def test_groups_are_those_reachable_whatever_a_task_joins_at_once(spark, monkeypatch):
+    dice = random.Random(11)
+    path = [(i, i + 1) for i in range(1_000, 1_060)]
+    hub = [(9_999, i) for i in range(2_000, 2_300)]
+    loose = [(dice.randrange(3_000, 3_400), dice.randrange(3_000, 3_400)) for _ in range(220)]
+    links = path + hub + loose + [(5, 5), (-7, 1_030)]
+    dice.shuffle(links)
+    frame = spark.createDataFrame(links, "x long, y long").repartition(9)
+    for nodes in (0, 3, 50, ngram_join.STAR_NODES):
+        # Tasks read the module's value, so the function is told it by way of its globals.
+        monkeypatch.setattr(ngram_join, "_stars", with_nodes(ngram_join.__dict__["_stars"], nodes))
+        found = {r.rid: r.comp for r in ngram_join.components(frame).collect()}
+        monkeypatch.undo()
+        assert found == least_reachable(links), nodes
+
+
+def with_nodes(stars, nodes):
+    def run(batches):
+        from flightlens.llm import ngram_join as worker
+
+        before, worker.STAR_NODES = worker.STAR_NODES, nodes
+        try:
+            yield from stars(batches)
+        finally:
+            worker.STAR_NODES = before
+
+    return run
+
+
+def test_known_groups_grow_or_stay(spark):
+    known = ngram_join.components(spark.createDataFrame([(4, 9), (9, 12), (20, 21)], "x long, y long"))
+    assert ngram_join.components(spark.createDataFrame([], "x long, y long"), known) is known
+    grown = ngram_join.components(spark.createDataFrame([(12, 20), (2, 30)], "x long, y long"), known)
+    assert {r.rid: r.comp for r in grown.collect()} == {4: 4, 9: 4, 12: 4, 20: 4, 21: 4, 2: 2, 30: 2}
+
+
+def test_groups_take_few_tasks(spark):
+    """Near copies hang on a few hubs: a few shuffles join them, each of as many tasks as there are partitions."""
+    links = [(hub, i) for hub in (500, 7, 900) for i in range(1_000, 1_400)] + [(i, i + 1) for i in range(0, 400, 4)]
+    frame = spark.createDataFrame(links, "x long, y long").repartition(6)
+    context, names = spark.sparkContext, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    context.setJobGroup("groups", "tasks of components")
+    try:
+        for name, value in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(name, value)
+        found = {r.rid: r.comp for r in ngram_join.components(frame).collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {stage for job in tracker.getJobIdsForGroup("groups") for stage in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for stage in stages if (info := tracker.getStageInfo(stage)))
+    assert found == least_reachable(links)
+    assert 0 < tasks < 250, tasks
