@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from flightlens.functions.geo import EARTH_RADIUS_M, off_null_island
 from flightlens.operators.geofence import zone_matches
@@ -26,6 +29,8 @@ GAP_SCHEMA = "case_id long, seq long, anomaly_type string, ts timestamp, gap_sec
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 #: Files of a delivery, and deliveries of a month.
 FILES_EACH, BATCHES = 2, 4
+#: Rows of a pack, and rows that a task holds at most before it gives their packs.
+PACK_ROWS, HELD_ROWS = 2_000, 500_000
 GAP_STATE = "us long, latitude double, longitude double"
 
 
@@ -86,6 +91,26 @@ def stream_summary(telemetry: DataFrame) -> DataFrame:
     return telemetry.groupBy("case_id").agg(F.count("*").alias("points"), F.max("altitude_m").alias("max_altitude_m"), F.max("ground_speed_mps").alias("max_speed_mps"))
 
 
+def _spread(media: DataFrame, telemetry: DataFrame, seconds: int, padding: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Media rows once for each stretch of time (bucket) they reach, and points with their own."""
+    latest = max(seconds, longest + padding)
+    span = F.lit(max(seconds, padding, longest // 16) * 1_000_000)
+    length = F.coalesce("duration_sec", F.lit(0.0))
+    before, after = F.when(length > 0, padding).otherwise(seconds), F.when(length > 0, F.least(length + padding, F.lit(float(latest)))).otherwise(seconds)
+    place = lambda moved: F.floor((F.unix_micros("ts") + moved * 1_000_000) / span)
+    return media.withColumn("bucket", F.explode(F.sequence(place(-before), place(F.ceil(after))))), telemetry.withColumn("bucket", place(F.lit(0)))
+
+
+def _with_duration(media: DataFrame) -> DataFrame:
+    return media if "duration_sec" in media.columns else media.withColumn("duration_sec", F.lit(None).cast("double"))
+
+
+def _near(past: Column, duration: str, seconds: int, padding: int) -> Column:
+    """Whether a point so many seconds past a media row belongs to it."""
+    length = F.coalesce(duration, F.lit(0.0))
+    return F.when(length > 0, (past >= -padding) & (past <= length + padding)).otherwise(F.abs(past) <= seconds)
+
+
 def stream_media_match(media: DataFrame, telemetry: DataFrame, seconds: int = 60, padding: int = 15, longest: int = 7_200, delay: str = "10 minutes") -> DataFrame:
     """Media rows with the points of their case they belong to; both sides forget rows behind the watermark.
 
@@ -95,21 +120,65 @@ def stream_media_match(media: DataFrame, telemetry: DataFrame, seconds: int = 60
     Rows meet by case and stretch of time: a media row goes to each stretch it reaches, a point to its own.
     """
     latest = max(seconds, longest + padding)
-    span = F.lit(max(seconds, padding, longest // 16) * 1_000_000)
-    m = (media if "duration_sec" in media.columns else media.withColumn("duration_sec", F.lit(None).cast("double"))).withWatermark("ts", delay)
-    length = F.coalesce("duration_sec", F.lit(0.0))
-    before, after = F.when(length > 0, padding).otherwise(seconds), F.when(length > 0, F.least(length + padding, F.lit(float(latest)))).otherwise(seconds)
-    place = lambda moved: F.floor((F.unix_micros("ts") + moved * 1_000_000) / span)
-    m = m.withColumn("bucket", F.explode(F.sequence(place(-before), place(F.ceil(after))))).alias("m")
-    t = telemetry.withWatermark("ts", delay).withColumn("bucket", place(F.lit(0))).alias("t")
+    m, t = _spread(_with_duration(media).withWatermark("ts", delay), telemetry.withWatermark("ts", delay), seconds, padding, longest)
+    m, t = m.alias("m"), t.alias("t")
     reach = F.expr(f"t.ts between m.ts - interval {max(seconds, padding)} seconds and m.ts + interval {latest} seconds")
     past = (F.unix_micros("t.ts") - F.unix_micros("m.ts")) / F.lit(1e6)
-    length = F.coalesce("m.duration_sec", F.lit(0.0))
-    near = F.when(length > 0, (past >= -padding) & (past <= length + padding)).otherwise(F.abs(past) <= seconds)
-    met = m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & (F.col("m.bucket") == F.col("t.bucket")) & reach).filter(near)
+    met = m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & (F.col("m.bucket") == F.col("t.bucket")) & reach).filter(_near(past, "m.duration_sec", seconds, padding))
     return met.select(F.col("m.case_id").alias("case_id"), "m.media_id", F.col("m.ts").alias("capture_ts"), "t.seq", F.col("t.ts").alias("point_ts"))
 
 
+def _packed(rows: DataFrame, name: str, kind: str) -> DataFrame:
+    """(case_id, bucket, name): the other columns of a batch's rows, of this kind, in packs of up to PACK_ROWS of one case and stretch."""
+    given = f"case_id long, bucket long, {name} array<struct<{kind}>>"
+    kinds = to_arrow_schema(StructType.fromDDL(given))
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by([("case_id", "ascending"), ("bucket", "ascending")]).combine_chunks()
+        keys = [table[c].to_numpy() for c in ("case_id", "bucket")]
+        at = np.arange(table.num_rows)
+        first = np.r_[True, (np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)]
+        starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % PACK_ROWS == 0)
+        inner = kinds.field(name).type.value_type
+        items = pa.StructArray.from_arrays([table[f.name].combine_chunks().cast(f.type) for f in inner], fields=list(inner))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, table.num_rows], pa.int32()), items)
+        return pa.RecordBatch.from_arrays([pa.array(keys[0][starts], pa.int64()), pa.array(keys[1][starts], pa.int64()), lists.cast(kinds.field(name).type)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD_ROWS:
+                yield packs(held)
+                held, count = [], 0
+        if count:
+            yield packs(held)
+
+    return rows.filter("case_id is not null and bucket is not null").repartition("case_id", "bucket").mapInArrow(run, given)
+
+
+def stream_media_blocks(media: DataFrame, telemetry: DataFrame, seconds: int = 60, padding: int = 15, longest: int = 7_200) -> DataFrame:
+    """(case_id, media, points): packs of media rows and of points whose case and stretch of time are the same, for `media_pairs`.
+
+    stream_media_match for streams in which no row is too late, so that there is no watermark and
+    all rows are kept. State and sink hold packs, so they grow with the rows and not with the
+    pairs, and a pair costs no look into the state.
+    """
+    m, t = _spread(_with_duration(media), telemetry, seconds, padding, longest)
+    m = _packed(m.select("case_id", "bucket", "media_id", F.unix_micros("ts").alias("us"), "duration_sec"), "media", "media_id long, us long, duration_sec double").alias("m")
+    t = _packed(t.select("case_id", "bucket", "seq", F.unix_micros("ts").alias("us")), "points", "seq long, us long").alias("t")
+    return m.join(t, (F.col("m.case_id") == F.col("t.case_id")) & (F.col("m.bucket") == F.col("t.bucket"))).select("m.case_id", "media", "points")
+
+
+def media_pairs(blocks: DataFrame, seconds: int = 60, padding: int = 15, longest: int = 7_200) -> DataFrame:
+    """The rows of stream_media_match that blocks hold, each once: a point is in the packs of one stretch."""
+    each = blocks.select("case_id", F.explode("media").alias("m"), "points").select("case_id", "m", F.explode("points").alias("t"))
+    past = (F.col("t.us") - F.col("m.us")) / F.lit(1e6)
+    met = each.filter(past.between(-max(seconds, padding), max(seconds, longest + padding)) & _near(past, "m.duration_sec", seconds, padding))
+    return met.select("case_id", "m.media_id", F.timestamp_micros("m.us").alias("capture_ts"), "t.seq", F.timestamp_micros("t.us").alias("point_ts"))
+
+
 def stream_dedupe(files: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Files whose hash has not come within the watermark."""
     return files.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["sha256"])
@@ -249,7 +318,8 @@ def run_flights(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
 
 def run_media_match(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     # Table order is not time order, so nothing may be forgotten for being late.
-    return run_once(stream_media_match(views.media(_Arriving(spark), sf_dir), views.track(_Arriving(spark), sf_dir), seconds, longest=3_600, delay="10000 days"))
+    blocks = run_once(stream_media_blocks(views.media(_Arriving(spark), sf_dir), views.track(_Arriving(spark), sf_dir), seconds, longest=3_600))
+    return media_pairs(blocks, seconds, longest=3_600)
 
 
 def run_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,36 @@ def test_media_meet_points_by_stretches_of_time(spark, tmp_path):
     assert sorted((r.media_id, r.seq) for r in run(stream).collect()) == sorted(want)
 
 
+def test_blocks_of_media_and_points_give_the_same_pairs(spark, tmp_path, monkeypatch):
+    """Packs of several batches, cut small and given early, hold each pair once; rows without a time or case meet nothing."""
+    monkeypatch.setattr(jobs, "PACK_ROWS", 3)
+    monkeypatch.setattr(jobs, "HELD_ROWS", 50)
+    track = [[(1 + i % 2, i, T + timedelta(seconds=7 * (i % 400)), 19.0, 72.0, 1.0, 1.0) for i in range(k, 1_200, 2)] for k in range(2)]
+    track[0] += [(1, 9_000, None, 19.0, 72.0, 1.0, 1.0), (None, 9_001, T, 19.0, 72.0, 1.0, 1.0)]
+    media = [[(1 + i % 2, i, T + timedelta(seconds=11 * i + 0.5), (None, 30.0, 500.25, 9_000.0)[i // 2 % 4]) for i in range(k, 200, 2)] for k in range(2)]
+    media[1] += [(1, 9_000, None, None), (None, 9_001, T, 30.0)]
+    kind = "case_id long, media_id long, ts timestamp, duration_sec double"
+    blocks = jobs.stream_media_blocks(arriving(spark, tmp_path / "m", media, kind), arriving(spark, tmp_path / "t", track, POINT), longest=3_600)
+    found = jobs.media_pairs(run(blocks), longest=3_600).collect()
+    byrow = run(jobs.stream_media_match(arriving(spark, tmp_path / "m2", media, kind), arriving(spark, tmp_path / "t2", track, POINT), longest=3_600, delay="1000 days")).collect()
+    assert len(found) > 20_000 and sorted(found) == sorted(byrow)
+
+
+def test_a_table_of_media_is_matched_in_packs(spark, tmp_path, monkeypatch):
+    """What the stream keeps and writes doesn't grow with the pairs."""
+    pq.write_table(pa.table({
+        "event_id": pa.array(range(6_000), pa.int64()), "ts": pa.array([T + timedelta(seconds=i % 300) for i in range(6_000)], pa.timestamp("us")), "user_id": pa.array([3] * 6_000, pa.int64()),
+        "event_type": ["purchase" if i % 3 == 0 else "click" for i in range(6_000)], "value": [1.5] * 6_000, "props": ['{"k": 1}'] * 6_000,
+    }), tmp_path / "events.parquet")
+    sunk, run_once = [], jobs.run_once
+    monkeypatch.setattr(jobs, "run_once", lambda *a: sunk.append(run_once(*a)) or sunk[-1])
+    pairs = jobs.run_media_match(spark, str(tmp_path), 600).count()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert pairs == con.execute(f"SELECT count(*) FROM ({catalog.ORACLE_SQL['stream_media_match']})").fetchone()[0] > 1_000_000
+    assert sunk[0].count() < 100
+
+
 def test_landed_radio_logs_become_positions(spark, tmp_path):
     position = struct.pack("<IiiiihhhH", 1, 191334000, 729133000, 99000, 15500, 300, 400, 0, 0)
     stamp = (1_700_000_000_000_000).to_bytes(8, "big")
