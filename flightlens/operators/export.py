@@ -7,12 +7,13 @@ first, which one aggregate with a row per case and array tells.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlens.session import forget, stored
+from flightlens.session import forget, spent_shuffles, stored
 from flightlens.sources.lines import read_lines
 
 #: Evidence categories and their names in an export.
@@ -36,12 +37,16 @@ def _object(cases: DataFrame, part: int, name: str, rows: DataFrame | None, key:
 
 
 def _array(cases: DataFrame, part: int, rows: DataFrame, order: list[str], key: Column, end: str, spent: list[DataFrame]) -> DataFrame:
-    """The lines of an array: its head, a line for each row in the order of up to three whole numbers, its end. The rows are stored, as they are read twice."""
+    """The lines of an array: its head, a line for each row in the order of up to three whole numbers, its end.
+
+    The rows are stored, as they are read several times, and so is each case's first place: a small
+    table of known size is broadcast, so that marking the first row needs no shuffle of all.
+    """
     given = [F.col(c).cast("long") for c in order] + [F.lit(0).cast("long")] * (len(ORDER) - len(order))
     body = F.to_json(F.struct(*[c for c in rows.columns if c != "case_id" and not c.startswith("_")]), {"ignoreNullFields": "false"})
-    lines = stored(rows.join(cases, "case_id", "left_semi").select("case_id", *[c.alias(o) for c, o in zip(given, ORDER, strict=True)], body.alias("value")))
-    spent.append(lines)
-    first = lines.groupBy("case_id").agg(F.min(F.struct(*ORDER)).alias("_first")).withColumnRenamed("case_id", "_case")
+    lines = stored(rows.join(cases, "case_id", "left_semi").select("case_id", *[c.alias(o) for c, o in zip(given, ORDER, strict=True)], body.alias("value")), "zstd")
+    first = stored(lines.groupBy("case_id").agg(F.min(F.struct(*ORDER)).alias("_first")).withColumnRenamed("case_id", "_case"))
+    spent += [lines, first]
     comma = F.when(F.struct(*ORDER) == F.col("_first"), " ").otherwise(",")
     marked = lines.join(first, F.col("case_id") == F.col("_case")).withColumn("value", F.concat(comma, "value"))
     inside = marked.select("case_id", F.lit(part + 1).alias("part"), *ORDER, "value")
@@ -56,16 +61,19 @@ def write_case_json(
     counts: DataFrame,
     generated_at: str,
     path: str,
+    compression: str | None = None,
 ) -> None:
     """Every case's document below path/case_id=..., as files that follow each other by their names, of LINES_A_FILE each.
 
+    compression: a codec of Spark's text files, such as gzip, whose files follow each other as well.
+
     cases: one row a case, with what its `case` object shows. objects: flight_summary,
     ground_control_station, gcs_analysis and mobile_companion_analysis, one row a case each, or
     None. arrays: rows, and the whole numbers that order them without ties, of
     geofence_violations, anomalies, timeline, chain_of_custody, wireless_sessions and media_items.
     evidence: rows with category, and their order. counts: one row a case with evidence_counts.
     """
-    ids = cases.select("case_id")
+    ids = stored(cases.select("case_id"))
     key = lambda name: F.lit(f'"{name}": ')
     rows, order = evidence
     plan = [("object", "case", cases.select("*", F.col("case_id").alias("case"))), ("object", "flight_summary", objects.get("flight_summary")), ("array", "evidence_items", evidence), ("object", "evidence_counts", counts), ("open", "evidence_by_category", None)]
@@ -74,7 +82,7 @@ def write_case_json(
     plan += [("array", name, arrays[name]) for name in ("geofence_violations", "anomalies", "timeline", "chain_of_custody")]
     plan += [("object", name, objects.get(name)) for name in ("ground_control_station", "gcs_analysis", "mobile_companion_analysis")]
     plan += [("array", name, arrays[name]) for name in ("wireless_sessions", "media_items")]
-    spent: list[DataFrame] = []
+    spent = [ids]
     found = [_line(ids, 0, F.lit("{"))]
     for i, (kind, name, held) in enumerate(plan):
         part, end = 10 * (i + 1), "," if i + 1 == len(plan) or plan[i + 1][0] != "close" else ""
@@ -85,39 +93,44 @@ def write_case_json(
         else:
             found.append(_line(ids, part, F.concat(key(name), F.lit("{")) if kind == "open" else F.lit("},")))
     found.append(_line(ids, 10 * (len(plan) + 1), F.lit(f'"generated_at_utc": "{generated_at}"}}')))
-    write_lines(reduce(DataFrame.unionByName, found), path)
+    write_lines(reduce(DataFrame.unionByName, found), path, compression)
     forget(*spent)
 
 
-def write_report(summary: DataFrame, arrays: dict[str, tuple[DataFrame, list[str]]], path: str) -> None:
+def write_report(summary: DataFrame, arrays: dict[str, tuple[DataFrame, list[str]]], path: str, compression: str | None = None) -> None:
     """sinks.case_json as documents of any size below path/case_id=...: the summary's columns, and each array's rows in the order of up to three whole numbers."""
-    ids, spent = summary.select("case_id"), []
+    ids = stored(summary.select("case_id"))
+    spent = [ids]
     key = lambda name: F.lit(f'"{name}": ')
     found = [_line(ids, 0, F.concat(F.lit('{"case_id": '), F.to_json(F.struct("case_id")).substr(F.lit(12), F.length(F.to_json(F.struct("case_id"))) - 12), F.lit(","))), _object(ids, 1, "summary", summary, key("summary"), "," if arrays else "")]
     for i, (name, (rows, order)) in enumerate(arrays.items()):
         found.append(_array(ids, 10 * (i + 1), rows, order, key(name), "," if i + 1 < len(arrays) else "", spent))
-    write_lines(reduce(DataFrame.unionByName, [*found, _line(ids, 10 * (len(arrays) + 1), F.lit("}"))]), path)
+    write_lines(reduce(DataFrame.unionByName, [*found, _line(ids, 10 * (len(arrays) + 1), F.lit("}"))]), path, compression)
     forget(*spent)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, compression: str | None = None) -> None:
     """Lines in order as files of about LINES_A_FILE: a document is its case's files, one after the other by their names."""
-    ordered = lines.repartitionByRange(1 + lines.count() // LINES_A_FILE, "case_id", "part", *ORDER).sortWithinPartitions("case_id", "part", *ORDER)
-    ordered.select("case_id", "value").write.partitionBy("case_id").text(path)
+    with spent_shuffles(lines.sparkSession):
+        ordered = lines.repartitionByRange(1 + lines.count() // LINES_A_FILE, "case_id", "part", *ORDER).sortWithinPartitions("case_id", "part", *ORDER)
+        ordered.select("case_id", "value").write.partitionBy("case_id").option("compression", compression or "none").text(path)
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, kept: Callable[[Column], Column] = lambda row: row, where: Callable[[Column], Column] = lambda row: F.lit(True)) -> DataFrame:
     """(case_id, array, number, block, id, value) of the rows of all arrays of documents as they are written here, by lines.
 
     (number, block, id) is the order of a case's lines. A row belongs to the array whose head,
-    of which a case has a few, is the last before it.
+    of which a case has a few, is the last before it. value is what `kept` makes of a row's text,
+    for the rows that are asked for by `where`; lines are stored with that alone.
     """
     read = read_lines(spark, path).select(
         F.regexp_extract("file", r"case_id=(-?\d+)", 1).cast("long").alias("case_id"), F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("number"), "block", "id", F.col("line").alias("value")
     )
     place = F.struct("number", "block", "id")
     head = F.regexp_extract("value", r'^"(\w+)": \[$', 1)
-    lines = stored(read.filter(F.substring("value", 1, 2).isin(" {", ",{") | (head != "")).select("*", head.alias("head")))
+    text = F.substring("value", 2, 1 << 30)
+    asked = read.filter((F.substring("value", 1, 2).isin(" {", ",{") & where(text)) | (head != ""))
+    lines = stored(asked.select("case_id", "number", "block", "id", head.alias("head"), F.when(head == "", kept(text)).alias("value")))
     heads = stored(lines.filter("head <> ''").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "head"))).alias("heads")))
     array = F.element_at(F.filter("heads", lambda h: h["place"] < place), -1)["head"]
-    return lines.filter("head = ''").join(heads, "case_id").select("case_id", array.alias("array"), "number", "block", "id", F.substring("value", 2, 1 << 30).alias("value"))
+    return lines.filter("head = ''").join(heads, "case_id").select("case_id", array.alias("array"), "number", "block", "id", "value")

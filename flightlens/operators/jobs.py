@@ -91,7 +91,7 @@ def case_report(analysis: dict[str, DataFrame], plans: DataFrame | None = None,
     return sinks.case_json(analysis["summary"], **parts)
 
 
-def write_case_report(analysis: dict[str, DataFrame], path: str, plans: DataFrame | None = None) -> None:
+def write_case_report(analysis: dict[str, DataFrame], path: str, plans: DataFrame | None = None, compression: str | None = None) -> None:
     """case_report as documents below path/case_id=..., for cases of any size; rows by their numbers and places."""
     number = lambda c, at: F.substring(c, at, 20).cast("long")
     arrays = {
@@ -101,7 +101,7 @@ def write_case_report(analysis: dict[str, DataFrame], path: str, plans: DataFram
     }
     if plans is not None:
         arrays["plans"] = (mission.plan_metrics(plans).withColumn("_o", F.xxhash64("plan_id")), ["_o"])
-    export.write_report(analysis["summary"], arrays, path)
+    export.write_report(analysis["summary"], arrays, path, compression)
 
 
 def match_media(media: DataFrame, telemetry: DataFrame) -> dict[str, DataFrame]:

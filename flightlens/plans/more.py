@@ -291,8 +291,8 @@ SELECT s.case_id, (SELECT count(*) FROM v WHERE v.case_id = s.case_id) AS violat
 def case_report(spark, sf_dir):
     analysis = case_jobs.analyze(views.telemetry(spark, sf_dir), views.events(spark, sf_dir), zones.zone_catalog(spark))
     path = _folder(spark)
-    case_jobs.write_case_report(analysis, path, views.waypoints(spark, sf_dir))
-    counts = export.read_rows(spark, path).groupBy("case_id").agg(*[F.count_if(F.col("array") == n).alias(n) for n in ("violations", "episodes")])
+    case_jobs.write_case_report(analysis, path, views.waypoints(spark, sf_dir), "gzip")
+    counts = export.read_rows(spark, path, lambda row: F.lit(True)).groupBy("case_id").agg(*[F.count_if(F.col("array") == n).alias(n) for n in ("violations", "episodes")])
     cases = analysis["summary"].select(F.col("case_id").cast("long").alias("case_id"))
     return cases.join(counts, "case_id", "left").select("case_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("violations", "episodes")])
 

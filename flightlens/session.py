@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +58,26 @@ def shared_dir(spark: SparkSession) -> str:
     return warehouse + "/_flightlens"
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Spark's setting by which a query's shuffle files are deleted when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def spent_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go with their end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and no lost executor takes it along."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with spent_shuffles(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

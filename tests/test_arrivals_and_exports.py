@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
+import os
 import random
 from datetime import datetime, timedelta
+from urllib.parse import urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +123,35 @@ def test_a_report_of_many_files_is_one_document(spark, tmp_path, monkeypatch):
     assert [(r.case_id, r.array, json.loads(r.value)["n"]) for r in read] == [*((1, "violations", n) for n in range(4_000)), (1, "episodes", 3), (2, "episodes", 7), (2, "episodes", 8)]
 
 
+def test_an_export_takes_little_disk_beside_its_rows(spark, tmp_path, monkeypatch):
+    """Documents can be gzip files that follow each other, lines are kept with what is asked for alone, and shuffle files go with their query."""
+    monkeypatch.setattr(export, "LINES_A_FILE", 500)
+    kept, places = [], []
+    monkeypatch.setattr(export, "stored", lambda df, *a: kept.append(stored(df, *a)) or places.extend(kept[-1].inputFiles()) or kept[-1])
+    total = spark.createDataFrame([(1, 5), (2, None)], "case_id long, points long")
+    many = spark.range(4_000).select(F.lit(1).cast("long").alias("case_id"), F.col("id").alias("n"), F.lit("long text " * 50).alias("text"), F.col("id").alias("_o"))
+    few = spark.createDataFrame([(1, 3), (2, 8), (2, 7)], "case_id long, m long")
+    export.write_report(total, {"violations": (many, ["_o"]), "episodes": (few, ["m"])}, f"file://{tmp_path}/out", "gzip")
+    parts = sorted((tmp_path / "out" / "case_id=1").glob("part-*"))
+    assert len(parts) > 4 and sum(p.stat().st_size for p in parts) < 4_000 * 50
+    found = json.loads(gzip.decompress(b"".join(p.read_bytes() for p in parts)))
+    assert [v["n"] for v in found["violations"]] == list(range(4_000)) and found["violations"][7]["text"] == "long text " * 50 and found["episodes"] == [{"m": 3}]
+    assert not any(os.path.exists(urlsplit(p).path) for p in places)  # what was stored for the documents
+    kept.clear()
+    read = export.read_rows(spark, f"file://{tmp_path}/out", lambda row: F.get_json_object(row, "$.n"), lambda row: row.contains('"n":')).orderBy("case_id", "number", "block", "id").collect()
+    assert [(r.case_id, r.array, r.value) for r in read] == [(1, "violations", str(n)) for n in range(4_000)]
+    lines = kept[0].filter("head = ''")
+    assert lines.count() == 4_000 and lines.agg(F.max(F.length("value"))).first()[0] == 4
+
+
+def test_shuffle_files_go_with_what_is_stored(spark):
+    local = os.path.join(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {f for _, _, names in os.walk(local) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    before = files()
+    kept = stored(spark.range(10_000).repartition(7))
+    assert not files() - before and kept.count() == 10_000
+
+
 def test_keys_are_hashed_in_order_across_batches_and_files(spark):
     rows = [(c, p, n % 3, 0, n, f"{p}{n}") for c in (1, 2) for p in ("a", "b") for n in range(300)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
