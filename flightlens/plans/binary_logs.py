@@ -263,9 +263,9 @@ def carve_extents(spark, sf_dir):
     return files.of_case(found).select("case_id", F.col("carve_id").cast("long").alias("carve_id"), "file_type", "byte_offset", "size_bytes")
 
 
-@query("carved_hashes", _EXTENTS + " SELECT case_id, carve_id, byte_offset, sha256('\\xFF\\xD8\\xFF'::BLOB || encode(printf('picture %012d', id)) || '\\xFF\\xD9'::BLOB) AS sha256 FROM c WHERE rank = 0 AND carve_id <= 50")
+@query("carved_hashes", _EXTENTS + " SELECT case_id, carve_id, byte_offset, sha256('\\xFF\\xD8\\xFF'::BLOB || encode(printf('picture %012d', id)) || '\\xFF\\xD9'::BLOB) AS sha256 FROM c WHERE rank = 0")
 def carved_hashes(spark, sf_dir):
-    extents = binary.carve_extents(spark, encoded(spark, sf_dir, "disk.raw", _image_rows), size=RANGE).filter("file_type = 'JPEG_PHOTO'")
+    extents = binary.carve_extents(spark, encoded(spark, sf_dir, "disk.raw", _image_rows), None, RANGE).filter("file_type = 'JPEG_PHOTO'")
     return files.of_case(binary.hash_extents(spark, extents)).select("case_id", F.col("carve_id").cast("long").alias("carve_id"), "byte_offset", "sha256")
 
 

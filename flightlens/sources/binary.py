@@ -394,6 +394,8 @@ SIGNATURES = (
     ("ARDUPILOT_DATAFLASH", b"\xa3\x95", 0, None, 20 * MIB, 15 * MIB),
 )
 MOST_CARVES = 50
+#: Bytes that are read at once for extents that are no longer.
+NEAR_BYTES = 64 * 1024
 
 
 def _places(data: bytes, pattern: bytes) -> list[int]:
@@ -473,24 +475,43 @@ def carve_extents(spark: SparkSession, path: str | list[str], most: int | None =
 
 
 def hash_extents(spark: SparkSession, extents: DataFrame) -> DataFrame:
-    """extents with the SHA-256 and MD5 of their bytes, read a few MiB at a time."""
+    """extents with the SHA-256 and MD5 of their bytes, read a few MiB at a time.
+
+    A task takes extents in the order of their files and places: it opens a file once, and short
+    extents that stand close are taken from the bytes that are at hand.
+    """
+
+    def digest(read: Callable[[int, int], bytes], at: int, left: int) -> tuple[str, str]:
+        both = (hashlib.sha256(), hashlib.md5(usedforsecurity=False))
+        while left > 0 and (part := read(at, at + min(left, 4 * MIB))):
+            at, left = at + len(part), left - len(part)
+            for h in both:
+                h.update(part)
+        return both[0].hexdigest(), both[1].hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, opened, low, held = None, None, 0, b""
         for batch in batches:
             digests = []
-            for row in batch.itertuples(index=False):
-                both, left = (hashlib.sha256(), hashlib.md5(usedforsecurity=False)), row.size_bytes
-                with ranges.open_file(row.file) as opened:
-                    opened.seek(row.byte_offset)
-                    while left > 0 and (part := opened.read(min(left, 4 * MIB))):
-                        left -= len(part)
-                        for h in both:
-                            h.update(part)
-                digests.append([h.hexdigest() for h in both])
+            for file, at, size in zip(batch["file"], batch["byte_offset"], batch["size_bytes"], strict=True):
+                if file != name:
+                    if opened is not None:
+                        opened.close()
+                    name, opened, low, held = file, ranges.open_file(file), 0, b""
+                    read = ranges.reading(opened)
+                if size > NEAR_BYTES:
+                    digests.append(digest(read, at, size))
+                    continue
+                if at < low or at + size > low + len(held):
+                    low, held = at, read(at, at + NEAR_BYTES)
+                digests.append(digest(lambda a, b: held[a - low : b - low], at, size))
             yield batch.assign(sha256=[d[0] for d in digests], md5=[d[1] for d in digests])
+        if opened is not None:
+            opened.close()
 
     kinds = ", ".join(f"{name} {kind}" for name, kind in extents.dtypes)
-    return extents.mapInPandas(run, f"{kinds}, sha256 string, md5 string")
+    dealt = extents.repartition("file", F.floor(F.col("byte_offset") / ranges.TASK_BYTES)).sortWithinPartitions("file", "byte_offset")
+    return dealt.mapInPandas(run, f"{kinds}, sha256 string, md5 string")
 
 
 MEDIA_EPOCH_S = 2_082_844_800

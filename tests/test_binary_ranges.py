@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 from datetime import datetime
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from flightlens.plans import binary_logs
+from flightlens.plans.catalog import ORACLE_SQL
 from flightlens.sources import binary, binary_files, ranges
 
 
@@ -176,6 +179,35 @@ def test_a_file_comes_in_pieces_of_many_rows(spark, tmp_path):
     assert len(found) < 20_000 / binary_logs.PIECE * 1.2
 
 
+def table_of_one_case(folder, rows):
+    pq.write_table(pa.table({
+        "event_id": pa.array(range(rows), pa.int64()), "ts": pa.array([datetime(2024, 5, 1, 10)] * rows, pa.timestamp("us")), "user_id": pa.array([3] * rows, pa.int64()),
+        "event_type": ["click"] * rows, "value": [1.5] * rows, "props": ['{"k": 1}'] * rows,
+    }), folder / "events.parquet")
+
+
+def test_every_carved_picture_is_hashed(spark, tmp_path):
+    """However many a disk image holds, and wherever they stand."""
+    table_of_one_case(tmp_path, 1_200)
+    found = binary_logs.carved_hashes(spark, str(tmp_path)).orderBy("carve_id").collect()
+    assert [tuple(r) for r in found] == [(3, 1 + i, 4 * i * binary_logs.BLOCK, hashlib.sha256(b"\xff\xd8\xff" + f"picture {4 * i:012d}".encode() + b"\xff\xd9").hexdigest()) for i in range(300)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["carved_hashes"]).fetchall()) == sorted(map(tuple, found))
+
+
+def test_extents_of_any_size_and_order_are_hashed(spark, tmp_path):
+    """Short ones from the bytes at hand, long ones piece by piece, and those that the file's end cuts."""
+    rng = random.Random(3)
+    data = {f: rng.randbytes(300_000) for f in "ab"}
+    for f, d in data.items():
+        (tmp_path / f).write_bytes(d)
+    cut = [(f, rng.randrange(299_000), rng.choice([1, 25, 4_000, 65_536, 65_537, 200_000])) for f in "ab" for _ in range(200)]
+    extents = spark.createDataFrame([(f"file://{tmp_path}/{f}", at, size) for f, at, size in cut], "file string, byte_offset long, size_bytes long").repartition(3)
+    found = {(r.file[-1], r.byte_offset, r.size_bytes): (r.sha256, r.md5) for r in binary.hash_extents(spark, extents).collect()}
+    assert found == {(f, at, size): (hashlib.sha256(data[f][at : at + size]).hexdigest(), hashlib.md5(data[f][at : at + size]).hexdigest()) for f, at, size in cut}
+
+
 def test_marks_are_read_once(spark, tmp_path, monkeypatch):
     """Messages and marks that several aggregates use are read from their files once."""
     (tmp_path / "1.tlog").write_bytes(radio(random.Random(2)))
