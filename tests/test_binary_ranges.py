@@ -186,6 +186,15 @@ def table_of_one_case(folder, rows):
     }), folder / "events.parquet")
 
 
+def test_every_packet_of_a_big_endian_capture_is_read(spark, tmp_path):
+    table_of_one_case(tmp_path, 1_200)
+    found = binary_logs.read_pcap_big_endian(spark, str(tmp_path)).orderBy("n").collect()
+    assert [r.n for r in found] == list(range(1_200))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["read_pcap_big_endian"]).fetchall()) == sorted(map(tuple, found))
+
+
 def test_every_carved_picture_is_hashed(spark, tmp_path):
     """However many a disk image holds, and wherever they stand."""
     table_of_one_case(tmp_path, 1_200)
