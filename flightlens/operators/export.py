@@ -10,11 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightlens.session import forget, spent_shuffles, stored
-from flightlens.sources.lines import read_lines
 
 #: Evidence categories and their names in an export.
 CATEGORIES = {"logs": "LOGS", "video_images": "VIDEO_IMAGES", "gcs": "GCS"}
@@ -116,21 +115,20 @@ def write_lines(lines: DataFrame, path: str, compression: str | None = None) ->
         ordered.select("case_id", "value").write.partitionBy("case_id").option("compression", compression or "none").text(path)
 
 
-def read_rows(spark: SparkSession, path: str, kept: Callable[[Column], Column] = lambda row: row, where: Callable[[Column], Column] = lambda row: F.lit(True)) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, kept: Callable[[Column], Column] = lambda row: row) -> DataFrame:
     """(case_id, array, number, block, id, value) of the rows of all arrays of documents as they are written here, by lines.
 
     (number, block, id) is the order of a case's lines. A row belongs to the array whose head,
-    of which a case has a few, is the last before it. value is what `kept` makes of a row's text,
-    for the rows that are asked for by `where`; lines are stored with that alone.
+    of which a case has a few, is the last before it. value is what `kept` makes of a row's text;
+    lines are stored with that alone.
     """
-    read = read_lines(spark, path).select(
-        F.regexp_extract("file", r"case_id=(-?\d+)", 1).cast("long").alias("case_id"), F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("number"), "block", "id", F.col("line").alias("value")
-    )
+    written = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    read = written.select(F.regexp_extract("file", r"case_id=(-?\d+)", 1).cast("long").alias("case_id"), F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("number"), "block", "id", "value")
+    head = F.when(F.col("value").startswith('"'), F.regexp_extract("value", r'^"(\w+)": \[$', 1)).otherwise("")
+    rows = read.filter(F.substring("value", 1, 2).isin(" {", ",{") | (head != ""))
+    lines = stored(rows.select("case_id", "number", "block", "id", head.alias("head"), F.when(head == "", kept(F.substring("value", 2, 1 << 30))).alias("value")))
     place = F.struct("number", "block", "id")
-    head = F.regexp_extract("value", r'^"(\w+)": \[$', 1)
-    text = F.substring("value", 2, 1 << 30)
-    asked = read.filter((F.substring("value", 1, 2).isin(" {", ",{") & where(text)) | (head != ""))
-    lines = stored(asked.select("case_id", "number", "block", "id", head.alias("head"), F.when(head == "", kept(text)).alias("value")))
-    heads = stored(lines.filter("head <> ''").groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "head"))).alias("heads")))
-    array = F.element_at(F.filter("heads", lambda h: h["place"] < place), -1)["head"]
-    return lines.filter("head = ''").join(heads, "case_id").select("case_id", array.alias("array"), "number", "block", "id", "value")
+    begun = lines.filter("head <> ''").select(F.col("case_id").alias("_case"), F.col("head").alias("array"), place.alias("_from"))
+    heads = stored(begun.withColumn("_to", F.lead("_from").over(Window.partitionBy("_case").orderBy("_from"))))
+    inside = (place > F.col("_from")) & (F.col("_to").isNull() | (place < F.col("_to")))
+    return lines.filter("head = ''").join(heads, (F.col("case_id") == F.col("_case")) & inside).select("case_id", "array", "number", "block", "id", "value")
